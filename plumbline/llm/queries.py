@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import langid, packing, simhash, tokens, toxicity
+from plumbline.llm import decontaminate, langid, media, packing, pii, simhash, tokens, toxicity, warc
 from plumbline.llm.common import crc_mod
 
 
@@ -15,7 +15,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _vocabulary() -> tuple[str, str]:
+def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -34,26 +34,52 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    counted = tokens.token_counts(docs, *_vocabulary())
+    counted = tokens.token_counts(docs, *vocabulary())
     return counted.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs)
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(_table(spark, sf_dir, "documents"), *_vocabulary())
+    return packing.packed(_table(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_archives(_table(spark, sf_dir, "pages"))
+    return warc.resolved(warc.read_records(index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = media.store_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
+    told = media.describe(stored.select("doc_id", n_bytes, "media"))
+    ranges = F.array_join(F.transform("keyframes", lambda r: F.concat_ws("+", r["offset"], r["length"])), ",")
+    feature = F.concat_ws(";", F.trim("codec"), F.concat_ws("/", "duration", "timescale"), "n_keyframes", ranges).alias("feature")
+    return told.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
     "op3_token_counts": op3_token_counts,
+    "op4_decontamination": op4_decontamination,
     "op5_language": op5_language,
+    "op6_pii": op6_pii,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
+    "op10_media": op10_media,
 }
 
 ORACLE_SQL: dict[str, str] = {}
