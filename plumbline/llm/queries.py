@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, media, packing, pii, simhash, tokens, toxicity, warc
+from plumbline.llm import decontaminate, langid, media, packing, pii, simhash, suffixes, tokens, toxicity, warc
 from plumbline.llm.common import crc_mod
 
 
@@ -52,6 +52,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffixes.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_table(spark, sf_dir, "documents"), *vocabulary())
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_language": op5_language,
     "op6_pii": op6_pii,
+    "op7_suffixes": op7_suffixes,
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_media": op10_media,
