@@ -89,42 +89,9 @@ def parts(texts: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndar
         yield made()
 
 
-def refine(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """A number for each start, equal where the `length` bytes from there are equal.
-
-    Bucket-pointer refinement: the buckets of 8-byte grams are numbered in order; each pass sorts the suffixes that
-    still share a bucket by the number of the bucket they have `depth` bytes later, and gives the parts new numbers,
-    which the next pass uses at twice the depth. A suffix alone in its bucket is final and only looked up from then on.
-    """
-    padded = np.concatenate([data, np.zeros(length + 8, np.uint8)])
-    grams = np.lib.stride_tricks.sliding_window_view(padded, 8)[: len(data)]
-    grams = np.ascontiguousarray(grams).view(">u8").ravel().astype(np.uint64)
-    pointer = np.empty(len(data) + length, np.int64)
-    pointer[len(data) :] = -1
-    order = np.argsort(grams, kind="stable")
-    ranked = grams[order]
-    new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-    pointer[order] = np.flatnonzero(new)[np.cumsum(new) - 1]  # a bucket's number is where it begins in the order
-    active, depth = np.arange(len(data)), 8
-    while depth < length:
-        step = min(depth, length - depth)
-        size = np.bincount(pointer[active], minlength=len(data))
-        active = active[size[pointer[active]] > 1]
-        later = pointer[active + step]
-        by = np.lexsort((later, pointer[active]))
-        bucket, later = pointer[active][by], later[by]
-        head = np.concatenate([[True], bucket[1:] != bucket[:-1]]) if len(bucket) else np.empty(0, bool)
-        split = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (later[1:] != later[:-1])]) if len(bucket) else head
-        place = np.arange(len(bucket))
-        within = place - np.maximum.accumulate(np.where(head, place, 0))
-        fresh = bucket + within
-        pointer[active[by]] = fresh[np.maximum.accumulate(np.where(split, place, 0))] if len(bucket) else fresh
-        depth += step
-    return pointer[starts]
-
-
 def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(h, known, doc, twin, at, n): the runs of windows of each document. Runs whose q-gram this task has met before
+    """(h, known, doc, twin, run): the runs of windows of each document. run holds the byte of the first window, above 16
+    bits of the anchor's distance from it and the number of windows, 8 bits each. Runs whose q-gram this task has met before
     are known to be shared and need no look at other tasks; one of each such q-gram still tells the others."""
 
     def run(batches):
@@ -133,7 +100,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
             doc, twin = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             texts = [t.encode("utf-8", "surrogatepass") for t in batch.column(2).to_pylist()]
             for data, valid, edge, source in parts(texts, length):
-                h, _, first, n = anchors(data, valid, length)
+                h, anchor, first, n = anchors(data, valid, length)
                 if not len(h):
                     continue
                 piece = np.searchsorted(edge, first, "right") - 1
@@ -148,9 +115,9 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 tells = np.zeros(len(h), bool)
                 tells[index] = True
                 known = np.where(count[inverse] > 1, np.where(tells & ~old[inverse], 1, 2), 0).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(known), pa.array(doc[source[piece, 0]]), pa.array(twin[source[piece, 0]]), pa.array(source[piece, 1] + first - edge[piece]), pa.array(n.astype(np.int32))], names=["h", "known", "doc", "twin", "at", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(known), pa.array(doc[source[piece, 0]]), pa.array(twin[source[piece, 0]]), pa.array(source[piece, 1] + first - edge[piece] << 16 | anchor - first << 8 | n)], names=["h", "known", "doc", "twin", "run"])
 
-    return docs.mapInArrow(run, "h long, known int, doc long, twin long, at long, n int")
+    return docs.mapInArrow(run, "h long, known int, doc long, twin long, run long")
 
 
 def _shared_runs(rows: DataFrame) -> DataFrame:
@@ -166,85 +133,157 @@ def _shared_runs(rows: DataFrame) -> DataFrame:
         same = s[1:] == s[:-1]
         twice = np.zeros(len(h), bool)
         twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield from table.filter(pa.array(twice | (known > 0))).select(["h", "doc", "twin", "at", "n"]).to_batches(max_chunksize=100_000)
+        yield from table.filter(pa.array(twice | (known > 0))).select(["h", "doc", "twin", "run"]).to_batches(max_chunksize=100_000)
 
-    dealt = rows.repartition(F.when(F.col("known") == 2, F.xxhash64("doc", "at")).otherwise(F.col("h")))
-    return dealt.mapInArrow(run, "h long, doc long, twin long, at long, n int")
+    dealt = rows.repartition(F.when(F.col("known") == 2, F.xxhash64("doc", "run")).otherwise(F.col("h")))
+    return dealt.mapInArrow(run, "h long, doc long, twin long, run long")
 
 
 def _contexts(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
-    """(h, doc, twin, at, n, context): the bytes that the windows of each shared run cover. A run with the same bytes as an
+    """(h, doc, twin, run, context): the bytes that the windows of each shared run cover. A run with the same bytes as an
     earlier one of its task repeats whole, whatever else there is; it comes without bytes."""
-    lists = runs.groupBy("doc", "twin").agg(F.sort_array(F.collect_list(F.struct("at", "n", "h"))).alias("runs"))
+    lists = runs.groupBy("doc", "twin").agg(F.sort_array(F.collect_list(F.struct("run", "h"))).alias("runs"))
     joined = docs.join(lists.hint("merge"), ["doc", "twin"]).select("doc", "twin", "text", "runs")
 
     def run(batches):
         met: dict[bytes, tuple] = {}
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(5)]
             for doc, twin, text, rows in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
                 data = text.encode("utf-8", "surrogatepass")
-                rows = rows.values
-                for at, n, h in zip(*(rows.field(i).to_pylist() for i in range(3)), strict=True):
-                    context = data[at : at + n + length - 1]
+                for packed, h in zip(*(rows.values.field(i).to_pylist() for i in range(2)), strict=True):
+                    at = packed >> 16
+                    context = data[at : at + (packed & 255) + length - 1]
                     me = (doc, twin, at)
                     if met.setdefault(context, me) < me:
                         context = None
                     else:
                         met[context] = me
-                    for column, value in zip(out, (h, doc, twin, at, n, context), strict=True):
+                    for column, value in zip(out, (h, doc, twin, packed, context), strict=True):
                         column.append(value)
                 if len(met) > 200_000:
                     met.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["h", "doc", "twin", "at", "n", "context"])
-
-    return joined.mapInArrow(run, "h long, doc long, twin long, at long, n int, context binary")
-
-
-def _repeats(contexts: DataFrame, length: int, most: int = 1 << 21) -> DataFrame:
-    """(doc, twin, at, n): runs of windows that also start earlier, among contexts dealt out by h."""
-
-    def chunk(h, doc, twin, at, n, texts):
-        sizes = n.astype(np.int64) + length - 1
-        data = np.frombuffer(b"".join(texts), np.uint8)
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        owner = np.repeat(np.arange(len(n)), n)
-        within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        bucket = refine(data, begin[owner] + within, length)
-        place = at[owner] + within
-        order = np.lexsort((place, twin[owner], doc[owner], bucket))
-        b, d, t, p = bucket[order], doc[owner][order], twin[owner][order], place[order]
-        again = np.zeros(len(order), bool)
-        head = np.concatenate([[True], b[1:] != b[:-1]])
-        lead = np.maximum.accumulate(np.where(head, np.arange(len(b)), 0))
-        again[order] = (d != d[lead]) | (t != t[lead]) | (p != p[lead])
-        hit = np.flatnonzero(again)
-        if not len(hit):
-            return None
-        first = np.flatnonzero(np.concatenate([[True], (owner[hit][1:] != owner[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]))
-        mine = hit[first]
-        count = np.diff(np.concatenate([first, [len(hit)]])).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(doc[owner[mine]]), pa.array(twin[owner[mine]]), pa.array(place[mine]), pa.array(count)], names=["doc", "twin", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "doc", "twin", "run", "context"])
+
+    return joined.mapInArrow(run, "h long, doc long, twin long, run long, context binary")
+
+
+def again(group: np.ndarray, run: np.ndarray, data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, window within it, whether the window occurs in an earlier one) for all windows of contexts given in
+    document order. Windows can only be equal in one bucket (group) and at one distance from its anchor, so each is named
+    by the bucket of what it has before the anchor and of what follows; equal names are equal windows."""
+    n, lead = run & 255, run >> 8 & 255
+    k = len(n)
+    end = begin + n + length - 1
+    anchor = begin + lead
+    reach = length - Q
+    after = _aligned(data, anchor[:, None] + np.arange(-(-length // 8) * 8), begin, end)
+    before = _aligned(data, anchor[:, None] - 1 - np.arange(-(-reach // 8) * 8), begin, end)
+    owner = np.repeat(np.arange(k), n)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+    distance = lead[owner] - within
+    right, left = _classes(after, group), _classes(before, group)
+    name = distance << 26 | left(distance)[distance, owner] << 13 | right(length - distance)[length - distance, owner]
+    name = name << 20 | np.arange(len(owner))
+    name.sort()
+    repeat = np.zeros(len(owner), bool)
+    repeat[name[1:][name[1:] >> 20 == name[:-1] >> 20] & (1 << 20) - 1] = True
+    return owner, within, repeat
+
+
+def _aligned(data: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The bytes at the positions, 0 outside the row's context."""
+    outside = (at < begin[:, None]) | (at >= end[:, None])
+    out = data[np.clip(at, 0, len(data) - 1)]
+    out[outside] = 0
+    return out
+
+
+def _classes(rows: np.ndarray, group: np.ndarray):
+    """A function of depths that gives a table (depth, row): a number equal for rows of one group with `depth` equal first
+    bytes. From the order of the rows by bucket-pointer refinement and the lengths that neighbours share."""
+    order = refine(rows, group)
+    s = rows[order]
+    differ = s[1:] != s[:-1]
+    common = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
+    common[group[order][1:] != group[order][:-1]] = -1
+
+    def table(depths: np.ndarray) -> np.ndarray:
+        out = np.zeros((int(depths.max()) + 1, len(order)), np.int64)
+        for depth in np.unique(depths).tolist():
+            out[depth, order[1:]] = np.cumsum(common < depth)
+        return out
+
+    return table
+
+
+def refine(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """The rows (of a multiple of 8 bytes each) in order of group, then bytes: bucket-pointer refinement.
+
+    The 8-byte grams at each offset are put into buckets, each numbered by where it begins in their order. Then buckets
+    are refined by sorting on their own number and the number of the bucket at the offset behind, which gives numbers for
+    grams of twice the length; these are used in turn, until one number orders the whole rows, and last by the group.
+    """
+    k = len(rows)
+    index = np.arange(k)
+
+    def begins(ranked: np.ndarray, order: np.ndarray) -> np.ndarray:
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        out = np.empty(k, np.int64)
+        out[order] = np.maximum.accumulate(np.where(new, index, 0))
+        return out
+
+    def joined(first: np.ndarray, later: np.ndarray) -> np.ndarray:
+        both = (first << 13 | later) << 13 | index
+        both.sort()
+        return begins(both >> 13, both & 8191)
+
+    grams = np.ascontiguousarray(rows).view(">u8").astype(np.uint64).T
+    pointers = []
+    for column in grams:
+        order = np.argsort(column)
+        pointers.append(begins(column[order], order))
+    while len(pointers) > 1:
+        pairs = [joined(a, b) for a, b in zip(pointers[::2], pointers[1::2], strict=False)]
+        pointers = pairs + pointers[len(pairs) * 2 :]
+    both = (group << 13 | pointers[0]) << 13 | index
+    both.sort()
+    return both & 8191
+
+
+def _repeats(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc, twin, at, n): runs of windows that also start earlier, among contexts dealt out by h; at most 4096 of one h."""
 
     def run(batches):
         batches = [b for b in batches if b.num_rows]
         if not batches:
             return
         table = pa.Table.from_batches(batches)
-        table = table.take(pa.array(np.argsort(table.column("h").to_numpy(), kind="stable")))
-        h, doc, twin, at, n = (table.column(c).to_numpy() for c in ("h", "doc", "twin", "at", "n"))
-        size = np.cumsum(n.astype(np.int64) + length - 1)
+        h = table.column("h").to_numpy()
+        by_h = np.argsort(h)
+        h = h[by_h]
         ends = np.flatnonzero(np.concatenate([h[1:] != h[:-1], [True]])) + 1  # of buckets
+        columns = [table.column(c).to_numpy() for c in ("doc", "twin", "run")]
+        texts = table.column("context").combine_chunks()
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2], np.uint8)
         first = 0
         while first < len(h):
-            base = size[first - 1] if first else 0
-            fit = ends[(ends > first) & (size[ends - 1] - base <= most)]
-            last = int(fit[-1]) if len(fit) else int(ends[np.searchsorted(ends, first, "right")])
-            cut = slice(first, last)
-            found = chunk(h[cut], doc[cut], twin[cut], at[cut], n[cut], table.column("context").slice(first, last - first).to_pylist())
-            if found is not None:
-                yield found
+            last = int(ends[max(np.searchsorted(ends, first + 8192, "right") - 1, np.searchsorted(ends, first, "right"))])
+            rows = by_h[first:last]
+            group = np.cumsum(np.concatenate([[0], h[first + 1 : last] != h[first : last - 1]])).astype(np.int64)
+            doc, twin, packed = (c[rows] for c in columns)
+            order = np.lexsort((packed, twin, doc))
+            rows, group, doc, twin, packed = rows[order], group[order], doc[order], twin[order], packed[order]
             first = last
+            owner, within, repeat = again(group, packed, data, offsets[rows], length)
+            hit = np.flatnonzero(repeat)
+            if not len(hit):
+                continue
+            head = np.flatnonzero(np.concatenate([[True], (owner[hit][1:] != owner[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]))
+            mine = hit[head]
+            count = np.diff(np.concatenate([head, [len(hit)]])).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(doc[owner[mine]]), pa.array(twin[owner[mine]]), pa.array((packed[owner[mine]] >> 16) + within[mine]), pa.array(count)], names=["doc", "twin", "at", "n"])
 
     return contexts.repartition(F.col("h")).mapInArrow(run, "doc long, twin long, at long, n int")
 
@@ -256,8 +295,9 @@ def _hot_repeats(contexts: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             out: list[list] = [[], [], [], []]
-            for doc, twin, at, n, context in zip(*(batch.column(i).to_pylist() for i in range(1, 6)), strict=True):
-                for k in range(n):
+            for doc, twin, packed, context in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                at = packed >> 16
+                for k in range(packed & 255):
                     for column, value in zip(out, (xxhash.xxh3_128_digest(context[k : k + length]), doc, twin, at + k), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["d", "doc", "twin", "at"])
@@ -271,12 +311,14 @@ def _hot_repeats(contexts: DataFrame, length: int) -> DataFrame:
 def repeated_runs(docs: DataFrame, length: int = 100, bucket: int = 4096) -> DataFrame:
     """(doc, twin, at, n): the windows of `length` bytes, n in a row from byte `at` on, that also start earlier.
 
-    docs(doc, twin, text) with unique (doc, twin), which is the order of documents. Buckets of more than `bucket`
-    different surroundings take an exact route of their own.
+    docs(doc, twin, text) with unique (doc, twin), which is the order of documents. Buckets of more than `bucket` (at most
+    4096) different surroundings take an exact route of their own.
     """
+    if not Q <= length <= Q + 200 or bucket > 4096:
+        raise ValueError("length must be 24 to 224 and bucket at most 4096")
     shared = stored(_shared_runs(_anchor_rows(docs, length)), "suffix-shared")
     contexts = stored(_contexts(docs, shared, length), "suffix-contexts")
-    done = contexts.where("context is null").select("doc", "twin", "at", "n")
+    done = contexts.where("context is null").select("doc", "twin", F.shiftright("run", 16).alias("at"), F.col("run").bitwiseAND(255).cast("int").alias("n"))
     open_ = contexts.where("context is not null")
     hot = open_.groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > bucket).select("h")
     n_hot = hot.limit(100_001).count()
