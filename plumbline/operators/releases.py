@@ -47,7 +47,8 @@ IDENTITY = ("package_name", "app_name", "release_channel", "version", "published
 def canonical(df: DataFrame, non_blank_wins: bool = False, **defaults: str) -> DataFrame:
     """The 16 fields from any aliased columns, plus row_idx.
 
-    Of several source columns of one field the last wins even where it is blank (non_blank_wins: the last that is not).
+    Of several source columns of one field the last that a record has (null: it has none) wins even where it is blank
+    (non_blank_wins: the last that is not).
     Blank fields take the defaults. A combined 时间 column is used only if all three dates are blank: two ISO dates are a
     test window, one is the publishing date of a public release, else the start of a test.
     """
@@ -56,10 +57,9 @@ def canonical(df: DataFrame, non_blank_wins: bool = False, **defaults: str) -> D
         sources.setdefault(ALIASES.get(c, c), []).append(c)
 
     def value(field: str):
-        columns = [clean(F.col(f"`{c}`")) for c in sources.get(field, [])]
-        if not columns:
-            return F.lit("")
-        return F.coalesce(*(F.nullif(c, F.lit("")) for c in reversed(columns)), F.lit("")) if non_blank_wins else columns[-1]
+        columns = [F.col(f"`{c}`") for c in reversed(sources.get(field, []))]
+        there = [F.when(c.isNotNull(), clean(c)) for c in columns]
+        return F.coalesce(*(F.nullif(c, F.lit("")) for c in there), F.lit("")) if non_blank_wins else F.coalesce(*there, F.lit(""))
 
     rows = df.select("row_idx", *(F.when(value(f) == "", clean(F.lit(defaults.get(f, "")))).otherwise(value(f)).alias(f) for f in FIELDS), (clean(F.col("`时间`")) if "时间" in df.columns else F.lit("")).alias("_time"))
     dates = F.regexp_extract_all("_time", F.lit(r"(\d{4}-\d{2}-\d{2})"), F.lit(1))

@@ -97,7 +97,7 @@ def index_offset(saved: DataFrame, current: DataFrame, by: list[str] | None = No
     pairs = saved.alias("s").join(current.alias("c"), (F.col("s.post_info") == F.col("c.post_info")) & compatible("s", "c") & F.expr(" and ".join(f"s.{k} <=> c.{k}" for k in by) or "true"))
     votes = pairs.groupBy(*(F.col(f"c.{k}").alias(k) for k in by), (F.col("s.idx") - F.col("c.idx")).alias("offset")).agg(F.count("*").alias("votes"), F.min(F.struct(F.col("c.idx").alias("x"), F.col("s.idx").alias("y"))).alias("_first"))
     best = F.max_by(F.struct("offset", "votes"), F.struct(F.col("votes"), -F.col("_first.x"), -F.col("_first.y")))
-    return votes.groupBy(*by).agg(best.alias("b"), F.sum("votes").alias("pairs")).select(*by, "b.offset", "b.votes", "pairs")
+    return votes.groupBy(*by).agg(best.alias("b"), F.sum("votes").alias("pairs")).select(*by, "b.offset", "b.votes", "pairs").where("offset is not null")
 
 
 def plateaus(df: DataFrame, by: list[str], order: str, signature: str, least: int = 4) -> DataFrame:

@@ -26,7 +26,7 @@ LEVELS = [f"{n}级功能" for n in "一二三四五六"]
 def _whole(spark: SparkSession, path: str) -> DataFrame:
     """(path, content) of each file, a byte order mark removed."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.regexp_replace(F.decode("content", F.lit("UTF-8")), "^﻿", "").alias("content"))
+    return files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("content"))
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
