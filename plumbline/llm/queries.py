@@ -39,7 +39,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.withColumn("item_ids", F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ","))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,4 +89,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for what SQL can say; the other operators are tested against brute force in tests/llm.
+ORACLE_SQL: dict[str, str] = {
+    "op4_decontamination": """
+with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10ffff}]+') w from documents),
+ i as (select item_id, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10ffff}]+') w from benchmark),
+ dw as (select doc_id, p, w[p + 1:p + 12] v from (select doc_id, w, unnest(range(0, len(w) - 11)) p from t)),
+ bw as (select v, min(item_id) item_id from (select item_id, w[p + 1:p + 12] v from (select item_id, w, unnest(range(0, len(w) - 11)) p from i)) group by v),
+ k as (select * from (values (0, 3), (0, 6), (0, 9), (3, 6), (3, 9), (6, 9)) k(a, b)),
+ dk as (select doc_id, p, v, a, b, array_to_string(v[a + 1:a + 3] || v[b + 1:b + 3], ' ') h from dw, k),
+ bk as (select v, item_id, a, b, array_to_string(v[a + 1:a + 3] || v[b + 1:b + 3], ' ') h from bw, k),
+ m as (select doc_id, p, 12 n, item_id from dk join bk using (a, b, h) where len(list_filter(range(1, 13), lambda j: dk.v[j] <> bk.v[j])) <= 2
+  union all select t.doc_id, p, len(i.w), item_id from (select doc_id, w, unnest(range(0, len(w))) p from t) t join i on len(i.w) between 1 and 11 and t.w[p + 1] = i.w[1] and t.w[p + 1:p + len(i.w)] = i.w),
+ q as (select doc_id, p, n, min(item_id) item_id from m group by all)
+select doc_id, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as item_ids, count(*) as n_windows, min(p)::bigint as first_token, max(p + n)::bigint as end_token from q group by doc_id""",
+    "op7_suffixes": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x, octet_length(encode(coalesce(text, '')))::bigint n from documents),
+ w as (select doc_id, p, substr(x, 2 * p + 1, 200) s from (select doc_id, x, unnest(range(0, n - 99)) p from d where n >= 100)),
+ f as (select doc_id, p, row_number() over (partition by s order by doc_id, p) k from w),
+ r as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 100 then 0 else 1 end new from f where k > 1),
+ g as (select doc_id, p, sum(new) over (partition by doc_id order by p) g from r),
+ s as (select doc_id, min(p) a, max(p) + 100 b from g group by doc_id, g),
+ l as (select *, lag(b, 1, 0) over (partition by doc_id order by a) before from s),
+ c as (select doc_id, sum(b - a)::bigint removed, count(*) spans, max(b) last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' order by a) head from l join d using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, coalesce(removed, 0) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(head || substr(x, 2 * last + 1), x))) as kept_sha256 from d left join c using (doc_id)""",
+    "op9_warc": """
+with p as (select page_id, coalesce(html, '') h from pages),
+ m as (select page_id, h, max(page_id) over (partition by h) newest, list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', substr(sha1(h), i, 1)) - 1) || [0, 0] d from p)
+select page_id, octet_length(encode(h))::bigint as payload_bytes,
+ list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((d[5 * i // 4 + 1] * 256 + d[5 * i // 4 + 2] * 16 + d[5 * i // 4 + 3]) >> (7 - 5 * i % 4)) & 31)::int, 1)), 'string_agg', '') as payload_digest,
+ case when page_id = newest then 'response' else 'revisit' end as record_type, case when page_id <> newest then newest end as refers_to from m""",
+}
