@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "labels")
@@ -30,11 +32,9 @@ INVENTORY = """select l_orderkey * 10 + l_linenumber as row_idx, l_linestatus as
  from lineitem join part on l_partkey = p_partkey where l_quantity >= 49"""
 
 
-def tables(spark: SparkSession, sf_dir: str) -> None:
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-
-
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    tables(spark, sf_dir)
+    """The SQL over the tables that it names; no other table's schema is looked up."""
+    for t in TABLES:
+        if re.search(rf"\b(?:from|join)\s+{t}\b", sql):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(sql.replace("varchar(10)", "string"))
