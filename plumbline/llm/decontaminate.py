@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, stored
+from plumbline.llm.common import chunks, stored, without
 
 #: Tokens of a window, its blocks, and the substitutions that are tolerated in it.
 WINDOW, BLOCKS, SUBSTITUTIONS = 12, 4, 2
@@ -96,7 +96,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 def _sieve(windows: DataFrame, n: int) -> tuple[np.ndarray, int]:
     """A bitmap of two bits for each benchmark hash, sized by their number n up to 2**30 bits (128 MB); beyond that it
     lets more candidates through to the exact join, never fewer."""
-    bits = int(np.clip(np.ceil(np.log2(32 * max(1, n))), 16, 30))
+    bits = int(np.clip(np.ceil(np.log2(256 * max(1, n))), 16, 30))
 
     def run(batches):
         held = np.zeros(1 << bits, bool)
@@ -165,5 +165,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id has a verified overlap with the benchmark; all columns and other rows stay."""
-    bad = hits(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    return without(docs, hits(docs, benchmark).select("doc_id"))
