@@ -76,3 +76,11 @@ def chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[st
         size += len(t)
     if held:
         yield start, held
+
+
+def without(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """docs without the rows whose doc_id is in ids(doc_id), null like any other. Up to `most` ids are broadcast (they are
+    counted first), so the texts stay where they are; more are joined by a shuffle."""
+    gone = stored(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    small = gone.limit(most + 1).count() <= most
+    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")

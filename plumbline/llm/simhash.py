@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_columns, stored
+from plumbline.llm.common import map_columns, stored, without
 from plumbline.llm.graph import components
 
 BITS = 64
@@ -146,5 +146,7 @@ def near_duplicates(docs: DataFrame, radius: int = 3, n: int = 3, bucket: int =
 def deduplicate(docs: DataFrame, radius: int = 3, n: int = 3) -> DataFrame:
     """docs without all but the document with the smallest doc_id of each near-duplicate class (of rows that repeat that
     doc_id one stays; a row with a null doc_id stays only in a class of nulls)."""
-    kept = near_duplicates(docs, radius, n).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"])
+    first = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = without(docs, near_duplicates(docs, radius, n).groupBy("doc_id").agg(first.alias("first")).where("not first").select("doc_id"))
+    again = not docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    return out.dropDuplicates(["doc_id"]) if again else out
