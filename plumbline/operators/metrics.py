@@ -197,3 +197,13 @@ def compare_versions(a: DataFrame, b: DataFrame, version_a: str, version_b: str)
 def generalize(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     """Counts and means of groups of at least k rows; smaller groups are left out so that nobody is singled out."""
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("rating").alias("mean")).where(F.col("n") >= k)
+
+
+def admit(df: DataFrame, gate: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys passed their audit: gate(keys, passed); keys that the gate does not know are not admitted."""
+    return df.join(gate.where("passed").select(*keys).distinct(), keys, "left_semi")
+
+
+def one_channel(df: DataFrame, keys: list[str], channel: str = "channel") -> DataFrame:
+    """Groups that mix channels: evidence of several channels is never summed, so a report needs this to be empty."""
+    return df.groupBy(*keys).agg(F.count_distinct(channel).alias("channels")).where("channels > 1")

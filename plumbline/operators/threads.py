@@ -186,3 +186,15 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     from plumbline.sources.readers import json_records
 
     return json_records(spark, path, ("posts", "items", "data")).withColumnRenamed("record", "post")
+
+
+def dom_comments(df: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+    """Comments seen again and again while a page scrolls: one row per key at its first position with its last fields, and
+    how often it was seen. Positions are the order of first sight."""
+    return df.groupBy(key).agg(F.min(order).alias("position"), *(F.max_by(f, order).alias(f) for f in fields), F.count("*").alias("seen"))
+
+
+def completeness(df: DataFrame) -> DataFrame:
+    """Per post of df(post_id, expected, collected): the status 完整 or 部分, unknown expectations counting as complete."""
+    status = F.when((F.coalesce("expected", F.lit(0)) > 0) & (F.coalesce("collected", F.lit(0)) < F.col("expected")), "部分").otherwise("完整")
+    return df.withColumn("collection_status", status)

@@ -499,6 +499,67 @@ def ui_tree_fields(spark, sf):
     return readers.review_fields(readers.ui_nodes(trees)).select("screen", "idx", "Stars", "Text")
 
 
+# Gates, reports and captures --------------------------------------------------------------------------------------------
+
+
+@query(WITH_R + ", g as (select region, platform, count(*) filter (rating = 1) > 45 as passed from r group by 1, 2) select region, platform, count(*) as n, avg(rating) as mean from r semi join (select * from g where passed) using (region, platform) group by 1, 2")
+def admitted_modules(spark, sf):
+    r = reviews_of(spark, sf)
+    gate = r.groupBy("region", "platform").agg((F.count_if(F.col("rating") == 1) > 45).alias("passed"))
+    return metrics.admit(r, gate, ["region", "platform"]).groupBy("region", "platform").agg(F.count("*").alias("n"), F.avg("rating").alias("mean"))
+
+
+@query(WITH_R + "select region, count(distinct channel) as channels from r where d < date '1995-03-01' group by 1 having count(distinct channel) > 1")
+def mixed_channels(spark, sf):
+    return metrics.one_channel(reviews_of(spark, sf).where("d < date '1995-03-01'"), ["region"])
+
+
+_CLAIMS = "select * from (values ('most trade', 'Overview', 'EUROPE'), ('least', 'Trend', 'ASIA'), ('nowhere', 'Trend', 'ATLANTIS')) as c(claim, section, metric)"
+
+
+@query(f"with c as ({_CLAIMS}), a as (select r_name as metric, count(*) as value from nation join region on n_regionkey = r_regionkey group by 1) select metric, claim, section, value, case when value is not null then 'nation' end as source, value is not null as resolved from c left join a using (metric)")
+def evidence_matrix(spark, sf):
+    from plumbline.sources import sinks
+
+    a = P.view(spark, sf, "select r_name as metric, count(*) as value, 'nation' as source from nation join region on n_regionkey = r_regionkey group by 1")
+    return sinks.evidence_matrix(spark.sql(_CLAIMS), a)
+
+
+@query("with t as (select doc_id, text, lang from documents) select 'text present' as \"check\", count(*) filter (text = '') = 0 as passed, (count(*) filter (text = ''))::varchar as detail from t union all select 'language known', count(*) filter (lang not in ('en', 'de')) = 0, (count(*) filter (lang not in ('en', 'de')))::varchar from t union all select 'quotes have ids', count(*) filter (doc_id is null) = 0, (count(*) filter (doc_id is null))::varchar from t")
+def quality_gates(spark, sf):
+    from plumbline.operators import issues
+
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    return issues.quality_checks(spark, {"text present": d.where("text = ''"), "language known": d.where("lang not in ('en', 'de')"), "quotes have ids": d.where("doc_id is null")})
+
+
+@query("select user_id, min(event_id) as position, arg_max(event_type, event_id) as event_type, arg_max(value, event_id) as value, count(*) as seen from events group by user_id")
+def dom_comments(spark, sf):
+    return threads.dom_comments(spark.read.parquet(f"{sf}/events.parquet"), "user_id", "event_id", ["event_type", "value"])
+
+
+@query("select conv_id as post_id, count(*) + conv_id % 2 as expected, count(*) as collected, case when conv_id % 2 > 0 then '部分' else '完整' end as collection_status from conversations group by 1")
+def collection_status(spark, sf):
+    c = spark.read.parquet(f"{sf}/conversations.parquet").groupBy(F.col("conv_id").alias("post_id")).agg(F.count("*").alias("collected"))
+    return threads.completeness(c.select("post_id", (F.col("collected") + F.col("post_id") % 2).alias("expected"), "collected"))
+
+
+@query("select user_id as screen, event_type as key, props as text, count(*) as n from (select distinct user_id, event_type, props, value % 2 > 1 as b from events) group by all")
+def visible_text(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    attributes = F.struct(F.col("event_type").alias("key"), F.lit("").alias("text"), F.col("props").alias("originalText"), (F.col("value") % 2 > 1).cast("string").alias("bounds"), F.lit("t").alias("type"))
+    trees = e.groupBy(F.col("user_id").alias("screen")).agg(F.to_json(F.struct(F.collect_list(F.struct(attributes.alias("attributes"))).alias("children"))).alias("j"))
+    nodes = readers.ui_nodes(trees.select("screen", F.parse_json("j").alias("tree")))
+    return readers.visible_text(nodes).groupBy("screen", "key", "text").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderpriority as device, o_orderstatus as level, case o_orderstatus when 'F' then 5 when 'O' then 3 else 1 end as rating, count(*) as n from orders group by 1, 2")
+def rating_words(spark, sf):
+    o = spark.read.parquet(f"{sf}/orders.parquet")
+    words = R.lookup(F.col("o_orderstatus"), {"F": "非常棒", "O": "还可以", "P": "非常差"})
+    return o.select(F.col("o_orderpriority").alias("device"), F.col("o_orderstatus").alias("level"), tagging.rating(F.lit(None), words).alias("rating")).groupBy("device", "level", "rating").agg(F.count("*").alias("n"))
+
+
 @query(None)
 def qa_sample(spark, sf):
     return tagging.qa_sample(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"), "doc_id", 10)

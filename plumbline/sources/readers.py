@@ -180,3 +180,21 @@ def links(pages: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit(r'(<a href="[^"]*">[^<]*</a>)'), F.lit(1))
     each = pages.select("page_id", F.posexplode(found).alias("nth", "a"))
     return each.select("page_id", "nth", F.regexp_extract("a", r'href="([^"]*)"', 1).alias("href"), F.regexp_extract("a", r">([^<]*)<", 1).alias("label"))
+
+
+#: Headers of the templates that people fill in (fixed values).
+INVENTORY_HEADER = ["应用", "平台", "版本", "构建号", "设备", "账号状态", "采集日期", "模块", "标准功能ID", *LEVELS, "验证状态", "验证深度", "证据ID", "证据文件", "备注"]
+MANIFEST_HEADER = ["证据ID", "应用", "平台", "版本", "设备", "账号状态", "采集时间", "页面路径", "证据类型", "文件路径", "说明"]
+
+
+def template(spark: SparkSession, header: list[str]) -> DataFrame:
+    """An empty table with the header's columns."""
+    return spark.createDataFrame([], T.StructType([T.StructField(h, T.StringType()) for h in header]))
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines with a given schema (nothing is inferred) and row numbers in file order."""
+    from pyspark.sql import Window
+
+    rows = spark.read.schema(schema).json(path).withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
+    return rows.withColumn("row_idx", F.row_number().over(Window.partitionBy("_file").orderBy("_at")) - 1).drop("_at", "_file")
