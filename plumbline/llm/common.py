@@ -28,11 +28,27 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder: cuts the lineage, survives lost executors, is computed once."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def stored(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """df as a table written to the shared folder: cuts the lineage, survives lost executors, is computed once.
+
+    After a large step the driver collects its garbage, which lets Spark delete the shuffle files that only this step
+    needed; else they would stay beside those of the next steps.
+    """
+    spark = df.sparkSession
+    path = fresh_dir(spark, name)
+    df.write.option("compression", "zstd").parquet(path)
+    if large:
+        spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored table that no result needs any more."""
+    spark = df.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_mod(key: Column, m: int) -> Column:

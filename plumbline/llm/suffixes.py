@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import stored
+from plumbline.llm.common import discard, stored
 
 Q = 24
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -316,16 +316,22 @@ def repeated_runs(docs: DataFrame, length: int = 100, bucket: int = 4096) -> Dat
     """
     if not Q <= length <= Q + 200 or bucket > 4096:
         raise ValueError("length must be 24 to 224 and bucket at most 4096")
-    shared = stored(_shared_runs(_anchor_rows(docs, length)), "suffix-shared")
-    contexts = stored(_contexts(docs, shared, length), "suffix-contexts")
+    shared = stored(_shared_runs(_anchor_rows(docs, length)), "suffix-shared", large=True)
+    contexts = stored(_contexts(docs, shared, length), "suffix-contexts", large=True)
+    discard(shared)
     done = contexts.where("context is null").select("doc", "twin", F.shiftright("run", 16).alias("at"), F.col("run").bitwiseAND(255).cast("int").alias("n"))
     open_ = contexts.where("context is not null")
     hot = open_.groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > bucket).select("h")
     n_hot = hot.limit(100_001).count()
-    if not n_hot:
-        return done.unionByName(_repeats(open_, length))
-    hot = F.broadcast(hot) if n_hot <= 100_000 else hot
-    return done.unionByName(_repeats(open_.join(hot, "h", "left_anti"), length)).unionByName(_hot_repeats(open_.join(hot, "h", "left_semi"), length))
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= 100_000 else hot
+        cold = done.unionByName(_repeats(open_.join(hot, "h", "left_anti"), length))
+        found = cold.unionByName(_hot_repeats(open_.join(hot, "h", "left_semi"), length))
+    else:
+        found = done.unionByName(_repeats(open_, length))
+    runs = stored(found, "suffix-runs", large=True)
+    discard(contexts)
+    return runs
 
 
 def deduplicate(docs: DataFrame, length: int = 100, bucket: int = 4096) -> DataFrame:
@@ -343,7 +349,7 @@ def deduplicate(docs: DataFrame, length: int = 100, bucket: int = 4096) -> DataF
     twin = F.xxhash64(text) if again else F.lit(0).cast("long")
     keyed = docs.select(doc.alias("doc"), twin.alias("twin"), text.alias("text"), "doc_id")
     long_ = keyed.where(F.octet_length("text") >= length).select("doc", "twin", "text")
-    runs = stored(repeated_runs(long_.dropDuplicates(["doc", "twin"]) if again else long_, length, bucket), "suffix-runs")
+    runs = repeated_runs(long_.dropDuplicates(["doc", "twin"]) if again else long_, length, bucket)
     lists = runs.groupBy("doc", "twin").agg(F.sort_array(F.collect_list(F.struct("at", "n"))).alias("runs"))
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
     spans_type = pa.list_(pa.struct([pa.field("start", pa.int64()), pa.field("end", pa.int64())]))
