@@ -9,7 +9,6 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import xxhash
@@ -275,8 +274,9 @@ def test_dynamic_program_equals_brute_force():
 # Repeated strings
 
 
-@pytest.mark.parametrize("bucket", [4096, 1])
-def test_suffixes_equal_brute_force(spark, bucket):
+@pytest.mark.parametrize(("bucket", "part"), [(4096, 1 << 20), (1, 1 << 20), (4096, 150)])
+def test_suffixes_equal_brute_force(spark, monkeypatch, bucket, part):
+    monkeypatch.setattr(suffixes, "_PART", part)
     r = random.Random(3)
     words = ["the", "of", "andé", "lor", "ipsum", "xx"]
     base = [" ".join(r.choices(words, k=r.randint(1, 120))) for _ in range(10)]
