@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -38,6 +39,7 @@ def stored(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     path = fresh_dir(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     if large:
+        gc.collect()  # Python's frames hold their plans in cycles
         spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
