@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column
@@ -131,7 +132,10 @@ DEFAULT = RuleSet()
 
 
 def has(c: Column, pattern: str) -> Column:
-    return c.rlike(f"(?iuU)(?:{pattern})")
+    """Whether the pattern occurs, whatever the case. Unicode classes and case tables cost several times the search, so
+    they are asked for only where the pattern has a class or a cased letter beyond ASCII."""
+    flags = "i" + "u" * any(x > "\x7f" and x.lower() != x.upper() for x in pattern) + "uU" * bool(re.search(r"\\[wWsSdDbB]", pattern))
+    return c.rlike(f"(?{flags})(?:{pattern})")
 
 
 def _verdict(sentiment: str | Column, intent: str, confidence: str) -> Column:
