@@ -83,7 +83,7 @@ def map_columns(df: DataFrame, inputs: list[str], outputs: str, factory: Callabl
     return kept.mapInArrow(run, schema)
 
 
-def chunks(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
     """Runs of whole texts of about `most` characters, with the index of their first; one text is never cut."""
     start, held, size = 0, [], 0
     for i, t in enumerate(texts):
