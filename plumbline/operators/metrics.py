@@ -84,8 +84,14 @@ def around_releases(df: DataFrame, releases: DataFrame, days: int) -> DataFrame:
 
 
 def flood(df: DataFrame, releases: DataFrame, days: int = 3) -> DataFrame:
-    """Rows, low ratings and mean in the first `days` days after each release, day by day."""
-    near = df.join(F.broadcast(releases.limit(10_000)), (F.col("d") >= F.col("release_date")) & (F.col("d") < F.date_add("release_date", days)))
+    """Rows, low ratings and mean in the first `days` days after each release, day by day. All releases count: at most
+    10000 are broadcast (they are counted first), beyond that days are the join key."""
+    within = (F.col("d") >= F.col("release_date")) & (F.col("d") < F.date_add("release_date", days))
+    if releases.limit(10_001).count() <= 10_000:
+        near = df.join(F.broadcast(releases), within)
+    else:
+        spread = releases.withColumn("_day", F.explode(F.sequence(F.to_date("release_date"), F.date_add("release_date", max(days, 1) - 1))))
+        near = df.withColumn("_day", F.to_date("d")).join(spread, "_day").where(within)
     return near.groupBy("version", F.date_diff("d", "release_date").alias("day")).agg(F.count("*").alias("n"), F.count_if(F.col("rating") <= 2).alias("n_bad"), F.avg("rating").alias("mean"))
 
 
@@ -102,8 +108,8 @@ def themes(df: DataFrame, k: int | None = None) -> DataFrame:
 
 def reversal(df: DataFrame, releases: DataFrame) -> DataFrame:
     """Per theme: mean before and from its feature's release on, against the mean of all. df(id, theme, rating, d),
-    releases(theme, release_date)."""
-    joined = df.join(F.broadcast(releases.limit(10_000)), "theme")
+    releases(theme, release_date), of any number of rows: Spark broadcasts them only where they are small."""
+    joined = df.join(releases, "theme")
     after = F.col("d") >= F.col("release_date")
     out = joined.groupBy("theme").agg(F.avg(F.when(~after, F.col("rating"))).alias("mean_before"), F.avg(F.when(after, F.col("rating"))).alias("mean_after"), F.count_if(~after).alias("n_before"), F.count_if(after).alias("n_after"))
     return out.crossJoin(F.broadcast(df.dropDuplicates(["id"]).agg(F.avg("rating").alias("mean_all"))))

@@ -171,7 +171,7 @@ def screens(spark: SparkSession, folder: str, offsets: DataFrame | None = None)
     files = _whole(spark, f"{folder}/screen_*.json").select(F.substring_index("path", "/", -1).alias("screen"), F.try_parse_json("content").alias("tree"))
     fields = review_fields(ui_nodes(files.where("tree is not null")))
     if offsets is not None:
-        fields = fields.join(F.broadcast(offsets.limit(100_000)), "screen", "left").withColumn("idx", F.col("idx") + F.coalesce("shift", F.lit(0))).drop("shift")
+        fields = fields.join(offsets, "screen", "left").withColumn("idx", F.col("idx") + F.coalesce("shift", F.lit(0))).drop("shift")
     return fields.where("idx >= 0"), files.where("tree is null").select("screen")
 
 

@@ -175,6 +175,21 @@ def test_metrics_invariants(spark):
     assert metrics.weekly(df).agg(F.sum("n")).first()[0] == 100
 
 
+def test_many_releases_and_offsets(spark, tmp_path):
+    n, start = 10_050, dt.date(1990, 1, 1)
+    days = [(i, start + dt.timedelta(days=4 * i)) for i in range(n)]
+    df = spark.createDataFrame([(i, f"t{i}", 1 + i % 5, d + dt.timedelta(days=k)) for i, d in days for k in (-1, 2)], "id long, theme string, rating int, d date").repartition(4)
+    releases = spark.createDataFrame([(f"t{i}", f"v{i}", d) for i, d in days], "theme string, version string, release_date date")
+    got = metrics.flood(df, releases.drop("theme")).collect()
+    assert sorted((r["version"], r["day"], r["n"], r["mean"]) for r in got) == sorted((f"v{i}", 2, 1, float(1 + i % 5)) for i in range(n))
+    few = releases.drop("theme").where(F.col("release_date") < dt.date(1991, 1, 1))
+    assert sorted(metrics.flood(df, few).collect()) == sorted(r for r in got if start + dt.timedelta(days=4 * int(r["version"][1:])) < dt.date(1991, 1, 1))
+    assert metrics.reversal(df, releases.drop("version")).where("n_before = 1 and n_after = 1").count() == n
+    (tmp_path / "screen_last.json").write_text('{"attributes": {}, "children": [{"attributes": {"key": "CommentDetailText3", "text": "好"}}]}', encoding="utf-8")
+    offsets = spark.range(100_050).select(F.when(F.col("id") == 100_049, "screen_last.json").otherwise(F.concat(F.lit("s"), "id")).alias("screen"), F.lit(2).alias("shift"))
+    assert readers.screens(spark, str(tmp_path), offsets)[0].first()["idx"] == 5
+
+
 def test_stream_upsert(spark, tmp_path):
     schema = "idx int, seq int, Username string, Stars string, StarMessage string, Text string, PostInfo string"
     target, source = str(tmp_path / "log"), str(tmp_path / "in")
