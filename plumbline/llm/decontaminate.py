@@ -72,9 +72,9 @@ def _whole(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """(mask, hash, window, item_id): each distinct window of the benchmark under each mask, with the smallest item_id that
-    has it. window: its token hashes as bytes. An item of n tokens, fewer than a window, is one window of its own under
-    mask -n; null texts and texts without a token have none."""
+    """(mask, hash, window, item_id): each distinct window of the benchmark under each mask, with each item that has it.
+    window: its token hashes as bytes. An item of n tokens, fewer than a window, is one window of its own under mask -n;
+    null texts and texts without a token have none."""
 
     def run(batches):
         for batch in batches:
@@ -90,7 +90,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["mask", "hash", "window", "item_id"])
 
     rows = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "mask int, hash long, window binary, item_id long")
-    return rows.groupBy("mask", "hash", "window").agg(F.min("item_id").alias("item_id"))
+    return rows.distinct()
 
 
 def _sieve(windows: DataFrame, n: int) -> tuple[np.ndarray, int]:
@@ -110,15 +110,16 @@ def _sieve(windows: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return np.bitwise_or.reduce([np.frombuffer(bytes(r["bitmap"]), np.uint8) for r in parts] or [np.zeros((1 << bits) // 8, np.uint8)]), bits
 
 
-def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, start, length): each verified window of a document: `length` tokens from token `start` on that
-    differ from a window of the benchmark in at most SUBSTITUTIONS tokens (items shorter than a window: in none).
+def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, start, length, window): the verified windows of documents, once for each distinct window of the benchmark
+    that they match; and (window, item_id): each item that has a window.
 
-    item_id is the smallest item with that window. Windows that some mask maps to a benchmark hash pass a bitmap of
-    bounded size, are joined on (mask, hash), and the joined windows are compared token by token. Null and empty texts
-    have no window. Repeated rows give one set of hits.
+    Windows that some mask maps to a benchmark hash pass a bitmap of bounded size, are joined on (mask, hash), and the
+    joined windows are compared token by token. Items join only afterwards, so one window of many items is compared once.
     """
-    windows = stored(benchmark_windows(benchmark), "decontaminate-windows")
+    held_by = stored(benchmark_windows(benchmark), "decontaminate-items")
+    members = held_by.select("window", "item_id").distinct()
+    windows = stored(held_by.select("mask", "hash", "window").distinct(), "decontaminate-windows")
     shape = windows.groupBy("mask").agg(F.count("*").alias("n")).collect()
     short = sorted(-r["mask"] for r in shape if r["mask"] < 0)
     bitmap, bits = _sieve(windows, sum(r["n"] for r in shape))
@@ -153,16 +154,32 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     size = F.octet_length("window") / 8
     differ = F.expr("aggregate(sequence(0, cast(octet_length(window) / 8 as int) - 1), 0, (n, i) -> n + if(substr(window, 8 * i + 1, 8) = substr(seen, 8 * i + 1, 8), 0, 1))")
     joined = candidates.join(windows, ["mask", "hash"]).where(F.octet_length("window") == F.octet_length("seen"))
-    return joined.where(differ <= F.when(F.col("mask") < 0, 0).otherwise(SUBSTITUTIONS)).groupBy("doc_id", "start", size.cast("int").alias("length")).agg(F.min("item_id").alias("item_id")).select("doc_id", "item_id", "start", "length")
+    near = joined.where(differ <= F.when(F.col("mask") < 0, 0).otherwise(SUBSTITUTIONS))
+    return near.select("doc_id", "start", size.cast("int").alias("length"), "window").distinct(), members
+
+
+def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start, length): each verified window of a document: `length` tokens from token `start` on that
+    differ from a window of the item in at most SUBSTITUTIONS tokens (items shorter than a window: in none).
+
+    A window that matches several items has a row for each. Null and empty texts have no window. Repeated rows give one
+    set of hits.
+    """
+    found, members = _matches(docs, benchmark)
+    return found.join(members, "window").select("doc_id", "item_id", "start", "length").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document with a verified overlap: doc_id, item_ids (sorted; of each window the smallest item that has
-    it), n_windows, first_token and end_token of what is covered. Documents without one have no row."""
-    found = hits(docs, benchmark).groupBy("doc_id", "item_id").agg(F.count("*").alias("n"), F.min("start").alias("a"), F.max(F.col("start") + F.col("length")).alias("b"))
-    return found.groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.sum("n").alias("n_windows"), F.min("a").alias("first_token"), F.max("b").alias("end_token"))
+    """One row per document with a verified overlap: doc_id, item_ids (sorted; all items that a window of it matches),
+    n_windows, first_token and end_token of what is covered. Documents without one have no row."""
+    found, members = _matches(docs, benchmark)
+    found = stored(found, "decontaminate-matches")
+    nothing = F.lit(None).cast("long")
+    places = found.select("doc_id", "start", "length").distinct().withColumn("item_id", nothing)
+    items = found.select("doc_id", "window").distinct().join(members, "window").select("doc_id", nothing.alias("start"), nothing.cast("int").alias("length"), "item_id")
+    return places.unionByName(items).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.count("start").alias("n_windows"), F.min("start").alias("first_token"), F.max(F.col("start") + F.col("length")).alias("end_token"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id has a verified overlap with the benchmark; all columns and other rows stay."""
-    return without(docs, hits(docs, benchmark).select("doc_id"))
+    return without(docs, _matches(docs, benchmark)[0].select("doc_id"))

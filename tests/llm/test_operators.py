@@ -192,6 +192,28 @@ def test_decontamination_equals_brute_force(spark):
     assert clean == {i for i, _ in rows} - {i for i, _, _ in want}
 
 
+def test_decontamination_credits_every_item(spark):
+    long_ = [f"w{i}" for i in range(20)]
+    items = {1: long_[:14], 2: long_, 3: ["other" if i == 5 else w for i, w in enumerate(long_)], 4: [f"v{i}" for i in range(15)], 5: ["w3", "w4"], 6: ["w3", "w4"]}
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in items.items()], "item_id long, text string")
+    rows = [(1, "before " + " ".join(long_) + " after"), (2, " ".join(items[4])), (3, "w3 w4"), (None, "x w3 w4"), (4, "nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: set() for i, _ in rows}
+    places = {i: set() for i, _ in rows}
+    for i, text in rows:
+        t = text.split()
+        for k, x in items.items():
+            size, allowed = (12, 2) if len(x) >= 12 else (len(x), 0)
+            at = {a for a in range(len(t) - size + 1) for b in range(len(x) - size + 1) if sum(p != q for p, q in zip(t[a : a + size], x[b : b + size], strict=True)) <= allowed}
+            want[i] |= {k} if at else set()
+            places[i] |= {(a, size) for a in at}
+    assert want[1] == {1, 2, 3, 5, 6} and want[None] == {5, 6}
+    got = {r["doc_id"]: r for r in decontaminate.contaminated(docs, bench).collect()}
+    assert {i: set(r["item_ids"]) for i, r in got.items()} == {i: k for i, k in want.items() if k}
+    assert all((r["n_windows"], r["first_token"], r["end_token"]) == (len(places[i]), min(a for a, _ in places[i]), max(a + n for a, n in places[i])) for i, r in got.items())
+    assert {(h["doc_id"], h["item_id"]) for h in decontaminate.hits(docs, bench).collect()} == {(i, k) for i, ks in want.items() for k in ks}
+
+
 def test_decontamination_finds_planted_items(spark, docs, texts):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     found = {r["doc_id"] for r in decontaminate.contaminated(docs, bench).collect()}
