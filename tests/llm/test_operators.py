@@ -261,6 +261,18 @@ def test_field_adds_and_keeps(spark):
     assert masked[1] == "x [EMAIL] y [EMAIL]" and masked[3] is None and masked[2] == rows[2][1]
 
 
+def test_field_finds_short_spaced_addresses(spark, monkeypatch):
+    w = pii.train()
+    ips = ["192 . 0 . 2 . 1", "10 . 0 . 0 . 1", "1 . 2 . 3 . 4", "75 . 95 . 2 . 7"]
+    rows = [(i, before + ip + after) for i, (before, ip, after) in enumerate((b, ip, a) for ip in ips for b, a in (("server ", " here"), ("x ", ", y"), ("ip: ", ". Then")))]
+    got = {r["doc_id"]: r["text"] for r in pii.mask(spark.createDataFrame(rows, "doc_id long, text string"), w).collect()}
+    assert got == {i: t.replace(ips[i // 3], "[IP]") for i, t in rows}
+    assert all(not pii.field_spans(t, [], w) for t in ("on 3 . 9 . 4 . 300 y", "at 1 . 2 . 3 y"))
+    monkeypatch.setattr(pii, "examples", lambda n: [("call 12 34 now", [("phone", 5, 10)])])
+    with pytest.raises(ValueError, match="12 34"):
+        pii.train()
+
+
 def test_field_held_out():
     w = pii.train()
     ok = total = extra = 0
