@@ -171,7 +171,8 @@ def _contexts(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
 def again(group: np.ndarray, run: np.ndarray, data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(context, window within it, whether the window occurs in an earlier one) for all windows of contexts given in
     document order. Windows can only be equal in one bucket (group) and at one distance from its anchor, so each is named
-    by the bucket of what it has before the anchor and of what follows; equal names are equal windows."""
+    by the bucket of what it has before the anchor and of what follows; equal names are equal windows. At most 8192
+    contexts and 2**20 windows: their numbers are packed into 13 and 20 bits."""
     n, lead = run & 255, run >> 8 & 255
     k = len(n)
     end = begin + n + length - 1
@@ -267,9 +268,11 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
         texts = table.column("context").combine_chunks()
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8)
+        upto = np.concatenate([[0], np.cumsum(columns[2][by_h] & 255)])  # windows of the contexts before each
         first = 0
-        while first < len(h):
-            last = int(ends[max(np.searchsorted(ends, first + 8192, "right") - 1, np.searchsorted(ends, first, "right"))])
+        while first < len(h):  # whole buckets, of which each alone is within the bounds
+            most = min(np.searchsorted(ends, first + 8192, "right"), np.searchsorted(upto[ends], upto[first] + (1 << 20), "right")) - 1
+            last = int(ends[max(most, np.searchsorted(ends, first, "right"))])
             rows = by_h[first:last]
             group = np.cumsum(np.concatenate([[0], h[first + 1 : last] != h[first : last - 1]])).astype(np.int64)
             doc, twin, packed = (c[rows] for c in columns)

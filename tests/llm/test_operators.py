@@ -331,6 +331,20 @@ def test_suffixes_equal_brute_force(spark, monkeypatch, bucket, part):
     assert got == want
 
 
+def test_full_batches_of_long_windows(spark):
+    r, length, n = random.Random(12), 224, 201
+    rows = []
+    for k in range(4096):
+        context = r.randbytes(n + length - 1)
+        rows += [(k // 2, 2 * k + i, 0, (n - 1) << 8 | n, bytearray(context)) for i in range(2)]
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = suffixes._repeats(spark.createDataFrame(rows, "h long, doc long, twin long, run long, context binary"), length).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert sorted((g["doc"], g["at"], g["n"]) for g in got) == [(2 * k + 1, 0, n) for k in range(4096)]
+
+
 def test_refinement_sorts():
     r = np.random.default_rng(1)
     rows = r.integers(0, 2, (500, 16)).astype(np.uint8)
