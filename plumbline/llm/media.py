@@ -110,12 +110,15 @@ def _joined(ranges: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def read_container(container: bytes) -> list[Track]:
-    """The tracks of a container: nested boxes are walked and sample tables decoded, payloads are not touched."""
+    """The tracks of a container: nested boxes are walked and sample tables decoded, payloads are not touched. ValueError
+    for fragmented files: samples that moof boxes tell of are not decoded."""
     data = memoryview(container)
     tracks: list[dict] = []
 
     def walk(start: int, end: int) -> None:
         for kind, a, b in boxes(data, start, end):
+            if kind == b"moof":
+                raise ValueError("fragmented container")
             if kind == b"trak":
                 tracks.append({})
             if kind in _NESTED:
@@ -199,24 +202,32 @@ def store_texts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def describe(frame: DataFrame) -> DataFrame:
-    """frame(media) with codec, timescale, duration, n_samples, n_keyframes, keyframes (array of byte ranges) of the first
-    track, payload_bytes, payload_sha256, tail_crc32 (unsigned, of the last 64 payload bytes), media_bytes and
-    media_sha256 of the stored form, and error. Null, empty or malformed media give an error text and nulls for what is
-    inside; nothing raises. Extra columns stay; columns named like a result are replaced."""
-    outputs = "codec string, timescale long, duration long, n_samples long, n_keyframes long, keyframes array<struct<offset: bigint, length: bigint>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, error string"
+    """frame(media) with codec, timescale, duration, n_samples, n_keyframes, keyframes (array of byte ranges), payload_bytes,
+    payload_sha256, tail_crc32 (unsigned, of the last 64 payload bytes) of the first track, tracks (array: handler and the
+    same of each track in the file's order), media_bytes and media_sha256 of the stored form, and error. Null, empty,
+    malformed or fragmented media give an error text and nulls for what is inside; nothing raises. Extra columns stay;
+    columns named like a result are replaced."""
+    inside = "codec string, timescale long, duration long, n_samples long, n_keyframes long, keyframes array<struct<offset: bigint, length: bigint>>, payload_bytes long, payload_sha256 string, tail_crc32 long"
+    outputs = f"{inside}, tracks array<struct<handler string, {inside}>>, media_bytes long, media_sha256 string, error string"
     ranges = pa.list_(pa.struct([pa.field("offset", pa.int64()), pa.field("length", pa.int64())]))
-    types = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), ranges, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    told = {"codec": pa.string(), "timescale": pa.int64(), "duration": pa.int64(), "n_samples": pa.int64(), "n_keyframes": pa.int64(), "keyframes": ranges, "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64()}
+    types = (*told.values(), pa.list_(pa.struct([pa.field("handler", pa.string()), *(pa.field(k, t) for k, t in told.items())])), pa.int64(), pa.string(), pa.string())
+
+    def track_of(data: bytes, track: Track) -> dict:
+        inner = payload_of(data, track)
+        ranged = [{"offset": o, "length": n} for o, n in track.keyframes]
+        return dict(zip(("handler", *told), (track.handler, track.codec, track.timescale, track.duration, track.n_samples, track.n_keyframes, ranged, len(inner), hashlib.sha256(inner).hexdigest(), zlib.crc32(inner[-64:])), strict=True))
 
     def factory():
         def one(raw):
             data = bytes(raw or b"")
             stored = (len(data), hashlib.sha256(data).hexdigest())
             try:
-                track = read_container(data)[0]
-                inner = payload_of(data, track)
+                tracks = [track_of(data, t) for t in read_container(data)]
+                first = tracks[0]
             except (ValueError, KeyError, IndexError, struct.error) as e:
-                return (None,) * 9 + stored + (f"{type(e).__name__}: {e}",)
-            return (track.codec, track.timescale, track.duration, track.n_samples, track.n_keyframes, [{"offset": o, "length": n} for o, n in track.keyframes], len(inner), hashlib.sha256(inner).hexdigest(), zlib.crc32(inner[-64:])) + stored + (None,)
+                return (None,) * (len(told) + 1) + stored + (f"{type(e).__name__}: {e}",)
+            return (*(first[k] for k in told), tracks) + stored + (None,)
 
         def run(media):
             rows = [one(x.as_py()) for x in media]

@@ -396,6 +396,27 @@ def test_media_sync_samples_and_sizes():
     assert track.keyframes == [(8, 3), (40, 9)] and track.samples == [(8, 8), (40, 9)]
 
 
+def test_media_every_track_and_fragments(spark):
+    box = lambda k, *p: struct.pack(">I4s", 8 + sum(map(len, p)), k) + b"".join(p)
+    full = lambda k, *p: box(k, bytes(4), *p)
+    numbers = lambda *x: struct.pack(f">{len(x)}I", *x)
+
+    def track(handler, codec, first, sizes, *sync):
+        table = box(b"stbl", full(b"stsd", numbers(1), box(codec, bytes(8))), full(b"stsc", numbers(1, 1, len(sizes), 1)), full(b"stsz", numbers(0, len(sizes), *sizes)), full(b"stco", numbers(1, first)), *sync)
+        return box(b"trak", box(b"mdia", full(b"mdhd", numbers(0, 0, 90, 360), bytes(4)), full(b"hdlr", bytes(4), handler, bytes(13)), box(b"minf", table)))
+
+    payload = bytes(range(60))
+    two = box(b"mdat", payload) + box(b"moov", track(b"soun", b"mp4a", 8, [4, 4]), track(b"vide", b"avc1", 20, [3, 5, 7], full(b"stss", numbers(2, 1, 3))))
+    broken = box(b"moov", track(b"vide", b"avc1", 8, [])) + box(b"moof", box(b"traf", full(b"trun", numbers(1, 5)))) + box(b"mdat", bytes(5))
+    got = {r["k"]: r for r in media.describe(spark.createDataFrame([(0, bytearray(two)), (1, bytearray(broken))], "k long, media binary")).collect()}
+    assert (got[0]["codec"], got[0]["n_keyframes"], got[0]["error"]) == ("mp4a", 2, None)
+    sound, video = got[0]["tracks"]
+    assert (sound["handler"], sound["codec"], sound["payload_sha256"]) == ("soun", "mp4a", got[0]["payload_sha256"])
+    assert (video["handler"], video["codec"], video["n_samples"], [tuple(x) for x in video["keyframes"]]) == ("vide", "avc1", 3, [(20, 3), (28, 7)])
+    assert video["payload_sha256"] == hashlib.sha256(payload[12:27]).hexdigest()
+    assert "fragmented" in got[1]["error"] and got[1]["n_samples"] is None and got[1]["tracks"] is None
+
+
 def test_media_malformed(spark):
     good = media.write_container(b"x" * 64)
     rows = [(0, None), (1, b""), (2, good[:-1]), (3, b"\0\0\0\4abcd"), (4, good)]
