@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint folder that the context has. A
+    temporary folder only where neither is set and all tasks run in this process (local mode); else it is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if base is None and held.isDefined():
+        base = held.get()
     if base is None:
-        base = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="plumbline-")
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="plumbline-")
     if held.isEmpty():
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -29,18 +38,20 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str) -> DataFrame:
     """df as a table written to the shared folder: cuts the lineage, survives lost executors, is computed once.
 
-    After a large step the driver collects its garbage, which lets Spark delete the shuffle files that only this step
-    needed; else they would stay beside those of the next steps.
+    Spark deletes the shuffle files of the writing plan when the write ends, as nothing reads them again; if executors are
+    lost during it, their tasks run again like any others.
     """
     spark = df.sparkSession
     path = fresh_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    if large:
-        gc.collect()  # Python's frames hold their plans in cycles
-        spark.sparkContext._jvm.System.gc()
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if was is None else spark.conf.set(_CLEANUP, was)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -63,6 +74,61 @@ def unit_hash(key: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def mapped(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of about 4 MB, so that a task holds little of its rows in either process: the
+    session's bound on a batch's bytes is set where it is unset. A single longer row is a batch of its own."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) is None:
+        conf.set(_BATCH, str(4 << 20))
+    return df.mapInArrow(run, schema)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, with underscores behind it until df has no such column in any case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
+class Sieve:
+    """A set of 64-bit hashes as a bitmap with two bits for each: it may let others through, never loses one of its own."""
+
+    def __init__(self, bitmap: np.ndarray, bits: int) -> None:
+        self.bitmap, self.bits = bitmap, bits
+
+    def passed(self, h: np.ndarray) -> np.ndarray:
+        """Where in h (unsigned) the hashes are that pass."""
+        a = h >> np.uint64(64 - self.bits)
+        at = np.flatnonzero(self.bitmap[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8) & 1)
+        b = h[at] & np.uint64((1 << self.bits) - 1)
+        return at[(self.bitmap[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & 1) == 1]
+
+
+def sieve(hashes: DataFrame, n: int, each: int = 256, most: int = 28) -> Sieve:
+    """The sieve of hashes(hash long), about n rows: `each` bits for a hash up to 2**most bits in all (32 MB), which bounds
+    what a task, the driver and a broadcast of it hold; with more hashes it lets more through. Bits are dealt out by where
+    they lie, so each task fills parts of its own and no part is sent twice."""
+    bits = int(np.clip(np.ceil(np.log2(each * max(1, n))), 16, most))
+    part = 1 << 16  # bits
+    signed = F.col("hash")
+    places = hashes.select(F.explode(F.array(F.shiftrightunsigned(signed, 64 - bits), signed.bitwiseAND((1 << bits) - 1))).alias("bit"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits - 3, np.uint8)
+        for batch in batches:
+            bit = batch.column(0).to_numpy()
+            np.bitwise_or.at(held, bit >> 3, np.uint8(1) << (bit & 7).astype(np.uint8))
+        rows = held.reshape(-1, part >> 3)
+        for k in np.flatnonzero(rows.any(1)).tolist():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([rows[k].tobytes()], pa.binary())], names=["part", "bitmap"])
+
+    bitmap = np.zeros(1 << bits - 3, np.uint8)
+    for r in mapped(places.repartition(F.shiftright("bit", 16)), run, "part long, bitmap binary").toLocalIterator():
+        bitmap[r["part"] * (part >> 3) :][: part >> 3] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
+    return Sieve(bitmap, bits)
+
+
 def map_columns(df: DataFrame, inputs: list[str], outputs: str, factory: Callable[[], Callable]) -> DataFrame:
     """Appends columns computed from Arrow arrays of the inputs. factory() is called once per task and returns a
     function of the input arrays that returns the output arrays. Columns of df named like an output are replaced."""
@@ -80,7 +146,7 @@ def map_columns(df: DataFrame, inputs: list[str], outputs: str, factory: Callabl
                 new = function(*(batch.column(i) for i in at))
                 yield pa.RecordBatch.from_arrays([batch.column(i) for i in carried] + list(new), names=names)
 
-    return kept.mapInArrow(run, schema)
+    return mapped(kept, run, schema)
 
 
 def chunks(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, list[str]]]:
@@ -99,6 +165,7 @@ def chunks(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, list[st
 def without(docs: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
     """docs without the rows whose doc_id is in ids(doc_id), null like any other. Up to `most` ids are broadcast (they are
     counted first), so the texts stay where they are; more are joined by a shuffle."""
-    gone = stored(ids.select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    name = unused(docs, "_gone")
+    gone = stored(ids.select(F.col("doc_id").alias(name)).distinct(), "gone")
     small = gone.limit(most + 1).count() <= most
-    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(F.broadcast(gone) if small else gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

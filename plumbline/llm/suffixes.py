@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import discard, stored
+from plumbline.llm.common import discard, mapped, stored
 
 Q = 24
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -117,26 +117,35 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 known = np.where(count[inverse] > 1, np.where(tells & ~old[inverse], 1, 2), 0).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(known), pa.array(doc[source[piece, 0]]), pa.array(twin[source[piece, 0]]), pa.array(source[piece, 1] + first - edge[piece] << 16 | anchor - first << 8 | n)], names=["h", "known", "doc", "twin", "run"])
 
-    return docs.mapInArrow(run, "h long, known int, doc long, twin long, run long")
+    return mapped(docs, run, "h long, known int, doc long, twin long, run long")
 
 
 def _shared_runs(rows: DataFrame) -> DataFrame:
-    """The rows whose q-gram occurs at least twice; known: 0 not yet, 1 shared and to be told, 2 shared."""
+    """The rows whose q-gram occurs at least twice; known: 0 not yet, 1 shared and to be told, 2 shared. Each task reads its
+    rows in the order of their q-grams and holds one batch."""
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches)) if (batches := [b for b in batches if b.num_rows]) else None
-        if table is None:
-            return
-        h, known = table.column("h").to_numpy(), table.column("known").to_numpy()
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        same = s[1:] == s[:-1]
-        twice = np.zeros(len(h), bool)
-        twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        yield from table.filter(pa.array(twice | (known > 0))).select(["h", "doc", "twin", "run"]).to_batches(max_chunksize=100_000)
-
-    dealt = rows.repartition(F.when(F.col("known") == 2, F.xxhash64("doc", "run")).otherwise(F.col("h")))
-    return dealt.mapInArrow(run, "h long, doc long, twin long, run long")
+        names = ["h", "doc", "twin", "run"]
+        pending, prior = None, None  # the row held back as the next batch decides it; the h before it
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = pa.Table.from_batches([batch] if pending is None else [pending, batch]).combine_chunks()
+            h, known = part.column("h").to_numpy(), part.column("known").to_numpy()
+            twice = np.zeros(len(h), bool)
+            twice[1:] = h[1:] == h[:-1]
+            twice[:-1] |= twice[1:]
+            twice[0] |= prior is not None and prior == h[0]
+            keep = (twice | (known > 0))[:-1]
+            prior = h[-2] if len(h) > 1 else prior
+            pending = part.slice(len(h) - 1).to_batches()[0]
+            if keep.any():
+                yield from part.slice(0, len(keep)).filter(pa.array(keep)).select(names).to_batches()
+        if pending is not None and (pending.column(1)[0].as_py() > 0 or prior == pending.column(0)[0].as_py()):
+            yield pending.select(names)
+
+    dealt = rows.repartition(F.when(F.col("known") == 2, F.xxhash64("doc", "run")).otherwise(F.col("h"))).sortWithinPartitions("h")
+    return mapped(dealt, run, "h long, doc long, twin long, run long")
 
 
 def _contexts(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
@@ -165,7 +174,7 @@ def _contexts(docs: DataFrame, runs: DataFrame, length: int) -> DataFrame:
                     met.clear()
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["h", "doc", "twin", "run", "context"])
 
-    return joined.mapInArrow(run, "h long, doc long, twin long, run long, context binary")
+    return mapped(joined, run, "h long, doc long, twin long, run long, context binary")
 
 
 def again(group: np.ndarray, run: np.ndarray, data: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -252,28 +261,63 @@ def refine(rows: np.ndarray, group: np.ndarray) -> np.ndarray:
     return both & 8191
 
 
-def _repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """(doc, twin, at, n): runs of windows that also start earlier, among contexts dealt out by h; at most 4096 of one h."""
+def _split(contexts: DataFrame, length: int) -> DataFrame:
+    """The contexts of buckets too large for one task, in buckets refined by more bytes on one side of the anchor.
+
+    In a bucket, windows at distances lo to hi from their anchor are equal in what all of them hold: lo bytes before it and
+    length - hi behind its start. The upper half of the distances holds more bytes before it, the lower half more behind
+    it; each half of a context becomes a context of its own in the bucket of those bytes. Halving ends at one distance,
+    where the bytes are the whole window. A context with the bytes of an earlier one of its task comes without bytes.
+    """
 
     def run(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
+        met: dict[bytes, tuple] = {}
+        for batch in batches:
+            out: list[list] = [[] for _ in range(6)]
+            for h, doc, twin, packed, context, reach in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                at, lead, n, lo, hi = packed >> 16, packed >> 8 & 255, packed & 255, reach >> 8, reach & 255
+                middle = (lo + hi + 1) // 2
+                skip = max(0, lead - middle + 1)  # windows of the upper half
+                halves = []
+                if skip:
+                    halves.append((0, min(n, skip), context[lead - middle : lead], middle << 8 | hi))
+                if skip < n:
+                    halves.append((skip, n - skip, context[lead : lead + length - middle + 1], lo << 8 | middle - 1))
+                for first, count, more, span in halves:
+                    part = context[first : first + count + length - 1]
+                    me = (doc, twin, at + first)
+                    if met.setdefault(part, me) < me:
+                        part = None
+                    else:
+                        met[part] = me
+                    bucket = xxhash.xxh64_intdigest(more, h & (1 << 64) - 1 ^ span) - (1 << 63)
+                    for column, value in zip(out, (bucket, doc, twin, at + first << 16 | lead - first << 8 | count, part, span), strict=True):
+                        column.append(value)
+                if len(met) > 200_000:
+                    met.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], names=["h", "doc", "twin", "run", "context", "reach"])
+
+    return mapped(contexts, run, "h long, doc long, twin long, run long, context binary, reach int")
+
+
+def _repeats(contexts: DataFrame, length: int) -> DataFrame:
+    """(doc, twin, at, n): runs of windows that also start earlier, among contexts dealt out by h; at most 4096 of one h but
+    where its windows have one distance. Without `reach` all distances are open. A task reads its buckets in order and
+    holds about 20,000 contexts at once."""
+
+    def found(table: pa.Table):
         h = table.column("h").to_numpy()
-        by_h = np.argsort(h)
-        h = h[by_h]
         ends = np.flatnonzero(np.concatenate([h[1:] != h[:-1], [True]])) + 1  # of buckets
         columns = [table.column(c).to_numpy() for c in ("doc", "twin", "run")]
         texts = table.column("context").combine_chunks()
         offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
         data = np.frombuffer(texts.buffers()[2], np.uint8)
-        upto = np.concatenate([[0], np.cumsum(columns[2][by_h] & 255)])  # windows of the contexts before each
+        upto = np.concatenate([[0], np.cumsum(columns[2] & 255)])  # windows of the contexts before each
         first = 0
         while first < len(h):  # whole buckets, of which each alone is within the bounds
             most = min(np.searchsorted(ends, first + 8192, "right"), np.searchsorted(upto[ends], upto[first] + (1 << 20), "right")) - 1
             last = int(ends[max(most, np.searchsorted(ends, first, "right"))])
-            rows = by_h[first:last]
+            rows = np.arange(first, last)
             group = np.cumsum(np.concatenate([[0], h[first + 1 : last] != h[first : last - 1]])).astype(np.int64)
             doc, twin, packed = (c[rows] for c in columns)
             order = np.lexsort((packed, twin, doc))
@@ -286,54 +330,83 @@ def _repeats(contexts: DataFrame, length: int) -> DataFrame:
             head = np.flatnonzero(np.concatenate([[True], (owner[hit][1:] != owner[hit][:-1]) | (hit[1:] != hit[:-1] + 1)]))
             mine = hit[head]
             count = np.diff(np.concatenate([head, [len(hit)]])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(doc[owner[mine]]), pa.array(twin[owner[mine]]), pa.array((packed[owner[mine]] >> 16) + within[mine]), pa.array(count)], names=["doc", "twin", "at", "n"])
+            yield _runs(doc[owner[mine]], twin[owner[mine]], (packed[owner[mine]] >> 16) + within[mine], count)
+
+    def run(batches):
+        kept: list[pa.RecordBatch] = []
+        whole: tuple[int, set[bytes]] = (0, set())
+        for batch in batches:
+            reach = batch.column("reach").to_numpy()
+            full = reach >> 8 == reach & 255
+            if full.any():  # single windows in document order: the first of each is no repeat
+                single = batch.filter(pa.array(full))
+                repeat = []
+                for h, context in zip(single.column("h").to_pylist(), single.column("context").to_pylist(), strict=True):
+                    whole = whole if whole[0] == h else (h, set())
+                    repeat.append(context in whole[1])
+                    whole[1].add(context)
+                single = single.filter(pa.array(repeat, pa.bool_()))
+                doc, twin, packed = (single.column(c).to_numpy() for c in ("doc", "twin", "run"))
+                yield _runs(doc, twin, packed >> 16, (packed & 255).astype(np.int32))
+                batch = batch.filter(pa.array(~full))
+            if not batch.num_rows:
+                continue
+            kept.append(batch)
+            if sum(b.num_rows for b in kept) >= 16_384:
+                table = pa.Table.from_batches(kept).combine_chunks()
+                h = table.column("h").to_numpy()
+                cut = int(np.searchsorted(h, h[-1]))  # the last bucket may go on
+                yield from found(table.slice(0, cut)) if cut else ()
+                kept = table.slice(cut).to_batches()
+        if kept:
+            yield from found(pa.Table.from_batches(kept).combine_chunks())
 
-    return contexts.repartition(F.col("h")).mapInArrow(run, "doc long, twin long, at long, n int")
+    if "reach" not in contexts.columns:
+        contexts = contexts.withColumn("reach", F.lit(length - Q))
+    dealt = contexts.repartition(F.col("h")).sortWithinPartitions("h", "doc", "twin", "run")
+    return mapped(dealt, run, _RUNS)
 
 
-def _hot_repeats(contexts: DataFrame, length: int) -> DataFrame:
-    """As _repeats, for buckets too large for one task: each window is dealt out by a 128-bit digest of its own, and the
-    first place of each digest is pre-aggregated before the shuffle."""
+_RUNS = "doc long, twin long, at long, n int"
 
-    def run(batches):
-        for batch in batches:
-            out: list[list] = [[], [], [], []]
-            for doc, twin, packed, context in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
-                at = packed >> 16
-                for k in range(packed & 255):
-                    for column, value in zip(out, (xxhash.xxh3_128_digest(context[k : k + length]), doc, twin, at + k), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.binary(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["d", "doc", "twin", "at"])
 
-    windows = stored(contexts.mapInArrow(run, "d binary, doc long, twin long, at long"), "suffix-windows")
-    place = F.struct("doc", "twin", "at")
-    first = windows.groupBy("d").agg(F.min(place).alias("first"))
-    return windows.join(first, "d").where(place > F.col("first")).select("doc", "twin", "at", F.lit(1).alias("n"))
+def _runs(doc: np.ndarray, twin: np.ndarray, at: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(twin), pa.array(at), pa.array(n)], names=["doc", "twin", "at", "n"])
 
 
 def repeated_runs(docs: DataFrame, length: int = 100, bucket: int = 4096) -> DataFrame:
     """(doc, twin, at, n): the windows of `length` bytes, n in a row from byte `at` on, that also start earlier.
 
     docs(doc, twin, text) with unique (doc, twin), which is the order of documents. Buckets of more than `bucket` (at most
-    4096) different surroundings take an exact route of their own.
+    4096) different surroundings are refined by more and more bytes around the anchor until they are small or hold one
+    window each; a step halves the distances, so there are at most eight. Keys of buckets only deal out, bytes decide.
     """
     if not Q <= length <= Q + 200 or bucket > 4096:
         raise ValueError("length must be 24 to 224 and bucket at most 4096")
-    shared = stored(_shared_runs(_anchor_rows(docs, length)), "suffix-shared", large=True)
-    contexts = stored(_contexts(docs, shared, length), "suffix-contexts", large=True)
+    shared = stored(_shared_runs(_anchor_rows(docs, length)), "suffix-shared")
+    contexts = stored(_contexts(docs, shared, length).withColumn("reach", F.lit(length - Q)), "suffix-contexts")
     discard(shared)
-    done = contexts.where("context is null").select("doc", "twin", F.shiftright("run", 16).alias("at"), F.col("run").bitwiseAND(255).cast("int").alias("n"))
-    open_ = contexts.where("context is not null")
-    hot = open_.groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > bucket).select("h")
-    n_hot = hot.limit(100_001).count()
-    if n_hot:
-        hot = F.broadcast(hot) if n_hot <= 100_000 else hot
-        cold = done.unionByName(_repeats(open_.join(hot, "h", "left_anti"), length))
-        found = cold.unionByName(_hot_repeats(open_.join(hot, "h", "left_semi"), length))
-    else:
-        found = done.unionByName(_repeats(open_, length))
-    runs = stored(found, "suffix-runs", large=True)
-    discard(contexts)
+    steps, found = [contexts], []
+    while True:
+        now = steps[-1]
+        found.append(now.where("context is null").select("doc", "twin", F.shiftright("run", 16).alias("at"), F.col("run").bitwiseAND(255).cast("int").alias("n")))
+        now = now.where("context is not null")
+        hot = now.where("shiftright(reach, 8) < (reach & 255)").groupBy("h").agg(F.count("*").alias("_n")).where(F.col("_n") > bucket).select("h")
+        hot = stored(hot, "suffix-hot")
+        n_hot = hot.limit(100_001).count()
+        if not n_hot:
+            found.append(_repeats(now, length))
+            discard(hot)
+            break
+        few = F.broadcast(hot) if n_hot <= 100_000 else hot
+        found.append(_repeats(now.join(few, "h", "left_anti"), length))
+        steps += [hot, stored(_split(now.join(few, "h", "left_semi").select(*now.columns), length), "suffix-split")]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    runs = stored(every, "suffix-runs")
+    for step in steps:
+        discard(step)
     return runs
 
 
@@ -382,4 +455,4 @@ def deduplicate(docs: DataFrame, length: int = 100, bucket: int = 4096) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, spans_type)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
 
     joined = keyed.join(lists, ["doc", "twin"], "left").select("doc_id", "text", "runs")
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: bigint, end: bigint>>")
+    return mapped(joined, run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start: bigint, end: bigint>>")
