@@ -3,9 +3,16 @@
 from __future__ import annotations
 
 import base64
+import functools
 import re
 
 
+@functools.lru_cache(1)
+def encoder(tokenizer: str, ranks: str | None = None) -> Encoder:
+    """An Encoder that later tasks of the same worker use again."""
+    return Encoder(tokenizer, ranks)
+
+
 class Encoder:
     """Token ids equal to those of the library for the tokenizer file, without begin, end or added special tokens, not
     truncated and not padded; a special token's string inside a text gives that token, as is the library's default.

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, stored, without
+from plumbline.llm.common import chunks, mapped, sieve, stored, without
 
 #: Tokens of a window, its blocks, and the substitutions that are tolerated in it.
 WINDOW, BLOCKS, SUBSTITUTIONS = 12, 4, 2
@@ -87,27 +87,10 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
                     for at in range(len(s)):
                         for column, value in zip(out, (k, int(s[at].view(np.int64)), h[at : at + size].tobytes(), item), strict=True):
                             column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), pa.int64()), strict=True)], names=["mask", "hash", "window", "item_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.binary(), batch.column(0).type), strict=True)], names=["mask", "hash", "window", "item_id"])
 
-    rows = benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(run, "mask int, hash long, window binary, item_id long")
-    return rows.distinct()
-
-
-def _sieve(windows: DataFrame, n: int) -> tuple[np.ndarray, int]:
-    """A bitmap of two bits for each benchmark hash, sized by their number n up to 2**30 bits (128 MB); beyond that it
-    lets more candidates through to the exact join, never fewer."""
-    bits = int(np.clip(np.ceil(np.log2(256 * max(1, n))), 16, 30))
-
-    def run(batches):
-        held = np.zeros(1 << bits, bool)
-        for batch in batches:
-            h = batch.column(0).to_numpy().view(np.uint64)
-            held[h >> np.uint64(64 - bits)] = True
-            held[h & np.uint64((1 << bits) - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())], names=["bitmap"])
-
-    parts = windows.select("hash").coalesce(2).mapInArrow(run, "bitmap binary").collect()
-    return np.bitwise_or.reduce([np.frombuffer(bytes(r["bitmap"]), np.uint8) for r in parts] or [np.zeros((1 << bits) // 8, np.uint8)]), bits
+    kind = benchmark.select("item_id").schema[0].dataType.simpleString()
+    return mapped(benchmark.select("item_id", "text"), run, f"mask int, hash long, window binary, item_id {kind}").distinct()
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,31 +98,23 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
     that they match; and (window, item_id): each item that has a window.
 
     Windows that some mask maps to a benchmark hash pass a bitmap of bounded size, are joined on (mask, hash), and the
-    joined windows are compared token by token. Items join only afterwards, so one window of many items is compared once.
+    joined windows are compared token by token. Items (ids of any type) join only afterwards, so one window of many items is compared once.
     """
     held_by = stored(benchmark_windows(benchmark), "decontaminate-items")
     members = held_by.select("window", "item_id").distinct()
     windows = stored(held_by.select("mask", "hash", "window").distinct(), "decontaminate-windows")
     shape = windows.groupBy("mask").agg(F.count("*").alias("n")).collect()
     short = sorted(-r["mask"] for r in shape if r["mask"] < 0)
-    bitmap, bits = _sieve(windows, sum(r["n"] for r in shape))
-    held = docs.sparkSession.sparkContext.broadcast(bitmap)
+    held = docs.sparkSession.sparkContext.broadcast(sieve(windows.select("hash"), sum(r["n"] for r in shape)))
     kind = docs.select("doc_id").schema[0].dataType
 
     def run(batches):
-        sieve = held.value
-
-        def passed(s):
-            a, b = s >> np.uint64(64 - bits), s & np.uint64((1 << bits) - 1)
-            at = np.flatnonzero(sieve[a >> np.uint64(3)] >> (a & np.uint64(7)).astype(np.uint8) & 1)
-            return at[(sieve[b[at] >> np.uint64(3)] >> (b[at] & np.uint64(7)).astype(np.uint8) & 1) == 1]
-
         for batch in batches:
             for first, texts in chunks(batch.column(1).to_pylist()):
                 h, starts = tokens(texts)
                 doc, mask, code, at, window = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.uint64)], [np.empty(0, np.int64)], []
                 for k, size, s in [(k, WINDOW, s) for k, s in enumerate(seeds(h))] + [(-n, n, _whole(h, n)) for n in short]:
-                    p = passed(s)
+                    p = held.value.passed(s)
                     owner = np.searchsorted(starts, p, "right") - 1
                     p, owner = (x[p + size <= starts[owner + 1]] for x in (p, owner))
                     doc.append(owner)
@@ -150,7 +125,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
                 owners = pa.array(np.concatenate(doc) + first)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(owners), pa.array(np.concatenate(mask)), pa.array(np.concatenate(code).view(np.int64)), pa.array(np.concatenate(at)), pa.array(window, pa.binary())], names=["doc_id", "mask", "hash", "start", "seen"])
 
-    candidates = docs.where(F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, mask int, hash long, start long, seen binary")
+    candidates = mapped(docs.where(F.col("text").isNotNull()).select("doc_id", "text"), run, f"doc_id {kind.simpleString()}, mask int, hash long, start long, seen binary")
     size = F.octet_length("window") / 8
     differ = F.expr("aggregate(sequence(0, cast(octet_length(window) / 8 as int) - 1), 0, (n, i) -> n + if(substr(window, 8 * i + 1, 8) = substr(seen, 8 * i + 1, 8), 0, 1))")
     joined = candidates.join(windows, ["mask", "hash"]).where(F.octet_length("window") == F.octet_length("seen"))
@@ -174,9 +149,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n_windows, first_token and end_token of what is covered. Documents without one have no row."""
     found, members = _matches(docs, benchmark)
     found = stored(found, "decontaminate-matches")
-    nothing = F.lit(None).cast("long")
-    places = found.select("doc_id", "start", "length").distinct().withColumn("item_id", nothing)
-    items = found.select("doc_id", "window").distinct().join(members, "window").select("doc_id", nothing.alias("start"), nothing.cast("int").alias("length"), "item_id")
+    kind = members.schema["item_id"].dataType
+    nothing = F.lit(None)
+    places = found.select("doc_id", "start", "length").distinct().withColumn("item_id", nothing.cast(kind))
+    items = found.select("doc_id", "window").distinct().join(members, "window").select("doc_id", nothing.cast("long").alias("start"), nothing.cast("int").alias("length"), "item_id")
     return places.unionByName(items).groupBy("doc_id").agg(F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.count("start").alias("n_windows"), F.min("start").alias("first_token"), F.max(F.col("start") + F.col("length")).alias("end_token"))
 
 

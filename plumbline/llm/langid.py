@@ -10,7 +10,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, crc_mod, map_columns, unit_hash
+from plumbline.llm.common import chunks, crc_mod, map_columns, mapped, unit_hash
 from plumbline.llm.ngrams import hashed
 
 UNKNOWN = "und"
@@ -59,7 +59,7 @@ def train(docs: DataFrame, *, fold: int = 4, held_out: int = 2, per_lang: int =
             at = np.flatnonzero(total[i])
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[i, at])], names=["k", "f", "n"])
 
-    table = sample.mapInArrow(count, "k int, f int, n long").groupBy("k", "f").agg(F.sum("n").alias("n")).toPandas()
+    table = mapped(sample, count, "k int, f int, n long").groupBy("k", "f").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((len(langs), 1 << bits), alpha)
     counts[table["k"], table["f"]] += table["n"]
     prior = np.log(np.array([n[k] for k in langs], float) / sum(n.values()))

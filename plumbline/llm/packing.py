@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.bpe import Encoder
-from plumbline.llm.common import stored
+from plumbline.llm.bpe import encoder
+from plumbline.llm.common import mapped, stored
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -19,7 +19,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity:
     """
 
     def run(batches):
-        encode = Encoder(tokenizer, ranks)
+        encode = encoder(tokenizer, ranks)
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -31,7 +31,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "piece", "start", "length", "ids"])
 
     kind = docs.select("doc_id").schema[0].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
+    return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
 def fullest(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
@@ -124,7 +124,7 @@ def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return placed.mapInArrow(run, T.StructType([*items.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return mapped(placed, run, T.StructType([*items.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:

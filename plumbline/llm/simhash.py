@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_columns, stored, without
+from plumbline.llm.common import map_columns, mapped, stored, without
 from plumbline.llm.graph import components
 
 BITS = 64
@@ -82,7 +82,7 @@ def _small(buckets: DataFrame, radius: int) -> DataFrame:
                     b.append(v[j])
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return buckets.select("members").mapInArrow(run, "a long, b long")
+    return mapped(buckets.select("members"), run, "a long, b long")
 
 
 def _large(rows: DataFrame, radius: int) -> DataFrame:
@@ -104,7 +104,7 @@ def _large(rows: DataFrame, radius: int) -> DataFrame:
                 n = len(z)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(np.array(z, np.uint64).view(np.int64)), pa.array(np.full(n, x, np.int64)), pa.array(near)], names=["t", "z", "x", "near"])
 
-    balls = rows.mapInArrow(run, "t int, z long, x long, near boolean")
+    balls = mapped(rows, run, "t int, z long, x long, near boolean")
     hubs = balls.groupBy("t", "z").agg(F.min(F.when(F.col("near"), F.col("x"))).alias("hub"), F.count("*").alias("n")).where("n > 1 and hub is not null").drop("n")
     return balls.join(hubs, ["t", "z"]).where("x <> hub").select(F.col("hub").alias("a"), F.col("x").alias("b")).distinct()
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, crc_mod, map_columns, stored, unit_hash
+from plumbline.llm.common import chunks, crc_mod, map_columns, mapped, stored, unit_hash, unused
 from plumbline.llm.ngrams import hashed
 
 
@@ -94,7 +94,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, per_class: i
     sizes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
         return Model(*empty, 30.0 if n[1] > n[0] else -30.0, orders, bits)
-    counted = sample.mapInArrow(count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counted = mapped(sample, count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     share = (F.col("n0") + F.col("n1")) / (sizes[0] + sizes[1])
     telling = F.abs(F.col("n1") / sizes[1] - F.col("n0") / sizes[0]) / F.sqrt(share * (1 - share) + 1e-6)
     best = counted.orderBy(telling.desc(), "f").limit(n_features).toPandas().sort_values("f")
@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, per_class: i
                 cut = np.searchsorted(row, np.arange(len(texts) + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ys[start : start + len(texts)], pa.int32()), pa.array([col[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["y", "x"])
 
-    got = sample.mapInArrow(encode, "y int, x binary").collect()
+    got = mapped(sample, encode, "y int, x binary").collect()
     y = np.array([r["y"] for r in got], float)
     cols = [np.frombuffer(bytes(r["x"]), np.int32) for r in got]
     rows = np.repeat(np.arange(len(got)), [len(c) for c in cols])
@@ -119,11 +119,18 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, per_class: i
     return Model(features, w, b, orders, bits)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with score (double, 0 to 1) and predicted (int, score >= 0.5) from text alone.
+def keep(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows whose text the model calls toxic; all columns stay as they are, whatever their names. Null and
+    empty texts are judged as texts without any feature; each of repeated rows is judged alike."""
+    names = unused(docs, "_score"), unused(docs, "_predicted")
+    return score(docs, model, names).where(F.col(names[1]) == 0).select(*docs.columns)
+
+
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (double, 0 to 1) and predicted (int, score >= 0.5) from text alone, under the names given.
 
     Null and empty texts score as a text without any feature. Long texts are read whole. Extra columns stay; columns
-    named score or predicted are replaced.
+    with the names of the results are replaced.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)  # at most n_features entries
 
@@ -142,4 +149,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
         return run
 
-    return map_columns(docs, ["text"], "score double, predicted int", factory)
+    return map_columns(docs, ["text"], f"`{names[0]}` double, `{names[1]}` int", factory)

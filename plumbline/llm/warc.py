@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh_dir, stored
+from plumbline.llm.common import fresh_dir, mapped, stored
 
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -84,7 +84,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, revisit_bytes: i
             member = [response(p, u, r) for p, u, r in zip(page, url, raw, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(keys, pa.string()), pa.array([sha1_base32(r) for r in raw], pa.string()), pa.array([len(r) for r in raw], pa.int64()), pa.array(member, pa.binary())], names=["page_id", "url", "key", "digest", "n", "member"])
 
-    made = pages.select(F.col("page_id").cast("long"), "url", "html", key.alias("key")).mapInArrow(compress, "page_id long, url string, key string, digest string, n long, member binary")
+    made = mapped(pages.select(F.col("page_id").cast("long"), "url", "html", key.alias("key")), compress, "page_id long, url string, key string, digest string, n long, member binary")
     newest = pages.select(key.alias("key"), F.col("page_id").cast("long").alias("page_id")).groupBy("key").agg(F.max("page_id").alias("newest"))
     decided = made.join(newest, "key").select("page_id", "url", "digest", "n", "member", F.when((F.col("n") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
 
@@ -108,7 +108,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, revisit_bytes: i
         if sink:
             sink.close()
 
-    return stored(decided.mapInArrow(write, INDEX), "warc-index")
+    return stored(mapped(decided, write, INDEX), "warc-index")
 
 
 def ranges(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[int, int, list[int]]]:
@@ -162,7 +162,7 @@ def read_records(index: DataFrame, gap: int = 1 << 16, most: int = 8 << 20) -> D
     parts = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     columns = index.select("archive", "offset", "length", "page_id", "url", "digest")
     ordered = columns.repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset")
-    return ordered.mapInArrow(run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
+    return mapped(ordered, run, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
 
 
 def resolved(records: DataFrame) -> DataFrame:
