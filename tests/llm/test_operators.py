@@ -283,6 +283,42 @@ def test_field_held_out():
     assert ok >= 0.95 * total and extra <= 0.05 * total
 
 
+def naive_field(text, base, w):
+    """One dynamic program over all tokens of the whole text and all candidates that touch no base span."""
+    tokens = pii.tokenize(text)
+    segments = [(a, b) for a, b in pii.candidates(text, tokens) if not any(s < tokens[b - 1].end and e > tokens[a].start for _, s, e in base)]
+    if not segments:
+        return []
+    scores = np.array([pii.segment_features(text, tokens, a, b) for a, b in segments], float) @ w.T
+    found = [(pii.KINDS[k], tokens[a].start, tokens[b - 1].end) for a, b, k in pii.viterbi(len(tokens), segments, scores)]
+    return sorted(found, key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2]))
+
+
+def test_spans_equal_one_program_over_whole_texts(spark):
+    r = random.Random(1)
+    made = ["".join(r.choices("0123456789 .-()+/@at dot[]é\n", k=r.randint(0, 90))) for _ in range(250)]
+    odd = ["", "  ", "server 10 . 0 . 0 . 1 is up", "aaaa " + "y" * 60 + "jo.do(at)site.org", "IBAN DE89 3704 0044 0532 0130 00", "call 555\t382\n4445 now", "٣٤٥ 1234567", "x 1\n.2.3.4 y"]
+    texts = [t for t, _ in pii.examples(60, seed=5) + pii.short_quads(10, seed=6)] + made + odd
+    for w in (pii.train(), np.random.default_rng(0).normal(size=pii.train(20, 1).shape)):
+        want = [naive_field(t, pii.base_spans(t), w) for t in texts]
+        assert pii.field_spans_of(texts, [pii.base_spans(t) for t in texts], w) == want
+    w = pii.train()
+    assert naive_field(odd[2], [], w) == [("ip", 7, 21)] and naive_field(odd[3], [], w) == [("email", 5, 82)] and naive_field(odd[4], [], w) == []
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for x in pii.find(df, w).collect():
+        base = pii.base_spans(x["text"])
+        assert x["spans"] == pii.joined(sorted(base + naive_field(x["text"], base, w), key=lambda s: (pii.KINDS.index(s[0]), s[1], s[2])))
+
+
+def test_field_on_documents(texts):
+    """Numbers that the patterns lose as another number follows at once are found; nothing else is called personal."""
+    w = pii.train()
+    form = re.compile(r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}(?![0-9])")
+    for t in texts.values():
+        base = pii.base_spans(t)
+        assert {("phone", *m.span()) for m in form.finditer(t)} - set(base) == set(pii.field_spans(t, base, w))
+
+
 def test_dynamic_program_equals_brute_force():
     r = np.random.default_rng(0)
     for _ in range(30):
@@ -331,6 +367,28 @@ def test_suffixes_equal_brute_force(spark, monkeypatch, bucket, part):
     assert got == want
 
 
+@pytest.mark.parametrize(("length", "bucket"), [(24, 3), (24, 4096), (100, 2), (160, 3), (224, 2), (224, 4096)])
+def test_suffixes_of_any_length_and_bucket(spark, length, bucket):
+    r = random.Random(length)
+    hot = "".join(r.choices("abcdefgh ", k=60))  # one gram with very many surroundings, near and far copies of them
+    tails = ["".join(r.choices("ab", k=150)) for _ in range(6)]
+    rows = []
+    for i in range(60):
+        t = "".join(r.choices("ab", k=r.randint(0, 120))) + hot + r.choice(tails)[: r.randint(0, 150)]
+        rows.append((i, t if i % 5 else r.choice(tails) + hot + hot + t))
+    rows += [(i, "same text " * 40) for i in range(60, 90)]
+    seen, want = set(), {}
+    for i, t in rows:
+        data, cut = t.encode(), bytearray(len(t))
+        for p in range(len(data) - length + 1):
+            if data[p : p + length] in seen:
+                cut[p : p + length] = b"\1" * length
+            seen.add(data[p : p + length])
+        want[i] = bytes(c for c, m in zip(data, cut, strict=True) if not m)
+    got = {x["doc_id"]: bytes(x["kept"]) for x in suffixes.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), length, bucket).collect()}
+    assert got == want
+
+
 def test_full_batches_of_long_windows(spark):
     r, length, n = random.Random(12), 224, 201
     rows = []
