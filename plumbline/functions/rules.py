@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -79,6 +80,30 @@ STATUS_ALIASES = {
     "未验证": "未检查",
 }
 STATUS_RANK = {"状态冲突": 6, "明确缺失": 5, "部分可用": 4, "已验证存在": 3, "仅入口存在": 2, "受阻": 1, "未检查": 0}
+DIRECTIONS = ("正向", "负向", "混合")
+REASONS = {
+    "mixed": "同一评论同时包含明确认可与问题或保留意见",
+    "positive": "文本包含直接正向评价或正向比较",
+    "negative": "文本包含直接负向评价、功能缺失或使用阻碍",
+    "gap": "以询问或建议表达当前能力尚未满足",
+    "question": "主要询问版本、设备、入口或操作方法",
+    "solution": "主要提供设置、切换或修复方法",
+    "up": "使用明确正向表情",
+    "down": "使用明确负向表情",
+    "open": "文本本身缺少足够极性，需要结合帖子或上级评论",
+    "agrees_post": "简短赞同表达结合帖子%s立场判断",
+    "signs_post": "纯表情或标点结合帖子%s立场判断",
+    "agrees_root": "简短赞同表达继承根评论的%s立场",
+    "agrees_neutral": "赞同的是事实或操作信息，并非产品褒贬",
+    "against_negative": "回复反驳根评论的负面判断",
+    "against_positive": "回复反驳根评论的正面判断",
+    "relief": "回复表明上级问题获得解释或解决",
+    "solution_reply": "针对上级问题提供方法，未直接评价产品",
+    "signs_root": "纯表情或标点结合根评论的%s立场判断",
+}
+NATURES = ("头号缺失需求", "满意度毒药", "信任风险", "基础体验欠账", "已上线·回正", "口碑亮点", "差异化优势")
+#: From store columns to the columns that tagging reads.
+STANDARD_FIELDS = {"发布时间": "日期", "地区": "省份", "设备": "机型", "评分描述": "评分文字", "用户": "用户名"}
 # End of the fixed values.
 
 # Ours: the specification gives descriptions, not patterns, for these; first match wins.
@@ -92,6 +117,9 @@ ISSUE_TYPES = (
     ("正面反馈", POSITIVE + "|感谢|谢谢"),
     ("功能建议", "建议|希望|能不能|增加"),
 )
+#: Names of other products; a project gives its own.
+COMPETITORS = (("网易云|云音乐", "网易云音乐"), ("酷狗", "酷狗音乐"), ("酷我", "酷我音乐"), ("汽水音乐", "汽水音乐"), ("(?i)spotify", "Spotify"), ("(?i)apple\\s?music", "Apple Music"))
+TRUST = "广告|扣费|续费|会员权益|隐私|欺骗"
 URGENT = "退款|卸载|付费|会员|无法播放|闪退|用不了"
 HEATED = "垃圾|恶心|退款|卸载|骂"
 QUESTION = r"[?？]|吗|怎么|如何"
@@ -115,6 +143,8 @@ class RuleSet:
     devices: tuple[tuple[str, str], ...] = DEVICES
     modules: tuple[tuple[str, str], ...] = tuple(MODULES.items())
     issue_types: tuple[tuple[str, str], ...] = ISSUE_TYPES
+    competitors: tuple[tuple[str, str], ...] = COMPETITORS
+    trust: str = TRUST
     weights: dict[str, float] = field(default_factory=lambda: {"V": 0.30, "D": 0.30, "G": 0.15, "U": 0.15, "F": 0.10})
 
     @property
@@ -131,35 +161,113 @@ class RuleSet:
 DEFAULT = RuleSet()
 
 
-def has(c: Column, pattern: str) -> Column:
+#: Ideographs, kana, their punctuation and wide forms.
+_WIDE = "\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef"
+
+
+def wide_only(c: Column) -> Column:
+    """The text where it has a wide character, else the empty text: what patterns that need one have to search."""
+    return F.when(c.rlike(f"[{_WIDE}]"), c).otherwise("")
+
+
+def _branches(pattern: str) -> list[str]:
+    """The alternatives of a pattern, cut at | outside of groups and classes."""
+    out, depth, in_class, at = [], 0, False, 0
+    for i, x in enumerate(pattern):
+        if i and pattern[i - 1] == "\\":
+            continue
+        if in_class:
+            in_class = x != "]"
+        elif x == "[":
+            in_class = True
+        elif x in "()":
+            depth += 1 if x == "(" else -1
+        elif x == "|" and not depth:
+            out.append(pattern[at:i])
+            at = i + 1
+    return [*out, pattern[at:]]
+
+
+@functools.cache
+def needs_wide(branch: str) -> bool:
+    """Whether an alternative can only match where there is a wide character: it has one by itself, or a group all of whose
+    alternatives need one, that no ?, * or { makes optional. In doubt it does not."""
+    i = 0
+    while i < len(branch):
+        x = branch[i]
+        end = i + 1
+        if x == "\\":
+            end, found = i + 2, False
+        elif x == "[":
+            end, found = branch.index("]", i) + 1, False
+        elif x == "(":
+            depth = 0
+            for end in range(i, len(branch)):
+                depth += {"(": 1, ")": -1}.get(branch[end], 0)
+                if not depth:
+                    break
+            inner, end = branch[i + 1 : end], end + 1
+            found = not inner.startswith("?") or inner.startswith("?:")
+            found = found and all(needs_wide(y) for y in _branches(inner.removeprefix("?:")))
+        else:
+            found = bool(re.match(f"[{_WIDE}]", x))
+        if found and branch[end : end + 1] not in ("?", "*", "{"):
+            return True
+        i = end
+    return False
+
+
+def has(c: Column, pattern: str, wide: Column | None = None) -> Column:
     """Whether the pattern occurs, whatever the case. Unicode classes and case tables cost several times the search, so
-    they are asked for only where the pattern has a class or a cased letter beyond ASCII."""
-    flags = "i" + "u" * any(x > "\x7f" and x.lower() != x.upper() for x in pattern) + "uU" * bool(re.search(r"\\[wWsSdDbB]", pattern))
-    return c.rlike(f"(?{flags})(?:{pattern})")
+    they are asked for only where the pattern has a class or a cased letter beyond ASCII. wide: wide_only(c) as a column of
+    its own; then alternatives that need a wide character search that alone, which costs nothing for most other texts."""
+    flags = lambda p: "i" + "u" * any(x > "\x7f" and x.lower() != x.upper() for x in p) + "uU" * bool(re.search(r"\\[wWsSdDbB]", p))
+    search = lambda on, p: on.rlike(f"(?{flags(p)})(?:{p})")
+    if wide is None:
+        return search(c, pattern)
+    other = [b for b in _branches(pattern) if not needs_wide(b)]
+    if len(other) == len(_branches(pattern)):
+        return search(c, pattern)
+    return search(wide, pattern) | search(c, "|".join(other)) if other else search(wide, pattern)
+
 
+def _verdict(sentiment: str | Column, intent: str, confidence: str, reason: str | Column) -> Column:
+    lit = lambda x: F.lit(x) if isinstance(x, str) else x
+    return F.struct(lit(sentiment).alias("sentiment"), F.lit(intent).alias("intent"), F.lit(confidence).alias("confidence"), lit(reason).alias("reason"))
 
-def _verdict(sentiment: str | Column, intent: str, confidence: str) -> Column:
-    s = F.lit(sentiment) if isinstance(sentiment, str) else sentiment
-    return F.struct(s.alias("sentiment"), F.lit(intent).alias("intent"), F.lit(confidence).alias("confidence"))
 
+def _first_of(rules: list[tuple[Column | None, Column]]) -> Column:
+    """The verdict of the first rule whose condition holds; a condition of None always holds."""
+    out = None
+    for condition, verdict in rules:
+        if condition is None:
+            return out.otherwise(verdict)
+        out = F.when(condition, verdict) if out is None else out.when(condition, verdict)
+    return out
 
-def direct_classify(text: Column, rules: RuleSet = DEFAULT) -> Column:
-    """struct(sentiment, intent, confidence) of a comment by itself; the first rule that holds decides."""
+
+def direct_classify(text: Column, rules: RuleSet = DEFAULT, wide: Column | None = None) -> Column:
+    """struct(sentiment, intent, confidence, reason) of a comment by itself; the first rule that holds decides. wide:
+    wide_only(text) as a column, which spares most texts without wide characters the search."""
     t = cleaned_reply(text)
-    positive, word = has(t, rules.positive), has(t, rules.feature_word)
-    negative = has(t, rules.negative) | (has(t, rules.absence) & word & ~has(t, rules.ad_free))
+    w = None if wide is None else cleaned_reply(wide)
+    positive, word = has(t, rules.positive, w), has(t, rules.feature_word, w)
+    negative = has(t, rules.negative, w) | (has(t, rules.absence, w) & word & ~has(t, rules.ad_free, w))
     up, down = has(t, POS_EMOJI), has(t, NEG_EMOJI)
-    return (
-        F.when(positive & negative, _verdict("混合", "褒贬并陈", "高"))
-        .when(positive, _verdict("正向", "赞美/认可", "高"))
-        .when(negative & word, _verdict("负向", "功能缺口/投诉", "高"))
-        .when(negative, _verdict("负向", "批评/不满", "高"))
-        .when(has(t, rules.feature_gap) & word, _verdict("负向", "功能需求/期待改进", "中"))
-        .when(has(t, rules.info_question), _verdict("中性", "求助/版本询问", "高"))
-        .when(has(t, rules.solution), _verdict("中性", "解释/解决方案", "高"))
-        .when(up & ~down, _verdict("正向", "情绪表达", "中"))
-        .when(down & ~up, _verdict("负向", "情绪表达", "中"))
-        .otherwise(_verdict("待语境", "待语境", "低"))
+    bad = REASONS["negative"]
+    return _first_of(
+        [
+            (positive & negative, _verdict("混合", "褒贬并陈", "高", REASONS["mixed"])),
+            (positive, _verdict("正向", "赞美/认可", "高", REASONS["positive"])),
+            (negative & word, _verdict("负向", "功能缺口/投诉", "高", bad)),
+            (negative, _verdict("负向", "批评/不满", "高", bad)),
+            (has(t, rules.feature_gap, w) & word, _verdict("负向", "功能需求/期待改进", "中", REASONS["gap"])),
+            (has(t, rules.info_question, w), _verdict("中性", "求助/版本询问", "高", REASONS["question"])),
+            (has(t, rules.solution, w), _verdict("中性", "解释/解决方案", "高", REASONS["solution"])),
+            (up & ~down, _verdict("正向", "情绪表达", "中", REASONS["up"])),
+            (down & ~up, _verdict("负向", "情绪表达", "中", REASONS["down"])),
+            (None, _verdict("待语境", "待语境", "低", REASONS["open"])),
+        ]
     )
 
 
@@ -167,30 +275,35 @@ def contextualize(text: Column, direct: Column, root: Column, stance: Column, is
     """What the post's stance or the root comment's sentiment adds where a comment by itself decides nothing."""
     t = cleaned_reply(text)
     agrees = has(t, AGREE) | has(t, AGREE_PREFIX)
-    signs = has(t, EMOJI_OR_PUNCT)
-    directional = ("正向", "负向", "混合")
-    root = blank(root)
-    by_post = (
-        F.when(agrees & stance.isin(*directional), _verdict(stance, "回应帖子/赞同", "中"))
-        .when(signs & stance.isin(*directional), _verdict(stance, "回应帖子/情绪表达", "低"))
-        .otherwise(direct)
+    signs, against = has(t, EMOJI_OR_PUNCT), has(t, DISAGREE)
+    stance, root = blank(stance), blank(root)
+    takes_side, root_side = stance.isin(*DIRECTIONS), root.isin(*DIRECTIONS)
+    about = lambda key, label: F.format_string(REASONS[key], label)
+    by_post = _first_of(
+        [
+            (agrees & takes_side, _verdict(stance, "回应帖子/赞同", "中", about("agrees_post", stance))),
+            (signs & takes_side, _verdict(stance, "回应帖子/情绪表达", "低", about("signs_post", stance))),
+            (None, direct),
+        ]
     )
-    by_root = (
-        F.when(agrees & root.isin(*directional), _verdict(root, "赞同上级评论", "高"))
-        .when(agrees & (root == "中性"), _verdict("中性", "赞同中性信息", "中"))
-        .when(has(t, DISAGREE) & (root == "负向"), _verdict("正向", "反驳负面评价", "中"))
-        .when(has(t, DISAGREE) & (root == "正向"), _verdict("负向", "反驳正面评价", "中"))
-        .when(has(t, RELIEF) & (root == "负向"), _verdict("正向", "问题缓解", "中"))
-        .when(has(t, rules.solution), _verdict("中性", "解释/解决方案", "高"))
-        .when(signs & root.isin(*directional), _verdict(root, "回应上级评论/情绪表达", "低"))
-        .otherwise(direct)
+    by_root = _first_of(
+        [
+            (agrees & root_side, _verdict(root, "赞同上级评论", "高", about("agrees_root", root))),
+            (agrees & (root == "中性"), _verdict("中性", "赞同中性信息", "中", REASONS["agrees_neutral"])),
+            (against & (root == "负向"), _verdict("正向", "反驳负面评价", "中", REASONS["against_negative"])),
+            (against & (root == "正向"), _verdict("负向", "反驳正面评价", "中", REASONS["against_positive"])),
+            (has(t, RELIEF) & (root == "负向"), _verdict("正向", "问题缓解", "中", REASONS["relief"])),
+            (has(t, rules.solution), _verdict("中性", "解释/解决方案", "高", REASONS["solution_reply"])),
+            (signs & root_side, _verdict(root, "回应上级评论/情绪表达", "低", about("signs_root", root))),
+            (None, direct),
+        ]
     )
     return F.when(direct["sentiment"] != "待语境", direct).when(is_root, by_post).otherwise(by_root)
 
 
-def matches(text: Column, table: tuple[tuple[str, str], ...], other: str | None) -> Column:
+def matches(text: Column, table: tuple[tuple[str, str], ...], other: str | None, wide: Column | None = None) -> Column:
     """All names whose pattern occurs, in table order; [other] if none does."""
-    found = F.filter(F.array(*(F.when(has(text, p), F.lit(n)) for n, p in table)), lambda x: x.isNotNull())
+    found = F.filter(F.array(*(F.when(has(text, p, wide), F.lit(n)) for n, p in table)), lambda x: x.isNotNull())
     return found if other is None else F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(other)))
 
 
@@ -198,10 +311,11 @@ def topics_for(text: Column, rules: RuleSet = DEFAULT) -> Column:
     return matches(text, rules.topics, OTHER_TOPIC)
 
 
-def first_match(text: Column, table: tuple[tuple[str, str], ...], other: str) -> Column:
+def first_match(text: Column, table: tuple[tuple[str, str], ...], other: str, wide: Column | None = None) -> Column:
     out = None
     for pattern, name in table:
-        out = F.when(has(text, pattern), name) if out is None else out.when(has(text, pattern), name)
+        found = has(text, pattern, wide)
+        out = F.when(found, name) if out is None else out.when(found, name)
     return F.lit(other) if out is None else out.otherwise(other)
 
 
@@ -252,4 +366,20 @@ def lookup(c: Column, table: dict) -> Column:
 
 def colour(mean: Column) -> Column:
     """The colour band of a mean rating; bands hold their lower end."""
-    return F.when(mean < 2.2, "red").when(mean < 2.6, "orange").when(mean < 3.0, "yellow").otherwise("green")
+    return F.when(mean < 2.2, "red").when(mean < 2.6, "orange").when(mean < 3.0, "blue").otherwise("green")
+
+
+def theme_nature(theme: Column, rank: Column, mean: Column, bad: Column, gap: Column, recovered: Column, rules: RuleSet = DEFAULT) -> Column:
+    """What a theme means for the product (rule nature_v1, ours; first match wins): launched and better since; a verified gap
+    that leads the table; a matter of trust with mostly bad ratings; a mean below 2.2; good ratings alone (mean of 4 and
+    more); good where others lack it; else debt of the basics. gap: absent, partial, entry or null; recovered: boolean."""
+    lacking = F.coalesce(gap, F.lit("")).isin("absent", "partial")
+    return (
+        F.when(F.coalesce(recovered, F.lit(False)), NATURES[4])
+        .when(lacking & (rank == 1), NATURES[0])
+        .when(has(blank(theme), rules.trust) & (bad >= 0.5), NATURES[2])
+        .when(mean < 2.2, NATURES[1])
+        .when((mean >= 4) & (gap == "ahead"), NATURES[6])
+        .when(mean >= 4, NATURES[5])
+        .otherwise(NATURES[3])
+    )

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -56,20 +59,32 @@ def pseudonym(salt: str, *identities: Column) -> Column:
 
 
 def source_record_id(given: Column, *parts: Column) -> Column:
-    """An upstream id where there is one, else sha256: and the hash of the normalised parts. No user name belongs here."""
-    return F.coalesce(F.nullif(blank(given), F.lit("")), F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", *(clean(p) for p in parts)), 256)))
+    """An upstream id where there is one, else sha256: and the hash of the parts in NFC with white space collapsed, so that
+    composed and decomposed letters give one id. No user name belongs here."""
+    return F.coalesce(F.nullif(blank(given), F.lit("")), F.concat(F.lit("sha256:"), F.sha2(F.concat_ws("|", *(nfc_key(p) for p in parts)), 256)))
+
+
+# Fixed formats: how replies, counts and dates are written in the sources.
+REPLY = r"(?U)^回复\s+[^:：]+\s*[:：]\s*"
+COUNT = r"(\d+(?:\.\d+)?)\s*([万千kK]?)"
+CLOCK = r"(?U)\b(\d{1,2}:\d{2})\b"
+NUMERIC_DAY = r"(?:(\d{4})[./-])?(\d{1,2})[./-](\d{1,2})"
+CHINESE_DAY = r"(\d{1,2})月(\d{1,2})日"
+AGO = r"\d+\s*(?:分钟|小时)前"
+TODAY, YESTERDAY, DAY_BEFORE = "今天", "昨天", "前天"
+# End of the fixed formats.
 
 
 def cleaned_reply(c: Column) -> Column:
     """Text without a leading `回复 name:`."""
-    return F.regexp_replace(F.trim(blank(c)), r"(?U)^回复\s+[^:：]+\s*[:：]\s*", "")
+    return F.regexp_replace(F.trim(blank(c)), REPLY, "")
 
 
 def parse_count(c: Column) -> Column:
     """A count as shown: 1,234, 1.2万, 3千 or 3k, cut to a whole number; 0 where there is none."""
     text = F.replace(clean(c), F.lit(","), F.lit(""))
-    number = F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*([万千kK]?)", 1).try_cast("double")
-    unit = F.regexp_extract(text, r"(\d+(?:\.\d+)?)\s*([万千kK]?)", 2)
+    number = F.regexp_extract(text, COUNT, 1).try_cast("double")
+    unit = F.regexp_extract(text, COUNT, 2)
     factor = F.when(unit == "万", 10000).when(unit.isin("千", "k", "K"), 1000).otherwise(1)
     return F.coalesce((number * factor).cast("long"), F.lit(0))
 
@@ -93,9 +108,7 @@ def displayed_date(c: Column, collected: Column) -> tuple[Column, Column]:
     A day that does not exist, or anything else, gives a null date.
     """
     head = F.trim(F.substring_index(blank(c), "|", 1))
-    time = F.regexp_extract(head, r"(?U)\b(\d{1,2}:\d{2})\b", 1)
-    numeric = r"(?:(\d{4})[./-])?(\d{1,2})[./-](\d{1,2})"
-    chinese = r"(\d{1,2})月(\d{1,2})日"
+    time = F.regexp_extract(head, CLOCK, 1)
 
     def day(year: Column, month: Column, date: Column) -> Column:
         month, date = month.try_cast("int"), date.try_cast("int")
@@ -104,51 +117,76 @@ def displayed_date(c: Column, collected: Column) -> tuple[Column, Column]:
         return F.try_make_timestamp(full, month, date, F.lit(0), F.lit(0), F.lit(0)).cast("date")
 
     found = (
-        F.when(head.rlike(r"\d+\s*(?:分钟|小时)前") | head.startswith("今天"), collected)
-        .when(head.startswith("昨天"), F.date_sub(collected, 1))
-        .when(head.startswith("前天"), F.date_sub(collected, 2))
-        .when(head.rlike(numeric), day(*(F.regexp_extract(head, numeric, i) for i in (1, 2, 3))))
-        .when(head.rlike(chinese), day(F.lit(""), *(F.regexp_extract(head, chinese, i) for i in (1, 2))))
+        F.when(head.rlike(AGO) | head.startswith(TODAY), collected)
+        .when(head.startswith(YESTERDAY), F.date_sub(collected, 1))
+        .when(head.startswith(DAY_BEFORE), F.date_sub(collected, 2))
+        .when(head.rlike(NUMERIC_DAY), day(*(F.regexp_extract(head, NUMERIC_DAY, i) for i in (1, 2, 3))))
+        .when(head.rlike(CHINESE_DAY), day(F.lit(""), *(F.regexp_extract(head, CHINESE_DAY, i) for i in (1, 2))))
     )
     return found, time
 
 
-def iso_date(c: Column) -> Column:
-    """The date of an ISO date or date-time, null where it is none."""
-    return F.when(blank(c).rlike(r"^\d{4}-\d{2}-\d{2}(?:[T ].*)?$"), F.substring(c, 1, 10).try_cast("date"))
+#: A time of day with an optional zone, as ISO writes it (fixed format).
+_TIME = r"(?:[01]\d|2[0-3]):[0-5]\d(?::[0-5]\d(?:[.,]\d{1,6})?)?(?:Z|[+-](?:[01]\d|2[0-3]):?[0-5]\d)?"
 
 
-def repair_mojibake(c: Column) -> Column:
-    """UTF-8 that was once read as GBK: each longest run of GBK characters is turned back where that gives valid UTF-8.
-    Rows of plain ASCII never reach Python."""
-    import itertools
+def iso_date(c: Column) -> Column:
+    """The date of an ISO date or date-time, null where the date does not exist or what follows it is no time of day."""
+    return F.when(blank(c).rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}}(?:[T ]{_TIME})?\z"), F.substring(c, 1, 10).try_cast("date"))
+
 
-    def gbk(ch: str) -> bool:
+@functools.cache
+def _gbk_classes() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point up to U+FFFF: whether GBK has it, and whether as two bytes."""
+    table = np.zeros((2, 1 << 16), bool)
+    for k in range(1 << 16):
         try:
-            return bool(ch.encode("gbk"))
+            n = len(chr(k).encode("gbk"))
         except UnicodeEncodeError:
-            return False
+            continue
+        table[:, k] = True, n == 2
+    return table[0], table[1]
+
+
+def _repaired(t: str) -> str:
+    """One text with each run of GBK characters read as UTF-8 again where that is valid."""
+    has_gbk, wide = _gbk_classes()
+    points = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = np.minimum(points, 0xFFFF)
+    inside = has_gbk[low] & (points < 1 << 16)
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    out, at = [], 0
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        out.append(t[at:a])
+        piece, at = t[a:b], b
+        if wide[low[a:b]].any():  # ASCII alone reads the same
+            with contextlib.suppress(UnicodeDecodeError):
+                piece = piece.encode("gbk").decode("utf-8")
+        out.append(piece)
+    out.append(t[at:])
+    return "".join(out)
 
-    def fix(run: str) -> str:
-        try:
-            return run.encode("gbk").decode("utf-8")
-        except UnicodeDecodeError:
-            return run
+
+def repair_mojibake(c: Column) -> Column:
+    """UTF-8 that was once read as GBK: each longest run of GBK characters is turned back where that gives valid UTF-8.
+    Rows of plain ASCII never reach Python; in others only runs with a two-byte character are decoded."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        def one(t: str | None) -> str | None:
-            if not t:
-                return t
-            pieces = ("".join(g) for _, g in itertools.groupby(t, gbk))
-            return "".join(fix(p) if gbk(p[0]) else p for p in pieces).replace("\r\n", "\n").strip()
-
-        return s.map(one)
+        return s.map(lambda t: t if not t else _repaired(t).replace("\r\n", "\n").strip())
 
     c = blank(c)
     plain = c.rlike(r"^[\x00-\x7f]*\z")
     return F.when(plain, F.trim(F.replace(c, F.lit("\r\n"), F.lit("\n")))).otherwise(run(F.when(~plain, c)))
 
 
+def casefold(c: Column) -> Column:
+    """A form that is equal for texts which differ in case alone: upper, then lower case, so that ß and SS, ﬁ and FI meet;
+    the dotless i keeps apart from i. In the JVM, unlike a folding in Python. (The optimizer takes lower(upper(x)) for
+    lower(x), so the translation back stands between the two.)"""
+    kept = F.translate(blank(c), "\u0131", "\ue000")
+    return F.lower(F.translate(F.upper(kept), "\ue000", "\u0131"))
+
+
 def markdown_cell(c: Column) -> Column:
     return F.replace(F.replace(blank(c), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))

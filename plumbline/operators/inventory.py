@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.rules import ALLOWED_STATUSES, PARTIAL, PRESENT, STATUS_ALIASES, STATUS_RANK, diff_type, lookup
-from plumbline.functions.text import blank, nfkc
-from plumbline.operators.issues import issue, report
+from plumbline.functions.text import blank, casefold, nfkc
+from plumbline.operators.issues import issue, passed, report
 
 LEVELS = [f"{n}级功能" for n in "一二三四五六"]
 
@@ -34,9 +34,9 @@ def keyed(df: DataFrame) -> DataFrame:
     levels = hierarchy(df)
     explicit = _column(df, "标准功能ID")
     parts = F.when(F.size(levels) > 0, levels).otherwise(F.array(_column(df, "模块")))
-    fallback = F.regexp_replace(F.lower(F.array_join(parts, "|")), r"(?U)[\s\W_]+", "")
+    fallback = F.regexp_replace(casefold(F.array_join(parts, "|")), r"(?U)[\s\W_]+", "")
     evidence = F.when(_column(df, "证据文件") != "", _column(df, "证据文件")).otherwise(_column(df, "证据ID"))
-    return df.select("row_idx", F.when(explicit != "", F.lower(explicit)).otherwise(fallback).alias("key"), explicit.alias("feature_id"), _column(df, "模块").alias("module"), F.array_join(levels, " > ").alias("path"), status_of(df).alias("status"), evidence.alias("evidence"), _column(df, "备注").alias("notes"))
+    return df.select("row_idx", F.when(explicit != "", casefold(explicit)).otherwise(fallback).alias("key"), explicit.alias("feature_id"), _column(df, "模块").alias("module"), F.array_join(levels, " > ").alias("path"), status_of(df).alias("status"), evidence.alias("evidence"), _column(df, "备注").alias("notes"))
 
 
 def header_issues(columns: list[str]) -> list[str]:
@@ -78,6 +78,51 @@ def merge(rows: DataFrame) -> DataFrame:
     return out.select("key", F.when(F.col("r.feature_id") != "", F.col("r.feature_id")).otherwise(F.col("key")).alias("feature_id"), "r.module", "r.path", "status", "evidence", "notes")
 
 
+def status_histogram(rows: DataFrame) -> DataFrame:
+    """Keyed rows per status, in no order; rows without a key count too."""
+    return rows.groupBy("status").agg(F.count("*").alias("n"))
+
+
+def validate_table(df: DataFrame) -> DataFrame:
+    """Findings of a whole inventory table: what its header lacks (row 1), then those of its rows."""
+    spark = df.sparkSession
+    header = [(1, "error", "header", name) for name in header_issues(df.columns)]
+    found = spark.createDataFrame(header, "row_no long, severity string, code string, field string")
+    return found.unionByName(validate(keyed(df)))
+
+
+def compare_tables(left: DataFrame, right: DataFrame, left_label: str = "左", right_label: str = "右") -> DataFrame:
+    """The parity matrix of two inventory tables. A side with findings that are errors is refused before anything is
+    compared."""
+    for label, side in ((left_label, left), (right_label, right)):
+        if not passed(validate_table(side)):
+            raise ValueError(f"the inventory {label} has errors")
+    return compare(merge(keyed(left)), merge(keyed(right)), left_label, right_label)
+
+
+def gap_status(matrix: DataFrame, own: str = "left") -> DataFrame:
+    """(feature_id, gap_status) of a parity matrix for one side: absent where it lacks what the other has, partial or entry
+    where it has less, ahead where the other lacks it; features on a par or not verified have no row."""
+    other = "right" if own == "left" else "left"
+    mine, theirs = F.col(f"{own}_status"), F.col(f"{other}_status")
+    there = theirs.isin(*PRESENT, *PARTIAL)
+    status = (
+        F.when((mine == "明确缺失") & there, "absent")
+        .when((mine == "仅入口存在") & theirs.isin(*PRESENT), "entry")
+        .when((mine == "部分可用") & theirs.isin(*PRESENT), "partial")
+        .when(mine.isin(*PRESENT, *PARTIAL) & (theirs == "明确缺失"), "ahead")
+    )
+    return matrix.select("feature_id", status.alias("gap_status")).where("gap_status is not null")
+
+
+def themes_with_gaps(themes: DataFrame, matrix: DataFrame, own: str = "left") -> DataFrame:
+    """themes(theme, feature_id and more) with the gap status of their feature, null where there is none: what the priority's
+    gap component reads. Of several rows of one feature the worst gap counts."""
+    worst = F.min_by("gap_status", F.array_position(F.array(*map(F.lit, ("absent", "partial", "entry", "ahead"))), F.col("gap_status")))
+    gaps = gap_status(matrix, own).groupBy("feature_id").agg(worst.alias("gap_status"))
+    return themes.drop("gap_status").join(gaps, "feature_id", "left")
+
+
 def compare(left: DataFrame, right: DataFrame, left_label: str = "左", right_label: str = "右") -> DataFrame:
     """The parity matrix: a full outer join of two merged inventories on key; the side that lacks a key is 未收录."""
     pair = left.alias("l").join(right.alias("r"), "key", "full_outer")

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def issue(condition: Column, severity: str, code: str, field: str = "") -> Column:
-    return F.when(condition, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(field).alias("field")))
+def issue(condition: Column, severity: str, code: str, field: str | Column = "") -> Column:
+    return F.when(condition, F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), (F.lit(field) if isinstance(field, str) else field).alias("field")))
 
 
 def report(df: DataFrame, row_no: Column, checks: list[Column]) -> DataFrame:
@@ -28,3 +28,47 @@ def quality_checks(spark, checks: dict[str, DataFrame]) -> DataFrame:
         one = bad.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), (F.col("n") == 0).alias("passed"), F.col("n").cast("string").alias("detail"))
         out = one if out is None else out.unionByName(one)
     return out if out is not None else spark.createDataFrame([], "check string, passed boolean, detail string")
+
+
+def tagging_gates(df: DataFrame, rules) -> dict[str, DataFrame]:
+    """The offending rows of each gate of a tagged table that data can decide."""
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
+    ids = df.groupBy("source_record_id").agg(F.count("*").alias("n"), F.count_if(F.col("duplicate_of").isNull()).alias("firsts"))
+    return {
+        "tag_valid_is_told": df.where(F.col("is_valid").isNull()),
+        "tag_invalid_has_reason": df.where(~F.col("is_valid") & blank("invalid_reason")),
+        "tag_valid_has_no_reason": df.where(F.col("is_valid") & ~blank("invalid_reason")),
+        "tag_rating_1_to_5": df.where(F.col("is_valid") & ~F.col("rating").between(1, 5)),
+        "tag_date": df.where(F.col("is_valid") & ~blank("date") & F.col("date").cast("string").try_cast("date").isNull()),
+        "tag_device_series": df.where(blank("device_series")),
+        "tag_modules": df.where(F.col("is_valid") & (F.coalesce(F.size("modules"), F.lit(0)) < 1)),
+        "tag_record_id": df.where(blank("source_record_id")),
+        "tag_one_first": ids.where("firsts <> 1"),
+        "tag_duplicate_known": df.where(F.col("duplicate_of").isNotNull()).join(df.where(F.col("duplicate_of").isNull()).select(F.col("source_record_id").alias("duplicate_of")), "duplicate_of", "left_anti"),
+        "tag_taxonomy": df.where(F.col("taxonomy_version").isNull() | (F.col("taxonomy_version") != f"{rules.name}-{rules.version}")),
+        "tag_issue_type": df.where(~F.col("issue_type").isin(*(n for n, _ in rules.issue_types), "吐槽抱怨")),
+        "tag_scales": df.where(~F.col("emotion").between(-2, 2) | ~F.col("urgency").isin("高", "中", "低")),
+    }
+
+
+def analysis_gates(tables: dict[str, DataFrame], valid: DataFrame, quotes: DataFrame) -> dict[str, DataFrame]:
+    """The offending rows of each gate of an analysis: its tables, by the names that sinks.TABLES has, and the rows that the
+    metrics count."""
+    empty = lambda name: valid.sparkSession.range(1).join(tables[name].limit(1), F.lit(True), "left_anti")  # noqa: E731  one row where the table has none
+    return {
+        "an_only_valid": valid.where("not is_valid or rating not between 1 and 5"),
+        **{f"an_has_{name}": empty(name) for name in ("rating_distribution", "weekly", "before_after", "themes", "devices", "regions", "personas")},
+        "an_small_samples_marked": tables["weekly"].where("n < 20 and not small_sample"),
+        "an_priority_version": tables["priorities"].where("rule_version is null or rule_version <> 'priority_v1'"),
+        "an_shares": tables["rating_distribution"].where("share < 0 or share > 1"),
+        "an_ranks_differ": tables["priorities"].groupBy("rank").count().where("count > 1"),
+        "an_quotes_traceable": quotes.where("id is null"),
+    }
+
+
+def judged(checks: DataFrame, notes: dict[str, bool]) -> DataFrame:
+    """checks with the gates that only people can decide (name: passed), marked as such; one that nobody judged is not in
+    notes and so is missing, not passed."""
+    spark = checks.sparkSession
+    return checks.unionByName(spark.createDataFrame([(k, v, "judged by a person") for k, v in notes.items()], "check string, passed boolean, detail string"))
+

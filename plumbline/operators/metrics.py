@@ -64,7 +64,7 @@ def grouping_sets(df: DataFrame, *dimensions: str) -> DataFrame:
 
 
 def around_releases(df: DataFrame, releases: DataFrame, days: int) -> DataFrame:
-    """Metrics of the `days` before and after each release and their difference: a range join with the release side small
+    """Metrics (rows, mean, bad, good, good minus bad) of the `days` before and after each release and their differences: a range join with the release side small
     (its rows are checked: at most 10000 are broadcast, beyond that days are the join key)."""
     small = releases.limit(10_001).count() <= 10_000
     if small:
@@ -80,7 +80,8 @@ def around_releases(df: DataFrame, releases: DataFrame, days: int) -> DataFrame:
         return [n.alias(f"n_{name}"), F.avg(F.when(on, r)).alias(f"mean_{name}"), F.try_divide(F.count_if(on & (r <= 2)), n).alias(f"bad_{name}"), F.try_divide(F.count_if(on & (r >= 4)), n).alias(f"good_{name}")]
 
     out = near.groupBy("version", "release_date").agg(*side(~after, "before"), *side(after, "after"))
-    return out.withColumn("delta_mean", F.col("mean_after") - F.col("mean_before")).withColumn("delta_bad", F.col("bad_after") - F.col("bad_before"))
+    out = out.withColumns({f"nps_{k}": F.col(f"good_{k}") - F.col(f"bad_{k}") for k in ("before", "after")})
+    return out.withColumns({f"delta_{m}": F.col(f"{m}_after") - F.col(f"{m}_before") for m in ("mean", "bad", "good", "nps")})
 
 
 def flood(df: DataFrame, releases: DataFrame, days: int = 3) -> DataFrame:
@@ -180,13 +181,67 @@ def wish_share(df: DataFrame, is_wish: Column, by: str) -> DataFrame:
     return df.groupBy(by).agg(F.count_if(high).alias("n_high"), F.count_if(high & is_wish).alias("n_wish"), F.try_divide(F.count_if(high & is_wish), F.count_if(high)).alias("wish_share"))
 
 
-def personas(df: DataFrame, least: int = 10, quotes: int = 2) -> DataFrame:
+def lifecycle(df: DataFrame) -> DataFrame:
+    """Per theme the phases of its weekly share of distinct comments (rule lifecycle_v1, ours): the first week, the week of
+    the largest share (the earliest of equals) and the last one, the weeks up to and after the peak, and how many weeks
+    have at least half of the peak's share. df(id, theme, rating, d); a theme's weeks are its own, so none is compared
+    across themes."""
+    week = F.date_trunc("week", F.col("d")).cast("date")
+    base = df.withColumn("week", week)
+    totals = base.groupBy("week").agg(F.count_distinct("id").alias("_n"))
+    shares = base.where(F.col("theme").isNotNull()).groupBy("week", "theme").agg(F.count_distinct("id").alias("_k"))
+    shares = shares.join(totals, "week").withColumn("share", F.col("_k") / F.col("_n"))
+    peak = F.max_by(F.struct("week", "share"), F.struct("share", -F.unix_date("week")))
+    peaks = shares.groupBy("theme").agg(peak.alias("p")).select("theme", F.col("p.week").alias("peak_week"), F.col("p.share").alias("peak_share"))
+    joined = shares.join(peaks, "theme")
+    rising, high = F.col("week") <= F.col("peak_week"), F.col("share") >= F.col("peak_share") / 2
+    return joined.groupBy("theme", "peak_week", "peak_share").agg(F.min("week").alias("first_week"), F.max("week").alias("last_week"), F.count_if(rising).alias("weeks_rising"), F.count_if(~rising).alias("weeks_falling"), F.count_if(high).alias("weeks_high"))
+
+
+def top_themes(df: DataFrame, k: int) -> list[str]:
+    """The names of the k themes with most mentions (as ranked by themes()); k is a report's size."""
+    return [r["theme"] for r in themes(df, k).orderBy("rank").select("theme").collect()]
+
+
+def heat_map(df: DataFrame, devices: list[str], k: int = 10, value: str = "share") -> DataFrame:
+    """The k themes with most mentions by the given devices, a cell being count, share or weighted of device_themes()."""
+    cells = device_themes(df).where(F.col("theme").isin(top_themes(df, k)))
+    return matrix(cells, "theme", "device", "n" if value == "count" else value, devices)
+
+
+def theme_trend(df: DataFrame, k: int = 5) -> DataFrame:
+    """Mentions and mean per Monday week of the k themes with most mentions. df(id, theme, rating, d)."""
+    rows = df.where(F.col("theme").isin(top_themes(df, k))).dropDuplicates(["id", "theme"])
+    return rows.groupBy(F.date_trunc("week", F.col("d")).cast("date").alias("week"), "theme").agg(F.count("*").alias("mentions"), F.avg("rating").alias("mean"))
+
+
+def quotes(df: DataFrame, by: str, k: int = 2, longest: int = 80) -> DataFrame:
+    """(by, nth, id, text): for each value the k shortest non-empty texts (ties by id), cut to `longest` characters for
+    print; the id leads back to the whole text. A text repeated within one value counts once, under its least id."""
+    length = F.length(F.trim(F.coalesce(F.col("text"), F.lit(""))))
+    own = df.where(length > 0).groupBy(by, "text").agg(F.min("id").alias("id"))
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(F.length("text"), "id"))
+    return own.withColumn("nth", nth).where(F.col("nth") <= k).select(by, "nth", "id", F.substring("text", 1, longest).alias("text"))
+
+
+def personas(df: DataFrame, least: int = 10, quotes: int = 2, risk: Column | None = None) -> DataFrame:
     """Segments with at least `least` rows: size, mean, and up to `quotes` ids of the shortest non-empty texts (ties by
-    id). df(segment, id, rating, text)."""
-    kept = df.groupBy("segment").agg(F.count("*").alias("n"), F.avg("rating").alias("mean")).where(F.col("n") >= least)
+    id). df(segment, id, rating, text).
+
+    Where df has them, the most common device and ask (ties: the least name; null and empty do not count). With risk (a
+    boolean column), how many rows tell of leaving, and high_risk: at least a tenth of the segment does.
+    """
+    extra = [] if risk is None else [F.count_if(risk).alias("n_risk"), (F.count_if(risk) >= 0.1 * F.count("*")).alias("high_risk")]
+    kept = df.groupBy("segment").agg(F.count("*").alias("n"), F.avg("rating").alias("mean"), *extra).where(F.col("n") >= least)
     nth = F.row_number().over(Window.partitionBy("segment").orderBy(F.length("text"), "id"))
     quoted = df.where(F.coalesce(F.length("text"), F.lit(0)) > 0).withColumn("_nth", nth).where(F.col("_nth") <= quotes)
-    return kept.join(quoted.groupBy("segment").agg(F.array_join(F.array_sort(F.collect_list(F.col("id"))), ",").alias("quote_ids")), "segment", "left")
+    out = kept.join(quoted.groupBy("segment").agg(F.array_join(F.array_sort(F.collect_list(F.col("id"))), ",").alias("quote_ids")), "segment", "left")
+    for c in ("device", "ask"):
+        if c in df.columns:
+            counts = df.where(F.coalesce(F.col(c), F.lit("")) != "").groupBy("segment", c).agg(F.count("*").alias("_n"))
+            first = F.row_number().over(Window.partitionBy("segment").orderBy(F.desc("_n"), c))
+            out = out.join(counts.withColumn("_nth", first).where("_nth = 1").select("segment", F.col(c).alias(f"top_{c}")), "segment", "left")
+    return out
 
 
 def funnel(df: DataFrame, by: list[str]) -> DataFrame:
@@ -205,6 +260,16 @@ def generalize(df: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("rating").alias("mean")).where(F.col("n") >= k)
 
 
+def shareable(df: DataFrame, regions: dict[str, str], k: int = 5) -> DataFrame:
+    """What may leave the project of df(region, device_series, d, rating): wider regions (by the given table, 其他 where it
+    has none), device series, Monday weeks, counts and means of at least k rows. No other field goes along: no text, no
+    device, no day."""
+    table = F.create_map(*(F.lit(x) for kv in regions.items() for x in kv)) if regions else F.create_map(F.lit(""), F.lit("其他"))
+    wide = F.coalesce(F.try_element_at(table, F.coalesce(F.col("region"), F.lit(""))), F.lit("其他"))
+    coarse = df.select(wide.alias("region"), "device_series", F.date_trunc("week", F.col("d")).cast("date").alias("week"), "rating")
+    return generalize(coarse, ["region", "device_series", "week"], k)
+
+
 def admit(df: DataFrame, gate: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys passed their audit: gate(keys, passed); keys that the gate does not know are not admitted."""
     return df.join(gate.where("passed").select(*keys).distinct(), keys, "left_semi")

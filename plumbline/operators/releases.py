@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.rules import lookup
-from plumbline.functions.text import blank, clean, iso_date
+from plumbline.functions.text import blank, casefold, clean, iso_date
 from plumbline.operators.issues import issue, report
 
 # Fixed values.
@@ -40,8 +40,8 @@ ALIASES = {
 CHANNELS = ("正式版", "尝鲜版", "内测版", "公测版", "测试计划", "未知")
 STATUSES = ("已验证", "仅页面可见", "外部佐证", "待核验")
 CHANNEL_ALIASES = {"正式": "正式版", "正式版本": "正式版", "尝鲜": "尝鲜版", "测试版": "测试计划", "测试": "测试计划", "内测": "内测版", "公测": "公测版"}
-# End of the fixed values.
 IDENTITY = ("package_name", "app_name", "release_channel", "version", "published_at", "test_start", "test_end", "update_text")
+# End of the fixed values.
 
 
 def canonical(df: DataFrame, non_blank_wins: bool = False, **defaults: str) -> DataFrame:
@@ -80,7 +80,7 @@ def canonical(df: DataFrame, non_blank_wins: bool = False, **defaults: str) -> D
 
 
 def _identity():
-    return F.concat_ws("\x1f", *(F.lower(blank(F.col(c))) for c in IDENTITY))
+    return casefold(F.concat_ws("\x1f", *(blank(F.col(c)) for c in IDENTITY)))
 
 
 def _date():
@@ -98,11 +98,11 @@ def timeline(df: DataFrame) -> DataFrame:
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """Findings of canonical rows; row numbers count the header as 1."""
+    """Findings of canonical rows; row numbers count the header as 1. A repeated identity names the row that has it first."""
     f = {c: F.col(c) for c in FIELDS}
     empty = lambda c: f[c] == ""
     by = Window.partitionBy("_id").orderBy("row_idx")
-    rows = df.withColumn("_id", _identity()).withColumn("_again", F.row_number().over(by) > 1)
+    rows = df.withColumn("_id", _identity()).withColumn("_again", F.row_number().over(by) > 1).withColumn("_first", F.first_value("row_idx").over(by) + 2)
     dates = [issue(~empty(c) & iso_date(f[c]).isNull(), "error", "invalid_date", c) for c in ("published_at", "test_start", "test_end", "collected_at")]
     return report(
         rows,
@@ -117,11 +117,17 @@ def validate(df: DataFrame) -> DataFrame:
             issue(iso_date(f["test_end"]) < iso_date(f["test_start"]), "error", "end_before_start", "test_end"),
             issue((f["verification_status"] == "已验证") & empty("update_text"), "warning", "verified_without", "update_text"),
             issue((f["verification_status"] == "已验证") & empty("version") & (f["release_channel"] != "测试计划"), "warning", "verified_without", "version"),
-            issue(F.col("_again"), "warning", "duplicate"),
+            issue(F.col("_again"), "warning", "duplicate", F.concat(F.lit("row "), F.col("_first").cast("string"))),
         ],
     )
 
 
+def normalize(df: DataFrame, **defaults: str) -> tuple[DataFrame, DataFrame]:
+    """The timeline of a table with any aliased columns, and the findings of its rows: errors do not stop the timeline."""
+    rows = canonical(df, **defaults)
+    return timeline(rows), validate(rows)
+
+
 def verified(df: DataFrame) -> DataFrame:
     """Releases that may act as official events in analyses."""
     return df.where("verification_status = '已验证'")

@@ -66,13 +66,31 @@ def audit(df: DataFrame, by: list[str], identity: list[str], date: str, position
 
 def position_gaps(df: DataFrame, by: list[str], position: str, samples: int = 30) -> DataFrame:
     """The first `samples` missing positions of each group and their count, from the steps between neighbours; groups
-    without a gap have no row."""
+    without a gap have no row. Of each group's gaps only those are gathered that the first `samples` positions lie in."""
+    ordered = Window.partitionBy(*by).orderBy("p")
     steps = df.where(F.col(position).isNotNull()).select(*by, F.col(position).cast("long").alias("p")).distinct()
-    steps = steps.withColumn("n", F.lead("p").over(Window.partitionBy(*by).orderBy("p")) - F.col("p") - 1).where("n > 0")
-    starts = F.expr(f"transform(sequence(p + 1, p + least(n, {samples})), x -> x)")
+    steps = steps.withColumn("n", F.lead("p").over(ordered) - F.col("p") - 1)
+    before = F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    steps = steps.withColumn("_before", before).where("n > 0")
+    starts = F.when(F.col("_before") < samples, F.expr(f"sequence(p + 1, p + least(n, {samples}))"))
     return steps.groupBy(*by).agg(F.sum("n").alias("gap_count"), F.slice(F.array_sort(F.flatten(F.collect_list(starts))), 1, samples).alias("first_gaps"))
 
 
+def overlap(saved: DataFrame, current: DataFrame, key: str = "idx") -> DataFrame:
+    """The keys of the current page that were collected before, each once; empty where page and history do not meet."""
+    return current.select(key).distinct().join(saved.select(key).distinct(), key, "left_semi")
+
+
+def audit_file(df: DataFrame, identity: tuple[str, ...] = IDENTITY) -> DataFrame:
+    """One row for a whole review file (columns of the store CSV by internal name, all text): audit()'s figures, the rows per
+    rating as a map in key order (empty where there is none) and the first 30 missing positions."""
+    one = df.withColumn("_all", F.lit(1)).withColumn("_p", F.when(F.col("list_pos").rlike(r"^[0-9]+\z"), F.col("list_pos")).try_cast("long"))
+    rated = one.withColumn("_r", F.nullif(blank(F.col("rating")), F.lit("")))
+    out = audit(rated.withColumn("_d", F.nullif(F.substring(blank(F.col("published_at")), 1, 10), F.lit(""))), ["_all"], list(identity), "_d", "_p", "text", "_r")
+    stars = star_histogram(one).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("stars", "n")))).alias("stars"))
+    return out.join(position_gaps(one, ["_all"], "_p").select("_all", "first_gaps"), "_all", "left").drop("_all").crossJoin(F.broadcast(stars))
+
+
 def upsert(df: DataFrame, key: str, order: str, fields: list[str], longest: str) -> DataFrame:
     """One record per key from partial ones: the newest non-empty value of each field; of `longest` the longest value, the
     newest of equally long ones. A field never filled is empty. Aggregates are partial before the shuffle."""
@@ -91,7 +109,8 @@ def compatible(a: str, b: str) -> Column:
 
 def index_offset(saved: DataFrame, current: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The offset (saved idx - current idx) that most compatible pairs agree on, its votes and the pairs in all; no row
-    where no pair is compatible. An equi-join on post_info with the rest as a condition; ties go to the offset whose first
+    where no pair is compatible. current is one page (a screen's few records) for each `by`, so pairs are few to a saved
+    row. An equi-join on post_info with the rest as a condition; ties go to the offset whose first
     pair comes first in (current, saved) order."""
     by = by or []
     pairs = saved.alias("s").join(current.alias("c"), (F.col("s.post_info") == F.col("c.post_info")) & compatible("s", "c") & F.expr(" and ".join(f"s.{k} <=> c.{k}" for k in by) or "true"))

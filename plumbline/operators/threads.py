@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import ASSISTED_LABELS, DEFAULT, FINAL_LABELS, RuleSet, contextualize, direct_classify, effective_label, thread_label, topics_for
 from plumbline.functions.text import blank, clean, parse_count, pick, pseudonym, stable_id
-from plumbline.operators.issues import issue, report
+from plumbline.operators.issues import issue, passed, report
 
+# Fixed values.
 PLACEHOLDER = "[图片评论]"
+COLUMNS = ["post_id", "post_title", "post_url", "post_published_at", "post_stance", "post_stage", "query", "expected_comments", "collected_comments", "collection_status", "thread_id", "root_text", "comment_id", "parent_id", "user_alias", "level", "text", "likes", "time_location", "rule_sentiment", "context_sentiment", "final_sentiment", "intent", "topics", "reason", "confidence", "needs_review"]
+LABELS = {"positive": "正向", "negative": "负向", "mixed": "混合", "neutral": "中性", "undecided": "未判定"}
+THREAD_LABELS = ("正向", "负向", "正向为主", "负向为主", "正负并存", "中性/未判定")
+# End of the fixed values.
 
 
 def nearest_roots(df: DataFrame, by: str, order: str, is_root: str, id_column: str) -> DataFrame:
@@ -71,7 +76,7 @@ def flatten(posts: DataFrame, depth: int = 50) -> DataFrame:
 
 def prepare(posts: DataFrame, salt: str = "", rules: RuleSet = DEFAULT) -> DataFrame:
     """The context-review table of posts(row_idx, post variant): one row per kept comment with post fields, thread, root
-    text, sentiment by rule and by context, topics and whether a person should look.
+    text, sentiment by rule and by context, topics, the reason, and whether a person should look: row_idx, ord and COLUMNS.
 
     Of one comment id in one post id the first stays, even if its text is empty; rows without text and images go after
     that. Posts that share a post id do not share roots.
@@ -110,7 +115,7 @@ def prepare(posts: DataFrame, salt: str = "", rules: RuleSet = DEFAULT) -> DataF
     return kept.select(
         "row_idx", "ord", "post_id", "post_title", "post_url", "post_published_at", "post_stance", "post_stage", "query", "expected_comments", "collected_comments", "collection_status", "thread_id", "root_text", "comment_id", "parent_id",
         pseudonym(salt, F.col("who"), F.col("user_name")).alias("user_alias"), level.alias("level"), "text", parse_count(F.col("likes")).alias("likes"), clean(F.col("time_location")).alias("time_location"),
-        F.col("direct.sentiment").alias("rule_sentiment"), F.col("r.sentiment").alias("context_sentiment"), "final_sentiment", F.col("r.intent").alias("intent"), F.array_join(topics_for(F.col("text"), rules), "；").alias("topics"), F.col("r.confidence").alias("confidence"), F.when(review, "yes").otherwise("no").alias("needs_review"),
+        F.col("direct.sentiment").alias("rule_sentiment"), F.col("r.sentiment").alias("context_sentiment"), "final_sentiment", F.col("r.intent").alias("intent"), F.array_join(topics_for(F.col("text"), rules), "；").alias("topics"), F.col("r.reason").alias("reason"), F.col("r.confidence").alias("confidence"), F.when(review, "yes").otherwise("no").alias("needs_review"),
     )
 
 
@@ -165,14 +170,49 @@ def coverage(df: DataFrame) -> DataFrame:
     return first.agg(F.sum(parse_count(F.col("f.expected_comments"))).alias("expected_comments"), F.sum(parse_count(F.col("f.collected_comments"))).alias("collected_comments"), F.count("*").alias("posts"))
 
 
-def top_posts(df: DataFrame, k: int = 15) -> DataFrame:
-    """The k posts with most comments, then most likes, then least id."""
-    return df.groupBy("post_id").agg(F.count("*").alias("comments"), F.sum("n_likes").alias("likes")).orderBy(F.desc("comments"), F.desc("likes"), "post_id").limit(k)
+def top_posts(df: DataFrame, k: int | None = 15) -> DataFrame:
+    """The k posts (None: all) with most comments, then most likes, then least id."""
+    out = df.groupBy("post_id").agg(F.count("*").alias("comments"), F.sum("n_likes").alias("likes"))
+    return out if k is None else out.orderBy(F.desc("comments"), F.desc("likes"), "post_id").limit(k)
+
+
+def summary(df: DataFrame) -> DataFrame:
+    """One row of totals of labelled rows: posts, threads, comments, coverage summed over the first row of each post, counts
+    and likes of all five labels, directional comments with their shares (4 digits, 0 without any), the ratio of positive
+    to negative (null without negative), rows that need review and undecided ones. df has the columns of prepare()."""
+    count = lambda n: F.count_if(F.col("label") == n)
+    directional = count(LABELS["positive"]) + count(LABELS["negative"]) + count(LABELS["mixed"])
+    totals = [F.count_distinct("post_id").alias("posts"), F.count_distinct("post_id", "thread_id").alias("threads"), F.count("*").alias("comments"), directional.alias("directional")]
+    for k, n in LABELS.items():
+        totals += [count(n).alias(k), F.coalesce(F.sum(F.when(F.col("label") == n, F.col("n_likes"))), F.lit(0)).alias(f"likes_{k}")]
+    totals += [F.coalesce(F.round(F.try_divide(count(LABELS[k]), directional), 4), F.lit(0.0)).alias(f"share_{k}") for k in ("positive", "negative", "mixed")]
+    totals += [F.round(F.try_divide(count(LABELS["positive"]), count(LABELS["negative"])), 4).alias("ratio"), F.count_if(F.col("needs_review") == "yes").alias("needs_review"), count(LABELS["undecided"]).alias("unresolved")]
+    return df.agg(*totals).crossJoin(F.broadcast(coverage(df).drop("posts")))  # one row each
+
+
+def summarize(df: DataFrame) -> dict[str, DataFrame]:
+    """The summaries of a context-review table (row_idx and the columns of prepare(), as text): totals, topics, threads
+    (how many have which label) and posts (all, most comments first). A table with findings that are errors is refused."""
+    issues = validate(df)
+    if not passed(issues):
+        raise ValueError("the table has errors: " + ", ".join(sorted({f"{r['code']} {r['field']}".strip() for r in issues.where("severity = 'error'").select("code", "field").distinct().collect()})))
+    rows = labelled(df)
+    with_topics = rows.withColumn("topics", F.filter(F.split(blank(F.col("topics")), "；"), lambda x: x != ""))
+    per_thread = thread_labels(rows, ["post_id", "thread_id"], "label", (LABELS["positive"], LABELS["negative"], LABELS["mixed"]))
+    heads = rows.groupBy("post_id").agg(F.min_by(F.struct("post_title", "post_url"), "row_idx").alias("h")).select("post_id", "h.post_title", "h.post_url")
+    return {
+        "totals": summary(rows),
+        "topics": topic_stats(with_topics, tuple(LABELS.values())),
+        "threads": per_thread.groupBy("thread_label").agg(F.count("*").alias("n")),
+        "posts": top_posts(rows, None).join(heads, "post_id"),
+    }
 
 
 def merge_queries(posts: DataFrame) -> DataFrame:
-    """One row per post with all queries that found it, sorted; the first row's other fields."""
-    return posts.groupBy("post_id").agg(F.array_join(F.array_sort(F.collect_set("query")), "；").alias("queries"), F.min_by("post_title", "row_idx").alias("post_title"))
+    """One row per post with all queries that found it (queries: sorted, joined) and every other field of its first row."""
+    others = [c for c in posts.columns if c not in ("post_id", "query")]
+    merged = posts.groupBy("post_id").agg(F.array_join(F.array_sort(F.collect_set("query")), "；").alias("queries"), F.min_by(F.struct(*others), "row_idx").alias("_first"))
+    return merged.select("post_id", "queries", *(F.col(f"_first.{c}").alias(c) for c in others))
 
 
 def resume(posts: DataFrame, done: DataFrame) -> DataFrame:
@@ -188,10 +228,40 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return json_records(spark, path, ("posts", "items", "data")).withColumnRenamed("record", "post")
 
 
-def dom_comments(df: DataFrame, key: str, order: str, fields: list[str]) -> DataFrame:
+def dom_comments(df: DataFrame, key: str, order: str, fields: list[str], is_root: str | None = None) -> DataFrame:
     """Comments seen again and again while a page scrolls: one row per key at its first position with its last fields, and
-    how often it was seen. Positions are the order of first sight."""
-    return df.groupBy(key).agg(F.min(order).alias("position"), *(F.max_by(f, order).alias(f) for f in fields), F.count("*").alias("seen"))
+    how often it was seen. Positions are the order of first sight.
+
+    With is_root (a boolean column), the page's nesting too: parent is the key of the last root seen before the comment's
+    first position, null for roots and for replies before any root; kind is root or reply.
+    """
+    extra = [] if is_root is None else [F.min_by(F.col(is_root), order).alias("_root")]
+    out = df.groupBy(key).agg(F.min(order).alias("position"), *(F.max_by(f, order).alias(f) for f in fields), F.count("*").alias("seen"), *extra)
+    if is_root is None:
+        return out
+    before = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)  # one page's comments
+    parent = F.last(F.when(F.col("_root"), F.col(key)), ignorenulls=True).over(before)
+    return out.withColumn("parent", F.when(~F.col("_root"), parent)).withColumn("kind", F.when(F.col("_root"), "root").otherwise("reply")).drop("_root")
+
+
+def envelope(post: dict, comments: DataFrame, fields: dict[str, str], most: int = 100_000) -> dict:
+    """The JSON object of one collected post: its own fields, how many comments were expected and seen, its status, and the
+    comments with their replies below them, fields renamed as given (column: name). A post with over `most` comments is an
+    error, not cut."""
+    rows = comments.orderBy("position").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} comments in one post")
+    key = comments.columns[0]
+    named = lambda r: {name: r[c] for c, name in fields.items()} | {"comment_id": r[key]}
+    top: dict = {}
+    for r in rows:
+        if r["kind"] == "root" or r["parent"] is None:
+            top[r[key]] = named(r) | {"is_reply": r["kind"] == "reply", "replies": []}
+        else:
+            top[r["parent"]]["replies"].append(named(r) | {"parent_id": r["parent"], "is_reply": True})
+    expected = int(post.get("expected_comments") or 0)
+    status = "部分" if 0 < expected and len(rows) < expected else "完整"
+    return post | {"collected_comments": len(rows), "collection_status": status, "comments": list(top.values())}
 
 
 def completeness(df: DataFrame) -> DataFrame:

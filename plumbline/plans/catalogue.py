@@ -11,7 +11,7 @@ from plumbline.functions import rules as R
 from plumbline.functions import text as X
 from plumbline.operators import inventory, metrics, releases, reviews, tagging, threads
 from plumbline.plans import proxies as P
-from plumbline.sources import readers
+from plumbline.sources import readers, sinks
 from plumbline.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,7 +77,7 @@ def metrics_summary_grouping_sets(spark, sf):
 _SIDE = "count(*) filter (d {op} release_date) as n_{s}, avg(rating) filter (d {op} release_date) as mean_{s}, count(*) filter (d {op} release_date and rating <= 2) / nullif(count(*) filter (d {op} release_date), 0) as bad_{s}, count(*) filter (d {op} release_date and rating >= 4) / nullif(count(*) filter (d {op} release_date), 0) as good_{s}"
 
 
-@query(WITH_R + f", v as ({P.RELEASES}), a as (select version, release_date, {_SIDE.format(op='<', s='before')}, {_SIDE.format(op='>=', s='after')} from r join v on d >= release_date - 28 and d < release_date + 28 group by 1, 2) select *, mean_after - mean_before as delta_mean, bad_after - bad_before as delta_bad from a")
+@query(WITH_R + f", v as ({P.RELEASES}), a as (select version, release_date, {_SIDE.format(op='<', s='before')}, {_SIDE.format(op='>=', s='after')} from r join v on d >= release_date - 28 and d < release_date + 28 group by 1, 2) select *, mean_after - mean_before as delta_mean, bad_after - bad_before as delta_bad, good_before - bad_before as nps_before, good_after - bad_after as nps_after, good_after - good_before as delta_good, (good_after - bad_after) - (good_before - bad_before) as delta_nps from a")
 def release_before_after(spark, sf):
     return metrics.around_releases(reviews_of(spark, sf), P.view(spark, sf, P.RELEASES), 28)
 
@@ -186,7 +186,7 @@ def rule_versions_compared(spark, sf):
     return metrics.compare_versions(metrics.themes(t), metrics.themes(t.withColumn("theme", F.concat("theme", F.lit("*")))), "v1", "v2").select("theme", "mentions", "mean", "bad", "share", "rank", "rule_version")
 
 
-@query(WITH_R + "select case when m < 2.2 then 'red' when m < 2.6 then 'orange' when m < 3.0 then 'yellow' else 'green' end as colour, count(*) as n from (select d, avg(rating) m from r group by d) group by 1")
+@query(WITH_R + "select case when m < 2.2 then 'red' when m < 2.6 then 'orange' when m < 3.0 then 'blue' else 'green' end as colour, count(*) as n from (select d, avg(rating) m from r group by d) group by 1")
 def colour_bands(spark, sf):
     return reviews_of(spark, sf).groupBy("d").agg(F.avg("rating").alias("m")).groupBy(R.colour(F.col("m")).alias("colour")).agg(F.count("*").alias("n"))
 
@@ -196,9 +196,9 @@ def colour_bands(spark, sf):
 _LINES = "select l_orderkey * 8 + l_linenumber as row_idx, cast(l_linenumber as {s}) as list_pos, cast(cast(l_shipdate as date) as {s}) as published_at, l_returnflag as rating, l_linestatus as text, cast(l_suppkey as {s}) as region, '' as device from lineitem where l_quantity {q}"
 
 
-@query(f"with u as (select 0 as f, * from ({_LINES.format(s='varchar', q='>= 49')}) union all select 1, * from ({_LINES.format(s='varchar', q='between 47 and 49')})), k as (select * from u qualify row_number() over (partition by published_at, rating, text, region, device order by f, row_idx, list_pos) = 1) select published_at, rating, text, region, substr(published_at, 1, 7) as month, count(*) as n, min(list_pos) as list_pos from k group by all")
+@query(f"with u as (select 0 as f, * from ({_LINES.format(s='varchar', q='>= 25')}) union all select 1, * from ({_LINES.format(s='varchar', q='<= 26')})), k as (select * from u qualify row_number() over (partition by published_at, rating, text, region, device order by f, row_idx, list_pos) = 1) select published_at, rating, text, region, substr(published_at, 1, 7) as month, count(*) as n, min(list_pos) as list_pos from k group by all")
 def combine_dedup(spark, sf):
-    a, b = (P.view(spark, sf, _LINES.format(s="string", q=q)).dropDuplicates() for q in (">= 49", "between 47 and 49"))
+    a, b = (P.view(spark, sf, _LINES.format(s="string", q=q)).dropDuplicates() for q in (">= 25", "<= 26"))
     lowest = F.min(F.struct(F.col("row_idx"), F.col("list_pos")))
     keys = ["published_at", "rating", "text", "region", "device"]
     one = lambda f: f.groupBy(*keys).agg(lowest.alias("m")).select("m.row_idx", "m.list_pos", *keys)  # noqa: E731  rows that share a number: the least position first
@@ -394,10 +394,10 @@ def rule_classify(spark, sf):
     return d.select("doc_id", c["sentiment"].alias("sentiment"), c["confidence"].alias("confidence"))
 
 
-@query("select conv_id as post_id, string_agg(distinct role, '；' order by role) as queries, arg_min(left(text, 20), turn) as post_title from conversations group by 1")
+@query("select conv_id as post_id, string_agg(distinct role, '；' order by role) as queries, min(turn) as row_idx, arg_min(text, turn) as post_title from conversations group by 1")
 def post_query_dedup(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet")
-    return threads.merge_queries(c.select(F.col("conv_id").alias("post_id"), F.col("turn").alias("row_idx"), F.col("role").alias("query"), F.substring("text", 1, 20).alias("post_title")))
+    return threads.merge_queries(c.select(F.col("conv_id").alias("post_id"), F.col("turn").alias("row_idx"), F.col("role").alias("query"), F.col("text").alias("post_title")))
 
 
 @query("select conv_id as post_id, turn as ord, conv_id::varchar || '-' || turn::varchar as comment_id, case when turn > 0 then conv_id::varchar || '-0' else '' end as parent_id, conv_id::varchar || '-0' as thread_id, case when turn > 0 then 1 else 0 end as level from conversations where conv_id in (select conv_id from conversations where turn = 0)")
@@ -452,7 +452,7 @@ def release_canonical(spark, sf):
     return _releases(spark, sf).select("row_idx", "app_name", "release_channel", "version", "published_at", "test_start", "test_end", "source", "verification_status", "platform")
 
 
-@query(WITH_V + ", i as (select row_idx + 2 as row_no, unnest([case when version = '' and test_start = '' and test_end = '' then 'required:version|update_text|test' end, case when source = '' then 'required:source|evidence_file' end, case when verification_status = '已验证' then 'verified_without:update_text' end, case when verification_status = '已验证' and version = '' and release_channel <> '测试计划' then 'verified_without:version' end, case when row_number() over (partition by app_name, release_channel, version, published_at, test_start, test_end order by row_idx) > 1 then 'duplicate:' end]) as issue from v) select row_no, issue from i where issue is not null")
+@query(WITH_V + ", i as (select row_idx + 2 as row_no, unnest([case when version = '' and test_start = '' and test_end = '' then 'required:version|update_text|test' end, case when source = '' then 'required:source|evidence_file' end, case when verification_status = '已验证' then 'verified_without:update_text' end, case when verification_status = '已验证' and version = '' and release_channel <> '测试计划' then 'verified_without:version' end, case when row_number() over (partition by app_name, release_channel, version, published_at, test_start, test_end order by row_idx) > 1 then 'duplicate:row ' || (first_value(row_idx) over (partition by app_name, release_channel, version, published_at, test_start, test_end order by row_idx) + 2)::varchar end]) as issue from v) select row_no, issue from i where issue is not null")
 def release_issues(spark, sf):
     return releases.validate(_releases(spark, sf)).select("row_no", F.concat_ws(":", "code", "field").alias("issue"))
 
@@ -502,16 +502,16 @@ def ui_tree_fields(spark, sf):
 # Gates, reports and captures --------------------------------------------------------------------------------------------
 
 
-@query(WITH_R + ", g as (select region, platform, count(*) filter (rating = 1) > 45 as passed from r group by 1, 2) select region, platform, count(*) as n, avg(rating) as mean from r semi join (select * from g where passed) using (region, platform) group by 1, 2")
+@query(WITH_R + ", g as (select region, platform, count(*) filter (rating = 1) / count(*) > 0.2 as passed from r group by 1, 2) select region, platform, count(*) as n, avg(rating) as mean from r semi join (select * from g where passed) using (region, platform) group by 1, 2")
 def admitted_modules(spark, sf):
     r = reviews_of(spark, sf)
-    gate = r.groupBy("region", "platform").agg((F.count_if(F.col("rating") == 1) > 45).alias("passed"))
+    gate = r.groupBy("region", "platform").agg((F.count_if(F.col("rating") == 1) / F.count("*") > 0.2).alias("passed"))
     return metrics.admit(r, gate, ["region", "platform"]).groupBy("region", "platform").agg(F.count("*").alias("n"), F.avg("rating").alias("mean"))
 
 
-@query(WITH_R + "select region, count(distinct channel) as channels from r where d < date '1995-03-01' group by 1 having count(distinct channel) > 1")
+@query(WITH_R + "select region, d, count(distinct channel) as channels from r group by 1, 2 having count(distinct channel) > 1")
 def mixed_channels(spark, sf):
-    return metrics.one_channel(reviews_of(spark, sf).where("d < date '1995-03-01'"), ["region"])
+    return metrics.one_channel(reviews_of(spark, sf), ["region", "d"])
 
 
 _CLAIMS = "select * from (values ('most trade', 'Overview', 'EUROPE'), ('least', 'Trend', 'ASIA'), ('nowhere', 'Trend', 'ATLANTIS')) as c(claim, section, metric)"
@@ -519,8 +519,6 @@ _CLAIMS = "select * from (values ('most trade', 'Overview', 'EUROPE'), ('least',
 
 @query(f"with c as ({_CLAIMS}), a as (select r_name as metric, count(*) as value from nation join region on n_regionkey = r_regionkey group by 1) select metric, claim, section, value, case when value is not null then 'nation' end as source, value is not null as resolved from c left join a using (metric)")
 def evidence_matrix(spark, sf):
-    from plumbline.sources import sinks
-
     a = P.view(spark, sf, "select r_name as metric, count(*) as value, 'nation' as source from nation join region on n_regionkey = r_regionkey group by 1")
     return sinks.evidence_matrix(spark.sql(_CLAIMS), a)
 
@@ -560,12 +558,19 @@ def rating_words(spark, sf):
     return o.select(F.col("o_orderpriority").alias("device"), F.col("o_orderstatus").alias("level"), tagging.rating(F.lit(None), words).alias("rating")).groupBy("device", "level", "rating").agg(F.count("*").alias("n"))
 
 
-@query(None)
+@query("select doc_id from documents where ('0x' || substr(sha256(doc_id::varchar), 1, 8))::bigint % 100 < 10")
 def qa_sample(spark, sf):
     return tagging.qa_sample(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id"), "doc_id", 10)
 
 
-@query(None)
+@query("with s as (select doc_id, lang, source from documents where ('0x' || substr(sha256(doc_id::varchar), 1, 8))::bigint % 100 < 10), b as (select 'lang' as field, lang <> coalesce(nullif(lang, 'fr'), 'de') bad from s union all select 'source', false from s) select field, count(*) as checked, count(*) filter (bad) as wrong, count(*) filter (bad) / count(*) as error_rate, count(*) filter (bad) / count(*) > 0.1 as redo from b group by 1")
+def qa_result(spark, sf):
+    s = tagging.qa_sample(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang", "source"), "doc_id", 10)
+    checked = s.withColumn("lang", F.when(F.col("lang") == "fr", "de").otherwise(F.col("lang")))
+    return tagging.qa_result(s, checked, "doc_id", ["lang", "source"])
+
+
+@query("select doc_id, md5(trim(nfc_normalize(text), e' \\t\\n\\r')) as k from documents")
 def nfkc_keys(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(X.nfkc(F.col("text"))).alias("k"))
 
@@ -575,21 +580,292 @@ def mojibake(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(X.repair_mojibake(F.col("text"))).alias("k"))
 
 
-@query(None)
+#: Whole texts with a phrase of the vocabularies behind each, as the driver's prose has none.
+_PHRASES = ("闪退了", "没有歌词功能", "太难用", "发热耗电", "开屏广告", "鸿蒙适配很棒", "好看 谢谢", "建议增加倍速", "还行吧", "Spotify 比这个好", "什么时候上车机？", "垃圾 退款", "网易云音乐有")
+_TAG_ZH = _TAG.replace("rating, text from", "rating, text || ' ' || case d.doc_id % 13 " + " ".join(f"when {i} then '{p}'" for i, p in enumerate(_PHRASES)) + " end as text from")
+
+
+def _sql_has(p: str, of: str = "t") -> str:
+    return f"regexp_matches({of}, '(?i){p}')"
+
+
+def _sql_first(table, other: str) -> str:
+    return "case " + " ".join(f"when {_sql_has(p)} then '{n}'" for p, n in table) + f" else {other} end"
+
+
+_HEATED, _GOOD = _sql_has(R.HEATED), _sql_has(R.POSITIVE)
+_LABELS = (
+    f"with r as ({_TAG_ZH}), c as (select *, regexp_replace(text, '\\s+', ' ', 'g') t from r) select row_idx, {_sql_first([(p, n) for n, p in R.ISSUE_TYPES], chr(39) + '吐槽抱怨' + chr(39))} as issue_type, "
+    f"case when {_sql_has(R.URGENT)} then '高' when rating <= 2 then '中' else '低' end as urgency, "
+    f"case when {_HEATED} then -2 when {_GOOD} and not rating <= 2 then case when rating = 5 then 2 else 1 end when rating <= 2 then -1 else 0 end as emotion, "
+    f"case when {_sql_has(R.QUESTION)} then '求助提问' when {_sql_has('希望|建议|什么时候')} then '功能许愿' when {_sql_has('比|不如')} then '对比抱怨' when {_HEATED} then '情绪宣泄' when {_sql_has('哈哈|笑死')} then '调侃玩梗' else '理性评价' end as expression, "
+    f"coalesce(nullif(concat_ws(',', {', '.join(f'case when {_sql_has(p)} then {chr(39)}{n}{chr(39)} end' for n, p in R.MODULES.items())}), ''), '其他') as modules, {_sql_first(R.COMPETITORS, 'null')} as competitor, 'compat-v1' as taxonomy_version from c"
+)
+
+
+@query(_LABELS)
 def tag_labels(spark, sf):
-    r = P.view(spark, sf, _TAG).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
-    return tagging.tag(r).select("row_idx", "issue_type", "urgency", "emotion", "expression", F.array_join("modules", ",").alias("modules"), "taxonomy_version")
+    r = P.view(spark, sf, _TAG_ZH).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
+    return tagging.tag(r).select("row_idx", "issue_type", "urgency", "emotion", "expression", F.array_join("modules", ",").alias("modules"), "competitor", "taxonomy_version")
 
 
 @query("select cast(date_trunc('day', ts) as date) as day, event_type, count(*) as n, round(avg(value), 6) as mean_value from events group by 1, 2")
 def stream_daily(spark, sf):
-    import uuid
-
-    path = f"{sf}/events.parquet"
-    name = f"daily_{uuid.uuid4().hex}"
-    schema = spark.read.parquet(path).schema
+    folder = _folder(spark)
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
     stream = spark.readStream.schema(schema).format("parquet").load(f"{sf}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def keep(batch, epoch):  # the whole result so far replaces the one before
+        batch.write.mode("overwrite").parquet(f"{folder}/days")
+
     daily = incremental.daily(stream, "ts")
-    q = daily.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("day").cast("date").alias("day"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+    daily.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/days").select(F.col("day").cast("date").alias("day"), "event_type", "n", F.round("mean_value", 6).alias("mean_value"))
+
+
+# Threads from JSON to summary ---------------------------------------------------------------------------------------------
+
+#: What the comments of a conversation say: one phrase for each turn, chosen by conversation, turn and length of its text.
+_SAID = ("闪退", "好看", "好看但是卡顿", "什么时候适配", "哪个版本", "可以在设置里关闭", "😍", "。。。", "确实", "不是", "谢谢", "回复 小明：同感", "", "嗯嗯啊", "没有歌单", "🙄", "音质好听 会员太贵")
+_COMMENTS = "select conv_id, turn, role = 'user' as is_root, case (conv_id * 7 + turn * 3 + length(text)) % 17 " + " ".join(f"when {i} then '{t}'" for i, t in enumerate(_SAID)) + " end as said, length(text) % 50 as likes, case conv_id % 3 when 0 then '正向' when 1 then '负向' else '' end as stance from conversations"
+_ROLE = {"p": R.POSITIVE, "neg": R.NEGATIVE, "ab": R.ABSENCE, "w": R.FEATURE_WORD, "free": R.AD_FREE, "gap": R.FEATURE_GAP, "ask": R.INFO_QUESTION, "sol": R.SOLUTION, "up": R.POS_EMOJI, "down": R.NEG_EMOJI, "rel": R.RELIEF, "dis": R.DISAGREE}
+_BY_ITSELF = (
+    ("p and n", "混合", "褒贬并陈", "高", "mixed"),
+    ("p", "正向", "赞美/认可", "高", "positive"),
+    ("n and w", "负向", "功能缺口/投诉", "高", "negative"),
+    ("n", "负向", "批评/不满", "高", "negative"),
+    ("gap and w", "负向", "功能需求/期待改进", "中", "gap"),
+    ("ask", "中性", "求助/版本询问", "高", "question"),
+    ("sol", "中性", "解释/解决方案", "高", "solution"),
+    ("up and not down", "正向", "情绪表达", "中", "up"),
+    ("down and not up", "负向", "情绪表达", "中", "down"),
+)
+_SIDES = "('正向', '负向', '混合')"
+_PACK = "struct_pack(s := {0}, i := '{1}', c := '{2}', r := {3})"
+_DIRECT = "case " + " ".join(f"when {c} then " + _PACK.format(f"'{s_}'", i, k, f"'{R.REASONS[x]}'") for c, s_, i, k, x in _BY_ITSELF) + " else " + _PACK.format("'待语境'", "待语境", "低", f"'{R.REASONS['open']}'") + " end"
+
+
+def _about(key: str, label: str) -> str:
+    return f"replace('{R.REASONS[key]}', '%s', {label})"
+
+
+_AS_ROOT = f"case when d.s <> '待语境' then d when agr and stance in {_SIDES} then {_PACK.format('stance', '回应帖子/赞同', '中', _about('agrees_post', 'stance'))} when sig and stance in {_SIDES} then {_PACK.format('stance', '回应帖子/情绪表达', '低', _about('signs_post', 'stance'))} else d end"
+_AS_REPLY = " ".join(
+    [
+        "case when d.s <> '待语境' then d",
+        f"when agr and rs in {_SIDES} then {_PACK.format('rs', '赞同上级评论', '高', _about('agrees_root', 'rs'))}",
+        f"when agr and rs = '中性' then {_PACK.format(repr('中性'), '赞同中性信息', '中', repr(R.REASONS['agrees_neutral']))}",
+        f"when dis and rs = '负向' then {_PACK.format(repr('正向'), '反驳负面评价', '中', repr(R.REASONS['against_negative']))}",
+        f"when dis and rs = '正向' then {_PACK.format(repr('负向'), '反驳正面评价', '中', repr(R.REASONS['against_positive']))}",
+        f"when rel and rs = '负向' then {_PACK.format(repr('正向'), '问题缓解', '中', repr(R.REASONS['relief']))}",
+        f"when sol then {_PACK.format(repr('中性'), '解释/解决方案', '高', repr(R.REASONS['solution_reply']))}",
+        f"when sig and rs in {_SIDES} then {_PACK.format('rs', '回应上级评论/情绪表达', '低', _about('signs_root', 'rs'))}",
+        "else d end",
+    ]
+)
+WITH_P = (
+    f"with c as ({_COMMENTS}), x as (select *, trim(regexp_replace(said, '^回复\\s+[^:：]+\\s*[:：]\\s*', '')) v, last_value(case when is_root then turn end ignore nulls) over (partition by conv_id order by turn rows unbounded preceding) rt from c), "
+    f"y as (select *, {', '.join(f'{_sql_has(p, chr(118))} {k}' for k, p in _ROLE.items())}, {_sql_has(R.AGREE, 'v')} or {_sql_has(R.AGREE_PREFIX, 'v')} agr, regexp_matches(v, '^[^\\p{{L}}]+$') sig from x where said <> ''), "
+    f"z as (select * exclude (n0), {_DIRECT} d from (select *, (neg or (ab and w and not free)) n, 0 n0 from y)), "
+    f"q as (select *, {_AS_ROOT} a from z), "
+    "k as (select q.*, coalesce(t.said, '') root_text, coalesce(t.a.s, '') rs from q left join q t on t.conv_id = q.conv_id and t.turn = q.rt and t.is_root), "
+    f"m as (select *, case when is_root then a else {_AS_REPLY} end f from k), "
+    "o as (select conv_id::varchar as post_id, conv_id::varchar || '-' || turn::varchar as comment_id, conv_id::varchar || '-' || coalesce(rt, turn)::varchar as thread_id, case when is_root then '一级评论' else '回复1级' end as level, root_text, said as text, likes, d.s as rule_sentiment, f.s as context_sentiment, "
+    f"case when f.s = '待语境' then '' else f.s end as final_sentiment, f.i as intent, coalesce(nullif(concat_ws('；', {', '.join(f'case when {_sql_has(p, chr(115) + chr(97) + chr(105) + chr(100))} then {chr(39)}{n}{chr(39)} end' for n, p in R.TOPICS.items())}), ''), '{R.OTHER_TOPIC}') as topics, f.r as reason, f.c as confidence, "
+    "case when f.s = '待语境' or f.c = '低' or root_text = '' then 'yes' else 'no' end as needs_review, turn from m) "
+)
+
+
+def _prepared(spark, sf):
+    c = P.view(spark, sf, _COMMENTS)
+    comment = F.struct("turn", F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("said").alias("text"), "likes", (~F.col("is_root")).alias("is_reply"))
+    posts = c.groupBy("conv_id", "stance").agg(F.array_sort(F.collect_list(comment)).alias("comments"), F.count("*").alias("collected_comments"))
+    body = F.struct(F.col("conv_id").alias("id"), "stance", F.lit(9).alias("expected_comments"), "collected_comments", "comments")
+    return threads.prepare(posts.select(F.col("conv_id").alias("row_idx"), F.parse_json(F.to_json(body)).alias("post")))
+
+
+@query(WITH_P + "select * exclude (turn, likes) from o")
+def thread_prepare(spark, sf):
+    return _prepared(spark, sf).select("post_id", "comment_id", "thread_id", "level", "root_text", "text", "rule_sentiment", "context_sentiment", "final_sentiment", "intent", "topics", "reason", "confidence", "needs_review")
+
+
+_LABEL = "case when final_sentiment <> '' then final_sentiment when context_sentiment in ('', '待语境') then '未判定' else context_sentiment end"
+_NAMES = {"positive": "正向", "negative": "负向", "mixed": "混合", "neutral": "中性", "undecided": "未判定"}
+
+
+@query(
+    WITH_P
+    + f", l as (select *, {_LABEL} as label from o), g as (select count(distinct post_id) as posts, count(distinct (post_id, thread_id)) as threads, count(*) as comments, count(*) filter (label in {_SIDES}) as directional, "
+    + ", ".join(f"count(*) filter (label = '{n}') as {k}, coalesce(sum(likes) filter (label = '{n}'), 0)::bigint as likes_{k}" for k, n in _NAMES.items())
+    + ", count(*) filter (needs_review = 'yes') as needs_review, count(*) filter (label = '未判定') as unresolved from l), n as (select sum(k)::bigint as collected_comments from (select conv_id, count(*) k from c group by 1 having count(*) filter (said <> '') > 0))"
+    + " select g.*, round(positive / directional, 4) as share_positive, round(negative / directional, 4) as share_negative, round(mixed / directional, 4) as share_mixed, round(positive / nullif(negative, 0), 4) as ratio, 9 * posts as expected_comments, collected_comments from g, n"
+)
+def thread_totals(spark, sf):
+    return threads.summarize(_prepared(spark, sf).withColumn("row_idx", F.col("row_idx") * 100 + F.col("ord")))["totals"]
+
+
+@query(WITH_P + f", l as (select *, {_LABEL} as label from o), t as (select unnest(string_split(topics, '；')) as topic, label, likes from l) select topic, count(*) as comments, sum(likes)::bigint as likes, " + ", ".join(f"count(*) filter (label = '{n}') as n_{i}" for i, n in enumerate(_NAMES.values())) + " from t group by 1")
+def thread_topics(spark, sf):
+    return threads.summarize(_prepared(spark, sf).withColumn("row_idx", F.col("row_idx") * 100 + F.col("ord")))["topics"]
+
+
+@query(
+    WITH_P
+    + ", b as (select case when turn % 5 = 0 then '' else thread_id end th, case when turn % 7 = 0 then '?' else final_sentiment end fs, case when turn = 3 then '' else root_text end rx, level, needs_review from o), i as (select unnest([case when th = '' then 'error:missing:thread_id' end, case when fs not in ('', '正向', '负向', '混合', '中性', '未判定') then 'error:vocabulary:final_sentiment' end, case when needs_review = 'yes' and fs = '' then 'warning:unresolved:' end, case when level <> '一级评论' and rx = '' then 'warning:no_root:' end]) as issue from b) select issue, count(*) as n from i where issue is not null group by 1"
+)
+def thread_issues(spark, sf):
+    turn = F.substring_index("comment_id", "-", -1).cast("int")
+    rows = _prepared(spark, sf).withColumns({"thread_id": F.when(turn % 5 == 0, "").otherwise(F.col("thread_id")), "final_sentiment": F.when(turn % 7 == 0, "?").otherwise(F.col("final_sentiment")), "root_text": F.when(turn == 3, "").otherwise(F.col("root_text"))})
+    return threads.validate(rows).groupBy(F.concat_ws(":", "severity", "code", "field").alias("issue")).agg(F.count("*").alias("n"))
+
+
+# Files written and read back --------------------------------------------------------------------------------------------
+
+
+def _folder(spark) -> str:
+    """A new folder in the shared one (spark.checkpoint.dir); a temporary one where that is unset and all runs here."""
+    import tempfile
+    import uuid
+
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="plumbline-")
+
+
+@query("select (row_number() over (order by n_nationkey) - 1)::bigint as row_idx, n_nationkey::varchar as n_nationkey, n_name || ', \"x\"' || chr(10) || 'y' as n_name from nation")
+def csv_round_trip(spark, sf):
+    folder = _folder(spark)
+    n = spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").select("n_nationkey", F.concat(F.col("n_name"), F.lit(', "x"\ny')).alias("n_name"))
+    sinks.write_files(spark, folder, {"nation.csv": sinks.csv_text(n)})
+    return readers.csv_table(spark, f"{folder}/nation.csv")
+
+
+@query("select (row_number() over (order by n_nationkey) - 1)::bigint as row_idx, n_name as app_name, case when n_regionkey = 1 then '正式版' when n_regionkey = 2 then '测试计划' else '未知' end as release_channel, case when n_regionkey = 1 then '1996-01-' || lpad((n_nationkey + 1)::varchar, 2, '0') else '' end as published_at, case when n_regionkey <> 1 then '1996-01-' || lpad((n_nationkey + 1)::varchar, 2, '0') else '' end as test_start, 'page' as source from nation")
+def json_updates(spark, sf):
+    folder = _folder(spark)
+    day = F.concat(F.lit("1996-01-"), F.lpad((F.col("n_nationkey") + 1).cast("string"), 2, "0"))
+    channel = F.when(F.col("n_regionkey") == 1, "正式").when(F.col("n_regionkey") == 2, "测试").otherwise("")
+    n = spark.read.parquet(f"{sf}/nation.parquet").orderBy("n_nationkey").select(F.col("n_name").alias("应用名称"), channel.alias("渠道"), day.alias("时间"))
+    sinks.write_files(spark, folder, {"updates.json": sinks.json_text(n, "updates")})
+    rows = readers.update_records(spark, f"{folder}/updates.json", source="page")
+    return rows.select("row_idx", "app_name", "release_channel", "published_at", "test_start", "source")
+
+
+@query("with e as (select user_id, event_id % 6 as i, arg_max(event_type, event_id) as s, arg_max(props, event_id) as t from events group by 1, 2) select 'screen_' || lpad(user_id::varchar, 4, '0') || '.json' as screen, (i + user_id % 3 - 1)::int as idx, s as Stars, t as Text from e where i + user_id % 3 - 1 >= 0")
+def screen_files(spark, sf):
+    folder = _folder(spark)
+    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("i", F.col("event_id") % 6).groupBy("user_id", "i").agg(F.max_by("event_type", "event_id").alias("s"), F.max_by("props", "event_id").alias("t"))
+    node = lambda field, value: F.struct(F.struct(F.concat(F.lit(f"CommentDetail{field}"), F.col("i").cast("string")).alias("key"), F.col(value).alias("text")).alias("attributes"))
+    trees = e.groupBy("user_id").agg(F.to_json(F.struct(F.flatten(F.collect_list(F.array(node("Stars", "s"), node("Text", "t")))).alias("children"))).alias("j"))
+    name = F.concat(F.lit("screen_"), F.lpad(F.col("user_id").cast("string"), 4, "0"), F.lit(".json"))
+    screens = trees.select(name.alias("n"), "j").collect()  # one file for each screen of a collection
+    sinks.write_files(spark, folder, {r["n"]: r["j"] for r in screens} | {"screen_broken.json": "{"})
+    offsets = trees.select(name.alias("screen"), (F.col("user_id") % 3 - 1).cast("int").alias("shift"))
+    return readers.screens(spark, folder, offsets)[0].select("screen", "idx", "Stars", "Text")
+
+
+@query("with e as (select *, case when rating <= 2 then 'low' else 'high' end as c from (" + P.REVIEWS + ")) select c as channel, count(*) as n, sum(rating)::bigint as stars, min(region) as first_region from e group by 1")
+def tagged_files(spark, sf):
+    folder = _folder(spark)
+    r = reviews_of(spark, sf).withColumn("channel", F.when(F.col("rating") <= 2, "low").otherwise("high"))
+    sinks.tagged(r.select("channel", "rating", F.array("region", "platform").alias("regions")), folder)
+    back = readers.json_lines(spark, f"{folder}/jsonl", "channel string, rating int, regions array<string>")
+    return back.groupBy("channel").agg(F.count("*").alias("n"), F.sum("rating").alias("stars"), F.min(F.col("regions")[0]).alias("first_region"))
+
+
+@query(WITH_R + "select row_number() over (order by id) as seq, id as list_pos, cast(d as varchar) || ' 08:30' as published_at, rating, region from r where year(d) = 1997 and month(d) = 5")
+def month_rows(spark, sf):
+    r = reviews_of(spark, sf)
+    shown = F.concat(F.date_format("d", "yyyy/M/d"), F.lit(" 08:30 | "), F.col("region"), F.lit(" | phone"))
+    fields = r.select(F.col("id").alias("idx"), F.lit("someone").alias("Username"), F.col("rating").cast("string").alias("Stars"), F.lit("").alias("StarMessage"), F.lit("t").alias("Text"), shown.alias("PostInfo"))
+    return reviews.assemble(fields, F.lit("2001-12-31").cast("date"), (1997, 5)).select(F.col("seq").cast("long").alias("seq"), "list_pos", "published_at", "rating", "region")
+
+
+@query("select (event_id % 997)::int as idx, arg_max(event_type, event_id) as Stars, arg_max(props, (length(props), event_id)) as Text from events group by 1")
+def stream_collected(spark, sf):
+    folder = _folder(spark)
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    partial = e.select((F.col("event_id") % 997).cast("int").alias("idx"), F.col("event_id").cast("int").alias("seq"), F.lit("u").alias("Username"), F.col("event_type").alias("Stars"), F.lit("").alias("StarMessage"), F.col("props").alias("Text"), F.lit("today").alias("PostInfo"))
+    partial.write.parquet(f"{folder}/in")
+    stream = spark.readStream.schema(partial.schema).parquet(f"{folder}/in")
+    incremental.collect_screens(stream, f"{folder}/target", f"{folder}/checkpoint", align=False).awaitTermination()
+    return incremental.current(spark, f"{folder}/target").select("idx", "Stars", "Text")
+
+
+@query(WITH_V + "select app_name, count(*) as n from v where verification_status = '已验证' group by 1")
+def releases_verified(spark, sf):
+    return releases.verified(_releases(spark, sf)).groupBy("app_name").agg(F.count("*").alias("n"))
+
+
+# Themes, segments and gaps ------------------------------------------------------------------------------------------------
+
+
+@query(WITH_T + ", q as (select theme, 'r' || cast(id % 1000 as varchar) as text, id from t where theme is not null), u as (select theme, text, min(id) as id from q group by 1, 2), n as (select *, row_number() over (partition by theme order by length(text), id) as nth from u) select theme, nth, id, text from n where nth <= 2")
+def theme_quotes(spark, sf):
+    t = themed(spark, sf).where("theme is not null").withColumn("text", F.concat(F.lit("r"), (F.col("id") % 1000).cast("string")))
+    return metrics.quotes(t, "theme")
+
+
+@query(
+    WITH_T
+    + ", w as (select *, cast(date_trunc('week', d) as date) as week from t), n as (select week, count(distinct id) as n from w group by 1), s as (select w.week, theme, count(distinct id) / min(n.n) as share from w join n using (week) where theme is not null group by 1, 2), p as (select theme, week as peak_week, share as peak_share from s qualify row_number() over (partition by theme order by share desc, week) = 1) select theme, peak_week, peak_share, min(week) as first_week, max(week) as last_week, count(*) filter (week <= peak_week) as weeks_rising, count(*) filter (week > peak_week) as weeks_falling, count(*) filter (share >= peak_share / 2) as weeks_high from s join p using (theme) group by 1, 2, 3"
+)
+def theme_lifecycle(spark, sf):
+    return metrics.lifecycle(themed(spark, sf))
+
+
+@query(WITH_T + ", k as (select theme from t where theme is not null group by 1 order by count(distinct id) desc, avg(rating), theme limit 5) select cast(date_trunc('week', d) as date) as week, theme, count(distinct id) as mentions, avg(rating) as mean from t where theme in (select theme from k) group by 1, 2")
+def theme_trend(spark, sf):
+    return metrics.theme_trend(themed(spark, sf), 5)
+
+
+@query(WITH_R + "select case region when 'FRANCE' then 'west' when 'GERMANY' then 'west' when 'JAPAN' then 'east' when 'CHINA' then 'east' else '其他' end as region, platform as device_series, cast(date_trunc('week', d) as date) as week, count(*) as n, avg(rating) as mean from r group by 1, 2, 3 having count(*) >= 5")
+def shareable_weeks(spark, sf):
+    r = reviews_of(spark, sf).withColumn("device_series", F.col("platform"))
+    return metrics.shareable(r, {"FRANCE": "west", "GERMANY": "west", "JAPAN": "east", "CHINA": "east"}, 5)
+
+
+@query(WITH_R + ", c as (select region, platform, count(*) n, row_number() over (partition by region order by count(*) desc, platform) k from r group by 1, 2), a as (select region, channel, row_number() over (partition by region order by count(*) desc, channel) k from r group by 1, 2) select r.region as segment, count(*) as n, avg(rating) as mean, count(*) filter (rating = 1) as n_risk, count(*) filter (rating = 1) >= 0.1 * count(*) as high_risk, min(c.platform) as top_device, min(a.channel) as top_ask from r join c on c.region = r.region and c.k = 1 join a on a.region = r.region and a.k = 1 group by 1 having count(*) >= 10")
+def persona_devices(spark, sf):
+    r = reviews_of(spark, sf).select(F.col("region").alias("segment"), "id", "rating", F.lit("t").alias("text"), F.col("platform").alias("device"), F.col("channel").alias("ask"))
+    return metrics.personas(r, risk=F.col("rating") == 1).drop("quote_ids")
+
+
+@query(_PARITY + ", f as (select key, left_status l, right_status r from p), g as (select key as feature_id, case when l = '明确缺失' and r in ('已验证存在', '部分可用') then 'absent' when l = '部分可用' and r = '已验证存在' then 'partial' when l in ('已验证存在', '部分可用') and r = '明确缺失' then 'ahead' end as gap_status from f) select feature_id, gap_status from g where gap_status is not null")
+def gap_status(spark, sf):
+    return inventory.gap_status(_matrix(spark, sf))
+
+
+@query(WITH_I + "select status, count(*) as n from i group by 1")
+def status_histogram(spark, sf):
+    return inventory.status_histogram(_inventory(spark, sf))
+
+
+@query(WITH_T + f", m as (select theme, count(distinct id) n, avg(rating) mean, count(*) filter (rating <= 2) / count(*) bad from t where theme is not null group by 1), k as (select *, row_number() over (order by n desc, mean, theme) rank from m) select theme, case when rank = 2 then '{R.NATURES[4]}' when rank = 1 then '{R.NATURES[0]}' when mean < 2.2 then '{R.NATURES[1]}' when mean >= 4 then '{R.NATURES[5]}' else '{R.NATURES[3]}' end as nature from k")
+def theme_nature(spark, sf):
+    t = metrics.themes(themed(spark, sf))
+    gap = F.when(F.col("rank") == 1, "absent")
+    return t.select("theme", R.theme_nature(F.col("theme"), F.col("rank"), F.col("mean"), F.col("bad"), gap, F.col("rank") == 2).alias("nature"))
+
+
+@query("select (event_id % 500)::bigint as idx from events where event_id % 2 = 0 group by 1 having count(*) > 0 intersect select (event_id % 300)::bigint from events")
+def page_overlap(spark, sf):
+    e = spark.read.parquet(f"{sf}/events.parquet")
+    return reviews.overlap(e.select((F.col("event_id") % 300).alias("idx")), e.where("event_id % 2 = 0").select((F.col("event_id") % 500).alias("idx")))
+
+
+@query(WITH_R + "select count(*) as rows, min(cast(d as varchar)) as date_min, max(cast(d as varchar)) as date_max, count(*) - count(distinct (d, rating, region, platform)) as duplicate_rows, max(id) - min(id) + 1 - count(distinct id) as gap_count, 0::bigint as missing_content, 0::bigint as missing_rating, '1:' || count(*) filter (rating = 1) || ',2:' || count(*) filter (rating = 2) || ',3:' || count(*) filter (rating = 3) || ',4:' || count(*) filter (rating = 4) || ',5:' || count(*) filter (rating = 5) as stars from r")
+def file_audit(spark, sf):
+    text = lambda c: F.col(c).cast("string")
+    r = reviews_of(spark, sf).select("row_idx", text("id").alias("list_pos"), text("d").alias("published_at"), text("rating").alias("rating"), F.lit("t").alias("text"), "region", F.col("platform").alias("device"))
+    out = reviews.audit_file(r)
+    return out.withColumn("stars", F.array_join(F.transform(F.map_entries("stars"), lambda e: F.concat_ws(":", e["key"], e["value"].cast("string"))), ",")).drop("first_gaps")
+
+
+@query(WITH_T + ", m as (select theme, count(distinct id) n, avg(rating) mean, count(*) filter (rating <= 2) / count(*) bad from t where theme is not null group by 1) select theme, case when mean < 2.2 then 'red' when mean < 2.6 then 'orange' when mean < 3 then 'blue' else 'green' end as colour, printf('%d · %.2f · %.1f%%', n, mean, 100 * bad) as label from m")
+def chart_themes(spark, sf):
+    r = reviews_of(spark, sf)
+    t = metrics.themes(themed(spark, sf))
+    devices = metrics.by_key(r.withColumn("device", F.col("platform")), "device")
+    heat = spark.createDataFrame([], "theme string, a double")
+    frames = sinks.chart_frames(metrics.weekly(r), P.view(spark, sf, P.RELEASES), t, metrics.reversal(themed(spark, sf), P.view(spark, sf, _FEATURE)), devices, metrics.distribution(r), heat)
+    return frames["figure_2"].select("theme", "colour", "label")

@@ -26,10 +26,13 @@ SCREENS = "select event_id % 97 as idx, event_id as seq, case when event_id % 3
 THREADS = """select conv_id as post_id, turn as ord, conv_id * 100 + turn as comment_id, role = 'user' as is_root, text,
  case when length(text) % 4 = 0 then 'pos' when length(text) % 4 = 1 then 'neg' when length(text) % 7 = 2 then 'mix' else 'neutral' end as label, cast(length(text) % 50 as bigint) as n_likes
  from conversations"""
-#: Two inventories of features.
-INVENTORY = """select l_orderkey * 10 + l_linenumber as row_idx, l_linestatus as side, lower(p_brand) || '|' || lower(p_type) || '|' || cast(p_size as varchar(10)) as feature,
- p_type as module, case l_returnflag when 'A' then '明确缺失' when 'N' then '已验证存在' else '部分可用' end as status, case when l_quantity >= 50 then 'e' || cast(l_suppkey as varchar(10)) else '' end as evidence
- from lineitem join part on l_partkey = p_partkey where l_quantity >= 49"""
+#: Two inventories of features: every line is a row of its line status' side. A feature's status follows from its part's
+#: size, differently on each side; one line in some hundred tells another, which is a conflict. Every tenth size has a
+#: feature of its own on side O, so that each side lacks some.
+INVENTORY = """select l_orderkey * 10 + l_linenumber as row_idx, l_linestatus as side, lower(p_brand) || '|' || lower(p_type) || '|' || cast(p_size as varchar(10)) || case when l_linestatus = 'O' and p_size % 10 = 0 then '|o' else '' end as feature,
+ p_type as module, case case when l_quantity >= 50 and l_discount >= 0.1 then (p_size + 1) % 3 when l_linestatus = 'F' then p_size % 3 else p_size % 4 end when 0 then '明确缺失' when 1 then '已验证存在' else '部分可用' end as status,
+ case when l_quantity >= 50 then 'e' || cast(l_suppkey as varchar(10)) else '' end as evidence
+ from lineitem join part on l_partkey = p_partkey"""
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Sources. Each numbers its rows (row_idx, from 0, in file order), as all first-wins rules depend on it.
 
-Report-sized files (a CSV of reviews, a JSON export) are read as one record each and parsed in place, so the numbers
-follow the file; large inputs come as Parquet with a row_idx of their own.
+Report-sized files by position (an inventory) or of JSON (an export) are read as one record each and parsed in place, so
+the numbers follow the file; large inputs come as Parquet with a row_idx of their own.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,40 +42,56 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def csv_table(spark: SparkSession, path: str, cleaned: bool = False) -> DataFrame:
-    """A CSV by its header: every cell text, missing ones empty, blank lines skipped; cleaned: white space collapsed too."""
-    rows = _rows(spark, path)
-    header = rows.where("row = 0").orderBy("file").first()
-    if header is None:
+    """A CSV by its header: every cell text, missing ones empty, blank lines skipped, quoted cells may hold line breaks, a
+    byte order mark is dropped; cleaned: white space collapsed too. Read by Spark's own reader, a file a task; of several
+    files each is numbered by itself, and the first one's header holds."""
+    from pyspark.sql import Window
+
+    table = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
+    if not table.columns:
         return spark.createDataFrame([], "row_idx long")
-    columns = [F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(h) for i, h in enumerate(header["cells"])]
-    body = rows.where("row > 0 and size(cells) > 0").select((F.col("row") - 1).alias("row_idx"), *columns)
-    return body.select("row_idx", *(clean(F.col(f"`{h}`")).alias(h) for h in header["cells"])) if cleaned else body
-
-
-def repair_legacy(values: list[str], header: list[str]) -> list[str]:
-    """A row of an old inventory whose empty level cells moved its status: the first known status from the first level on
-    is the status; what is before it are the levels (surplus blanks dropped from the right, a surplus rest joined into the
-    sixth), what follows are evidence and notes. Without a known status the row is only padded or cut."""
-    known = {*ALLOWED_STATUSES, *STATUS_ALIASES}
-    cell = lambda v: unicodedata.normalize("NFKC", v or "").strip()
-    start, status = header.index("一级功能"), header.index("验证状态")
-    at = next((i for i in range(start, len(values)) if cell(values[i]) in known), None)
-    if at is None:
-        return (values + [""] * len(header))[: len(header)]
-    levels, room = [cell(v) for v in values[start:at]], len(LEVELS)
-    for i in reversed(range(len(levels))):
-        if len(levels) > room and not levels[i]:
-            del levels[i]
-    if len(levels) > room:
-        levels[room - 1 :] = [" / ".join(levels[room - 1 :])]
-    out = dict.fromkeys(range(len(header)), "")
-    out |= dict(enumerate(values[:start])) | {start + i: v for i, v in enumerate(levels) if start + i < status} | {status: cell(values[at])}
-    rest = [cell(v) for v in values[at + 1 :]]
-    if "证据文件" in header and rest:
-        out[header.index("证据文件")] = rest[0]
-    if "备注" in header and len(rest) > 1:
-        out[header.index("备注")] = "；".join(v for v in rest[1:] if v)
-    return [out[i] for i in range(len(header))]
+    names = [c.removeprefix("\ufeff") for c in table.columns]
+    rows = table.toDF(*names).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    form = clean if cleaned else lambda c: F.coalesce(c, F.lit(""))
+    nth = F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("long") - 1
+    return rows.select(nth.alias("row_idx"), *(form(F.col(f"`{h}`")).alias(h) for h in names))
+
+
+def repaired(cells: Column, header: list[str]) -> Column:
+    """The cells of a row of an old inventory in the header's order, where empty level cells had moved its status.
+
+    cells: an array in NFKC, trimmed. The first known status from the first level on is the status. The levels are what
+    stands before it; over six, blanks go from the right as far as needed, then the rest joins into the sixth. What follows
+    is the evidence, then notes. Without a known status the row is only padded or cut.
+    """
+    start, status, room = header.index("一级功能"), header.index("验证状态"), len(LEVELS)
+    known = F.array(*(F.lit(x) for x in sorted({*ALLOWED_STATUSES, *STATUS_ALIASES})))
+    tail = F.slice(cells, start + 1, F.lit(1 << 20))
+    at = F.array_position(F.transform(tail, lambda x: F.array_contains(known, x)), True).cast("int")
+    before = F.slice(tail, F.lit(1), F.greatest(at - 1, F.lit(0)))
+    numbered = F.transform(before, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    blanks = F.reverse(F.transform(F.filter(numbered, lambda r: r["x"] == ""), lambda r: r["i"]))
+    go = F.slice(blanks, F.lit(1), F.greatest(F.size(before) - room, F.lit(0)))
+    left = F.transform(F.filter(numbered, lambda r: ~F.array_contains(go, r["i"])), lambda r: r["x"])
+    sixth = F.array_join(F.slice(left, F.lit(room), F.lit(1 << 20)), " / ")
+    levels = F.when(F.size(left) > room, F.concat(F.slice(left, 1, room - 1), F.array(sixth))).otherwise(left)
+    rest = F.slice(tail, at + 1, F.lit(1 << 20))
+    notes = F.array_join(F.filter(F.slice(rest, 2, 1 << 20), lambda x: x != ""), "；")
+    cell = lambda c: F.coalesce(c, F.lit(""))
+    out = []
+    for i, name in enumerate(header):
+        if i == status:
+            moved = F.get(tail, at - 1)
+        elif name == "证据文件":
+            moved = F.get(rest, F.lit(0))
+        elif name == "备注":
+            moved = notes
+        elif i < start:
+            moved = F.get(cells, F.lit(i))
+        else:
+            moved = F.get(levels, F.lit(i - start)) if i < status else F.lit("")
+        out.append(F.when(at > 0, cell(moved)).otherwise(cell(F.get(cells, F.lit(i)))))
+    return F.array(*out)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
@@ -89,14 +105,10 @@ def inventory(spark: SparkSession, path: str) -> DataFrame:
     if not header:
         return spark.createDataFrame([], "row_idx long")
     old = {"验证状态", "一级功能"} <= set(header) and not {"平台", "验证深度"} & set(header)
-
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def fix(cells: pd.Series) -> pd.Series:
-        return cells.map(lambda c: repair_legacy(list(c), header))
-
-    cells = fix("cells") if old else F.col("cells")
-    body = rows.where("row > 0").select((F.col("row") - 1).alias("row_idx"), cells.alias("cells"))
-    return body.select("row_idx", *(nfkc(F.get("cells", F.lit(i))).alias(h) for i, h in enumerate(header)))
+    form = F.transform(F.split(nfkc(F.array_join("cells", "\x1f", "")), "\x1f"), lambda x: F.trim(x))  # one call for all cells
+    body = rows.where("row > 0").select((F.col("row") - 1).alias("row_idx"), form.alias("cells"))
+    body = body.withColumn("cells", repaired(F.col("cells"), header)) if old else body
+    return body.select("row_idx", *(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(h) for i, h in enumerate(header)))
 
 
 def json_records(spark: SparkSession, path: str, keys: tuple[str, ...]) -> DataFrame:

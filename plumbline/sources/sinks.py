@@ -10,7 +10,9 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.rules import colour
 from plumbline.functions.text import markdown_cell
+from plumbline.operators.issues import quality_checks
 from plumbline.operators.releases import CHANNELS
 
 
@@ -69,11 +71,34 @@ def month_report(rows: DataFrame, histogram: DataFrame) -> dict[str, str]:
     return {"md": f"# Reviews\n\n{stars}\n{markdown_table(rows)}", "json": json_text(rows, "reviews"), "csv": csv_text(rows)}
 
 
-def sentiment_report(summary: DataFrame, topics: DataFrame, coverage: DataFrame) -> str:
-    """Coverage, shares in percent and the 15 topics with most comments."""
-    s, c = summary.first(), coverage.first()
-    shares = "".join(f"- {k}: {s[k]} ({s[f'share_{k}']:.1%})\n" for k in ("positive", "negative", "mixed"))
-    return f"# Sentiment\n\n{s['comments']} comments in {s['threads']} threads of {s['posts']} posts; expected {c['expected_comments']}, collected {c['collected_comments']}.\n\n{shares}\n{markdown_table(topics.orderBy(F.desc('comments'), 'topic').limit(15))}\nOnly collected comments are counted; shares are of directional ones.\n"
+def sentiment_report(parts: dict[str, DataFrame]) -> str:
+    """The report of threads.summarize(): coverage, all five labels, shares in percent, ratio, the 15 topics with most
+    comments, and what the figures do not say."""
+    t = parts["totals"].first()
+    shares = ", ".join(f"{k} {t[f'share_{k}']:.1%}" for k in ("positive", "negative", "mixed"))
+    counts = "; ".join(f"{k}: {t[k]}" for k in ("positive", "negative", "mixed", "neutral", "undecided"))
+    likes = "; ".join(f"{k}: {t[f'likes_{k}']}" for k in ("positive", "negative", "mixed", "neutral", "undecided"))
+    threads = "; ".join(f"{r['thread_label']}: {r['n']}" for r in _bounded(parts["threads"].orderBy("thread_label"), 100))
+    lines = [
+        "# Sentiment",
+        "\n## Sample and coverage\n",
+        f"- posts: {t['posts']}; threads: {t['threads']}; comments: {t['comments']}",
+        f"- reported as collected: {t['collected_comments']}; expected: {t['expected_comments']}",
+        f"- to be reviewed: {t['needs_review']}; undecided: {t['unresolved']}",
+        "\n## Labels\n",
+        f"- {counts}",
+        f"- of comments with a direction: {shares}",
+        f"- positive to negative: {'none is negative' if t['ratio'] is None else t['ratio']}",
+        f"- likes ({likes}) are interaction, not weight of people",
+        f"- threads ({threads})",
+        "\n## Topics\n",
+        markdown_table(parts["topics"].orderBy(F.desc("comments"), "topic").limit(15)),
+        "## Limits\n",
+        "- The sample depends on search words, time, ranking and login; it does not stand for all users.",
+        "- Hot posts, deleted comments and replies that could not be opened shift it.",
+        "- Rule labels only sort; the fields reviewed in context count.",
+    ]
+    return "\n".join(lines) + "\n"
 
 
 def parity_report(matrix: DataFrame, counts: DataFrame) -> dict[str, str]:
@@ -82,11 +107,82 @@ def parity_report(matrix: DataFrame, counts: DataFrame) -> dict[str, str]:
 
 
 def tagged(df: DataFrame, folder: str) -> None:
-    """Tagged reviews as JSON lines, of any size."""
-    df.write.mode("overwrite").json(folder)
+    """Tagged reviews as JSON lines and as CSV with a byte order mark in front of each file's header, arrays comma-joined; of
+    any size, written by the executors."""
+    df.write.mode("overwrite").json(f"{folder}/jsonl")
+    flat = [F.array_join(c, ",").alias(c) if df.schema[c].dataType.typeName() == "array" else F.col(c).cast("string").alias(c) for c in df.columns]
+    text = df.select(*flat)
+    marked = text.select(*(F.col(c).alias(("\ufeff" if i == 0 else "") + c) for i, c in enumerate(text.columns)))
+    marked.write.mode("overwrite").option("header", True).option("quote", '"').option("escape", '"').csv(f"{folder}/csv")
+
+
+def tagging_summary(df: DataFrame, rules, identity: list[str] | tuple[str, ...], evidence: list[str]) -> str:
+    """What a tagging run did: valid, repeated and other invalid rows by reason, period, mean rating, key of repeats, evidence
+    columns, names, versions and digest of the rules."""
+    n = df.agg(F.count("*").alias("rows"), F.count_if("is_valid").alias("valid"), F.min("date").alias("first"), F.max("date").alias("last"), F.avg(F.when(F.col("is_valid"), F.col("rating"))).alias("mean")).first()
+    reasons = _bounded(df.where("not is_valid").groupBy("invalid_reason").agg(F.count("*").alias("n")).orderBy("invalid_reason"), 100)
+    lines = ["# Tagging", "", f"- rows: {n['rows']}; valid: {n['valid']}; invalid: {n['rows'] - n['valid']}", *(f"  - {r['invalid_reason']}: {r['n']}" for r in reasons)]
+    lines += [f"- period: {n['first']} to {n['last']}", f"- mean rating of valid rows: {'-' if n['mean'] is None else round(n['mean'], 4)}", f"- repeats are equal in {', '.join(identity)}"]
+    lines += [f"- evidence columns: {', '.join(c for c in evidence if c in df.columns) or 'none'}", f"- rules: {rules.name} {rules.version}, sha256 {rules.sha256}"]
+    return "\n".join(lines) + "\n"
+
+
+def write_files(spark, folder: str, files: dict[str, str]) -> None:
+    """Report files (name: text, names may hold folders) through the file system of the folder, so that it may be any that
+    Spark reaches."""
+    conf = spark._jsc.hadoopConfiguration()
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for name, text in files.items():
+        at = path(f"{folder}/{name}")
+        out = at.getFileSystem(conf).create(at, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+
+#: The tables that an analysis delivers.
+TABLES = ("rating_distribution", "weekly", "before_after", "themes", "devices", "device_themes", "regions", "personas", "priorities")
+
+
+def analysis_folder(spark, folder: str, tables: dict[str, DataFrame], summary: DataFrame, findings: list[str], checks: DataFrame) -> list[str]:
+    """Writes an analysis: findings, metrics_summary.csv, a CSV for each table, and the quality check; returns the names. A
+    missing table of TABLES is an error; the check names failed gates and stops nothing."""
+    if lacking := [t for t in TABLES if t not in tables]:
+        raise ValueError(f"missing tables: {', '.join(lacking)}")
+    files = {"analysis_findings.md": "# Findings\n\n" + "".join(f"- {x}\n" for x in findings), "metrics_summary.csv": csv_text(summary)}
+    files |= {f"aggregation_tables/{name}.csv": csv_text(df) for name, df in sorted(tables.items())}
+    files["analysis_quality_check.md"] = "# Quality check\n\n" + markdown_table(checks.orderBy("check").select("check", F.col("passed").cast("string").alias("passed"), "detail"))
+    write_files(spark, folder, files)
+    return list(files)
+
+
+def chart_frames(weekly: DataFrame, releases: DataFrame, themes: DataFrame, reversal: DataFrame, devices: DataFrame, distribution: DataFrame, heat: DataFrame) -> dict[str, DataFrame]:
+    """What the six charts draw, a frame each, with the colour band of each mean and the printed label: 1 weeks with the
+    releases in them, 2 themes, 3 before and after a launch with the mean of all, 4 devices, 5 ratings, 6 the heat map in
+    long form."""
+    pct = lambda c: F.format_string("%.1f%%", 100 * F.col(c))
+    num = lambda c: F.format_string("%.2f", F.col(c))
+    marks = releases.groupBy(F.date_trunc("week", F.col("release_date")).cast("date").alias("week")).agg(F.array_join(F.array_sort(F.collect_set("version")), ", ").alias("releases"))
+    cells = [F.struct(F.lit(c).alias("device"), F.col(c).cast("double").alias("value")) for c in heat.columns if c != "theme"]
+    return {
+        "figure_1": weekly.select("week", "n", "mean", "bad", "small_sample").join(F.broadcast(marks), "week", "left"),
+        "figure_2": themes.select("theme", "mentions", "mean", "bad", "rank", colour(F.col("mean")).alias("colour"), F.concat(F.col("mentions").cast("string"), F.lit(" · "), num("mean"), F.lit(" · "), pct("bad")).alias("label")),
+        "figure_3": reversal.select("theme", "mean_before", "mean_after", "n_before", "n_after", "mean_all"),
+        "figure_4": devices.select("device", "mean", "n", colour(F.col("mean")).alias("colour"), F.concat(num("mean"), F.lit(" (n="), F.col("n").cast("string"), F.lit(")")).alias("label")),
+        "figure_5": distribution.select("rating", "n", "share", F.concat(F.col("n").cast("string"), F.lit(" / "), pct("share")).alias("label")),
+        "figure_6": heat.select("theme", F.explode(F.array(*cells)).alias("c")).select("theme", "c.device", "c.value"),
+    }
 
 
 SECTIONS = ("Overview", "Trend", "Releases", "Themes", "Devices and regions", "Priorities", "Roadmap")
+APPENDIX = "Appendix: data and method"
+#: The numbers that figures and tables have in every report.
+FIGURES = {1: "weekly trend with releases", 2: "themes by mentions and mean", 3: "call and launch", 4: "devices by mean", 5: "ratings", 6: "devices by theme"}
+NUMBERED = {1: "weekly metrics", 2: "before and after releases", 3: "themes", 4: "priorities", 5: "roadmap"}
+#: Where they stand.
+PLACES = {"Overview": ([5], []), "Trend": ([1], [1]), "Releases": ([3], [2]), "Themes": ([2], [3]), "Devices and regions": ([4, 6], []), "Priorities": ([], [4]), "Roadmap": ([], [5])}
+STAGES = ("immediate", "this quarter", "next quarter", "long term")
 
 
 def evidence_matrix(claims: DataFrame, aggregates: DataFrame) -> DataFrame:
@@ -95,20 +191,46 @@ def evidence_matrix(claims: DataFrame, aggregates: DataFrame) -> DataFrame:
     return claims.join(aggregates, "metric", "left").withColumn("resolved", F.col("value").isNotNull())
 
 
-def satisfaction_report(matrix: DataFrame, priorities: DataFrame, roadmap: DataFrame | None = None) -> str:
-    """The seven sections in fixed order, tables numbered. Priorities are copied, never computed anew; an unresolved claim
-    or another rule version is an error."""
+def satisfaction_report(matrix: DataFrame, priorities: DataFrame, roadmap: DataFrame | None = None, *, tables: dict[int, DataFrame] | None = None, targets: DataFrame | None = None, method: list[str] | None = None) -> str:
+    """The seven sections and the appendix in fixed order; figures and tables by their fixed numbers, tables that are not
+    given left out. Priorities are copied, never computed anew; an unresolved claim, another rule version or a roadmap
+    stage that is none of the four is an error. roadmap(stage, goal, action, expected) and targets(metric, now, target)
+    come from people."""
     if not matrix.where("not resolved").isEmpty():
         raise ValueError("claims without evidence")
     if not priorities.where("rule_version <> 'priority_v1'").isEmpty():
         raise ValueError("priorities of another rule version")
+    if roadmap is not None and "stage" in roadmap.columns and not roadmap.where(~F.col("stage").isin(*STAGES)).isEmpty():
+        raise ValueError(f"stages are {', '.join(STAGES)}")
     claims = _bounded(matrix.orderBy("section", "claim"), 10_000)
+    shown = dict(tables or {}) | {4: priorities.orderBy("rank").select("rank", "theme", "score", "grade", "missing_components")} | ({5: roadmap} if roadmap is not None else {})
     out = ["# Satisfaction report"]
     for i, name in enumerate(SECTIONS, 1):
         out.append(f"\n## {i} {name}\n")
         out += [f"- {r['claim']}: {r['value']} ({r['source']})" for r in claims if r["section"] == name]
-        if name == "Priorities":
-            out.append(f"\nTable {i}\n\n" + markdown_table(priorities.orderBy("rank").select("rank", "theme", "score", "grade", "missing_components")))
-        if name == "Roadmap" and roadmap is not None:
-            out.append(f"\nTable {i}\n\n" + markdown_table(roadmap))
+        figures, numbers = PLACES[name]
+        out += [f"\nFigure {k}: {FIGURES[k]}" for k in figures]
+        for k in numbers:
+            if k in shown:
+                out.append(f"\nTable {k}: {NUMBERED[k]}\n\n" + markdown_table(shown[k]))
+        if name == "Roadmap" and targets is not None:
+            out += [f"- {r['metric']}: {r['now']} to {r['target']}" for r in _bounded(targets.orderBy("metric"), 1000)]
+    out.append(f"\n## {APPENDIX}\n")
+    out += [f"- {x}" for x in method or ["no note was given"]]
     return "\n".join(out) + "\n"
+
+
+def report_checks(report: str, matrix: DataFrame, priorities: DataFrame, quotes: DataFrame) -> DataFrame:
+    """(check, passed, detail) of a written report: all sections in order, the appendix, base figures 1, 2, 4 and 5, each
+    numbered table once at most, claims with evidence, priorities with their rule version, quotes with record ids."""
+    spark = matrix.sparkSession
+    heads = [f"## {i} {name}" for i, name in enumerate(SECTIONS, 1)]
+    at = [report.find(f"\n{h}\n") for h in heads]
+    told = [
+        ("sections", -1 not in at and at == sorted(at), f"{sum(x >= 0 for x in at)} of {len(heads)}"),
+        ("appendix", f"## {APPENDIX}" in report, ""),
+        ("base_figures", all(f"\nFigure {k}:" in report for k in (1, 2, 4, 5)), ""),
+        ("tables_once", all(report.count(f"\nTable {k}:") <= 1 for k in NUMBERED), ""),
+    ]
+    rows = spark.createDataFrame(told, "check string, passed boolean, detail string")
+    return rows.unionByName(quality_checks(spark, {"claims_resolved": matrix.where("not resolved"), "priority_version": priorities.where("rule_version is null or rule_version <> 'priority_v1'"), "quotes_traceable": quotes.where("source_record_id is null or source_record_id = ''")}))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from plumbline.operators.reviews import index_offset, upsert
+from plumbline.functions.text import displayed_date
+from plumbline.operators.reviews import index_offset, position_gaps, upsert
 
 FIELDS = ["Username", "Stars", "StarMessage", "PostInfo"]
 
@@ -16,33 +17,75 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
-def merge_batch(batch: DataFrame, epoch: int, target: str, align: bool = True) -> None:
+def merge_batch(batch: DataFrame, epoch: int, target: str, align: bool = True, bound: str | None = None) -> None:
     """Adds a batch of partial records (idx, seq, fields) to the log under target, one folder per epoch: a replayed epoch
     overwrites itself. With align, a batch whose records overlap the history is shifted to where most of them agree, and
-    a batch that fits nowhere is refused."""
+    a batch that fits nowhere is refused. What was done is noted in the batch's progress row (see progress)."""
     spark = batch.sparkSession
-    if align and _exists(spark, target) and not batch.isEmpty():
+    shift = 0
+    if align and _exists(spark, f"{target}/log") and not batch.isEmpty():
         history = current(spark, target, epoch)
         if not history.isEmpty():
             sight = lambda df: df.select("idx", F.col("PostInfo").alias("post_info"), F.col("Stars").alias("stars"), F.col("Text").alias("text"))
             best = index_offset(sight(history), sight(batch)).first()
             if best is None:
                 raise ValueError("the batch overlaps nothing collected before")
-            batch = batch.withColumn("idx", F.col("idx") + best["offset"])
-    batch.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
+            shift = best["offset"]
+            batch = batch.withColumn("idx", F.col("idx") + shift)
+    batch.withColumn("seq", F.col("seq").cast("int")).write.mode("overwrite").parquet(f"{target}/log/epoch={epoch}")
+    written = spark.read.parquet(f"{target}/log/epoch={epoch}")
+    day = displayed_date(F.col("PostInfo"), F.lit(bound).cast("date"))[0] if bound else F.lit(None).cast("date")
+    signature = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", F.col("idx").cast("string"), "PostInfo", "Text"))), "\n"), 256)
+    note = written.agg(F.lit(epoch).cast("long").alias("screen"), F.count("*").alias("records"), F.lit(shift).cast("long").alias("shift"), F.max(day).alias("newest_date"), signature.alias("signature"))
+    note.coalesce(1).write.mode("overwrite").parquet(f"{target}/progress/epoch={epoch}")
+
+
+def progress(spark: SparkSession, target: str) -> DataFrame:
+    """One row for each merged batch: screen (its epoch), records, the shift that aligned it, its newest date (where the day of
+    collection was given) and a signature of what it showed."""
+    return spark.read.parquet(f"{target}/progress").select("screen", "records", "shift", "newest_date", "signature")
+
+
+def compact(spark: SparkSession, target: str, upto: int) -> None:
+    """Replaces the epochs up to `upto` by one with the records as they stand, so that later batches read less. The records
+    are written beside the log first, then moved into its last epoch, above all that it has; only then the older epochs go.
+    A run that dies on the way leaves a log that gives the same records."""
+    conf, path = spark._jsc.hadoopConfiguration(), spark._jvm.org.apache.hadoop.fs.Path
+    epochs = [r["epoch"] for r in spark.read.parquet(f"{target}/log").where(F.col("epoch") <= upto).select("epoch").distinct().collect()]
+    if len(epochs) < 2:
+        return
+    fresh, home = f"{target}/compacted", f"{target}/log/epoch={max(epochs)}"
+    current(spark, target, upto + 1).withColumn("seq", F.lit((1 << 31) - 1)).write.mode("overwrite").parquet(fresh)
+    fs = path(fresh).getFileSystem(conf)
+    for status in fs.listStatus(path(fresh)):
+        if status.getPath().getName().startswith("part-"):
+            fs.rename(status.getPath(), path(f"{home}/{status.getPath().getName()}"))
+    for epoch in epochs:
+        if epoch != max(epochs):
+            fs.delete(path(f"{target}/log/epoch={epoch}"), True)
+
+
+def fill_gaps(spark: SparkSession, target: str, extra: DataFrame, epoch: int) -> tuple[DataFrame, DataFrame]:
+    """A backward pass: extra partial records merged like any batch (aligned, or refused), and the missing positions before
+    and after: two frames of position_gaps() over the whole list."""
+    gaps = lambda: position_gaps(current(spark, target).withColumn("list", F.lit("all")), ["list"], "idx")
+    before = spark.createDataFrame(gaps().collect(), "list string, gap_count long, first_gaps array<long>")  # one row, 30 positions
+    merge_batch(extra, epoch, target, align=True)
+    return before, gaps()
 
 
 def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
     """The records as of all merged batches (of epochs before one, if given); later epochs are newer."""
-    log = spark.read.parquet(target)
+    log = spark.read.parquet(f"{target}/log")
     if before is not None:
         log = log.where(F.col("epoch") < before)
     return upsert(log.withColumn("_order", F.struct("epoch", "seq")), "idx", "_order", FIELDS, "Text")
 
 
-def collect_screens(stream: DataFrame, target: str, checkpoint: str, align: bool = False) -> StreamingQuery:
-    """Runs a stream of partial records into the log until the input is used up; restarts go on after the last batch."""
-    return stream.writeStream.foreachBatch(lambda b, e: merge_batch(b, e, target, align)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def collect_screens(stream: DataFrame, target: str, checkpoint: str, align: bool = True, bound: str | None = None) -> StreamingQuery:
+    """Runs a stream of partial records into the log until the input is used up; restarts go on after the last batch. A batch
+    that overlaps nothing collected before stops the query, unless align is off."""
+    return stream.writeStream.foreachBatch(lambda b, e: merge_batch(b, e, target, align, bound)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def should_stop(progress: DataFrame, bound: Column, most: int) -> bool:

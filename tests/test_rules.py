@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import rules as R
 from plumbline.functions import text as X
-from plumbline.operators import inventory, metrics, releases, reviews, tagging, threads
+from plumbline.operators import inventory, issues, metrics, releases, reviews, tagging, threads
 from plumbline.sources import readers, sinks
 from plumbline.streaming import incremental
 
@@ -131,9 +131,11 @@ def test_releases(spark, tmp_path):
 
 def test_inventory_legacy(spark, tmp_path):
     header = ["应用", "模块", "一级功能", "二级功能", "三级功能", "四级功能", "五级功能", "六级功能", "验证状态", "证据文件", "备注"]
-    assert readers.repair_legacy(["a", "m", "x", "y", "页面已验证", "f.png", "n1", "n2"], header) == ["a", "m", "x", "y", "", "", "", "", "页面已验证", "f.png", "n1；n2"]
-    assert readers.repair_legacy(["a", "m", "1", "2", "3", "4", "5", "6", "7", "缺失"], header)[7:9] == ["6 / 7", "缺失"]
-    assert readers.repair_legacy(["a"], header) == ["a"] + [""] * 10
+    repaired = lambda cells: spark.createDataFrame([(cells,)], "cells array<string>").select(readers.repaired(F.col("cells"), header).alias("c")).first()["c"]
+    assert repaired(["a", "m", "x", "y", "页面已验证", "f.png", "n1", "n2"]) == ["a", "m", "x", "y", "", "", "", "", "页面已验证", "f.png", "n1；n2"]
+    assert repaired(["a", "m", "1", "2", "3", "4", "5", "6", "7", "缺失"])[7:9] == ["6 / 7", "缺失"]
+    assert repaired(["a"]) == ["a"] + [""] * 10
+    assert repaired(["a", "m", "1", "", "3", "", "5", "6", "7", "缺失"])[2:9] == ["1", "", "3", "5", "6", "7", "缺失"]
     path = tmp_path / "i.csv"
     path.write_text("﻿" + ",".join(header) + "\na,m,x,y,页面已验证,f.png,n\n\n", encoding="utf-8")
     rows = inventory.keyed(readers.inventory(spark, str(path)))
@@ -194,9 +196,9 @@ def test_stream_upsert(spark, tmp_path):
     schema = "idx int, seq int, Username string, Stars string, StarMessage string, Text string, PostInfo string"
     target, source = str(tmp_path / "log"), str(tmp_path / "in")
     spark.createDataFrame([(1, 1, "u", "5", "", "long text", "today")], schema).write.parquet(source)
-    incremental.collect_screens(spark.readStream.schema(schema).parquet(source), target, str(tmp_path / "cp")).awaitTermination()
+    incremental.collect_screens(spark.readStream.schema(schema).parquet(source), target, str(tmp_path / "cp"), align=False).awaitTermination()
     spark.createDataFrame([(1, 1, "u", "4", "", "", "today")], schema).write.mode("append").parquet(source)
-    incremental.collect_screens(spark.readStream.schema(schema).parquet(source), target, str(tmp_path / "cp")).awaitTermination()
+    incremental.collect_screens(spark.readStream.schema(schema).parquet(source), target, str(tmp_path / "cp"), align=False).awaitTermination()
     r = incremental.current(spark, target).first()
     assert (r["Stars"], r["Text"]) == ("4", "long text")
     with pytest.raises(ValueError, match="overlaps nothing"):
@@ -213,3 +215,117 @@ def test_sinks(spark):
     matrix = sinks.evidence_matrix(claims, spark.createDataFrame([], "metric string, value double, source string"))
     with pytest.raises(ValueError, match="without evidence"):
         sinks.satisfaction_report(matrix, spark.createDataFrame([], "rule_version string"))
+
+
+def test_stream_alignment_progress_and_gaps(spark, tmp_path):
+    schema = "idx int, seq int, Username string, Stars string, StarMessage string, Text string, PostInfo string"
+    target = str(tmp_path / "t")
+    row = lambda i, at, info: (i, at, "u", "5", "", f"text {info}", f"2026-01-0{info} | x | y")
+    incremental.merge_batch(spark.createDataFrame([row(1, 1, 1), row(2, 2, 2)], schema), 0, target, bound="2026-02-01")
+    incremental.merge_batch(spark.createDataFrame([row(0, 1, 2), row(4, 2, 6)], schema), 1, target, bound="2026-02-01")
+    assert {r["idx"] for r in incremental.current(spark, target).collect()} == {1, 2, 6}
+    notes = incremental.progress(spark, target).orderBy("screen").collect()
+    assert [(n["screen"], n["records"], n["shift"], str(n["newest_date"])) for n in notes] == [(0, 2, 0, "2026-01-02"), (1, 2, 2, "2026-01-06")]
+    assert incremental.should_stop(incremental.progress(spark, target), F.lit("2026-01-07").cast("date"), 99)
+    assert not incremental.should_stop(incremental.progress(spark, target), F.lit("2026-01-01").cast("date"), 99)
+    before, after = incremental.fill_gaps(spark, target, spark.createDataFrame([row(2, 1, 2), row(3, 2, 3), row(4, 3, 4)], schema), 2)
+    assert [tuple(r) for r in before.collect()] == [("all", 3, [3, 4, 5])] and [tuple(r) for r in after.collect()] == [("all", 1, [5])]
+    whole = sorted(incremental.current(spark, target).collect())
+    incremental.compact(spark, target, 1)
+    assert sorted(incremental.current(spark, target).collect()) == whole
+    source, stream = str(tmp_path / "in"), lambda: spark.readStream.schema(schema).parquet(source)
+    run = lambda: incremental.collect_screens(stream(), str(tmp_path / "s"), str(tmp_path / "cp")).awaitTermination()
+    spark.createDataFrame([row(1, 1, 1)], schema).write.parquet(source)
+    run()
+    spark.createDataFrame([(9, 1, "u", "1", "", "other", "elsewhere")], schema).write.mode("append").parquet(source)
+    with pytest.raises(Exception, match="overlaps nothing"):
+        run()
+
+
+def test_reasons_and_summary(spark, tmp_path):
+    path = tmp_path / "posts.json"
+    path.write_text('[{"id": "p1", "title": "t", "stance": "正向", "expected_comments": 9, "comments": [{"id": "c1", "text": "闪退", "likes": 3, "replies": [{"id": "c2", "content": "确实"}]}, {"id": "c4", "text": "同感"}, {"id": "c5", "text": "嗯嗯啊"}]}]', encoding="utf-8")
+    rows = threads.prepare(threads.read_posts(spark, str(path)))
+    assert set(threads.COLUMNS) <= set(rows.columns) and len(threads.COLUMNS) == 27
+    reason = {r["comment_id"]: r["reason"] for r in rows.collect()}
+    assert reason["c2"] == "简短赞同表达继承根评论的负向立场" and reason["c4"] == "简短赞同表达结合帖子正向立场判断"
+    parts = threads.summarize(rows)
+    t = parts["totals"].first()
+    assert (t["comments"], t["negative"], t["positive"], t["undecided"], t["unresolved"], t["needs_review"], t["likes_negative"], t["ratio"], t["expected_comments"]) == (4, 2, 1, 1, 1, 1, 3, 0.5, 9)
+    report = sinks.sentiment_report(parts)
+    assert "66.7%" in report and "## Limits" in report
+    with pytest.raises(ValueError, match="vocabulary final_sentiment"):
+        threads.summarize(rows.withColumn("final_sentiment", F.lit("?")))
+
+
+def test_whole_files(spark, tmp_path):
+    df = spark.createDataFrame([(0, "é", "a,\"b\"\nc"), (1, "", "x")], "row_idx long, k string, v string")
+    (tmp_path / "a.csv").write_text(sinks.csv_text(df, ["k", "v"]), encoding="utf-8", newline="")
+    assert sorted(map(tuple, readers.csv_table(spark, str(tmp_path / "a.csv")).collect())) == sorted(map(tuple, df.collect()))
+    assert readers.csv_table(spark, str(tmp_path / "a.csv"), cleaned=True).where("v = 'a,\"b\" c'").count() == 1
+    header = ["序号"]
+    assert readers.template(spark, header).columns == header
+
+
+def test_record_ids_and_dates(spark):
+    one = spark.createDataFrame([("e\u0301 x", "\u00e9  x")], "a string, b string")
+    assert one.select(X.source_record_id(F.lit(None), F.col("a")) == X.source_record_id(F.lit(""), F.col("b"))).first()[0]
+    dates = ["2024-01-01", "2024-01-01T10:00", "2024-01-01 23:59:59Z", "2024-01-01T10:00:00.5+08:00", "2024-01-01Tgarbage", "2024-01-01T25:00", "2024-13-01", "2024-01-01 10:61"]
+    got = spark.createDataFrame([(d,) for d in dates], "d string").select("d", X.iso_date(F.col("d")).alias("x")).collect()
+    assert [r["x"] is not None for r in got] == [True] * 4 + [False] * 4
+    fold = spark.createDataFrame([("Straße", "STRASSE")], "a string, b string").select(X.casefold(F.col("a")) == X.casefold(F.col("b"))).first()[0]
+    assert fold
+
+
+def test_wide_prefilter_changes_nothing(spark):
+    texts = ["好看 BUG", "bug", "Bug 故障", "", "Spotify é", "鸿蒙很好", "没有功能", "能不能 加 歌词", "plain text", "ＢＵＧ", "网易云"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", R.wide_only(F.col("t")))
+    patterns = [R.POSITIVE, R.NEGATIVE, R.FEATURE_GAP, R.SOLUTION, R.TRUST, R.QUESTION, *(p for _, p in R.ISSUE_TYPES), *(p for p, _ in R.COMPETITORS), *R.TOPICS.values()]
+    for p in patterns:
+        assert df.where(R.has(F.col("t"), p) != R.has(F.col("t"), p, F.col("w"))).isEmpty(), p
+    assert R.needs_wide("希望.{0,20}(加|上)") and not R.needs_wide("(加|x)") and not R.needs_wide("a好?") and not R.needs_wide("[好]")
+
+
+def test_standard_fields_and_report(spark, tmp_path):
+    df = spark.createDataFrame([(0, "2026-01-02 10:00", "", "Mate 60", "非常差", "小明", "1", "闪退 网易云", 7)], "row_idx long, `发布时间` string, `地区` string, `设备` string, `评分描述` string, `用户` string, `评分` string, `评论内容` string, `列表位置` int")
+    row = tagging.tag(tagging.standard_fields(df)).first()
+    assert (row["date"], row["province"], row["rating"], row["competitor"], row["列表位置"], row["channel"]) == ("2026-01-02", "未知", 1, "网易云音乐", 7, "未知")
+    assert "用户" not in row.asDict() and "小明" not in map(str, row)
+    tagged = tagging.tag(tagging.standard_fields(df))
+    sinks.tagged(tagged, str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out/jsonl")).count() == 1
+    assert next((tmp_path / "out/csv").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbf")
+    assert "valid: 1" in sinks.tagging_summary(tagged, R.DEFAULT, tagging.IDENTITY, ["列表位置"])
+    assert issues.quality_checks(spark, issues.tagging_gates(tagged, R.DEFAULT)).where("not passed").isEmpty()
+    empty = spark.createDataFrame([], "claim string, section string, metric string, value double, source string, resolved boolean")
+    first = metrics.priority(spark.createDataFrame([("t", 3, 2.0, 0.5, "absent", "core", "2w", False)], "theme string, mentions long, mean double, bad double, gap_status string, audience_class string, feasibility string, risk_override boolean"))
+    road = spark.createDataFrame([("immediate", "g", "a", "e")], "stage string, goal string, action string, expected string")
+    report = sinks.satisfaction_report(empty, first, road, method=["m"])
+    quotes = spark.createDataFrame([("sha256:1",)], "source_record_id string")
+    assert sinks.report_checks(report, empty, first, quotes).where("not passed").isEmpty()
+    with pytest.raises(ValueError, match="stages"):
+        sinks.satisfaction_report(empty, first, road.withColumn("stage", F.lit("never")))
+    names = sinks.analysis_folder(spark, str(tmp_path / "an"), dict.fromkeys(sinks.TABLES, road), road, ["f"], spark.createDataFrame([("c", True, "0")], "check string, passed boolean, detail string"))
+    assert all((tmp_path / "an" / n).exists() for n in names) and len(names) == 3 + len(sinks.TABLES)
+
+
+def test_inventory_refuses_errors_and_feeds_priorities(spark):
+    table = lambda rows: spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_idx long, `模块` string, `一级功能` string, `标准功能ID` string, `验证状态` string, `证据文件` string")
+    a = table([("m", "x", "f1", "明确缺失", ""), ("m", "y", "f2", "仅入口存在", "e")])
+    b = table([("m", "x", "f1", "已验证存在", "e"), ("m", "y", "f2", "已验证存在", "e")])
+    matrix = inventory.compare_tables(a, b)
+    assert {tuple(r) for r in inventory.gap_status(matrix).collect()} == {("f1", "absent"), ("f2", "entry")}
+    themes = spark.createDataFrame([("t1", "f1"), ("t2", None)], "theme string, feature_id string")
+    assert {(r["theme"], r["gap_status"]) for r in inventory.themes_with_gaps(themes, matrix).collect()} == {("t1", "absent"), ("t2", None)}
+    with pytest.raises(ValueError, match="errors"):
+        inventory.compare_tables(a, table([("m", "x", "f1", "不明", "")]))
+    assert inventory.status_histogram(inventory.keyed(a)).count() == 2
+
+
+def test_page_envelope(spark):
+    seen = [(1, "c1", True, "a"), (2, "c2", False, "b"), (3, "c1", True, "a2"), (4, "c3", True, "c"), (5, "c4", False, "d")]
+    df = spark.createDataFrame(seen, "at long, id string, root boolean, text string")
+    found = threads.dom_comments(df, "id", "at", ["text"], "root")
+    post = threads.envelope({"id": "p", "expected_comments": 9}, found, {"text": "text"})
+    assert post["collected_comments"] == 4 and post["collection_status"] == "部分"
+    assert [(c["comment_id"], c["text"], [r["comment_id"] for r in c["replies"]]) for c in post["comments"]] == [("c1", "a2", ["c2"]), ("c3", "c", ["c4"])]
