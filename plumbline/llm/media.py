@@ -15,6 +15,8 @@ from plumbline.llm.common import map_columns
 
 #: Boxes that hold boxes and nothing else.
 _NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"moof", b"traf", b"mvex", b"udta"}
+#: Files nest about eight boxes; deeper ones are malformed.
+_DEEPEST = 64
 _UNITY = struct.pack(">9i", 0x10000, 0, 0, 0, 0x10000, 0, 0, 0, 0x40000000)
 
 
@@ -111,18 +113,20 @@ def _joined(ranges: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def read_container(container: bytes) -> list[Track]:
     """The tracks of a container: nested boxes are walked and sample tables decoded, payloads are not touched. ValueError
-    for fragmented files: samples that moof boxes tell of are not decoded."""
+    for fragmented files (samples that moof boxes tell of are not decoded) and for boxes nested without end."""
     data = memoryview(container)
     tracks: list[dict] = []
 
-    def walk(start: int, end: int) -> None:
+    def walk(start: int, end: int, depth: int = 0) -> None:
+        if depth > _DEEPEST:
+            raise ValueError(f"boxes nested deeper than {_DEEPEST}")
         for kind, a, b in boxes(data, start, end):
             if kind == b"moof":
                 raise ValueError("fragmented container")
             if kind == b"trak":
                 tracks.append({})
             if kind in _NESTED:
-                walk(a, b)
+                walk(a, b, depth + 1)
             elif tracks:
                 tracks[-1][kind] = (a, b)
 
