@@ -22,52 +22,65 @@ def vocabulary() -> tuple[str, str]:
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents, null texts too: doc_id, held_out, score, predicted. Rows that repeat a doc_id have each a row."""
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, fingerprint (16 hex digits; zeros for null and empty texts), component_id."""
     classes = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, n_bytes, n_tokens, over_limit; counts come from the cache that calls share, filled first
+    with what it lacks. A null text is the empty one."""
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", n_bytes)  # so that no text goes through the join
     return tokens.token_counts(docs, *vocabulary()).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that overlap the benchmark: doc_id, item_ids (all, joined), n_windows, first_token, end_token. Null texts
+    and items overlap nothing."""
     found = decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.withColumn("item_ids", F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ","))
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, held_out, lang_pred (`und` without a letter), score."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.train(docs)
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, counts of the base patterns, base_sha256, spans. A null text has none."""
     return pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
 def op7_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, n_bytes, n_removed, n_spans, kept_sha256. A null text is the empty one."""
     cut = suffixes.deduplicate(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every row of documents: its place. A null text is its end token alone."""
     return packing.packed(_table(spark, sf_dir, "documents"), *vocabulary())
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to. Null html is the empty payload."""
     index = warc.write_archives(_table(spark, sf_dir, "pages"))
     return warc.resolved(warc.read_records(index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, n_bytes, payload and stored form with their digests, feature: codec, duration, number of
+    key samples and their byte ranges. A null text is the empty one."""
     stored = media.store_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes")
     told = media.describe(stored.select("doc_id", n_bytes, "media"))
@@ -95,14 +108,14 @@ ORACLE_SQL: dict[str, str] = {
 with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10ffff}]+') w from documents),
  i as (select item_id, regexp_extract_all(lower(text), '[a-z0-9\\x{80}-\\x{10ffff}]+') w from benchmark),
  dw as (select doc_id, p, w[p + 1:p + 12] v from (select doc_id, w, unnest(range(0, len(w) - 11)) p from t)),
- bw as (select v, min(item_id) item_id from (select item_id, w[p + 1:p + 12] v from (select item_id, w, unnest(range(0, len(w) - 11)) p from i)) group by v),
+ bw as (select distinct item_id, w[p + 1:p + 12] v from (select item_id, w, unnest(range(0, len(w) - 11)) p from i)),
  k as (select * from (values (0, 3), (0, 6), (0, 9), (3, 6), (3, 9), (6, 9)) k(a, b)),
  dk as (select doc_id, p, v, a, b, array_to_string(v[a + 1:a + 3] || v[b + 1:b + 3], ' ') h from dw, k),
  bk as (select v, item_id, a, b, array_to_string(v[a + 1:a + 3] || v[b + 1:b + 3], ' ') h from bw, k),
  m as (select doc_id, p, 12 n, item_id from dk join bk using (a, b, h) where len(list_filter(range(1, 13), lambda j: dk.v[j] <> bk.v[j])) <= 2
   union all select t.doc_id, p, len(i.w), item_id from (select doc_id, w, unnest(range(0, len(w))) p from t) t join i on len(i.w) between 1 and 11 and t.w[p + 1] = i.w[1] and t.w[p + 1:p + len(i.w)] = i.w),
- q as (select doc_id, p, n, min(item_id) item_id from m group by all)
-select doc_id, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as item_ids, count(*) as n_windows, min(p)::bigint as first_token, max(p + n)::bigint as end_token from q group by doc_id""",
+ q as (select doc_id, count(distinct (p, n)) n_windows from m group by doc_id)
+select m.doc_id, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) as item_ids, any_value(n_windows) as n_windows, min(p)::bigint as first_token, max(p + n)::bigint as end_token from m join q using (doc_id) group by m.doc_id""",
     "op7_suffixes": """
 with d as (select doc_id, hex(encode(coalesce(text, ''))) x, octet_length(encode(coalesce(text, '')))::bigint n from documents),
  w as (select doc_id, p, substr(x, 2 * p + 1, 200) s from (select doc_id, x, unnest(range(0, n - 99)) p from d where n >= 100)),
@@ -118,5 +131,23 @@ with p as (select page_id, coalesce(html, '') h from pages),
  m as (select page_id, h, max(page_id) over (partition by h) newest, list_transform(range(1, 41), lambda i: strpos('0123456789abcdef', substr(sha1(h), i, 1)) - 1) || [0, 0] d from p)
 select page_id, octet_length(encode(h))::bigint as payload_bytes,
  list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((d[5 * i // 4 + 1] * 256 + d[5 * i // 4 + 2] * 16 + d[5 * i // 4 + 3]) >> (7 - 5 * i % 4)) & 31)::int, 1)), 'string_agg', '') as payload_digest,
- case when page_id = newest then 'response' else 'revisit' end as record_type, case when page_id <> newest then newest end as refers_to from m""",
+ case when page_id = newest then 'response' else 'revisit' end as record_type, case when page_id <> newest then newest end as refers_to from m""",    # The container box by box, in hex digits; the last bytes' checksum bit by bit.
+    "op10_media": """
+with d as (select doc_id, hex(encode(coalesce(text, ''))) x, octet_length(encode(coalesce(text, '')))::bigint b from documents),
+ p as (select doc_id, b, greatest(64, 64 * ((b + 63) // 64)) n, rpad(x, (2 * greatest(64, 64 * ((b + 63) // 64)))::int, '0') x from d),
+ c as (select *, (n + 4095) // 4096 c, case when n >= 4096 then [[1, 4096]] else [] end || case when n % 4096 > 0 then [[(n + 4095) // 4096, n % 4096]] else [] end runs from p),
+ f as (select *, 553 + 12 * len(runs) + 4 * c first, 136 + 12 * len(runs) + 4 * c stbl from c),
+ h as (select *, printf('%08x', n) n4, printf('%016x', n) n8, '00010000' || repeat('00000000', 3) || '00010000' || repeat('00000000', 3) || '40000000' unity from f),
+ m as (select *, '000000186674797069736f6d0000020069736f6d69736f32'
+  || printf('%08x', stbl + 385) || '6d6f6f76' || '000000786d76686401000000' || repeat('00', 16) || '00001f40' || n8 || '000100000100' || repeat('00', 10) || unity || repeat('00', 24) || '00000002'
+  || printf('%08x', stbl + 257) || '7472616b' || '00000068746b686401000007' || repeat('00', 16) || '0000000100000000' || n8 || repeat('00', 8) || '0000000001000000' || unity || repeat('00', 8)
+  || printf('%08x', stbl + 145) || '6d646961' || '0000002c6d64686401000000' || repeat('00', 16) || '00001f40' || n8 || '55c40000' || '0000002168646c720000000000000000736f756e' || repeat('00', 13)
+  || printf('%08x', stbl + 60) || '6d696e66' || '00000010736d68640000000000000000' || '0000002464696e660000001c6472656600000000000000010000000c75726c2000000001'
+  || printf('%08x', stbl) || '7374626c' || '0000003473747364000000000000000100000024726177200000000000000001' || repeat('00', 8) || '00010008000000001f400000'
+  || '0000001873747473000000000000000' || '1' || n4 || '00000001' || printf('%08x', 16 + 12 * len(runs)) || '7374736300000000' || printf('%08x', len(runs)) || list_aggregate(list_transform(runs, lambda r: printf('%08x', r[1]) || printf('%08x', r[2]) || '00000001'), 'string_agg', '')
+  || '000000147374737a0000000000000001' || n4 || printf('%08x', 16 + 4 * c) || '7374636f00000000' || printf('%08x', c) || list_aggregate(list_transform(range(0, c), lambda k: printf('%08x', first + 4096 * k)), 'string_agg', '')
+  || printf('%08x', n + 8) || '6d646174' || x media from h),
+ t as (select *, list_transform(range(0, 64), lambda i: ('0x' || substr(x, (2 * (n - 64 + i) + 1)::int, 2))::bigint) tail from m)
+select doc_id, b as n_bytes, n as payload_bytes, sha256(unhex(x)) as payload_sha256, xor(list_reduce([4294967295::bigint] || tail, lambda a, y: list_reduce([xor(a, y)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, (u & 1) * 3988292384))), 4294967295) as tail_crc32,
+ (length(media) // 2)::bigint as media_bytes, sha256(unhex(media)) as media_sha256, 'raw;' || n || '/8000;' || n || ';' || first || '+' || n as feature from t""",
 }
