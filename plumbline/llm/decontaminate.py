@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, mapped, sieve, stored, without
+from plumbline.llm.common import chunks, discard, mapped, sieve, stored, without
 
 #: Tokens of a window, its blocks, and the substitutions that are tolerated in it.
 WINDOW, BLOCKS, SUBSTITUTIONS = 12, 4, 2
@@ -93,9 +93,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return mapped(benchmark.select("item_id", "text"), run, f"mask int, hash long, window binary, item_id {kind}").distinct()
 
 
-def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
     """(doc_id, start, length, window): the verified windows of documents, once for each distinct window of the benchmark
-    that they match; and (window, item_id): each item that has a window.
+    that they match; (window, item_id): each item that has a window; and the stored tables that both read.
 
     Windows that some mask maps to a benchmark hash pass a bitmap of bounded size, are joined on (mask, hash), and the
     joined windows are compared token by token. Items (ids of any type) join only afterwards, so one window of many items is compared once.
@@ -130,7 +130,7 @@ def _matches(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFram
     differ = F.expr("aggregate(sequence(0, cast(octet_length(window) / 8 as int) - 1), 0, (n, i) -> n + if(substr(window, 8 * i + 1, 8) = substr(seen, 8 * i + 1, 8), 0, 1))")
     joined = candidates.join(windows, ["mask", "hash"]).where(F.octet_length("window") == F.octet_length("seen"))
     near = joined.where(differ <= F.when(F.col("mask") < 0, 0).otherwise(SUBSTITUTIONS))
-    return near.select("doc_id", "start", size.cast("int").alias("length"), "window").distinct(), members
+    return near.select("doc_id", "start", size.cast("int").alias("length"), "window").distinct(), members, [held_by, windows]
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -140,15 +140,16 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     A window that matches several items has a row for each. Null and empty texts have no window. Repeated rows give one
     set of hits.
     """
-    found, members = _matches(docs, benchmark)
+    found, members, _ = _matches(docs, benchmark)
     return found.join(members, "window").select("doc_id", "item_id", "start", "length").distinct()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document with a verified overlap: doc_id, item_ids (sorted; all items that a window of it matches),
     n_windows, first_token and end_token of what is covered. Documents without one have no row."""
-    found, members = _matches(docs, benchmark)
+    found, members, steps = _matches(docs, benchmark)
     found = stored(found, "decontaminate-matches")
+    discard(steps[1])
     kind = members.schema["item_id"].dataType
     nothing = F.lit(None)
     places = found.select("doc_id", "start", "length").distinct().withColumn("item_id", nothing.cast(kind))
@@ -158,4 +159,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows whose doc_id has a verified overlap with the benchmark; all columns and other rows stay."""
-    return without(docs, _matches(docs, benchmark)[0].select("doc_id"))
+    found, _, steps = _matches(docs, benchmark)
+    clean = without(docs, found.select("doc_id"))
+    for step in steps:
+        discard(step)
+    return clean

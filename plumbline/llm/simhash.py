@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import map_columns, mapped, stored, without
+from plumbline.llm.common import discard, map_columns, mapped, stored, without
 from plumbline.llm.graph import components
 
 BITS = 64
@@ -125,7 +125,9 @@ def links(values: DataFrame, radius: int = 3, bucket: int = 1024) -> DataFrame:
     large = shared.where(F.col("n") > bucket)
     if not large.isEmpty():
         edges = edges.unionByName(_large(large.select("t", "x"), radius))
-    return edges.distinct()
+    edges = stored(edges.distinct(), "simhash-edges")
+    discard(shared)
+    return edges
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3, n: int = 3, bucket: int = 1024) -> DataFrame:
@@ -137,7 +139,9 @@ def near_duplicates(docs: DataFrame, radius: int = 3, n: int = 3, bucket: int =
     """
     prints = stored(fingerprints(docs.select("doc_id", "text"), n).select("doc_id", "fingerprint"), "simhash-prints")
     values = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
-    roots = components(links(values, radius, bucket), "simhash-links")
+    edges = links(values, radius, bucket)
+    roots = components(edges, "simhash-links")
+    discard(edges)
     classed = values.join(roots, values.fingerprint == roots.node, "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     smallest = classed.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(classed.join(smallest, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")

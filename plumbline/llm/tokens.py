@@ -100,8 +100,8 @@ def _sorted_out(texts: DataFrame, known: Sieve, moved: Sieve, tokenizer: str, ra
 
 
 def fill_cache(docs: DataFrame, tokenizer: str, ranks: str | None, cache: str) -> DataFrame:
-    """Appends the counts of all contents of docs(text) that the cache has none of; returns (content_digest, rows): how
-    many rows of docs have each content.
+    """Appends the counts of all contents of docs(text) that the cache has none of; returns a stored
+    table (content_digest, rows, stored): how many rows of docs have each content, and whether the cache had it.
 
     Only digests are shuffled to find what is stored, what occurs once and what repeats. A sieve of the stored and the
     repeated ones tells each task which of its texts are new and single: these are encoded where they lie. Of the others, a
@@ -115,7 +115,7 @@ def fill_cache(docs: DataFrame, tokenizer: str, ranks: str | None, cache: str) -
     met = stored(counted.join(have.distinct(), "content_digest", "left").select("content_digest", "rows", F.coalesce("stored", F.lit(False)).alias("stored")), "token-digests")
     missing = met.where("not stored")
     if missing.isEmpty():
-        return met.select("content_digest", "rows")
+        return met
     held = met.where("stored or rows > 1").select(_hash(F.col("content_digest")).alias("hash"))
     known = sieve(held, held.count(), each=32)
     among = spark.sparkContext.broadcast(known)
@@ -133,7 +133,7 @@ def fill_cache(docs: DataFrame, tokenizer: str, ranks: str | None, cache: str) -
     new.write.mode("append").option("compression", "zstd").parquet(f"{cache}/tokenizer_digest={version}")
     for step in (again, parted):
         discard(step)
-    return met.select("content_digest", "rows")
+    return met
 
 
 def token_counts(docs: DataFrame, tokenizer: str, ranks: str | None = None, cache: str | None = None) -> DataFrame:
@@ -153,6 +153,7 @@ def token_counts(docs: DataFrame, tokenizer: str, ranks: str | None = None, cach
     counts = read_cache(spark, cache, tokenizer_digest(tokenizer)).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
     total = met.agg(F.sum("rows")).first()[0] or 0
     frequent = stored(met.where(F.col("rows") > max(1.0, total / _FREQUENT)).join(counts, "content_digest").select(F.col("content_digest").alias(key), F.col("n_tokens").alias(hot)), "token-frequent")
+    discard(met)
     mine = docs.drop("n_tokens").withColumn(key, _digest()).join(F.broadcast(frequent), key, "left")
     dealt = F.when(F.col(hot).isNull(), F.col(key)).otherwise(F.monotonically_increasing_id().cast("string").cast("binary"))
     counted = counts.withColumnRenamed("content_digest", salt)

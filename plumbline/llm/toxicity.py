@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import chunks, crc_mod, map_columns, mapped, stored, unit_hash, unused
+from plumbline.llm.common import chunks, crc_mod, discard, map_columns, mapped, stored, unit_hash, unused
 from plumbline.llm.ngrams import hashed
 
 
@@ -93,6 +93,7 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, per_class: i
 
     sizes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(1) or not sizes.get(0):
+        discard(sample)
         return Model(*empty, 30.0 if n[1] > n[0] else -30.0, orders, bits)
     counted = mapped(sample, count, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     share = (F.col("n0") + F.col("n1")) / (sizes[0] + sizes[1])
@@ -110,7 +111,8 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, per_class: i
                 cut = np.searchsorted(row, np.arange(len(texts) + 1))
                 yield pa.RecordBatch.from_arrays([pa.array(ys[start : start + len(texts)], pa.int32()), pa.array([col[a:b].astype(np.int32).tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["y", "x"])
 
-    got = mapped(sample, encode, "y int, x binary").collect()
+    got = mapped(sample, encode, "y int, x binary").collect()  # at most about 2 * per_class rows of n_features numbers
+    discard(sample)
     y = np.array([r["y"] for r in got], float)
     cols = [np.frombuffer(bytes(r["x"]), np.int32) for r in got]
     rows = np.repeat(np.arange(len(got)), [len(c) for c in cols])
