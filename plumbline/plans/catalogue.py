@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import rules as R
 from plumbline.functions import text as X
-from plumbline.operators import inventory, metrics, releases, reviews, tagging, threads
+from plumbline.operators import inventory, issues, metrics, releases, reviews, tagging, threads
 from plumbline.plans import proxies as P
 from plumbline.sources import readers, sinks
 from plumbline.streaming import incremental
@@ -525,8 +526,6 @@ def evidence_matrix(spark, sf):
 
 @query("with t as (select doc_id, text, lang from documents) select 'text present' as \"check\", count(*) filter (text = '') = 0 as passed, (count(*) filter (text = ''))::varchar as detail from t union all select 'language known', count(*) filter (lang not in ('en', 'de')) = 0, (count(*) filter (lang not in ('en', 'de')))::varchar from t union all select 'quotes have ids', count(*) filter (doc_id is null) = 0, (count(*) filter (doc_id is null))::varchar from t")
 def quality_gates(spark, sf):
-    from plumbline.operators import issues
-
     d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
     return issues.quality_checks(spark, {"text present": d.where("text = ''"), "language known": d.where("lang not in ('en', 'de')"), "quotes have ids": d.where("doc_id is null")})
 
@@ -575,9 +574,22 @@ def nfkc_keys(spark, sf):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(X.nfkc(F.col("text"))).alias("k"))
 
 
-@query(None)
+@query("select doc_id, md5(trim(replace(text, chr(13) || chr(10), chr(10)), e' \\t\\n\\r')) as k from documents")
 def mojibake(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(X.repair_mojibake(F.col("text"))).alias("k"))
+    """Texts that are spoilt on purpose, UTF-8 read as GBK, come back as they were."""
+
+    @F.pandas_udf("string")
+    def spoil(texts: pd.Series) -> pd.Series:
+        def one(t):
+            try:
+                return t.encode().decode("gbk")
+            except UnicodeDecodeError:
+                return t  # no reading as GBK: such a text is never spoilt
+
+        return texts.map(one)
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    return d.select("doc_id", F.md5(X.repair_mojibake(spoil("text"))).alias("k"))
 
 
 #: Whole texts with a phrase of the vocabularies behind each, as the driver's prose has none.
@@ -869,3 +881,114 @@ def chart_themes(spark, sf):
     heat = spark.createDataFrame([], "theme string, a double")
     frames = sinks.chart_frames(metrics.weekly(r), P.view(spark, sf, P.RELEASES), t, metrics.reversal(themed(spark, sf), P.view(spark, sf, _FEATURE)), devices, metrics.distribution(r), heat)
     return frames["figure_2"].select("theme", "colour", "label")
+
+
+# Report lines, inventory fields and small rules -----------------------------------------------------------------------------
+
+
+def _lines(spark, text: str):
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "nth long, line string")
+
+
+_NATION_RELEASES = "select n_name as app_name, '' as package_name, 'HarmonyOS' as platform, case n_regionkey when 0 then '正式版' when 1 then '内测版' when 2 then '公测版' when 3 then '未知' else '怪' end as release_channel, cast(n_nationkey as {s}) as version, '' as version_code, '1996-01-' || lpad(cast(n_nationkey + 1 as {s}), 2, '0') as published_at, case when n_regionkey = 1 then '1996-01-01' else '' end as test_start, '' as test_end, 'note ' || n_name as update_text, '' as source_type, 'page' as source, '' as collected_at, '' as evidence_file, '已验证' as verification_status, '' as notes, n_nationkey as row_idx from nation"
+
+
+@query(
+    "with v as (" + _NATION_RELEASES.format(s="varchar") + "), h as (select unnest(['正式版', '尝鲜版', '内测版', '公测版', '测试计划', '未知', '怪']) c, unnest(range(7)) k), r as (select k, published_at, '- ' || published_at || ' ' || version || ': ' || update_text || case when test_start <> '' then chr(10) || '  - window ' || test_start || ' to ' else '' end || chr(10) || '  - evidence page' as t from v join h on c = release_channel), "
+    "s as (select k, chr(10) || '## ' || case when k = 6 then 'Unsupported channel' else any_value(c) end || chr(10) as head, string_agg(t, chr(10) order by published_at desc) body from r join h using (k) group by k), o as (select '# Release timeline' || chr(10) || string_agg(head || chr(10) || body, chr(10) order by k) || chr(10) as doc from s) select unnest(range(len(string_split(doc, chr(10)))))::bigint as nth, unnest(string_split(doc, chr(10))) as line from o"
+)
+def release_report(spark, sf):
+    rows = releases.timeline(P.view(spark, sf, _NATION_RELEASES.format(s="string")).withColumn("app_name", F.lit("one")))
+    return _lines(spark, sinks.release_timeline(rows))
+
+
+@query("with t as (select '# Parity' || chr(10) || chr(10) || '| diff | n |' || chr(10) || '|---|---|' || chr(10) || string_agg('| ' || diff || ' | ' || n || ' |' || chr(10), '' order by diff) as doc from (" + _PARITY + "select diff, count(*) as n from p group by diff)) select unnest(range(len(string_split(doc, chr(10)))))::bigint as nth, unnest(string_split(doc, chr(10))) as line from t")
+def parity_markdown(spark, sf):
+    matrix = _matrix(spark, sf)
+    return _lines(spark, sinks.parity_report(matrix.limit(0), inventory.diff_counts(matrix))["md"])
+
+
+@query("with c as (select rating, count(*) n from (" + P.REVIEWS + ") where year(d) = 1997 and month(d) = 5 group by 1), l as (select k, '- ' || k || ': ' || coalesce(n, 0) as line from range(1, 6) x(k) left join c on rating = k) select k::bigint + 1 as nth, line from l")
+def month_stars(spark, sf):
+    r = reviews_of(spark, sf).where("year(d) = 1997 and month(d) = 5")
+    files = sinks.month_report(spark.createDataFrame([], "a string"), reviews.star_histogram(r))
+    return _lines(spark, files["md"]).where("line like '- _: %'")
+
+
+_FIELDS = "select l_orderkey * 10 + l_linenumber as row_idx, case when p_size % 5 = 0 then ' F' || cast(p_partkey as {s}) else '' end as `标准功能ID`, p_type as `模块`, case when p_size % 3 = 0 then p_brand else '' end as `一级功能`, case when p_size % 3 = 0 then 'Ｘ' || p_type else '' end as `二级功能`, case when p_size % 3 = 1 then p_brand || ' / ' || p_type else '' end as `功能路径`, case p_size % 4 when 0 then '存在' when 1 then '入口已验证' when 2 then '' else '明确缺失' end as `验证状态`, case when p_size % 4 = 2 then '缺失' else '' end as `状态`, '' as `证据文件`, 'e' || cast(l_linenumber as {s}) as `证据ID`, '' as `备注` from lineitem join part on l_partkey = p_partkey"
+
+
+@query("with f as (" + _FIELDS.format(s="varchar").replace("`", '"') + ") select row_idx, case when \"标准功能ID\" <> '' then lower(trim(\"标准功能ID\")) else regexp_replace(lower(case when \"一级功能\" <> '' then \"一级功能\" || '|x' || substr(\"二级功能\", 2) when \"功能路径\" <> '' then replace(\"功能路径\", ' / ', '|') else \"模块\" end), '[^a-z0-9]', '', 'g') end as key, case when \"一级功能\" <> '' then \"一级功能\" || ' > X' || substr(\"二级功能\", 2) when \"功能路径\" <> '' then replace(\"功能路径\", ' / ', ' > ') else '' end as path, case coalesce(nullif(\"验证状态\", ''), \"状态\") when '存在' then '已验证存在' when '入口已验证' then '仅入口存在' else '明确缺失' end as status, \"证据ID\" as evidence from f")
+def inventory_fields(spark, sf):
+    return inventory.keyed(P.view(spark, sf, _FIELDS.format(s="string"))).select("row_idx", "key", "path", "status", "evidence")
+
+
+@query("with c as (select conv_id, turn, conv_id::varchar || '-' || turn::varchar as id, case when turn % 3 = 0 then '' else '文字' end as said, turn % 2 as images from conversations) select conv_id::varchar as post_id, id as comment_id, case when said = '' then '[图片评论]' else said end as text, case when said = '' then '账号与社交' else '其他/未归类' end as topics from c where said <> '' or images > 0")
+def image_comments(spark, sf):
+    c = spark.read.parquet(f"{sf}/conversations.parquet")
+    images = F.when(F.col("turn") % 2 == 1, F.array(F.lit("u"))).otherwise(F.array().cast("array<string>"))
+    comment = F.struct("turn", F.concat_ws("-", "conv_id", "turn").alias("id"), F.when(F.col("turn") % 3 == 0, "").otherwise("文字").alias("content"), images.alias("image_urls"))
+    posts = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(comment)).alias("comments"))
+    rows = threads.prepare(posts.select(F.col("conv_id").alias("row_idx"), F.parse_json(F.to_json(F.struct(F.col("conv_id").alias("note_id"), "comments"))).alias("post")))
+    return rows.select("post_id", "comment_id", "text", "topics")
+
+
+@query("select conv_id as post_id from conversations group by 1 having count(*) % 2 = 0")
+def posts_to_resume(spark, sf):
+    c = spark.read.parquet(f"{sf}/conversations.parquet").groupBy(F.col("conv_id").alias("post_id")).agg(F.count("*").alias("n"))
+    return threads.resume(c, c.where("n % 2 = 1")).select("post_id")
+
+
+@query("with p as (select user_id, max(cast(ts as date)) as newest, count(*) as screens from events group by 1) select unnest(['past', 'plateau', 'most', 'none']) as rule, unnest([(select arg_max(newest, user_id) from p) < date '2030-01-01', true, true, false]) as stop")
+def stop_rules(spark, sf):
+    p = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.col("user_id").alias("screen")).agg(F.max(F.col("ts").cast("date")).alias("newest_date"), F.count("*").cast("string").alias("signature"))
+    p = p.withColumn("signature", F.concat("signature", F.lit("-"), F.col("screen").cast("string")))
+    early, late = F.lit("1990-01-01").cast("date"), F.lit("2030-01-01").cast("date")
+    n = p.count()
+    told = {"past": (p, late, n + 1), "plateau": (p.withColumn("signature", F.lit("same")), early, n + 1), "most": (p, early, n), "none": (p, early, n + 1)}
+    return spark.createDataFrame([(k, incremental.should_stop(*v)) for k, v in told.items()], "rule string, stop boolean")
+
+
+@query("select doc_id, case when regexp_matches(text, '(?i)tion') and regexp_matches(text, '(?i)heit') then 'a,b' when regexp_matches(text, '(?i)tion') then 'a' when regexp_matches(text, '(?i)heit') then 'b' else '其他/未归类' end as topics from documents")
+def own_topics(spark, sf):
+    folder = _folder(spark)
+    sinks.write_files(spark, folder, {"topics.json": '{"a": "tion", "b": "heit"}'})
+    config = readers.topic_config(spark.read.text(f"{folder}/topics.json", wholetext=True).first()[0])
+    rules = R.DEFAULT.with_topics(config)
+    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.array_join(R.topics_for(F.col("text"), rules), ",").alias("topics"))
+
+
+@query("select n_nationkey, coalesce(nullif(case when n_regionkey = 0 then '' else n_name end, ''), 'none') as picked, replace(replace(n_name || '|x' || chr(10) || 'y', '|', '\\|'), chr(10), '<br>') as cell, strlen(n_name) > 6 as long_name from nation")
+def picked_cells(spark, sf):
+    n = spark.read.parquet(f"{sf}/nation.parquet")
+    first = X.pick(F.when(F.col("n_regionkey") == 0, "").otherwise(F.col("n_name")), F.lit(None).cast("string"), F.lit("none"))
+    return n.select("n_nationkey", first.alias("picked"), X.markdown_cell(F.concat(F.col("n_name"), F.lit("|x\ny"))).alias("cell"), (F.length("n_name") > 6).alias("long_name"))
+
+
+@query(
+    f"with r as ({P.REVIEWS}), g as (select case when count(*) filter (rating is null) = 0 then true end a, count(*) n from r) select unnest(['an_has_weekly', 'an_has_themes', 'an_only_valid', 'an_priority_version', 'an_ranks_differ', 'an_shares', 'an_small_samples_marked']) as \"check\", unnest([n > 0, true, true, true, true, true, true]) as passed from g"
+)
+def analysis_gates(spark, sf):
+    r, t = reviews_of(spark, sf).withColumn("is_valid", F.lit(True)), themed(spark, sf)
+    facts = metrics.themes(t).withColumns({"gap_status": F.lit("absent"), "audience_class": F.lit("core"), "feasibility": F.lit("2w"), "risk_override": F.lit(False)})
+    tables = {"rating_distribution": metrics.distribution(r), "weekly": metrics.weekly(r), "before_after": metrics.around_releases(r, P.view(spark, sf, P.RELEASES), 28), "themes": metrics.themes(t), "devices": metrics.by_key(r, "platform"), "regions": metrics.regions(r), "priorities": metrics.priority(facts)}
+    tables["personas"] = metrics.personas(r.select(F.col("region").alias("segment"), "id", "rating", F.lit("t").alias("text")))
+    checks = issues.quality_checks(spark, issues.analysis_gates(tables, r, metrics.quotes(t.withColumn("text", F.lit("q")), "theme")))
+    shown = ["an_has_weekly", "an_has_themes", "an_only_valid", "an_priority_version", "an_ranks_differ", "an_shares", "an_small_samples_marked"]
+    return checks.where(F.col("check").isin(shown)).select("check", "passed")
+
+
+@query(f"with r as ({_TAG}), n as (select *, row_number() over (partition by channel, province, rating, text order by row_idx) nth from r) select unnest(['tag_rating_1_to_5', 'tag_invalid_has_reason', 'tag_one_first', 'tag_duplicate_known', 'tag_scales', 'tag_issue_type', 'tag_modules']) as \"check\", unnest([count(*) filter (nth = 1 and rating not between 1 and 5) = 0, true, true, true, true, true, true]) as passed, '0' as detail from n")
+def tagging_gates(spark, sf):
+    r = P.view(spark, sf, _TAG).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
+    gates = issues.tagging_gates(tagging.tag(r), R.DEFAULT)
+    shown = ["tag_rating_1_to_5", "tag_invalid_has_reason", "tag_one_first", "tag_duplicate_known", "tag_scales", "tag_issue_type", "tag_modules"]
+    return issues.quality_checks(spark, {k: gates[k] for k in shown})
+
+
+@query("with r as (" + P.REVIEWS + "), q as (select id, '2001-02-03' as date, region, '' as device, case rating when 1 then '非常差' when 2 then '不太好' when 3 then '还可以' when 4 then '很不错' else '非常棒' end w, rating from r) select id as list_pos, '未知' as channel, region as province, date, rating from q")
+def standard_fields(spark, sf):
+    words = {1: "非常差", 2: "不太好", 3: "还可以", 4: "很不错", 5: "非常棒"}
+    table = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
+    r = reviews_of(spark, sf).select("row_idx", F.col("id").alias("list_pos"), F.lit("2001-02-03 10:11").alias("发布时间"), F.col("region").alias("地区"), F.lit("").alias("设备"), F.element_at(table, F.col("rating")).alias("评分描述"), F.lit("someone").alias("用户"), F.lit("").alias("评分"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("评论内容"))
+    return tagging.tag(tagging.standard_fields(r)).select("list_pos", "channel", "province", "date", "rating")

@@ -1,14 +1,18 @@
+import tempfile
+
 import pytest
 from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
 def spark():
+    shared = tempfile.TemporaryDirectory(prefix="plumbline-tests-")
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.default.parallelism", "4")
         .config("spark.driver.memory", "4g")
+        .config("spark.checkpoint.dir", shared.name)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -17,3 +21,4 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+    shared.cleanup()
