@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import xxhash
-from plumbline.llm import decontaminate, graph, langid, media, packing, pii, simhash, suffixes, tokens, toxicity, warc
+from plumbline.llm import common, decontaminate, graph, langid, media, packing, pii, simhash, suffixes, tokens, toxicity, warc
 from plumbline.llm.bpe import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -70,6 +70,63 @@ def test_toxicity_learns_nothing_from_held_out_rows(spark):
     assert len(toxicity.train(df, df).features) == 0
 
 
+def naive_grams(text, orders, bits):
+    """The hashed n-grams of a text, repeats included, one code point after the other."""
+    points = [ord(c) for c in f" {text.lower()} "]
+    out = []
+    for n in orders:
+        for i in range(len(points) - n + 1):
+            h = points[i]
+            for c in points[i + 1 : i + n]:
+                h = (h * 16777619 + c) % (1 << 32)
+            out.append((h + n * 97) * 2654435761 % (1 << 32) >> 32 - bits)
+    return out
+
+
+def test_toxicity_equals_naive_counts_and_scores(spark):
+    r = random.Random(8)
+    words = ["ba", "tor", "lin", "mes", "kadu", "ren", "sovi", "é日"]
+    rows = [(i, " ".join(r.choices(words, k=r.randint(0, 12)) + ["vex"] * (i % 3 == 0 and r.random() < 0.8)), int(i % 3 == 0)) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    orders, bits = (2, 3), 12
+    m = toxicity.train(df.drop("toxic"), df.drop("text"), orders=orders, bits=bits, n_features=40, steps=4000, l2=0.01)
+    seen = [(set(naive_grams(t, orders, bits)), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 5]
+    size = [sum(y == k for _, y in seen) for k in (0, 1)]
+    count = lambda f, k: sum(f in g and y == k for g, y in seen)
+    every = set().union(*(g for g, _ in seen))
+
+    def telling(f):
+        share = (count(f, 0) + count(f, 1)) / sum(size)
+        return abs(count(f, 1) / size[1] - count(f, 0) / size[0]) / (share * (1 - share) + 1e-6) ** 0.5
+
+    assert m.features.tolist() == sorted(sorted(every, key=lambda f: (-telling(f), f))[:40])
+    ratio = np.array([np.log((count(f, 1) + 1) / (size[1] + 2)) - np.log((count(f, 0) + 1) / (size[0] + 2)) for f in m.features])
+    x = np.array([[f in g for f in m.features] for g, _ in seen], float) * ratio
+    y = np.array([y for _, y in seen], float)
+    weight = np.where(y == 1, size[1] / y.sum(), size[0] / (1 - y).sum())
+    w = np.divide(m.weights, ratio, out=np.zeros(40), where=np.abs(ratio) > 1e-12)
+    p = 1 / (1 + np.exp(-(x @ w + m.bias)))
+    gradient = x.T @ (weight * (p - y)) / weight.sum() + 0.01 * w  # of the penalised loss: nothing is left to gain
+    assert np.abs(gradient).max() < 1e-4 and abs((weight * (p - y)).sum() / weight.sum()) < 1e-4
+    at = {f: k for f, k in zip(m.features.tolist(), m.weights.tolist(), strict=True)}
+    for got in toxicity.score(df, m).collect():
+        z = m.bias + sum(at.get(f, 0) for f in set(naive_grams(got["text"], orders, bits)))
+        assert abs(got["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_toxicity_on_labels_held_out(spark):
+    """Documents that no fit has read: ranks and decisions."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.score(docs.join(labels, "doc_id"), toxicity.train(docs, labels)).select("doc_id", "toxic", "score", "predicted").collect()
+    held = [r for r in got if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 and r["toxic"] in (0, 1)]
+    bad, good = ([r["score"] for r in held if r["toxic"] == k] for k in (1, 0))
+    assert len(bad) > 20 and len(good) > 200
+    assert np.mean([b > g for b in bad for g in good]) > 0.97
+    assert sum(r["predicted"] == r["toxic"] for r in held) >= 0.97 * len(held)
+    assert np.mean(np.array(bad) >= 0.5) > 0.75 and np.mean(np.array(good) >= 0.5) < 0.005
+
+
 # SimHash
 
 
@@ -126,6 +183,41 @@ def test_token_counts_and_cache(spark, docs, texts, tmp_path):
     assert spark.read.parquet(cache).count() == len(set(texts.values()))
 
 
+def test_second_run_encodes_nothing(spark, docs, texts, tmp_path):
+    """The counts of a second run are stored ones: it adds no file, and a wrong count that is stored comes back."""
+    cache = str(tmp_path / "cache")
+    files = lambda: sorted(str(p) for p in (tmp_path / "cache").rglob("*.parquet"))
+    first = sorted(map(tuple, tokens.token_counts(docs, JSON, RANKS, cache).select("doc_id", "n_tokens").collect()))
+    before = files()
+    assert sorted(map(tuple, tokens.token_counts(docs, JSON, RANKS, cache).select("doc_id", "n_tokens").collect())) == first and files() == before
+    digest = hashlib.sha256(b"never seen").digest()
+    spark.createDataFrame([(bytearray(digest), 77)], tokens.COUNTS).write.mode("append").parquet(f"{cache}/tokenizer_digest={tokens.tokenizer_digest(JSON)}")
+    more = spark.createDataFrame([(1, "never seen", 5), (2, "is new", 6)], "doc_id long, text string, content_digest int")
+    got = {r["doc_id"]: r for r in tokens.token_counts(more, JSON, RANKS, cache).collect()}
+    assert got[1]["n_tokens"] == 77 and got[1]["content_digest"] == 5
+    assert got[2]["n_tokens"] == len(Tokenizer.from_file(JSON).encode("is new", add_special_tokens=False).ids)
+
+
+def test_token_counts_of_frequent_texts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokens, "_FREQUENT", 4)
+    rows = [(i, ["hot text", "warm", None, f"own {i}"][0 if i % 2 else 1 if i % 8 == 0 else 2 if i % 8 == 2 else 3]) for i in range(400)]
+    library = Tokenizer.from_file(JSON)
+    got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), JSON, RANKS, str(tmp_path / "c")).collect()}
+    assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
+
+
+def test_sieves_lose_none_of_their_own(spark):
+    r = np.random.default_rng(3)
+    h = r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    df = spark.createDataFrame([(int(x),) for x in h.view(np.int64)], "hash long")
+    for most in (16, 28):
+        sieve = common.sieve(df, 5000, each=32, most=most)
+        assert len(sieve.passed(h)) == len(h)
+    other = r.integers(0, 1 << 63, 5000).astype(np.uint64)
+    assert len(sieve.passed(other)) < 100
+    assert len(common.sieve(df.limit(0), 0).passed(h)) == 0
+
+
 @pytest.mark.parametrize("text", ["", " ", "a  b", "it's\n\nx", "a<|endoftext|>b", "日本 é ²½ ١", "x\u0085y z", "🙂 ok", "\t\r\n a "])
 def test_encoder_equals_library(text):
     assert Encoder(JSON, RANKS)(text) == Tokenizer.from_file(JSON).encode(text, add_special_tokens=False).ids
@@ -148,6 +240,26 @@ def test_packing(spark, docs, texts):
     assert len(bins) <= -(-sum(r["length"] for r in rows) // 1024) + 3
 
 
+def test_packing_against_best_fit_decreasing():
+    """Over many documents the plan needs at most a thousandth more sequences than putting each piece, longest first, where
+    it leaves least room."""
+    r = random.Random(11)
+    for draw in (lambda: r.randint(1, 1024), lambda: min(1024, int(r.lognormvariate(5.5, 1)) + 1), lambda: r.choice((300, 400, 500, 700, 1024))):
+        lengths = [draw() for _ in range(20_000)]
+        counts = {n: lengths.count(n) for n in set(lengths)}
+        rows = packing.plan(counts, 1024)
+        used = max(first + -(-(end - begin) // copies) for _, begin, end, copies, first, _ in rows)
+        room, bins = [0] * 1025, 0  # how many sequences have so much room left
+        for n in sorted(lengths, reverse=True):
+            k = next((k for k in range(n, 1025) if room[k]), None)
+            if k is None:
+                bins, k = bins + 1, 1024
+            else:
+                room[k] -= 1
+            room[k - n] += 1
+        assert used <= bins * 1.001 + 1 and used >= -(-sum(lengths) // 1024)
+
+
 def test_fullest_is_the_fullest():
     r = random.Random(4)
     for _ in range(60):
@@ -231,6 +343,41 @@ def test_language_held_out(docs):
     assert all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_language_equals_naive_bayes(spark):
+    r = random.Random(9)
+    letters = {"aa": "abcde", "bb": "abxyz", "cc": "éßñ日a", "dd": "01 a"}
+    rows = [(i, "".join(r.choices(letters[k] + " ", k=r.randint(0, 30))), k) for i, k in enumerate(r.choices(list(letters), k=120))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(df, orders=(1, 2), bits=8, alpha=0.5)
+    learn = [(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    langs = sorted({k for _, k in learn})
+    assert m.langs == langs
+    count = {k: np.full(256, 0.5) for k in langs}
+    for t, k in learn:
+        for f in naive_grams(t, (1, 2), 8):
+            count[k][f] += 1
+    log_p = {k: np.log(c / c.sum()) for k, c in count.items()}
+    prior = {k: np.log(sum(x == k for _, x in learn) / len(learn)) for k in langs}
+    for got in langid.predict(df, m).collect():
+        z = np.array([prior[k] + sum(log_p[k][f] for f in naive_grams(got["text"], (1, 2), 8)) for k in langs])
+        if not any(c.isalpha() for c in got["text"]):
+            assert (got["lang_pred"], got["score"]) == ("und", 0.0)
+            continue
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert abs(got["score"] - p[langs.index(got["lang_pred"])]) < 1e-4 and p[langs.index(got["lang_pred"])] > p.max() - 1e-4
+
+
+def test_many_languages(spark):
+    rows = [(4 * i, f"{chr(0x4E00 + i)} {chr(0x4E00 + i)}", f"l{i:04}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.train(df, held_out=9, cells=1500 << 10)
+    assert len(m.langs) == 1500 and m.bits == 10
+    texts = [t for _, t, _ in rows[:20]]
+    z = langid.scored(texts, m, np.ascontiguousarray(m.log_p.T))
+    one = np.concatenate([langid.scored([t], m, np.ascontiguousarray(m.log_p.T)) for t in texts])
+    assert np.allclose(z, one) and (z.argmax(1)[:5] >= 0).all()
+
+
 # PII
 
 
@@ -475,6 +622,14 @@ def test_media_every_track_and_fragments(spark):
     assert "fragmented" in got[1]["error"] and got[1]["n_samples"] is None and got[1]["tracks"] is None
 
 
+def test_boxes_nested_without_end(spark):
+    data = b""
+    for _ in range(3000):
+        data = struct.pack(">I4s", 8 + len(data), b"moov") + data
+    got = media.describe(spark.createDataFrame([(0, bytearray(data))], "k long, media binary")).first()
+    assert "nested" in got["error"] and got["tracks"] is None and got["media_bytes"] == len(data)
+
+
 def test_media_malformed(spark):
     good = media.write_container(b"x" * 64)
     rows = [(0, None), (1, b""), (2, good[:-1]), (3, b"\0\0\0\4abcd"), (4, good)]
