@@ -165,9 +165,15 @@ DEFAULT = RuleSet()
 _WIDE = "\u2e80-\u9fff\uf900-\ufaff\uff00-\uffef"
 
 
+#: Runs of other characters from this length on are left out of what is searched for wide ones.
+_FAR = 64
+
+
 def wide_only(c: Column) -> Column:
-    """The text where it has a wide character, else the empty text: what patterns that need one have to search."""
-    return F.when(c.rlike(f"[{_WIDE}]"), c).otherwise("")
+    """The text where it has a wide character, without runs of 64 and more others (a line break stands for each), else the
+    empty text: what patterns that need a wide character, and reach less far than that, have to search."""
+    near = F.regexp_replace(c, f"[^{_WIDE}]{{{_FAR},}}", "\n")
+    return F.when(c.rlike(f"[{_WIDE}]"), near).otherwise("")
 
 
 def _branches(pattern: str) -> list[str]:
@@ -191,7 +197,10 @@ def _branches(pattern: str) -> list[str]:
 @functools.cache
 def needs_wide(branch: str) -> bool:
     """Whether an alternative can only match where there is a wide character: it has one by itself, or a group all of whose
-    alternatives need one, that no ?, * or { makes optional. In doubt it does not."""
+    alternatives need one, that no ?, * or { makes optional. In doubt it does not; nor does one with an anchor, or with a
+    repetition that may reach 64 characters."""
+    if re.search(r"[\^$]|\\[zbAZ]|[*+]|\{\d*,\}", branch.replace("[^", "[")) or any(int(n) >= _FAR for n in re.findall(r"(\d+)\}", branch)):
+        return False
     i = 0
     while i < len(branch):
         x = branch[i]

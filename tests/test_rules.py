@@ -278,7 +278,7 @@ def test_record_ids_and_dates(spark):
 
 
 def test_wide_prefilter_changes_nothing(spark):
-    texts = ["好看 BUG", "bug", "Bug 故障", "", "Spotify é", "鸿蒙很好", "没有功能", "能不能 加 歌词", "plain text", "ＢＵＧ", "网易云"]
+    texts = ["好看 BUG", "bug", "Bug 故障", "", "Spotify é", "鸿蒙很好", "没有功能", "能不能 加 歌词", "plain text", "ＢＵＧ", "网易云", "x" * 90 + " 希望 " + "y" * 15 + "支持" + "z" * 200 + "闪退", "希望" + "y" * 21 + "加", "没有" + "a" * 70 + "功能", "w" * 64 + "好看"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", R.wide_only(F.col("t")))
     patterns = [R.POSITIVE, R.NEGATIVE, R.FEATURE_GAP, R.SOLUTION, R.TRUST, R.QUESTION, *(p for _, p in R.ISSUE_TYPES), *(p for p, _ in R.COMPETITORS), *R.TOPICS.values()]
     for p in patterns:
