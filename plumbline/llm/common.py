@@ -91,6 +91,28 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
+#: A key that more than 1 row in so many has counts as frequent: there are at most so many of them, whatever the table.
+FREQUENT = 4096
+
+
+def spread_join(rows: DataFrame, table: DataFrame, key: str, frequent: DataFrame) -> DataFrame:
+    """rows with the other columns of table, which has each key once; null where table lacks the key.
+
+    frequent: those rows of table whose key more than 1 in FREQUENT rows has, so at most FREQUENT of them. They are
+    broadcast; rows that they match are dealt out evenly, so the rows of one key never meet in one task.
+    """
+    columns = [c for c in table.columns if c != key]
+    near, far = ({c: unused(rows, f"_{kind}_{c}") for c in columns} for kind in ("near", "far"))
+    hit, dealt = unused(rows, "_hit"), unused(rows, "_dealt")
+    few = frequent.select(key, *(F.col(c).alias(near[c]) for c in columns), F.lit(True).alias(hit))
+    kind = rows.schema[key].dataType
+    number = F.monotonically_increasing_id()
+    spread = number.cast("string").cast(kind) if isinstance(kind, (T.StringType, T.BinaryType)) else number.cast(kind)
+    mine = rows.join(F.broadcast(few), key, "left").withColumn(dealt, F.when(F.col(hit).isNull(), F.col(key)).otherwise(spread))
+    joined = mine.join(table.select(F.col(key).alias(dealt), *(F.col(c).alias(far[c]) for c in columns)), dealt, "left")
+    return joined.select(*rows.columns, *(F.when(F.col(hit).isNotNull(), F.col(near[c])).otherwise(F.col(far[c])).alias(c) for c in columns))
+
+
 class Sieve:
     """A set of 64-bit hashes as a bitmap with two bits for each: it may let others through, never loses one of its own."""
 

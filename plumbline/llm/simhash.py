@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import discard, map_columns, mapped, stored, without
+from plumbline.llm.common import FREQUENT, discard, map_columns, mapped, spread_join, stored, without
 from plumbline.llm.graph import components
 
 BITS = 64
@@ -138,13 +138,15 @@ def near_duplicates(docs: DataFrame, radius: int = 3, n: int = 3, bucket: int =
     null doc_id is never the smallest while its class has another; a class of nulls alone has a null component_id.
     """
     prints = stored(fingerprints(docs.select("doc_id", "text"), n).select("doc_id", "fingerprint"), "simhash-prints")
-    values = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
+    values = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
     edges = links(values, radius, bucket)
     roots = components(edges, "simhash-links")
     discard(edges)
-    classed = values.join(roots, values.fingerprint == roots.node, "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    classed = values.join(roots, values.fingerprint == roots.node, "left").select("fingerprint", "first", "rows", F.coalesce("root", "fingerprint").alias("root"))
     smallest = classed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(classed.join(smallest, "root").select("fingerprint", "component_id"), "fingerprint").select("doc_id", "fingerprint", "component_id")
+    classes = classed.join(smallest, "root").select("fingerprint", "component_id", "rows")
+    often = classes.where(F.col("rows") > max(1.0, prints.count() / FREQUENT)).drop("rows")
+    return spread_join(prints, classes.drop("rows"), "fingerprint", often).select("doc_id", "fingerprint", "component_id")
 
 
 def deduplicate(docs: DataFrame, radius: int = 3, n: int = 3) -> DataFrame:

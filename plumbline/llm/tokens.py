@@ -10,12 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import encoder
-from plumbline.llm.common import Sieve, chunks, discard, mapped, sieve, stored, unused, work_dir
+from plumbline.llm.common import FREQUENT, Sieve, chunks, discard, mapped, sieve, spread_join, stored, unused, work_dir
 
 COUNTS = "content_digest binary, n_tokens long"
-CACHE = "content_digest binary, n_tokens long, tokenizer_digest string"
-#: A digest that more than 1 row in so many has counts as frequent: there are at most so many of them.
-_FREQUENT = 4096
 
 
 def tokenizer_digest(tokenizer: str) -> str:
@@ -149,13 +146,11 @@ def token_counts(docs: DataFrame, tokenizer: str, ranks: str | None = None, cach
     spark = docs.sparkSession
     cache = cache or default_cache(spark)
     met = fill_cache(docs, tokenizer, ranks, cache)
-    key, hot, salt = (unused(docs, f"_{x}") for x in ("digest", "often", "dealt"))
+    key = unused(docs, "_digest")
     counts = read_cache(spark, cache, tokenizer_digest(tokenizer)).groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
+    counts = counts.withColumnRenamed("content_digest", key)
     total = met.agg(F.sum("rows")).first()[0] or 0
-    frequent = stored(met.where(F.col("rows") > max(1.0, total / _FREQUENT)).join(counts, "content_digest").select(F.col("content_digest").alias(key), F.col("n_tokens").alias(hot)), "token-frequent")
+    often = met.where(F.col("rows") > max(1.0, total / FREQUENT)).select(F.col("content_digest").alias(key))
+    frequent = stored(often.join(counts, key), "token-frequent")
     discard(met)
-    mine = docs.drop("n_tokens").withColumn(key, _digest()).join(F.broadcast(frequent), key, "left")
-    dealt = F.when(F.col(hot).isNull(), F.col(key)).otherwise(F.monotonically_increasing_id().cast("string").cast("binary"))
-    counted = counts.withColumnRenamed("content_digest", salt)
-    out = mine.withColumn(salt, dealt).join(counted, salt, "left")
-    return out.withColumn("n_tokens", F.coalesce(F.col(hot), F.col("n_tokens"))).drop(key, hot, salt)
+    return spread_join(docs.drop("n_tokens").withColumn(key, _digest()), counts, key, frequent).drop(key)

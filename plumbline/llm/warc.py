@@ -7,14 +7,16 @@ import hashlib
 import urllib.parse
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import fresh_dir, mapped, stored
+from plumbline.llm.common import FREQUENT, discard, fresh_dir, mapped, sieve, spread_join, stored
 
+_COLUMNS = ["archive", "offset", "length", "page_id", "url", "digest"]
 INDEX = "archive string, offset long, length long, page_id long, url string, digest string"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Fixed, so that equal pages give equal archives.
@@ -62,53 +64,111 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
 
 
+def _hash(key) -> Column:
+    return F.xxhash64(key)
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, revisit_bytes: int = 0) -> DataFrame:
     """Writes a record for each row of pages(page_id, url, html) and returns the index, itself written to the shared folder.
 
     The payload is the html as UTF-8, null as empty. Of rows with equal payloads (SHA-256 and length) of at least
     revisit_bytes bytes, that with the largest page_id is a response, the others are revisits of it; rows that repeat
-    the largest page_id, and groups whose page_ids are all null, are responses. Each task streams its records into an
-    archive of its own whose name is new for each attempt; the index names only archives of attempts that Spark
-    committed, so a lost executor leaves at most files that nothing refers to. Only compressed records are shuffled.
-    The URL keeps its printable ASCII in the record, the rest is percent-encoded; the index has it as it is.
+    the largest page_id, and groups whose page_ids are all null, are responses.
+
+    Digests and page_ids alone are shuffled to find payloads that repeat. A sieve of these tells each task which pages are
+    single: it writes them where they lie. A second sieve, of the page that is the response of each, spares the others
+    their payload: only what it lets through is compressed and shuffled, and the exact list decides. A payload that more
+    than 1 row in 4096 has gets its response from a broadcast (there are at most 4096 of them).
+
+    Each task streams its records into an archive of its own whose name is new for each attempt; the index names only
+    archives of attempts that Spark committed, so a lost executor leaves at most files that nothing refers to. The URL
+    keeps its printable ASCII in the record, the rest is percent-encoded; the index has it as it is.
     """
     spark = pages.sparkSession
     folder = folder or fresh_dir(spark, "warc")
-    payload = F.coalesce(F.col("html"), F.lit(""))
-    key = F.sha2(payload.cast("binary"), 256)
-
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            page, url, html, keys = (batch.column(i).to_pylist() for i in range(4))
-            raw = [(h or "").encode("utf-8", "surrogatepass") for h in html]
-            member = [response(p, u, r) for p, u, r in zip(page, url, raw, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(keys, pa.string()), pa.array([sha1_base32(r) for r in raw], pa.string()), pa.array([len(r) for r in raw], pa.int64()), pa.array(member, pa.binary())], names=["page_id", "url", "key", "digest", "n", "member"])
-
-    made = mapped(pages.select(F.col("page_id").cast("long"), "url", "html", key.alias("key")), compress, "page_id long, url string, key string, digest string, n long, member binary")
-    newest = pages.select(key.alias("key"), F.col("page_id").cast("long").alias("page_id")).groupBy("key").agg(F.max("page_id").alias("newest"))
-    decided = made.join(newest, "key").select("page_id", "url", "digest", "n", "member", F.when((F.col("n") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest")).alias("refers_to"))
-
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
+    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", key.alias("key"))
+    groups = keyed.groupBy("key").agg(F.max("page_id").alias("newest"), F.count("*").alias("rows")).where("rows > 1")
+    repeated = stored(groups, "warc-repeated")
+    n = repeated.count()
+    total = keyed.count() if n else 0
+    again = spark.sparkContext.broadcast(sieve(repeated.select(_hash("key").alias("hash")), n, each=32))
+    kept = spark.sparkContext.broadcast(sieve(repeated.select(F.xxhash64("key", "newest").alias("hash")), n, each=32))
+
+    def write(name_of: Callable[[], str]):
+        """A function of (page, url, digest, record) lists that appends them to one archive and returns index columns."""
         fs, base = _filesystem(folder)
-        name = f"{uuid.uuid4().hex}.warc.gz"
-        sink, at = None, 0
-        for batch in batches:
-            page, url, digest, _, member, refers = (batch.column(i).to_pylist() for i in range(6))
-            if sink is None and page:
+        state = {"sink": None, "at": 0, "name": name_of()}
+
+        def put(page: list, url: list, digest: list, records: list[bytes]) -> pa.RecordBatch:
+            if state["sink"] is None and records:
                 fs.create_dir(base, recursive=True)
-                sink = fs.open_output_stream(f"{base}/{name}", compression=None)
+                state["sink"] = fs.open_output_stream(f"{base}/{state['name']}", compression=None)
             offsets, lengths = [], []
-            for p, u, d, m, r in zip(page, url, digest, member, refers, strict=True):
-                record = m if r is None else revisit(p, u, d, r)
-                sink.write(record)
-                offsets.append(at)
-                lengths.append(len(record))
-                at += len(record)
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"] * len(page), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(digest, pa.string())], names=["archive", "offset", "length", "page_id", "url", "digest"])
-        if sink:
-            sink.close()
+            for r in records:
+                state["sink"].write(r)
+                offsets.append(state["at"])
+                lengths.append(len(r))
+                state["at"] += len(r)
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{state['name']}"] * len(page), pa.string()), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64()), pa.array(page, pa.int64()), pa.array(url, pa.string()), pa.array(digest, pa.string())], names=_COLUMNS)
+
+        def close() -> None:
+            if state["sink"]:
+                state["sink"].close()
+
+        return put, close
 
-    return stored(mapped(decided, write, INDEX), "warc-index")
+    new_name = lambda: f"{uuid.uuid4().hex}.warc.gz"
+    told = "key string, digest string, n long, member binary"
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Index rows of single pages, which are written here; key and what else is needed of the others."""
+        put, close = write(new_name)
+        for batch in batches:
+            h, own = (batch.column(i).to_numpy().view(np.uint64) for i in (4, 5))
+            shared = np.zeros(len(h), bool)
+            shared[again.value.passed(h)] = True
+            response_too = np.zeros(len(h), bool)
+            response_too[kept.value.passed(own)] = True
+            page, url, keys = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            for at in np.flatnonzero(~shared).tolist(), np.flatnonzero(shared).tolist():
+                if not at:
+                    continue
+                raw = [(h or "").encode("utf-8", "surrogatepass") for h in batch.column(2).take(pa.array(at)).to_pylist()]
+                digest = [sha1_base32(r) for r in raw]
+                p, u, k = ([c[i] for i in at] for c in (page, url, keys))
+                lone = not shared[at[0]]
+                member = [response(x, y, r) if lone or p[j] is None or len(r) < revisit_bytes or response_too[i] else None for j, (i, x, y, r) in enumerate(zip(at, p, u, raw, strict=True))]
+                if lone:
+                    done, rest = put(p, u, digest, member), [pa.nulls(len(at), t) for t in (pa.string(), pa.string(), pa.int64(), pa.binary())]
+                else:
+                    empty = [pa.nulls(len(at), t) for t in (pa.string(), pa.int64(), pa.int64())]
+                    done = pa.RecordBatch.from_arrays([*empty, pa.array(p, pa.int64()), pa.array(u, pa.string()), pa.nulls(len(at), pa.string())], names=_COLUMNS)
+                    rest = [pa.array(k, pa.string()), pa.array(digest, pa.string()), pa.array([len(r) for r in raw], pa.int64()), pa.array(member, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*done.columns, *rest], names=[*_COLUMNS, "key", "sha1", "n", "member"])
+        close()
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        put, close = write(new_name)
+        for batch in batches:
+            page, url, digest, member, refers = (batch.column(i).to_pylist() for i in range(5))
+            yield put(page, url, digest, [m if r is None else revisit(p, u, d, r) for p, u, d, m, r in zip(page, url, digest, member, refers, strict=True)])
+        close()
+
+    hashes = keyed.select("*", _hash("key").alias("h"), F.xxhash64("key", "page_id").alias("own"))
+    index = stored(mapped(hashes, first, f"{INDEX}, {told.replace('digest', 'sha1')}"), "warc-first")
+    single = index.where("archive is not null").select(*_COLUMNS)
+    if not n:
+        discard(repeated)
+        return single
+    open_ = index.where("archive is null").select("page_id", "url", "key", "sha1", "n", "member")
+    newest = repeated.select("key", "newest")
+    often = repeated.where(F.col("rows") > max(1.0, total / FREQUENT)).select("key", "newest")
+    refers = F.when((F.col("n") >= revisit_bytes) & ~F.col("page_id").eqNullSafe(F.col("newest")), F.col("newest"))
+    decided = spread_join(open_, newest, "key", often).select("page_id", "url", "sha1", "member", refers.alias("refers_to"))
+    more = stored(mapped(decided, second, INDEX), "warc-second")
+    discard(repeated)
+    return single.unionByName(more)
 
 
 def ranges(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[int, int, list[int]]]:
@@ -166,8 +226,13 @@ def read_records(index: DataFrame, gap: int = 1 << 16, most: int = 8 << 20) -> D
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """records without payload, payload_bytes of revisits taken from the response they refer to."""
+    """records without payload, payload_bytes of revisits taken from the response they refer to (null where there is none).
+    Of responses that repeat a page_id and digest one counts; a response that very many refer to is broadcast."""
     plain = stored(records.select("page_id", "record_type", "refers_to", "payload_digest", "payload_bytes"), "warc-read")
-    sizes = plain.where("record_type = 'response'").groupBy(F.col("page_id").alias("_page"), F.col("payload_digest").alias("_digest")).agg(F.max("payload_bytes").alias("_bytes"))
-    joined = plain.join(sizes, (F.col("refers_to") == F.col("_page")) & (F.col("payload_digest") == F.col("_digest")), "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    revisits = plain.where("refers_to is not null").withColumn("_at", F.concat_ws(":", "refers_to", "payload_digest")).drop("payload_bytes")
+    sizes = plain.where("record_type = 'response'").groupBy(F.concat_ws(":", "page_id", "payload_digest").alias("_at")).agg(F.max("payload_bytes").alias("payload_bytes"))
+    total = revisits.count()
+    often = revisits.groupBy("_at").agg(F.count("*").alias("n")).where(F.col("n") > max(1.0, total / FREQUENT)).drop("n")
+    found = spread_join(revisits, sizes, "_at", often.join(sizes, "_at"))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return plain.where("refers_to is null").select(*columns).unionByName(found.select(*columns))

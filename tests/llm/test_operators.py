@@ -146,6 +146,15 @@ def test_simhash_equals_brute_force(spark, docs, texts):
     assert kept == {k for k in want if want[k] == k}
 
 
+def test_classes_of_frequent_prints(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FREQUENT", 3)
+    rows = [(i, "same words here again" if i % 2 else f"other text number {i} of many words {i * i}" if i % 3 else None) for i in range(120)]
+    prints = {i: naive_print(t) for i, t in rows}
+    want = classes(prints, lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 @pytest.mark.parametrize("bucket", [1024, 1])
 def test_links_lose_none(spark, bucket):
     r = random.Random(2)
@@ -199,7 +208,7 @@ def test_second_run_encodes_nothing(spark, docs, texts, tmp_path):
 
 
 def test_token_counts_of_frequent_texts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(tokens, "_FREQUENT", 4)
+    monkeypatch.setattr(tokens, "FREQUENT", 4)
     rows = [(i, ["hot text", "warm", None, f"own {i}"][0 if i % 2 else 1 if i % 8 == 0 else 2 if i % 8 == 2 else 3]) for i in range(400)]
     library = Tokenizer.from_file(JSON)
     got = {r["doc_id"]: r["n_tokens"] for r in tokens.token_counts(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), JSON, RANKS, str(tmp_path / "c")).collect()}
