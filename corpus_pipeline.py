@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, packing, pii, simhash, toxicity
-from plumbline.llm.common import stored
+from plumbline.llm.common import discard, stored
 from plumbline.llm.queries import vocabulary
 
 
@@ -60,8 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`; what lies between two stages is written to the shared folder."""
+    """All stages over `documents`; what lies between two stages is written to the shared folder, and deleted once the next
+    stage is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
