@@ -27,17 +27,27 @@ class Model:
     bits: int
 
 
-def train(docs: DataFrame, *, fold: int = 4, held_out: int = 2, per_lang: int = 4000, max_langs: int = 1000, orders: tuple[int, ...] = (1, 2, 3, 4), bits: int = 16, alpha: float = 0.5) -> Model:
+def feature_bits(n_langs: int, bits: int, cells: int) -> int:
+    """How many bits of hashed features the matrix has: `bits` while languages x features stay within `cells`, fewer with
+    more languages, 8 at least."""
+    while bits > 8 and n_langs << bits > cells:
+        bits -= 1
+    return bits
+
+
+def train(docs: DataFrame, *, fold: int = 4, held_out: int = 2, per_lang: int = 4000, orders: tuple[int, ...] = (1, 2, 3, 4), bits: int = 16, cells: int = 1 << 26, alpha: float = 0.5) -> Model:
     """Learns from text and non-null lang of rows whose crc32(doc_id) modulo fold is not held_out.
 
-    About per_lang rows of each language at most are read (chosen by a hash of doc_id; the bound of the sample). More
-    than max_langs languages are an error, as the matrix is broadcast: max_langs * 2**bits floats at most. With no
-    usable row the model knows no language and every prediction is `und`.
+    About per_lang rows of each language at most are read (chosen by a hash of doc_id; the bound of the sample). The matrix
+    that is broadcast has at most `cells` numbers (256 MB): 2**16 features up to 1024 languages, fewer features beyond;
+    over 262144 values of lang are an error. With no usable row the model knows no language and every prediction is `und`.
     """
     rows = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), fold) != held_out))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(max_langs + 1).collect()}
-    if len(n) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
+    most = cells >> 8
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most + 1).collect()}
+    if len(n) > most:
+        raise ValueError(f"more than {most} languages")
+    bits = feature_bits(len(n), bits, cells)
     langs = sorted(n)
     if not langs:
         return Model([], np.empty((0, 1 << bits), np.float32), np.empty(0), orders, bits)
@@ -45,19 +55,24 @@ def train(docs: DataFrame, *, fold: int = 4, held_out: int = 2, per_lang: int =
     sample = rows.select("doc_id", "text", "lang").join(F.broadcast(rates), "lang").where(unit_hash(F.col("doc_id")) < F.col("_rate")).select("text", "_k").repartition(4)
 
     def count(batches):
-        total = np.zeros((len(langs), 1 << bits), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def told():
+            keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+            keys, at = np.unique(keys, return_inverse=True)
+            n = np.bincount(at, n).astype(np.int64)
+            parts.clear()
+            return pa.RecordBatch.from_arrays([pa.array((keys >> bits).astype(np.int32)), pa.array((keys & ((1 << bits) - 1)).astype(np.int32)), pa.array(n)], names=["k", "f", "n"])
+
         for batch in batches:
-            ks = batch.column(1).to_numpy()
+            ks = batch.column(1).to_numpy().astype(np.int64)
             for start, texts in chunks(batch.column(0).to_pylist()):
-                for ids, inside, starts in hashed(texts, orders, bits):
-                    doc = np.searchsorted(starts, np.flatnonzero(inside), "right") - 1
-                    k = ks[start + doc]
-                    ids = ids[inside]
-                    for i in np.unique(k):
-                        total[i] += np.bincount(ids[k == i], minlength=1 << bits)
-        for i in range(len(langs)):
-            at = np.flatnonzero(total[i])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int32)), pa.array(at.astype(np.int32)), pa.array(total[i, at])], names=["k", "f", "n"])
+                doc, feature, n = sparse_counts(texts, orders, bits)
+                parts.append((ks[start + doc] << bits | feature, n))
+                if sum(len(k) for k, _ in parts) > 4_000_000:
+                    yield told()
+        if parts:
+            yield told()
 
     table = mapped(sample, count, "k int, f int, n long").groupBy("k", "f").agg(F.sum("n").alias("n")).toPandas()
     counts = np.full((len(langs), 1 << bits), alpha)
@@ -66,6 +81,37 @@ def train(docs: DataFrame, *, fold: int = 4, held_out: int = 2, per_lang: int =
     return Model(langs, np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32), prior, orders, bits)
 
 
+def sparse_counts(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' counts as a sparse matrix in row order: (text number, feature, count) of each entry that is not 0."""
+    kind = np.uint32 if len(texts) << bits <= 1 << 32 else np.int64
+    owner, keys = None, [np.empty(0, kind)]
+    for ids, inside, starts in hashed(texts, orders, bits):
+        if owner is None:
+            owner = np.repeat(np.arange(len(texts), dtype=kind) << kind(bits), np.diff(starts))
+        keys.append((owner[: len(ids)] | ids.astype(kind))[inside])
+    keys = np.concatenate(keys)
+    keys.sort()
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    count = np.diff(np.concatenate([first, [len(keys)]]))
+    keys = keys[first].astype(np.int64)
+    return keys >> bits, keys & ((1 << bits) - 1), count
+
+
+def scored(texts: list[str], m: Model, by_feature: np.ndarray) -> np.ndarray:
+    """(text, language): the prior and the sparse counts times the matrix, whose rows are features here; so many languages
+    at once that a product of entries and languages holds some four million numbers."""
+    z = np.tile(m.prior, (len(texts), 1))
+    doc, feature, count = sparse_counts(texts, m.orders, m.bits)
+    if not len(doc) or not m.langs:
+        return z
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    step = max(1, 4_000_000 // len(doc))
+    for a in range(0, len(m.langs), step):
+        part = by_feature[feature, a : a + step].astype(np.float64) * count[:, None]
+        z[doc[first], a : a + step] += np.add.reduceat(part, first, axis=0)
+    return z
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """docs with lang_pred (a learned language, or `und` where text is null or has no letter, or nothing was learned)
     and score (the posterior of that language, 0 for `und`). Ties go to the language first in name order. Texts are
@@ -76,24 +122,18 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def factory():
         m = held.value
 
+        by_feature = np.ascontiguousarray(m.log_p.T)
+
         def run(text):
-            raw = [t or "" for t in text.to_pylist()]
             names, scores = [], []
-            for _, texts in chunks(raw):
-                z = np.tile(m.prior, (len(texts), 1))
-                for ids, inside, starts in hashed(texts, m.orders, m.bits) if m.langs else ():
-                    cut = np.minimum(starts[:-1], max(0, len(ids) - 1))
-                    for i in range(len(m.langs)):
-                        if len(ids):
-                            z[:, i] += np.add.reduceat(np.where(inside, m.log_p[i][ids], np.float32(0)).astype(np.float64), cut) * (starts[:-1] < len(ids))
-                for j, t in enumerate(texts):
-                    if not m.langs or not letter.search(t):
-                        names.append(UNKNOWN)
-                        scores.append(0.0)
-                        continue
-                    k = int(np.argmax(z[j]))
-                    names.append(m.langs[k])
-                    scores.append(float(1 / np.exp(z[j] - z[j, k]).sum()))
+            for _, texts in chunks([t or "" for t in text.to_pylist()]):
+                z = scored(texts, m, by_feature)
+                best = z.argmax(1) if m.langs else np.zeros(len(texts), int)
+                top = np.exp(z - z[np.arange(len(texts)), best][:, None]).sum(1) if m.langs else np.ones(len(texts))
+                for t, k, total in zip(texts, best.tolist(), top.tolist(), strict=True):
+                    known = bool(m.langs and letter.search(t))
+                    names.append(m.langs[k] if known else UNKNOWN)
+                    scores.append(1 / total if known else 0.0)
             return pa.array(names, pa.string()), pa.array(scores, pa.float64())
 
         return run
