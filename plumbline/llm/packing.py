@@ -102,7 +102,11 @@ def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
     rows = plan(counts, capacity)
     spark = items.sparkSession
     held = spark.sparkContext.broadcast({k: np.array(sorted(r[1:] for r in rows if r[0] == k), np.int64) for k in counts})
-    before = groups.selectExpr("length", "salt", "sum(n) over (partition by length order by salt) - n as ahead")
+    # Sums of the groups before each, first of whole blocks of 64 groups, then within a block, so that no length is one window.
+    blocks = groups.groupBy("length", F.shiftright("salt", 6).alias("block")).agg(F.sum("n").alias("n"))
+    blocks = blocks.selectExpr("length", "block", "sum(n) over (partition by length order by block) - n as earlier")
+    inner = groups.selectExpr("length", "salt", "shiftright(salt, 6) as block", "sum(n) over (partition by length, shiftright(salt, 6) order by salt) - n as nearer")
+    before = inner.join(blocks, ["length", "block"]).select("length", "salt", (F.col("earlier") + F.col("nearer")).alias("ahead"))
     ranked = items.withColumn("salt", by).selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece) - 1 as nth")
     placed = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("nth") + F.col("ahead")).drop("nth", "ahead", "salt")
     columns = [*items.columns, "sequence_id", "offset"]
