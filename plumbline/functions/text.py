@@ -26,20 +26,20 @@ def _normalizer(form: str):
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: t if t is None else unicodedata.normalize(form, t))
 
-    return run
+    return run.asNondeterministic()  # so that no rule moves or repeats the call
 
 
 def nfkc(c: Column) -> Column:
     """NFKC and trim. Rows of plain ASCII never reach Python."""
     c = blank(c)
-    plain = c.rlike(r"^[\x00-\x7f]*\z")
+    plain = F.octet_length(c) == F.char_length(c)
     return F.trim(F.when(plain, c).otherwise(_normalizer("NFKC")(F.when(~plain, c))))
 
 
 def nfc_key(c: Column) -> Column:
     """NFC and clean: the form that record hashes are built on."""
     c = blank(c)
-    plain = c.rlike(r"^[\x00-\x7f]*\z")
+    plain = F.octet_length(c) == F.char_length(c)
     return clean(F.when(plain, c).otherwise(_normalizer("NFC")(F.when(~plain, c))))
 
 
@@ -176,7 +176,7 @@ def repair_mojibake(c: Column) -> Column:
         return s.map(lambda t: t if not t else _repaired(t).replace("\r\n", "\n").strip())
 
     c = blank(c)
-    plain = c.rlike(r"^[\x00-\x7f]*\z")
+    plain = F.octet_length(c) == F.char_length(c)
     return F.when(plain, F.trim(F.replace(c, F.lit("\r\n"), F.lit("\n")))).otherwise(run(F.when(~plain, c)))
 
 

@@ -12,17 +12,32 @@ from plumbline.operators.issues import issue, passed, report
 LEVELS = [f"{n}级功能" for n in "一二三四五六"]
 
 
+#: The columns that keys, paths and statuses are made of.
+_READ = ("验证状态", "状态", *LEVELS, "功能路径", "标准功能ID", "模块", "证据文件", "证据ID", "备注")
+
+
+def normalized(df: DataFrame) -> DataFrame:
+    """df with all columns that are read here in NFKC and trimmed, null as empty: one call for the whole row."""
+    names = [c for c in _READ if c in df.columns]
+    if not names:
+        return df
+    row = df.withColumn("_row", F.array_join(F.array(*(blank(F.col(f"`{c}`")) for c in names)), "\x1f"))  # steps of their own: each is used often
+    row = row.withColumn("_cells", F.split(nfkc(F.col("_row")), "\x1f", -1))
+    return row.withColumns({c: F.trim(F.get("_cells", F.lit(i))) for i, c in enumerate(names)}).drop("_row", "_cells")
+
+
 def _column(df: DataFrame, name: str) -> Column:
-    return nfkc(F.col(f"`{name}`")) if name in df.columns else F.lit("")
+    return blank(F.col(f"`{name}`")) if name in df.columns else F.lit("")
 
 
 def status_of(df: DataFrame) -> Column:
+    """The status of a row of normalized(): its alias' meaning, from the first of two columns that is filled."""
     raw = _column(df, "验证状态")
     return lookup(F.when(raw == "", _column(df, "状态")).otherwise(raw), STATUS_ALIASES)
 
 
 def hierarchy(df: DataFrame) -> Column:
-    """The filled level columns, or the parts of 功能路径 between >, / and →."""
+    """Of normalized() rows the filled level columns, or the parts of 功能路径 between >, / and →."""
     levels = F.filter(F.array(*(_column(df, c) for c in LEVELS)), lambda x: x != "")
     path = F.filter(F.transform(F.split(_column(df, "功能路径"), r"\s*(?:>|/|→)\s*"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(levels) > 0, levels).otherwise(path)
@@ -31,12 +46,14 @@ def hierarchy(df: DataFrame) -> Column:
 def keyed(df: DataFrame) -> DataFrame:
     """(row_idx, key, feature_id, module, path, status, evidence, notes) of inventory rows. The key is the feature id in
     lower case, else the hierarchy (the module where there is none) without anything but letters and digits."""
+    df = normalized(df)
     levels = hierarchy(df)
     explicit = _column(df, "标准功能ID")
     parts = F.when(F.size(levels) > 0, levels).otherwise(F.array(_column(df, "模块")))
     fallback = F.regexp_replace(casefold(F.array_join(parts, "|")), r"(?U)[\s\W_]+", "")
     evidence = F.when(_column(df, "证据文件") != "", _column(df, "证据文件")).otherwise(_column(df, "证据ID"))
-    return df.select("row_idx", F.when(explicit != "", casefold(explicit)).otherwise(fallback).alias("key"), explicit.alias("feature_id"), _column(df, "模块").alias("module"), F.array_join(levels, " > ").alias("path"), status_of(df).alias("status"), evidence.alias("evidence"), _column(df, "备注").alias("notes"))
+    key = F.when(explicit != "", casefold(explicit)).otherwise(fallback)
+    return df.select("row_idx", key.alias("key"), explicit.alias("feature_id"), _column(df, "模块").alias("module"), F.array_join(levels, " > ").alias("path"), status_of(df).alias("status"), evidence.alias("evidence"), _column(df, "备注").alias("notes"))
 
 
 def header_issues(columns: list[str]) -> list[str]:
@@ -60,8 +77,10 @@ def validate(rows: DataFrame) -> DataFrame:
             issue(~keyless & F.col("status").isin(*PRESENT, *PARTIAL) & (F.col("evidence") == ""), "warning", "no_evidence"),
         ],
     )
-    groups = rows.where(~keyless).groupBy("key").agg(F.count("*").alias("n"), F.count_distinct("status").alias("k"), F.min("row_idx").alias("first"), F.count_distinct(F.when(F.col("feature_id") == "", F.col("path"))).alias("p")).where("n > 1")
-    many = report(groups, F.col("first") + 2, [issue(F.col("k") > 1, "warning", "conflict"), issue(F.col("k") == 1, "warning", "duplicate"), issue(F.col("p") > 1, "warning", "key_collision")])
+    path = F.when(F.col("feature_id") == "", F.col("path"))
+    differ = lambda c: F.coalesce(F.min(c) != F.max(c), F.lit(False))  # noqa: E731  more than one value, without a distinct count
+    groups = rows.where(~keyless).groupBy("key").agg(F.count("*").alias("n"), differ(F.col("status")).alias("k"), F.min("row_idx").alias("first"), differ(path).alias("p")).where("n > 1")
+    many = report(groups, F.col("first") + 2, [issue(F.col("k"), "warning", "conflict"), issue(~F.col("k"), "warning", "duplicate"), issue(F.col("p"), "warning", "key_collision")])
     return one.unionByName(many)
 
 
@@ -74,7 +93,7 @@ def merge(rows: DataFrame) -> DataFrame:
     状态冲突 where statuses differ, evidence and notes without repeats in order of first sight."""
     joined = lambda c: F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("row_idx", c)))), lambda x: x[c])), "；")
     best = F.max_by(F.struct("feature_id", "module", "path"), F.struct(rank(F.col("status")), -F.col("row_idx")))
-    out = rows.where("key <> ''").groupBy("key").agg(best.alias("r"), F.when(F.count_distinct("status") > 1, "状态冲突").otherwise(F.min("status")).alias("status"), joined("evidence").alias("evidence"), joined("notes").alias("notes"))
+    out = rows.where("key <> ''").groupBy("key").agg(best.alias("r"), F.when(F.min("status") != F.max("status"), "状态冲突").otherwise(F.min("status")).alias("status"), joined("evidence").alias("evidence"), joined("notes").alias("notes"))
     return out.select("key", F.when(F.col("r.feature_id") != "", F.col("r.feature_id")).otherwise(F.col("key")).alias("feature_id"), "r.module", "r.path", "status", "evidence", "notes")
 
 

@@ -30,25 +30,34 @@ def quality_checks(spark, checks: dict[str, DataFrame]) -> DataFrame:
     return out if out is not None else spark.createDataFrame([], "check string, passed boolean, detail string")
 
 
-def tagging_gates(df: DataFrame, rules) -> dict[str, DataFrame]:
-    """The offending rows of each gate of a tagged table that data can decide."""
+def row_checks(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """As quality_checks, for conditions that offending rows of one frame meet: one pass over it counts them all."""
+    counts = df.agg(*(F.count_if(c).alias(name) for name, c in checks.items()))
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("check"), F.col(name).alias("n")) for name in checks)))
+    return counts.select(each.alias("x")).select("x.check", (F.col("x.n") == 0).alias("passed"), F.col("x.n").cast("string").alias("detail"))
+
+
+def tagging_gates(df: DataFrame, rules) -> DataFrame:
+    """(check, passed, detail) for each gate of a tagged table that data can decide: one pass for rows, one for ids."""
     blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
-    ids = df.groupBy("source_record_id").agg(F.count("*").alias("n"), F.count_if(F.col("duplicate_of").isNull()).alias("firsts"))
-    return {
-        "tag_valid_is_told": df.where(F.col("is_valid").isNull()),
-        "tag_invalid_has_reason": df.where(~F.col("is_valid") & blank("invalid_reason")),
-        "tag_valid_has_no_reason": df.where(F.col("is_valid") & ~blank("invalid_reason")),
-        "tag_rating_1_to_5": df.where(F.col("is_valid") & ~F.col("rating").between(1, 5)),
-        "tag_date": df.where(F.col("is_valid") & ~blank("date") & F.col("date").cast("string").try_cast("date").isNull()),
-        "tag_device_series": df.where(blank("device_series")),
-        "tag_modules": df.where(F.col("is_valid") & (F.coalesce(F.size("modules"), F.lit(0)) < 1)),
-        "tag_record_id": df.where(blank("source_record_id")),
-        "tag_one_first": ids.where("firsts <> 1"),
-        "tag_duplicate_known": df.where(F.col("duplicate_of").isNotNull()).join(df.where(F.col("duplicate_of").isNull()).select(F.col("source_record_id").alias("duplicate_of")), "duplicate_of", "left_anti"),
-        "tag_taxonomy": df.where(F.col("taxonomy_version").isNull() | (F.col("taxonomy_version") != f"{rules.name}-{rules.version}")),
-        "tag_issue_type": df.where(~F.col("issue_type").isin(*(n for n, _ in rules.issue_types), "吐槽抱怨")),
-        "tag_scales": df.where(~F.col("emotion").between(-2, 2) | ~F.col("urgency").isin("高", "中", "低")),
+    valid = F.col("is_valid")
+    rows = {
+        "tag_valid_is_told": valid.isNull(),
+        "tag_invalid_has_reason": ~valid & blank("invalid_reason"),
+        "tag_valid_has_no_reason": valid & ~blank("invalid_reason"),
+        "tag_rating_1_to_5": valid & ~F.col("rating").between(1, 5),
+        "tag_date": valid & ~blank("date") & F.col("date").cast("string").try_cast("date").isNull(),
+        "tag_device_series": blank("device_series"),
+        "tag_modules": valid & (F.coalesce(F.size("modules"), F.lit(0)) < 1),
+        "tag_record_id": blank("source_record_id"),
+        "tag_taxonomy": F.col("taxonomy_version").isNull() | (F.col("taxonomy_version") != f"{rules.name}-{rules.version}"),
+        "tag_issue_type": ~F.col("issue_type").isin(*(n for n, _ in rules.issue_types), "吐槽抱怨"),
+        "tag_scales": ~F.col("emotion").between(-2, 2) | ~F.col("urgency").isin("高", "中", "低"),
     }
+    repeat = F.col("duplicate_of").isNotNull()
+    ids = df.groupBy("source_record_id").agg(F.count_if(~repeat).alias("firsts"), F.count_if(repeat & ~F.col("duplicate_of").eqNullSafe(F.col("source_record_id"))).alias("astray"))
+    groups = {"tag_one_first": F.col("firsts") != 1, "tag_duplicate_known": (F.col("astray") > 0) | (F.col("firsts") < 1)}
+    return row_checks(df, rows).unionByName(row_checks(ids, groups))
 
 
 def analysis_gates(tables: dict[str, DataFrame], valid: DataFrame, quotes: DataFrame) -> dict[str, DataFrame]:

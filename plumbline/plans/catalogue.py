@@ -762,16 +762,16 @@ def json_updates(spark, sf):
     return rows.select("row_idx", "app_name", "release_channel", "published_at", "test_start", "source")
 
 
-@query("with e as (select user_id, event_id % 6 as i, arg_max(event_type, event_id) as s, arg_max(props, event_id) as t from events group by 1, 2) select 'screen_' || lpad(user_id::varchar, 4, '0') || '.json' as screen, (i + user_id % 3 - 1)::int as idx, s as Stars, t as Text from e where i + user_id % 3 - 1 >= 0")
+@query("with e as (select user_id % 97 as u, event_id % 6 as i, arg_max(event_type, event_id) as s, arg_max(props, event_id) as t from events group by 1, 2) select 'screen_' || lpad(u::varchar, 4, '0') || '.json' as screen, (i + u % 3 - 1)::int as idx, s as Stars, t as Text from e where i + u % 3 - 1 >= 0")
 def screen_files(spark, sf):
     folder = _folder(spark)
-    e = spark.read.parquet(f"{sf}/events.parquet").withColumn("i", F.col("event_id") % 6).groupBy("user_id", "i").agg(F.max_by("event_type", "event_id").alias("s"), F.max_by("props", "event_id").alias("t"))
+    e = spark.read.parquet(f"{sf}/events.parquet").groupBy((F.col("user_id") % 97).alias("u"), (F.col("event_id") % 6).alias("i")).agg(F.max_by("event_type", "event_id").alias("s"), F.max_by("props", "event_id").alias("t"))
     node = lambda field, value: F.struct(F.struct(F.concat(F.lit(f"CommentDetail{field}"), F.col("i").cast("string")).alias("key"), F.col(value).alias("text")).alias("attributes"))
-    trees = e.groupBy("user_id").agg(F.to_json(F.struct(F.flatten(F.collect_list(F.array(node("Stars", "s"), node("Text", "t")))).alias("children"))).alias("j"))
-    name = F.concat(F.lit("screen_"), F.lpad(F.col("user_id").cast("string"), 4, "0"), F.lit(".json"))
-    screens = trees.select(name.alias("n"), "j").collect()  # one file for each screen of a collection
+    trees = e.groupBy("u").agg(F.to_json(F.struct(F.flatten(F.collect_list(F.array(node("Stars", "s"), node("Text", "t")))).alias("children"))).alias("j"))
+    name = F.concat(F.lit("screen_"), F.lpad(F.col("u").cast("string"), 4, "0"), F.lit(".json"))
+    screens = trees.select(name.alias("n"), "j").collect()  # 97 files
     sinks.write_files(spark, folder, {r["n"]: r["j"] for r in screens} | {"screen_broken.json": "{"})
-    offsets = trees.select(name.alias("screen"), (F.col("user_id") % 3 - 1).cast("int").alias("shift"))
+    offsets = trees.select(name.alias("screen"), (F.col("u") % 3 - 1).cast("int").alias("shift"))
     return readers.screens(spark, folder, offsets)[0].select("screen", "idx", "Stars", "Text")
 
 
@@ -981,9 +981,8 @@ def analysis_gates(spark, sf):
 @query(f"with r as ({_TAG}), n as (select *, row_number() over (partition by channel, province, rating, text order by row_idx) nth from r) select unnest(['tag_rating_1_to_5', 'tag_invalid_has_reason', 'tag_one_first', 'tag_duplicate_known', 'tag_scales', 'tag_issue_type', 'tag_modules']) as \"check\", unnest([count(*) filter (nth = 1 and rating not between 1 and 5) = 0, true, true, true, true, true, true]) as passed, '0' as detail from n")
 def tagging_gates(spark, sf):
     r = P.view(spark, sf, _TAG).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
-    gates = issues.tagging_gates(tagging.tag(r), R.DEFAULT)
     shown = ["tag_rating_1_to_5", "tag_invalid_has_reason", "tag_one_first", "tag_duplicate_known", "tag_scales", "tag_issue_type", "tag_modules"]
-    return issues.quality_checks(spark, {k: gates[k] for k in shown})
+    return issues.tagging_gates(tagging.tag(r), R.DEFAULT).where(F.col("check").isin(shown))
 
 
 @query("with r as (" + P.REVIEWS + "), q as (select id, '2001-02-03' as date, region, '' as device, case rating when 1 then '非常差' when 2 then '不太好' when 3 then '还可以' when 4 then '很不错' else '非常棒' end w, rating from r) select id as list_pos, '未知' as channel, region as province, date, rating from q")

@@ -13,7 +13,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +30,12 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _rows(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, cells) of CSV files by position; quoted cells may hold line breaks. Files in path order."""
+    """(file, row, cells) of CSV files by position, cells in NFKC and trimmed; quoted cells may hold line breaks."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for file, content in zip(frame["path"], frame["content"], strict=True):
-                rows = list(csv.reader(io.StringIO(content, newline="")))
+                rows = [[unicodedata.normalize("NFKC", c).strip() for c in row] for row in csv.reader(io.StringIO(content, newline=""))]
                 yield pd.DataFrame({"file": file, "row": range(len(rows)), "cells": rows})
 
     return _whole(spark, path).mapInPandas(run, "file string, row long, cells array<string>")
@@ -57,57 +57,54 @@ def csv_table(spark: SparkSession, path: str, cleaned: bool = False) -> DataFram
     return rows.select(nth.alias("row_idx"), *(form(F.col(f"`{h}`")).alias(h) for h in names))
 
 
-def repaired(cells: Column, header: list[str]) -> Column:
-    """The cells of a row of an old inventory in the header's order, where empty level cells had moved its status.
+def repaired(df: DataFrame, header: list[str]) -> DataFrame:
+    """df with `cells`, rows of an old inventory whose empty level cells had moved the status, in the header's order.
 
     cells: an array in NFKC, trimmed. The first known status from the first level on is the status. The levels are what
     stands before it; over six, blanks go from the right as far as needed, then the rest joins into the sixth. What follows
-    is the evidence, then notes. Without a known status the row is only padded or cut.
+    is the evidence, then notes. Without a known status the row is only padded or cut. Each step is a column of its own,
+    as the next ones use it more than once.
     """
     start, status, room = header.index("一级功能"), header.index("验证状态"), len(LEVELS)
     known = F.array(*(F.lit(x) for x in sorted({*ALLOWED_STATUSES, *STATUS_ALIASES})))
-    tail = F.slice(cells, start + 1, F.lit(1 << 20))
-    at = F.array_position(F.transform(tail, lambda x: F.array_contains(known, x)), True).cast("int")
-    before = F.slice(tail, F.lit(1), F.greatest(at - 1, F.lit(0)))
-    numbered = F.transform(before, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    blanks = F.reverse(F.transform(F.filter(numbered, lambda r: r["x"] == ""), lambda r: r["i"]))
-    go = F.slice(blanks, F.lit(1), F.greatest(F.size(before) - room, F.lit(0)))
-    left = F.transform(F.filter(numbered, lambda r: ~F.array_contains(go, r["i"])), lambda r: r["x"])
+    at, tail, before, left = (F.col(f"_{x}") for x in ("at", "tail", "before", "left"))
+    out = df.withColumn("_tail", F.slice("cells", start + 1, F.lit(1 << 20)))
+    out = out.withColumn("_at", F.array_position(F.transform(tail, lambda x: F.array_contains(known, x)), True).cast("int"))
+    out = out.withColumn("_before", F.transform(F.slice(tail, F.lit(1), F.greatest(at - 1, F.lit(0))), lambda x, i: F.struct(i.alias("i"), x.alias("x"))))
+    blanks = F.reverse(F.transform(F.filter(before, lambda r: r["x"] == ""), lambda r: r["i"]))
+    out = out.withColumn("_go", F.slice(blanks, F.lit(1), F.greatest(F.size(before) - room, F.lit(0))))
+    out = out.withColumn("_left", F.transform(F.filter(before, lambda r: ~F.array_contains(F.col("_go"), r["i"])), lambda r: r["x"]))
     sixth = F.array_join(F.slice(left, F.lit(room), F.lit(1 << 20)), " / ")
-    levels = F.when(F.size(left) > room, F.concat(F.slice(left, 1, room - 1), F.array(sixth))).otherwise(left)
-    rest = F.slice(tail, at + 1, F.lit(1 << 20))
-    notes = F.array_join(F.filter(F.slice(rest, 2, 1 << 20), lambda x: x != ""), "；")
+    out = out.withColumn("_levels", F.when(F.size(left) > room, F.concat(F.slice(left, 1, room - 1), F.array(sixth))).otherwise(left))
+    out = out.withColumn("_rest", F.slice(tail, at + 1, F.lit(1 << 20)))
     cell = lambda c: F.coalesce(c, F.lit(""))
-    out = []
+    moved = []
     for i, name in enumerate(header):
         if i == status:
-            moved = F.get(tail, at - 1)
+            moved.append(cell(F.get(tail, at - 1)))
         elif name == "证据文件":
-            moved = F.get(rest, F.lit(0))
+            moved.append(cell(F.get("_rest", F.lit(0))))
         elif name == "备注":
-            moved = notes
+            moved.append(F.array_join(F.filter(F.slice("_rest", 2, 1 << 20), lambda x: x != ""), "；"))
         elif i < start:
-            moved = F.get(cells, F.lit(i))
+            moved.append(cell(F.get("cells", F.lit(i))))
         else:
-            moved = F.get(levels, F.lit(i - start)) if i < status else F.lit("")
-        out.append(F.when(at > 0, cell(moved)).otherwise(cell(F.get(cells, F.lit(i)))))
-    return F.array(*out)
+            moved.append(cell(F.get("_levels", F.lit(i - start))) if i < status else F.lit(""))
+    padded = F.array(*(cell(F.get("cells", F.lit(i))) for i in range(len(header))))
+    return out.withColumn("cells", F.when(at > 0, F.array(*moved)).otherwise(padded)).select(*df.columns)
 
 
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """An inventory CSV by position: header and cells in NFKC, short rows padded, long ones cut, blank lines kept (as rows
     without a key). A header with status and first level but neither platform nor depth is old: its rows are repaired."""
-    from plumbline.functions.text import nfkc
-
     rows = _rows(spark, path)
     first = rows.where("row = 0").first()
-    header = [unicodedata.normalize("NFKC", h or "").strip() for h in (first["cells"] if first else [])]
+    header = list(first["cells"]) if first else []
     if not header:
         return spark.createDataFrame([], "row_idx long")
     old = {"验证状态", "一级功能"} <= set(header) and not {"平台", "验证深度"} & set(header)
-    form = F.transform(F.split(nfkc(F.array_join("cells", "\x1f", "")), "\x1f"), lambda x: F.trim(x))  # one call for all cells
-    body = rows.where("row > 0").select((F.col("row") - 1).alias("row_idx"), form.alias("cells"))
-    body = body.withColumn("cells", repaired(F.col("cells"), header)) if old else body
+    body = rows.where("row > 0").select((F.col("row") - 1).alias("row_idx"), "cells")
+    body = repaired(body, header) if old else body
     return body.select("row_idx", *(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(h) for i, h in enumerate(header)))
 
 

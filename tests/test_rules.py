@@ -131,7 +131,7 @@ def test_releases(spark, tmp_path):
 
 def test_inventory_legacy(spark, tmp_path):
     header = ["应用", "模块", "一级功能", "二级功能", "三级功能", "四级功能", "五级功能", "六级功能", "验证状态", "证据文件", "备注"]
-    repaired = lambda cells: spark.createDataFrame([(cells,)], "cells array<string>").select(readers.repaired(F.col("cells"), header).alias("c")).first()["c"]
+    repaired = lambda cells: readers.repaired(spark.createDataFrame([(cells,)], "cells array<string>"), header).first()["cells"]
     assert repaired(["a", "m", "x", "y", "页面已验证", "f.png", "n1", "n2"]) == ["a", "m", "x", "y", "", "", "", "", "页面已验证", "f.png", "n1；n2"]
     assert repaired(["a", "m", "1", "2", "3", "4", "5", "6", "7", "缺失"])[7:9] == ["6 / 7", "缺失"]
     assert repaired(["a"]) == ["a"] + [""] * 10
@@ -296,7 +296,7 @@ def test_standard_fields_and_report(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "out/jsonl")).count() == 1
     assert next((tmp_path / "out/csv").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbf")
     assert "valid: 1" in sinks.tagging_summary(tagged, R.DEFAULT, tagging.IDENTITY, ["列表位置"])
-    assert issues.quality_checks(spark, issues.tagging_gates(tagged, R.DEFAULT)).where("not passed").isEmpty()
+    assert issues.tagging_gates(tagged, R.DEFAULT).where("not passed").isEmpty()
     empty = spark.createDataFrame([], "claim string, section string, metric string, value double, source string, resolved boolean")
     first = metrics.priority(spark.createDataFrame([("t", 3, 2.0, 0.5, "absent", "core", "2w", False)], "theme string, mentions long, mean double, bad double, gap_status string, audience_class string, feasibility string, risk_override boolean"))
     road = spark.createDataFrame([("immediate", "g", "a", "e")], "stage string, goal string, action string, expected string")
