@@ -735,11 +735,14 @@ def thread_issues(spark, sf):
 
 
 def _folder(spark) -> str:
-    """A new folder in the shared one (spark.checkpoint.dir); a temporary one where that is unset and all runs here."""
+    """A new folder in the shared one (spark.checkpoint.dir); a temporary one where that is unset and all tasks run in this
+    process, else an error."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None and spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="plumbline-")
 
 
