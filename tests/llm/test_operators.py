@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 import struct
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import xxhash
@@ -215,6 +217,22 @@ def test_token_counts_of_frequent_texts(spark, tmp_path, monkeypatch):
     assert got == {i: len(library.encode(t or "", add_special_tokens=False).ids) for i, t in rows}
 
 
+def test_no_local_folder_on_a_cluster():
+    none = types.SimpleNamespace(isDefined=lambda: False, isEmpty=lambda: True)
+    context = types.SimpleNamespace(master="spark://host:7077", _jsc=types.SimpleNamespace(sc=lambda: types.SimpleNamespace(getCheckpointDir=lambda: none)))
+    session = types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, d: d), sparkContext=context)
+    with pytest.raises(RuntimeError, match="share"):
+        common.work_dir(session)
+
+
+def test_stored_steps_leave_no_shuffle_files(spark, tmp_path):
+    blocks = lambda: sum(1 for x in (spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().toString().split(",")) if "shuffle_" in x)
+    before = blocks()
+    out = common.stored(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert blocks() <= before and out.count() == 7
+    common.discard(out)
+
+
 def test_sieves_lose_none_of_their_own(spark):
     r = np.random.default_rng(3)
     h = r.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2) + np.uint64(1)
