@@ -64,16 +64,26 @@ def audit(df: DataFrame, by: list[str], identity: list[str], date: str, position
     )
 
 
-def position_gaps(df: DataFrame, by: list[str], position: str, samples: int = 30) -> DataFrame:
-    """The first `samples` missing positions of each group and their count, from the steps between neighbours; groups
-    without a gap have no row. Of each group's gaps only those are gathered that the first `samples` positions lie in."""
-    ordered = Window.partitionBy(*by).orderBy("p")
-    steps = df.where(F.col(position).isNotNull()).select(*by, F.col(position).cast("long").alias("p")).distinct()
-    steps = steps.withColumn("n", F.lead("p").over(ordered) - F.col("p") - 1)
-    before = F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    steps = steps.withColumn("_before", before).where("n > 0")
-    starts = F.when(F.col("_before") < samples, F.expr(f"sequence(p + 1, p + least(n, {samples}))"))
-    return steps.groupBy(*by).agg(F.sum("n").alias("gap_count"), F.slice(F.array_sort(F.flatten(F.collect_list(starts))), 1, samples).alias("first_gaps"))
+def position_gaps(df: DataFrame, by: list[str], position: str, samples: int = 30, stretch: int = 1 << 20) -> DataFrame:
+    """The first `samples` missing positions of each group and their count; groups without a gap have no row.
+
+    Steps between neighbours are looked at in stretches of positions, each by itself, so that a group of any size (one app's
+    whole list) is never sorted in one task; the steps from one stretch to the next come from their ends. Of each stretch,
+    then of each group, only the first `samples` gaps are gathered, as each has a missing position at least.
+    """
+    p = F.col(position).cast("long")
+    rows = df.where(F.col(position).isNotNull()).select(*by, p.alias("p"), F.floor(p / F.lit(stretch)).alias("_part")).distinct()
+    within = Window.partitionBy(*by, "_part")
+    inner = rows.withColumn("n", F.lead("p").over(within.orderBy("p")) - F.col("p") - 1)
+    ends = rows.groupBy(*by, "_part").agg(F.min("p").alias("_low"), F.max("p").alias("p"))
+    between = ends.withColumn("n", F.lead("_low").over(Window.partitionBy(*by).orderBy("_part")) - F.col("p") - 1).drop("_low")
+    gaps = inner.unionByName(between).where("n > 0")
+    counts = gaps.groupBy(*by).agg(F.sum("n").alias("gap_count"))
+    few = gaps.withColumn("_nth", F.row_number().over(within.orderBy("p"))).where(F.col("_nth") <= samples)
+    few = few.withColumn("_nth", F.row_number().over(Window.partitionBy(*by).orderBy("p"))).where(F.col("_nth") <= samples)
+    starts = F.expr(f"sequence(p + 1, p + least(n, {samples}))")
+    first = few.groupBy(*by).agg(F.slice(F.array_sort(F.flatten(F.collect_list(starts))), 1, samples).alias("first_gaps"))
+    return counts.join(first, by)
 
 
 def overlap(saved: DataFrame, current: DataFrame, key: str = "idx") -> DataFrame:

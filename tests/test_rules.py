@@ -329,3 +329,12 @@ def test_page_envelope(spark):
     post = threads.envelope({"id": "p", "expected_comments": 9}, found, {"text": "text"})
     assert post["collected_comments"] == 4 and post["collection_status"] == "部分"
     assert [(c["comment_id"], c["text"], [r["comment_id"] for r in c["replies"]]) for c in post["comments"]] == [("c1", "a2", ["c2"]), ("c3", "c", ["c4"])]
+
+
+def test_gaps_in_stretches(spark):
+    have = [1, 2, 5, 9, 10, 11, 30, 31, 64, 100]
+    df = spark.createDataFrame([("a", p) for p in have * 2] + [("b", 4), ("b", 5), ("c", None)], "g string, p long")
+    missing = [p for p in range(1, 101) if p not in have]
+    for stretch in (1, 7, 10, 1 << 20):
+        got = reviews.position_gaps(df, ["g"], "p", 30, stretch).collect()
+        assert [(r["g"], r["gap_count"], r["first_gaps"]) for r in got] == [("a", len(missing), missing[:30])]
