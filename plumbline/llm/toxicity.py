@@ -71,7 +71,8 @@ def train(docs: DataFrame, labels: DataFrame, *, held_out: int = 5, per_class: i
     At most about per_class rows of each label are used (chosen by a hash of doc_id; the bound of the sample), weighted
     back to the labels' own shares. Log-count ratios come from document counts of the n_features most telling of
     2**bits hashed n-grams. Rows with a null label or text, or a label other than 0 and 1, are not learned from; with
-    no usable row of one of the labels the model is the constant 0 (no such label 1) or 1.
+    no usable row of one of the labels the model is the constant 0 (no such label 1) or 1. The fit runs on the driver, which
+    gets the sample's features: 8000 rows of 8192 four-byte numbers at the very most, 10 MB from 0.5 GB of documents.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & (crc_mod(F.col("doc_id"), held_out) != 0)).select("doc_id", F.col("toxic").cast("int").alias("_y"))
     n = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
