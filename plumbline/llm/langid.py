@@ -69,7 +69,7 @@ def train(docs: DataFrame, *, fold: int = 4, held_out: int = 2, per_lang: int =
             for start, texts in chunks(batch.column(0).to_pylist()):
                 doc, feature, n = sparse_counts(texts, orders, bits)
                 parts.append((ks[start + doc] << bits | feature, n))
-                if sum(len(k) for k, _ in parts) > 4_000_000:
+                if sum(len(k) for k, _ in parts) > 1_000_000:
                     yield told()
         if parts:
             yield told()
@@ -99,13 +99,13 @@ def sparse_counts(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple
 
 def scored(texts: list[str], m: Model, by_feature: np.ndarray) -> np.ndarray:
     """(text, language): the prior and the sparse counts times the matrix, whose rows are features here; so many languages
-    at once that a product of entries and languages holds some four million numbers."""
+    at once that a product of entries and languages holds some million numbers."""
     z = np.tile(m.prior, (len(texts), 1))
     doc, feature, count = sparse_counts(texts, m.orders, m.bits)
     if not len(doc) or not m.langs:
         return z
     first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-    step = max(1, 4_000_000 // len(doc))
+    step = max(1, 1_000_000 // len(doc))
     for a in range(0, len(m.langs), step):
         part = by_feature[feature, a : a + step].astype(np.float64) * count[:, None]
         z[doc[first], a : a + step] += np.add.reduceat(part, first, axis=0)
