@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -74,13 +76,28 @@ def unit_hash(key: Column) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def release() -> None:
+    """Gives memory that this process holds but does not use back to the system, where the system's library can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mapped(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow(run, schema) with batches of about 4 MB, so that a task holds little of its rows in either process: the
-    session's bound on a batch's bytes is set where it is unset. A single longer row is a batch of its own."""
+    session's bound on a batch's bytes is set where it is unset. A single longer row is a batch of its own. Workers stay
+    between tasks, so each task gives back what it no longer needs when it ends."""
     conf = df.sparkSession.conf
     if conf.get(_BATCH, None) is None:
         conf.set(_BATCH, str(4 << 20))
-    return df.mapInArrow(run, schema)
+
+    def run_and_release(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run_and_release, schema)
 
 
 def unused(df: DataFrame, name: str) -> str:
