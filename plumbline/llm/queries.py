@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, langid, media, packing, pii, simhash, suffixes, tokens, toxicity, warc
+from plumbline.llm import conversations, decontaminate, langid, media, packing, pii, simhash, suffixes, tokens, toxicity, warc
 from plumbline.llm.common import crc_mod
 
 
@@ -89,6 +89,12 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conv_id of conversations, after damage that its turns' numbers decide: gaps, counts of faults, cost, audit and
+    digest of the cheapest repair. Nulls are one space."""
+    return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_media": op10_media,
+    "op12_conversations": op12_conversations,
 }
 
 #: DuckDB SQL for what SQL can say; the other operators are tested against brute force in tests/llm.
