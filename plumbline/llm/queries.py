@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import conversations, decontaminate, langid, media, packing, pii, simhash, suffixes, tokens, toxicity, warc
+from plumbline.llm import conversations, decontaminate, langid, media, packing, pii, simhash, spelling, suffixes, tokens, toxicity, warc
 from plumbline.llm.common import crc_mod
 
 
@@ -95,6 +95,11 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of documents, counted over all whole texts: word, form, root, n, n_near, form_n. Null texts have no words."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_simhash": op2_simhash,
@@ -107,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_media": op10_media,
     "op12_conversations": op12_conversations,
+    "op13_spelling": op13_spelling,
 }
 
 #: DuckDB SQL for what SQL can say; the other operators are tested against brute force in tests/llm.
