@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import conversations, decontaminate, langid, media, packing, pii, simhash, spelling, suffixes, tokens, toxicity, warc
+from plumbline.llm import conversations, decontaminate, langid, media, packing, pii, setsketch, simhash, spelling, suffixes, tokens, toxicity, warc
 from plumbline.llm.common import crc_mod
 
 
@@ -89,6 +89,11 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature)
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents: doc_id, n_shingles, component_id, kept. Null and empty texts have no shingles and no links."""
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conv_id of conversations, after damage that its turns' numbers decide: gaps, counts of faults, cost, audit and
     digest of the cheapest repair. Nulls are one space."""
@@ -111,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_warc": op9_warc,
     "op10_media": op10_media,
+    "op11_setsketch": op11_setsketch,
     "op12_conversations": op12_conversations,
     "op13_spelling": op13_spelling,
 }
