@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import functools
-import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -21,26 +20,21 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(blank(c), r"(?U)[\s\x1c-\x1f]+", " "))
 
 
-def _normalizer(form: str):
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if t is None else unicodedata.normalize(form, t))
-
-    return run.asNondeterministic()  # so that no rule moves or repeats the call
+def _composed(c: Column, compatible: bool) -> Column:
+    """Unicode composition by the library that Spark has for collations, in the JVM; plain ASCII is left as it is. Its Unicode
+    version is Spark's, a little newer than Python's."""
+    c = blank(c)
+    return F.when(F.octet_length(c) == F.char_length(c), c).otherwise(F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(compatible)))
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC and trim. Rows of plain ASCII never reach Python."""
-    c = blank(c)
-    plain = F.octet_length(c) == F.char_length(c)
-    return F.trim(F.when(plain, c).otherwise(_normalizer("NFKC")(F.when(~plain, c))))
+    """NFKC and trim."""
+    return F.trim(_composed(c, True))
 
 
 def nfc_key(c: Column) -> Column:
     """NFC and clean: the form that record hashes are built on."""
-    c = blank(c)
-    plain = F.octet_length(c) == F.char_length(c)
-    return clean(F.when(plain, c).otherwise(_normalizer("NFC")(F.when(~plain, c))))
+    return clean(_composed(c, False))
 
 
 def pick(*columns: Column) -> Column:
@@ -169,7 +163,7 @@ def _repaired(t: str) -> str:
 
 def repair_mojibake(c: Column) -> Column:
     """UTF-8 that was once read as GBK: each longest run of GBK characters is turned back where that gives valid UTF-8.
-    Rows of plain ASCII never reach Python; in others only runs with a two-byte character are decoded."""
+    Plain ASCII is not looked at; in other texts only runs with a two-byte character are decoded."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:

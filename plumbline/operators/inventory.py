@@ -88,13 +88,24 @@ def rank(status: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in STATUS_RANK.items() for x in kv)), status), F.lit(-1))
 
 
+def first_seen(rows: DataFrame, key: str, columns: list[str], order: str = "row_idx") -> DataFrame:
+    """For each key and column its different non-empty values in order of first sight, as an array. Repeats are settled before
+    anything is gathered: a value is one row by then, whatever its key's number of rows."""
+    cells = F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).alias("value")) for c in columns)))
+    seen = rows.select(key, order, cells.alias("c")).where("c.value <> ''").groupBy(key, "c.name", "c.value").agg(F.min(order).alias("first"))
+    values = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("name") == c, F.struct("first", "value")))), lambda x: x["value"])
+    return seen.groupBy(key).agg(*(values(c).alias(c) for c in columns))
+
+
 def merge(rows: DataFrame) -> DataFrame:
     """One row per key: id, module and path of the row with the highest status rank (the first of equals), the status or
     状态冲突 where statuses differ, evidence and notes without repeats in order of first sight."""
-    joined = lambda c: F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(F.col(c) != "", F.struct("row_idx", c)))), lambda x: x[c])), "；")
+    keyed_rows = rows.where("key <> ''")
     best = F.max_by(F.struct("feature_id", "module", "path"), F.struct(rank(F.col("status")), -F.col("row_idx")))
-    out = rows.where("key <> ''").groupBy("key").agg(best.alias("r"), F.when(F.min("status") != F.max("status"), "状态冲突").otherwise(F.min("status")).alias("status"), joined("evidence").alias("evidence"), joined("notes").alias("notes"))
-    return out.select("key", F.when(F.col("r.feature_id") != "", F.col("r.feature_id")).otherwise(F.col("key")).alias("feature_id"), "r.module", "r.path", "status", "evidence", "notes")
+    one = keyed_rows.groupBy("key").agg(best.alias("r"), F.when(F.min("status") != F.max("status"), "状态冲突").otherwise(F.min("status")).alias("status"))
+    out = one.join(first_seen(keyed_rows, "key", ["evidence", "notes"]), "key", "left")
+    told = (F.coalesce(F.array_join(c, "；"), F.lit("")).alias(c) for c in ("evidence", "notes"))
+    return out.select("key", F.when(F.col("r.feature_id") != "", F.col("r.feature_id")).otherwise(F.col("key")).alias("feature_id"), "r.module", "r.path", "status", *told)
 
 
 def status_histogram(rows: DataFrame) -> DataFrame:

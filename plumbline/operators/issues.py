@@ -75,6 +75,39 @@ def analysis_gates(tables: dict[str, DataFrame], valid: DataFrame, quotes: DataF
     }
 
 
+def report_gates(matrix: DataFrame, priorities: DataFrame, quotes: DataFrame, records: DataFrame, releases: DataFrame, effects: DataFrame, themes: DataFrame, figures: dict[int, DataFrame], roadmap: DataFrame, targets: DataFrame, method: DataFrame, sections: tuple[str, ...], stages: tuple[str, ...]) -> dict[str, DataFrame]:
+    """The offending rows of the thirteen gates of a report, each decided by the tables that the report is made from.
+
+    matrix(claim, section, metric, value, resolved), priorities (of metrics.priority), quotes(source_record_id),
+    records(source_record_id), releases(version), effects(version), themes(mean), figures by number, roadmap(stage),
+    targets(metric, now, target), method(note).
+    """
+    spark = matrix.sparkSession
+    one = lambda df: spark.range(1).join(df.limit(1), F.lit(True), "left_anti")  # noqa: E731  one row where df has none
+    names = lambda c, values: spark.createDataFrame([(v,) for v in values], f"{c} string")  # noqa: E731  a report's fixed lists
+    lead = matrix.where(F.col("section") == sections[0])
+    absent = None
+    for k in (1, 2, 4, 5):
+        gone = one(figures[k]) if k in figures else spark.range(1)
+        absent = gone if absent is None else absent.unionByName(gone)
+    number = lambda c: F.col(c).cast("string").try_cast("double")
+    return {
+        "rp_proposition": one(lead.where("resolved")),
+        "rp_summary": lead.where("not resolved"),
+        "rp_sections": names("section", sections).join(matrix.select("section").distinct(), "section", "left_anti"),
+        "rp_figures": absent,
+        "rp_releases_attributed": releases.join(effects.select("version").distinct(), "version", "left_anti"),
+        "rp_levels": priorities.where("grade is null or grade not in ('P0', 'P1', 'P2')").select("theme").unionByName(one(priorities).select(F.lit("").alias("theme"))),
+        "rp_priority_parts": priorities.where("rule_version is null or rule_version <> 'priority_v1' or V is null or D is null or G is null or U is null or F is null or missing_components is null"),
+        "rp_satisfied": one(themes.where("mean >= 3")),
+        "rp_roadmap": names("stage", stages).join(roadmap.select("stage").distinct(), "stage", "left_anti").unionByName(roadmap.where(~F.col("stage").isin(*stages)).select("stage")),
+        "rp_targets": targets.where(number("now").isNull() | number("target").isNull()).select("metric").unionByName(one(targets).select(F.lit("").alias("metric"))),
+        "rp_appendix": one(method.where("trim(note) <> ''")),
+        "rp_claims_resolved": matrix.where("not resolved"),
+        "rp_quotes_traceable": quotes.join(records.select("source_record_id").distinct(), "source_record_id", "left_anti"),
+    }
+
+
 def judged(checks: DataFrame, notes: dict[str, bool]) -> DataFrame:
     """checks with the gates that only people can decide (name: passed), marked as such; one that nobody judged is not in
     notes and so is missing, not passed."""

@@ -5,10 +5,16 @@ Every source numbers its rows (`row_idx`); ties always end in that number, so re
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions.text import blank, displayed_date, post_info, star
+from plumbline.operators.ordered import numbered
 
 IDENTITY = ("published_at", "rating", "text", "region", "device")
 
@@ -117,16 +123,90 @@ def compatible(a: str, b: str) -> Column:
     return stars & texts
 
 
-def index_offset(saved: DataFrame, current: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """The offset (saved idx - current idx) that most compatible pairs agree on, its votes and the pairs in all; no row
-    where no pair is compatible. current is one page (a screen's few records) for each `by`, so pairs are few to a saved
-    row. An equi-join on post_info with the rest as a condition; ties go to the offset whose first
-    pair comes first in (current, saved) order."""
-    by = by or []
-    pairs = saved.alias("s").join(current.alias("c"), (F.col("s.post_info") == F.col("c.post_info")) & compatible("s", "c") & F.expr(" and ".join(f"s.{k} <=> c.{k}" for k in by) or "true"))
-    votes = pairs.groupBy(*(F.col(f"c.{k}").alias(k) for k in by), (F.col("s.idx") - F.col("c.idx")).alias("offset")).agg(F.count("*").alias("votes"), F.min(F.struct(F.col("c.idx").alias("x"), F.col("s.idx").alias("y"))).alias("_first"))
-    best = F.max_by(F.struct("offset", "votes"), F.struct(F.col("votes"), -F.col("_first.x"), -F.col("_first.y")))
-    return votes.groupBy(*by).agg(best.alias("b"), F.sum("votes").alias("pairs")).select(*by, "b.offset", "b.votes", "pairs").where("offset is not null")
+def _sightings(df: DataFrame, keys: list[str], saved: bool, lengths: DataFrame, by: list[str]) -> DataFrame:
+    """(keys, bucket, idx, n): each sighting in the buckets in which it meets those of the other side that it is compatible
+    with. Every compatible pair shares exactly one bucket.
+
+    Texts that are both filled meet under the shorter one: the side that may be longer goes to a bucket for each length that
+    the other side's texts of the same post_info have (as many as a text has characters at most). Stars meet under their
+    value, or under the side that does not know them. Where a text is empty, stars must be known.
+    """
+    text, stars = blank(F.col("text")), blank(F.col("stars"))
+    rows = df.where(blank(F.col("post_info")) != "").select(*keys, "post_info", text.alias("text"), stars.alias("stars"), F.col("idx").cast("long").alias("idx"))
+    rows = rows.join(lengths, [*by, "post_info"], "left")
+    size, known = F.length("text"), F.col("stars") != ""
+    value = F.concat(F.lit("="), F.col("stars"))
+    own, other = ("s", "c") if saved else ("c", "s")
+    # saved: own value, or the page's side unknown; page: own value, or the saved side unknown. Both unknown meet once.
+    tags = F.when(known, F.array(value, F.lit(f"?{other}"))).otherwise(F.array(F.lit("?c"), F.lit("?s")) if saved else F.array(F.lit("?c")))
+    shorter = F.filter(F.coalesce("lengths", F.array().cast("array<int>")), lambda n: (n <= size) if saved else (n < size))
+    cut = F.transform(shorter, lambda n: F.concat(F.lit(other), F.substring("text", F.lit(1), n)))
+    texts = F.when(F.col("text") != "", F.concat(cut, F.array(F.concat(F.lit(own), F.col("text")))))
+    filled = F.flatten(F.transform(texts, lambda t: F.transform(tags, lambda g: F.concat(g, F.lit("\x1f"), t))))
+    bare = F.when(~known, F.array().cast("array<string>"))
+    if saved:
+        bare = bare.when(F.col("text") == "", F.array(F.concat(F.lit("s-"), value))).otherwise(F.array(F.concat(F.lit("c-"), value)))
+    else:
+        bare = bare.when(F.col("text") == "", F.array(F.concat(F.lit("s-"), value), F.concat(F.lit("c-"), value))).otherwise(F.array(F.concat(F.lit("s-"), value)))
+    both = F.concat(F.coalesce(filled, F.array().cast("array<string>")), bare)
+    bucket = F.explode(F.transform(both, lambda x: F.md5(F.concat(F.col("post_info"), F.lit("\x1f"), x))))
+    return rows.select(*keys, bucket.alias("bucket"), "idx").groupBy(*keys, "bucket", "idx").agg(F.count("*").alias("n"))
+def correlated(saved: tuple[np.ndarray, np.ndarray], page: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(offset, votes, first page number) of all pairs of two lists of (numbers in order, how often each), offset being saved
+    less page number. Few pairs are counted as such; many by adding the saved numbers up, shifted by each of the page's."""
+    (y, m), (x, n) = saved, page
+    if len(x) * len(y) <= 1 << 16:
+        offset, at, inverse = np.unique((y - x[:, None]).ravel(), return_index=True, return_inverse=True)
+        return offset, np.bincount(inverse, (n[:, None] * m).ravel()).astype(np.int64), x[at // len(y)]
+    low, wide = int(y[0] - x[-1]), int(y[-1] - y[0]) + 1
+    held = np.zeros(wide, np.int64)
+    held[y - y[0]] = m
+    there = held > 0
+    votes = np.zeros(wide + int(x[-1] - x[0]), np.int64)
+    first = np.full(len(votes), x[-1], np.int64)
+    for number, often in zip(x[::-1].tolist(), n[::-1].tolist(), strict=True):  # the least number is written last
+        at = int(y[0]) - number - low
+        votes[at : at + wide] += often * held
+        first[at : at + wide][there] = number
+    some = np.flatnonzero(votes)
+    return some + low, votes[some], first[some]
+
+
+def index_offset(saved: DataFrame, current: DataFrame, by: list[str] | None = None, pages: list[str] | None = None, block: int = 8192) -> DataFrame:
+    """For each `by` (columns of both) and page (columns of current alone) the offset (saved idx - current idx) that most
+    compatible pairs agree on, its votes and the pairs in all; no row where no pair is compatible. Sightings without a
+    post_info match nothing. Ties go to the offset whose first pair comes first in (current, saved) order.
+
+    No pair becomes a row: sightings go to buckets that only compatible ones share, a bucket's numbers are held in blocks of
+    `block`, and two blocks give one row for each offset between them, at most twice `block`.
+    """
+    by, pages = by or [], pages or []
+
+    def lengths(df: DataFrame) -> DataFrame:
+        own = df.where((blank(F.col("text")) != "") & (blank(F.col("post_info")) != ""))
+        return own.groupBy(*by, "post_info").agg(F.collect_set(F.length("text")).alias("lengths"))
+
+    def blocks(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        number = F.array_sort(F.collect_list(F.struct("idx", "n"))).alias(name)
+        return df.groupBy(*keys, "bucket", F.floor(F.col("idx") / block).alias(f"_{name}")).agg(number)
+
+    met = _sightings(current, [*by, *pages], False, lengths(saved), by)
+    history = _sightings(saved, by, True, lengths(current), by).join(met.select(*by, "bucket").distinct(), [*by, "bucket"], "left_semi")
+    pairs = blocks(met, [*by, *pages], "page").join(blocks(history, by, "saved"), [*by, "bucket"]).select(*by, *pages, "saved", "page")
+    groups = len(by) + len(pages)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = [[(v.values.field(0).to_numpy(), v.values.field(1).to_numpy()) for v in batch.column(groups + k)] for k in (0, 1)]
+            for i, both in enumerate(zip(*lists, strict=True)):
+                offset, votes, first = correlated(*both)
+                at = pa.array(np.full(len(offset), i, np.int32))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(groups)), pa.array(offset), pa.array(votes), pa.array(first)], names=[*by, *pages, "offset", "votes", "first"])
+
+    schema = T.StructType([*(pairs.schema[c] for c in (*by, *pages)), *T.StructType.fromDDL("offset long, votes long, first long")])
+    votes = pairs.mapInArrow(run, schema).groupBy(*by, *pages, "offset").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"))
+    best = F.max_by(F.struct("offset", "votes"), F.struct(F.col("votes"), -F.col("first"), -F.col("offset")))
+    return votes.groupBy(*by, *pages).agg(best.alias("b"), F.sum("votes").alias("pairs")).select(*by, *pages, "b.offset", "b.votes", "pairs").where("offset is not null")
 
 
 def plateaus(df: DataFrame, by: list[str], order: str, signature: str, least: int = 4) -> DataFrame:
@@ -148,10 +228,11 @@ def before_boundary(df: DataFrame, by: list[str], date: str, bound: Column) -> D
 
 
 def assemble(fields: DataFrame, collected: Column, month: tuple[int, int]) -> DataFrame:
-    """Review rows of one month from upserted records (idx, Username, Stars, StarMessage, Text, PostInfo)."""
+    """Review rows of one month from upserted records (idx, Username, Stars, StarMessage, Text, PostInfo), numbered as seq by
+    their place in the list; no user's name goes along, all are the same."""
     date, time = displayed_date(F.col("PostInfo"), collected)
     shown, region, device = post_info(F.col("PostInfo"))
     rows = fields.where("idx >= 0").withColumn("_date", date).where((F.year("_date") == month[0]) & (F.month("_date") == month[1]))
     published = F.concat_ws(" ", F.date_format("_date", "yyyy-MM-dd"), F.nullif(time, F.lit("")))
-    seq = F.row_number().over(Window.orderBy("idx"))  # one app and month: a report's size
-    return rows.select(seq.alias("seq"), F.col("idx").alias("list_pos"), published.alias("published_at"), shown.alias("displayed_at"), star(F.col("Stars")).alias("rating"), F.col("StarMessage").alias("rating_text"), F.col("Text").alias("text"), region.alias("region"), device.alias("device"), F.lit("匿名用户").alias("user"))
+    out = rows.select(F.col("idx").alias("list_pos"), published.alias("published_at"), shown.alias("displayed_at"), star(F.col("Stars")).alias("rating"), F.col("StarMessage").alias("rating_text"), F.col("Text").alias("text"), region.alias("region"), device.alias("device"), F.lit("匿名用户").alias("user"))
+    return numbered(out, "seq", "list_pos").select("seq", *out.columns)

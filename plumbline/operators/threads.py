@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.rules import ASSISTED_LABELS, DEFAULT, FINAL_LABELS, RuleSet, contextualize, direct_classify, effective_label, thread_label, topics_for
 from plumbline.functions.text import blank, clean, parse_count, pick, pseudonym, stable_id
 from plumbline.operators.issues import issue, passed, report
+from plumbline.operators.ordered import last_before
 
 # Fixed values.
 PLACEHOLDER = "[图片评论]"
@@ -228,20 +229,22 @@ def read_posts(spark: SparkSession, path: str) -> DataFrame:
     return json_records(spark, path, ("posts", "items", "data")).withColumnRenamed("record", "post")
 
 
-def dom_comments(df: DataFrame, key: str, order: str, fields: list[str], is_root: str | None = None) -> DataFrame:
+def dom_comments(df: DataFrame, key: str, order: str, fields: list[str], is_root: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Comments seen again and again while a page scrolls: one row per key at its first position with its last fields, and
-    how often it was seen. Positions are the order of first sight.
+    how often it was seen. Positions are the order of first sight, a whole number. by: columns that name the page; keys and
+    nesting of different pages have nothing to do with each other.
 
     With is_root (a boolean column), the page's nesting too: parent is the key of the last root seen before the comment's
-    first position, null for roots and for replies before any root; kind is root or reply.
+    first position, null for roots and for replies before any root; kind is root or reply. A page of any length is looked at
+    in stretches.
     """
+    by = by or []
     extra = [] if is_root is None else [F.min_by(F.col(is_root), order).alias("_root")]
-    out = df.groupBy(key).agg(F.min(order).alias("position"), *(F.max_by(f, order).alias(f) for f in fields), F.count("*").alias("seen"), *extra)
+    out = df.groupBy(*by, key).agg(F.min(order).alias("position"), *(F.max_by(f, order).alias(f) for f in fields), F.count("*").alias("seen"), *extra)
     if is_root is None:
         return out
-    before = Window.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)  # one page's comments
-    parent = F.last(F.when(F.col("_root"), F.col(key)), ignorenulls=True).over(before)
-    return out.withColumn("parent", F.when(~F.col("_root"), parent)).withColumn("kind", F.when(F.col("_root"), "root").otherwise("reply")).drop("_root")
+    nested = last_before(out, "parent", F.when(F.col("_root"), F.col(key)), "position", by)
+    return nested.withColumn("parent", F.when(~F.col("_root"), F.col("parent"))).withColumn("kind", F.when(F.col("_root"), "root").otherwise("reply")).drop("_root")
 
 
 def envelope(post: dict, comments: DataFrame, fields: dict[str, str], most: int = 100_000) -> dict:

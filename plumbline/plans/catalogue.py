@@ -994,3 +994,7 @@ def standard_fields(spark, sf):
     table = F.create_map(*(F.lit(x) for kv in words.items() for x in kv))
     r = reviews_of(spark, sf).select("row_idx", F.col("id").alias("list_pos"), F.lit("2001-02-03 10:11").alias("发布时间"), F.col("region").alias("地区"), F.lit("").alias("设备"), F.element_at(table, F.col("rating")).alias("评分描述"), F.lit("someone").alias("用户"), F.lit("").alias("评分"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("评论内容"))
     return tagging.tag(tagging.standard_fields(r)).select("list_pos", "channel", "province", "date", "rating")
+
+
+# Queries of their own modules, registered as they are imported.
+from plumbline.plans import collection, reports  # noqa: E402, F401

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions.rules import ALLOWED_STATUSES, STATUS_ALIASES
 from plumbline.functions.text import clean
+from plumbline.operators.ordered import file_rows
 
 LEVELS = [f"{n}级功能" for n in "一二三四五六"]
 
@@ -41,20 +42,17 @@ def _rows(spark: SparkSession, path: str) -> DataFrame:
     return _whole(spark, path).mapInPandas(run, "file string, row long, cells array<string>")
 
 
-def csv_table(spark: SparkSession, path: str, cleaned: bool = False) -> DataFrame:
+def csv_table(spark: SparkSession, path: str, cleaned: bool = False, across: bool = False) -> DataFrame:
     """A CSV by its header: every cell text, missing ones empty, blank lines skipped, quoted cells may hold line breaks, a
     byte order mark is dropped; cleaned: white space collapsed too. Read by Spark's own reader, a file a task; of several
-    files each is numbered by itself, and the first one's header holds."""
-    from pyspark.sql import Window
-
+    files the first one's header holds, and each is numbered by itself, or (across) one after the other by name."""
     table = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8").csv(path)
     if not table.columns:
         return spark.createDataFrame([], "row_idx long")
     names = [c.removeprefix("\ufeff") for c in table.columns]
-    rows = table.toDF(*names).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
     form = clean if cleaned else lambda c: F.coalesce(c, F.lit(""))
-    nth = F.row_number().over(Window.partitionBy("_file").orderBy("_at")).cast("long") - 1
-    return rows.select(nth.alias("row_idx"), *(form(F.col(f"`{h}`")).alias(h) for h in names))
+    rows = file_rows(table, across=across)
+    return rows.toDF("row_idx", *names).select("row_idx", *(form(F.col(f"`{h}`")).alias(h) for h in names))
 
 
 def repaired(df: DataFrame, header: list[str]) -> DataFrame:
@@ -202,8 +200,6 @@ def template(spark: SparkSession, header: list[str]) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines with a given schema (nothing is inferred) and row numbers in file order."""
-    from pyspark.sql import Window
-
-    rows = spark.read.schema(schema).json(path).withColumn("_file", F.col("_metadata.file_path")).withColumn("_at", F.monotonically_increasing_id())
-    return rows.withColumn("row_idx", F.row_number().over(Window.partitionBy("_file").orderBy("_at")) - 1).drop("_at", "_file")
+    """JSON lines with a given schema (nothing is inferred) and row numbers in file order; a file may have many splits."""
+    rows = file_rows(spark.read.schema(schema).json(path))
+    return rows.select(*rows.columns[1:], "row_idx")

@@ -1,5 +1,6 @@
-"""Sinks: CSV with a byte order mark, JSON documents, Markdown reports. Reports are small by nature and are written by the
-driver, bounded by `most` rows (more is an error); tables of any size go to Parquet or JSON lines through Spark."""
+"""Sinks: CSV with a byte order mark, JSON documents, Markdown reports. Reports are small by nature and may be made as text on
+the driver, bounded by `most` rows (more is an error); tables of any size are written by the executors, as one file in order
+(csv_file, json_file, timeline_file) or as Parquet and JSON lines."""
 
 from __future__ import annotations
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.rules import colour
 from plumbline.functions.text import markdown_cell
-from plumbline.operators.issues import quality_checks
-from plumbline.operators.releases import CHANNELS
+from plumbline.operators.issues import passed, quality_checks
+from plumbline.operators.releases import CHANNELS, FIELDS
 
 
 def _bounded(df: DataFrame, most: int) -> list:
@@ -40,6 +41,56 @@ def json_text(df: DataFrame, key: str | None = None, most: int = 100_000) -> str
     return json.dumps({key: rows} if key else rows[0] if rows else {}, ensure_ascii=False, default=str, indent=2)
 
 
+def lines_file(df: DataFrame, path: str, order: list[str], head: str = "", tail: str = "", separator: str = "\n", skip: int = 0) -> None:
+    """One text file of any size: head, the column `line` of df in the given order, tail. Executors sort and write the lines;
+    their parts are then put behind each other in a stream of small buffers, as one file has one writer. skip: so many bytes
+    at the start of the first line are left out."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path
+    beside = f"{path}.parts"
+    df.orderBy(*order).select("line").write.mode("overwrite").option("lineSep", separator).text(beside)
+    fs = to(path).getFileSystem(conf)
+    parts = sorted((f.getPath() for f in fs.listStatus(to(beside)) if f.getPath().getName().startswith("part-") and f.getLen() > 0), key=lambda p: p.getName())
+    out = fs.create(to(path), True)
+    try:
+        out.write(bytearray(head.encode()))
+        for i, part in enumerate(parts):
+            source = fs.open(part)
+            try:
+                if i == 0:
+                    source.seek(skip)
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+            finally:
+                source.close()
+        out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+    fs.delete(to(beside), True)
+
+
+def csv_file(df: DataFrame, path: str, order: list[str], columns: list[str] | None = None) -> None:
+    """As csv_text(), of any size: one file, its rows in the given order."""
+    columns = columns or [c for c in df.columns]
+
+    def cell(c: str):
+        text = F.array_join(F.transform(c, lambda x: x.cast("string")), ",", "") if df.schema[c].dataType.typeName() == "array" else F.col(f"`{c}`").cast("string")
+        text = F.coalesce(text, F.lit(""))
+        return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+    def name(c: str) -> str:
+        return '"' + c.replace('"', '""') + '"' if set(c) & set('",\r\n') else c
+
+    lines = df.select(*order, F.concat_ws(",", *(cell(c) for c in columns)).alias("line"))
+    lines_file(lines, path, order, head="\ufeff" + ",".join(map(name, columns)) + "\r\n", separator="\r\n")
+
+
+def json_file(df: DataFrame, path: str, key: str, order: list[str]) -> None:
+    """As json_text(), of any size: {key: [rows in the given order]}, a row a line."""
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns)), {"ignoreNullFields": "false"})
+    lines_file(df.select(*order, F.concat(F.lit(","), row).alias("line")), path, order, head="{" + json.dumps(key, ensure_ascii=False) + ": [\n", tail="]}\n", skip=1)
+
+
 def markdown_table(df: DataFrame, most: int = 10_000) -> str:
     head = f"| {' | '.join(df.columns)} |\n|{'---|' * len(df.columns)}\n"
     cells = df.select(*(markdown_cell(F.col(f"`{c}`")).alias(c) for c in df.columns))
@@ -64,6 +115,31 @@ def release_timeline(df: DataFrame, most: int = 10_000) -> str:
     return "\n".join(out) + "\n"
 
 
+def timeline_file(df: DataFrame, path: str) -> None:
+    """As release_timeline(), of any size and of several apps: within a channel by app, then as timeline() numbers them."""
+    nth = F.array_position(F.array(*map(F.lit, CHANNELS)), F.col("release_channel")).cast("int")
+    k = F.when(nth > 0, nth).otherwise(len(CHANNELS) + 1).alias("k")
+    main = F.concat(F.lit("- "), F.when(F.col("sort_date") != "", F.col("sort_date")).otherwise("?"), F.lit(" "), F.col("version"), F.lit(": "), F.col("update_text"))
+    window = F.when((F.col("test_start") != "") | (F.col("test_end") != ""), F.concat(F.lit("  - window "), F.col("test_start"), F.lit(" to "), F.col("test_end")))
+    evidence = F.when((F.col("source") != "") | (F.col("evidence_file") != ""), F.rtrim(F.concat(F.lit("  - evidence "), F.col("source"), F.lit(" "), F.col("evidence_file"))))
+    rows = df.select(k, F.lit(1).alias("part"), "app_name", "package_name", "nth", F.concat_ws("\n", main, window, evidence).alias("line"))
+    title = F.when(F.col("k") > len(CHANNELS), "Unsupported channel").otherwise(F.element_at(F.array(*map(F.lit, (*CHANNELS, ""))), F.col("k")))
+    heads = rows.select("k").distinct().select("k", F.lit(0).alias("part"), F.lit("").alias("app_name"), F.lit("").alias("package_name"), F.lit(0).alias("nth"), F.concat(F.lit("\n## "), title, F.lit("\n")).alias("line"))
+    lines_file(rows.unionByName(heads), path, ["k", "part", "app_name", "package_name", "nth"], head="# Release timeline\n")
+
+
+def release_files(df: DataFrame, findings: DataFrame, prefix: str) -> int:
+    """Writes normalize()'s releases as prefix.csv, .json and .md, and its findings as prefix-findings.csv, whatever they are;
+    returns 1 if one is an error, else 0."""
+    fields = [*FIELDS]
+    shown = df.select("row_no", *fields)
+    csv_file(shown, f"{prefix}.csv", ["row_no"], fields)
+    json_file(shown, f"{prefix}.json", "updates", ["row_no"])
+    timeline_file(df, f"{prefix}.md")
+    csv_file(findings, f"{prefix}-findings.csv", ["row_no", "code", "field"])
+    return 0 if passed(findings) else 1
+
+
 def month_report(rows: DataFrame, histogram: DataFrame) -> dict[str, str]:
     """Markdown, JSON and CSV of one month's reviews; the histogram lists 1 to 5 whether they occur or not."""
     counts = {r["stars"]: r["n"] for r in histogram.collect()}

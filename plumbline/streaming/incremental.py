@@ -17,32 +17,81 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
 
 
+def _sight(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, "idx", F.col("PostInfo").alias("post_info"), F.col("Stars").alias("stars"), F.col("Text").alias("text"))
+
+
+def signature() -> Column:
+    """A digest of the records of a group that does not depend on their order and adds up over parts: their number and the sum
+    of 48 bits of each one's hash."""
+    row = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("idx", "PostInfo", "Text")))
+    return F.concat_ws(":", F.count("*").cast("string"), F.sum(F.conv(F.substring(F.md5(row), 1, 12), 16, 10).cast("decimal(38,0)")).cast("string"))
+
+
+def rebase(batch: DataFrame, history: DataFrame, known: DataFrame) -> DataFrame:
+    """(screen, shift, votes) for each screen of a batch(screen, idx, ...): what brings its numbers to those of the history. A
+    screen that known(screen, shift) has keeps its shift (votes 0), so a file that comes again is not judged anew; others
+    take the shift that most of their records agree on; one that meets nothing of the history is of the same sitting as the
+    rest and takes the shift of all new screens together. If these agree with nothing either, all shifts are null."""
+    names = batch.select("screen").distinct().join(known.select("screen", F.col("shift").alias("_kept")), "screen", "left")
+    fresh = batch.join(known.select("screen"), "screen", "left_anti")
+    each = index_offset(_sight(history), _sight(fresh, "screen"), pages=["screen"]).select("screen", F.col("offset").alias("_own"), "votes")
+    whole = index_offset(_sight(history), _sight(fresh)).select(F.col("offset").alias("_all"))
+    told = names.join(each, "screen", "left").join(F.broadcast(whole), how="left")  # one row at most
+    shift = F.coalesce("_kept", "_own", "_all").cast("long")
+    return told.select("screen", shift.alias("shift"), F.when(F.col("_kept").isNotNull(), 0).otherwise(F.coalesce("votes", F.lit(0))).cast("long").alias("votes"))
+
+
 def merge_batch(batch: DataFrame, epoch: int, target: str, align: bool = True, bound: str | None = None) -> None:
-    """Adds a batch of partial records (idx, seq, fields) to the log under target, one folder per epoch: a replayed epoch
-    overwrites itself. With align, a batch whose records overlap the history is shifted to where most of them agree, and
-    a batch that fits nowhere is refused. What was done is noted in the batch's progress row (see progress)."""
+    """Adds a batch of partial records (idx, seq, fields, and screen: the file that shows them, where there are several) to the
+    log under target, one folder per epoch: a replayed epoch overwrites itself.
+
+    With align, each screen is shifted to where most of its records agree with the history (see rebase), and a batch that
+    fits nowhere is refused. The shifts are written beside the log, before it (see offsets), and hold for a screen that is
+    seen again, after a restart too. What was done is noted in the batch's progress row (see progress).
+    """
     spark = batch.sparkSession
-    shift = 0
-    if align and _exists(spark, f"{target}/log") and not batch.isEmpty():
-        history = current(spark, target, epoch)
-        if not history.isEmpty():
-            sight = lambda df: df.select("idx", F.col("PostInfo").alias("post_info"), F.col("Stars").alias("stars"), F.col("Text").alias("text"))
-            best = index_offset(sight(history), sight(batch)).first()
-            if best is None:
-                raise ValueError("the batch overlaps nothing collected before")
-            shift = best["offset"]
-            batch = batch.withColumn("idx", F.col("idx") + shift)
-    batch.withColumn("seq", F.col("seq").cast("int")).write.mode("overwrite").parquet(f"{target}/log/epoch={epoch}")
-    written = spark.read.parquet(f"{target}/log/epoch={epoch}")
+    batch = batch.withColumn("seq", F.col("seq").cast("int"))
+    batch = batch if "screen" in batch.columns else batch.withColumn("screen", F.lit(f"batch {epoch}"))
+    log, shifts = f"{target}/log/epoch={epoch}", f"{target}/offsets/epoch={epoch}"
+    past = align and _exists(spark, f"{target}/log") and not batch.isEmpty()
+    history = current(spark, target, epoch) if past else None
+    if history is not None and not history.isEmpty():
+        known = offsets(spark, target, epoch)
+        rebase(batch, history, known).coalesce(1).write.mode("overwrite").parquet(shifts)  # a row for each screen of a batch
+        if not spark.read.parquet(shifts).where("shift is null").isEmpty():
+            _delete(spark, shifts)
+            raise ValueError("the batch overlaps nothing collected before")
+    else:
+        batch.select("screen").distinct().select("screen", F.lit(0).cast("long").alias("shift"), F.lit(0).cast("long").alias("votes")).coalesce(1).write.mode("overwrite").parquet(shifts)
+    moved = batch.join(spark.read.parquet(shifts).select("screen", "shift"), "screen")
+    moved.withColumn("idx", (F.col("idx") + F.col("shift")).cast(batch.schema["idx"].dataType)).drop("shift").write.mode("overwrite").parquet(log)
+    written = spark.read.parquet(log)
     day = displayed_date(F.col("PostInfo"), F.lit(bound).cast("date"))[0] if bound else F.lit(None).cast("date")
-    signature = F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", F.col("idx").cast("string"), "PostInfo", "Text"))), "\n"), 256)
-    note = written.agg(F.lit(epoch).cast("long").alias("screen"), F.count("*").alias("records"), F.lit(shift).cast("long").alias("shift"), F.max(day).alias("newest_date"), signature.alias("signature"))
-    note.coalesce(1).write.mode("overwrite").parquet(f"{target}/progress/epoch={epoch}")
+    note = written.agg(F.lit(epoch).cast("long").alias("screen"), F.count("*").alias("records"), F.max(day).alias("newest_date"), signature().alias("signature"))
+    most = spark.read.parquet(shifts).agg(F.coalesce(F.max_by("shift", "votes"), F.lit(0)).cast("long").alias("shift"))
+    note.crossJoin(F.broadcast(most)).coalesce(1).write.mode("overwrite").parquet(f"{target}/progress/epoch={epoch}")  # one row each
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def offsets(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """(screen, shift): by how much the numbers of each screen were shifted when it was first merged (in epochs before one, if
+    given). With readers.screens() it builds the records anew from the raw files."""
+    if not _exists(spark, f"{target}/offsets"):
+        return spark.createDataFrame([], "screen string, shift long")
+    log = spark.read.schema("screen string, shift long, votes long, epoch long").parquet(f"{target}/offsets")
+    if before is not None:
+        log = log.where(F.col("epoch") < before)
+    return log.groupBy("screen").agg(F.min_by("shift", "epoch").alias("shift"))
 
 
 def progress(spark: SparkSession, target: str) -> DataFrame:
-    """One row for each merged batch: screen (its epoch), records, the shift that aligned it, its newest date (where the day of
-    collection was given) and a signature of what it showed."""
+    """One row for each merged batch: screen (its epoch), records, the shift that aligned it (of several, that with most votes),
+    its newest date (where the day of collection was given) and a signature of what it showed."""
     return spark.read.parquet(f"{target}/progress").select("screen", "records", "shift", "newest_date", "signature")
 
 
@@ -65,13 +114,23 @@ def compact(spark: SparkSession, target: str, upto: int) -> None:
             fs.delete(path(f"{target}/log/epoch={epoch}"), True)
 
 
-def fill_gaps(spark: SparkSession, target: str, extra: DataFrame, epoch: int) -> tuple[DataFrame, DataFrame]:
+def gaps(spark: SparkSession, target: str, before: int | None = None, month: tuple[int, int] | None = None, collected: str | None = None) -> DataFrame:
+    """One row of position_gaps() over the list (list: all), or over the positions of one month's records, dated as seen from
+    the day of collection; a list without gaps has a row with 0."""
+    rows = current(spark, target, before)
+    if month:
+        day = displayed_date(F.col("PostInfo"), F.lit(collected).cast("date"))[0]
+        rows = rows.withColumn("_d", day).where((F.year("_d") == month[0]) & (F.month("_d") == month[1]))
+    found = position_gaps(rows.withColumn("list", F.lit("all")), ["list"], "idx")
+    whole = spark.range(1).select(F.lit("all").alias("list"))
+    return whole.join(found, "list", "left").select("list", F.coalesce("gap_count", F.lit(0)).cast("long").alias("gap_count"), F.coalesce("first_gaps", F.array().cast("array<bigint>")).alias("first_gaps"))
+
+
+def fill_gaps(spark: SparkSession, target: str, extra: DataFrame, epoch: int, month: tuple[int, int] | None = None, collected: str | None = None) -> tuple[DataFrame, DataFrame]:
     """A backward pass: extra partial records merged like any batch (aligned, or refused), and the missing positions before
-    and after: two frames of position_gaps() over the whole list."""
-    gaps = lambda: position_gaps(current(spark, target).withColumn("list", F.lit("all")), ["list"], "idx")
-    before = spark.createDataFrame(gaps().collect(), "list string, gap_count long, first_gaps array<long>")  # one row, 30 positions
+    and after, a row each of gaps(). The log keeps every epoch, so both come from it, after a restart too."""
     merge_batch(extra, epoch, target, align=True)
-    return before, gaps()
+    return gaps(spark, target, epoch, month, collected), gaps(spark, target, epoch + 1, month, collected)
 
 
 def current(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
