@@ -6,9 +6,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.llm.bpe import encoder
-from plumbline.llm.common import mapped, stored
+from plumbline.llm.common import mapped, stored, unused
 
 
 def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:
@@ -34,10 +35,14 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity:
     return mapped(docs.select("doc_id", "text"), run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
 
-def fullest(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
-    """(length, copies) of a combination of available lengths, the longest among them, whose sum is the largest that
-    fits. Subset sums are bits of one integer; each length joins in shares of 1, 2, 4 ... copies, so no sum needs more
-    copies than there are. The search ends at the first exact fit."""
+def fullest(counts: np.ndarray, capacity: int, slack: int = 0) -> list[tuple[int, int]]:
+    """(length, copies) of a combination of available lengths, the longest among them, whose sum is at most `slack` below the
+    largest that fits; of these the one with the longest pieces, so that short ones are left for the gaps of others.
+
+    Subset sums are bits of one integer, of the short lengths first; each length joins in shares of 1, 2, 4 ... copies, so no
+    sum needs more copies than there are. From the longest share down, a share is taken if a wanted sum is still within
+    reach of those below it.
+    """
     longest = int(np.flatnonzero(counts)[-1])
     room = capacity - longest
     full = (1 << room + 1) - 1
@@ -45,7 +50,7 @@ def fullest(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
     if longest <= room:
         left[longest] -= 1
     sums, steps = 1, []
-    for length in np.flatnonzero(left)[::-1].tolist():
+    for length in np.flatnonzero(left).tolist():
         copies, share = min(int(left[length]), room // length), 1
         while copies:
             share = min(share, copies)
@@ -53,30 +58,48 @@ def fullest(counts: np.ndarray, capacity: int) -> list[tuple[int, int]]:
             sums |= sums << length * share & full
             copies -= share
             share *= 2
-        if sums >> room & 1:
-            break
-    at = sums.bit_length() - 1
+    wanted = sums >> max(0, sums.bit_length() - 1 - slack) << max(0, sums.bit_length() - 1 - slack)
     chosen = {longest: 1}
     for length, share, before in reversed(steps):
-        if not before >> at & 1:
+        if within := wanted >> length * share & before:
             chosen[length] = chosen.get(length, 0) + share
-            at -= length * share
+            wanted = within
+        else:
+            wanted &= before
     return sorted(chosen.items(), reverse=True)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+#: From none (the fullest sequence each time) to all (the longest piece that fits each time).
+SLACKS = (0, 8, 1, 2, 32, 64, 1 << 20)
+
+
+def plan(counts: dict[int, int], capacity: int, slacks: tuple[int, ...] = SLACKS) -> list[tuple[int, int, int, int, int, int]]:
     """Rows (length, first_rank, end_rank, copies, first_sequence, offset): the pieces of a length with ranks from
     first_rank on go, `copies` to a sequence, into sequences from first_sequence on, at offset and behind each other.
 
     One row set per combination: what fills one sequence best is used as often as its lengths last, so the work depends
-    on the number of lengths (at most `capacity`), not of pieces.
+    on the number of lengths (at most `capacity`), not of pieces. The slack that a sequence may keep for the sake of longer
+    pieces is tried in turn; the plan with fewest sequences stays, the first of equals, or at once one that has no more
+    than the tokens need.
     """
+    least = -(-sum(length * n for length, n in counts.items()) // capacity)
+    best, fewest = [], None
+    for slack in slacks:
+        rows, sequences = _plan(counts, capacity, slack)
+        if fewest is None or sequences < fewest:
+            best, fewest = rows, sequences
+        if fewest == least:
+            break
+    return best
+
+
+def _plan(counts: dict[int, int], capacity: int, slack: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
     used, sequence, rows = np.zeros(capacity + 1, np.int64), 0, []
     while left.any():
-        combination = fullest(left, capacity)
+        combination = fullest(left, capacity, slack)
         times = min(int(left[length]) // copies for length, copies in combination)
         offset = 0
         for length, copies in combination:
@@ -85,7 +108,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
             left[length] -= copies * times
             offset += copies * length
         sequence += times
-    return rows
+    return rows, sequence
 
 
 def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -95,8 +118,11 @@ def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
     its length is its rank in a salted group plus the sizes of the groups before, so no length is ranked in one task;
     ties of repeated rows are broken by any order that the written table keeps. An empty table packs to an empty one.
     """
-    items = stored(items, "packing-pieces")
-    by = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(4096)).cast("int")
+    columns = items.columns
+    salt = unused(items, "salt")
+    by = F.col(salt)
+    # dealt out by where a piece lies, so that pieces which repeat a doc_id, or have none, do not meet in one group
+    items = stored(items.withColumn(salt, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(4096)).cast("int")), "packing-pieces")
     groups = items.select("length", by.alias("salt")).groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = plan(counts, capacity)
@@ -107,9 +133,10 @@ def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
     blocks = blocks.selectExpr("length", "block", "sum(n) over (partition by length order by block) - n as earlier")
     inner = groups.selectExpr("length", "salt", "shiftright(salt, 6) as block", "sum(n) over (partition by length, shiftright(salt, 6) order by salt) - n as nearer")
     before = inner.join(blocks, ["length", "block"]).select("length", "salt", (F.col("earlier") + F.col("nearer")).alias("ahead"))
-    ranked = items.withColumn("salt", by).selectExpr("*", "row_number() over (partition by length, salt order by doc_id, piece) - 1 as nth")
+    ranked = items.select(*columns, by.alias("_salt")).selectExpr("*", "row_number() over (partition by length, _salt order by doc_id, piece) - 1 as nth").withColumnRenamed("_salt", "salt")
     placed = ranked.join(before, ["length", "salt"]).withColumn("rank", F.col("nth") + F.col("ahead")).drop("nth", "ahead", "salt")
-    columns = [*items.columns, "sequence_id", "offset"]
+    kept = T.StructType([*items.schema][: len(columns)])
+    columns = [*columns, "sequence_id", "offset"]
     at = placed.columns.index("rank"), placed.columns.index("length")
 
     def run(batches):
@@ -126,9 +153,7 @@ def pack(items: DataFrame, capacity: int = 1024) -> DataFrame:
             got = {name: batch.column(i) for i, name in enumerate(batch.schema.names)} | {"sequence_id": pa.array(sequence), "offset": pa.array(offset)}
             yield pa.RecordBatch.from_arrays([got[c] for c in columns], names=columns)
 
-    from pyspark.sql import types as T
-
-    return mapped(placed, run, T.StructType([*items.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
+    return mapped(placed, run, T.StructType([*kept, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def packed(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: int = 1024, end_id: int = 2) -> DataFrame:

@@ -287,6 +287,29 @@ def test_packing_against_best_fit_decreasing():
         assert used <= bins * 1.001 + 1 and used >= -(-sum(lengths) // 1024)
 
 
+def best_fit_decreasing(counts, capacity=1024):
+    """How many sequences the plain rule needs: the longest piece left goes where the least room is left."""
+    space, n = np.zeros(capacity + 1, np.int64), 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            fits = np.flatnonzero(space[length:])
+            room = length + fits[0] if len(fits) else capacity
+            n += not len(fits)
+            space[room] -= len(fits) > 0
+            space[room - length] += 1
+    return n
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_never_more_sequences_than_best_fit_decreasing(seed):
+    r = np.random.default_rng(seed)
+    n = int(r.integers(50, 3000))
+    drawn = [r.integers(1, 1025, n), np.clip(r.lognormal(5, 1, n), 1, 1024), np.clip(r.normal(400, 150, n), 1, 1024), r.choice(r.integers(1, 1025, 30), n)][seed % 4]
+    counts = dict(zip(*(x.tolist() for x in np.unique(drawn.astype(int), return_counts=True)), strict=True))
+    rows = packing.plan(counts, 1024)
+    assert max(r[4] + (r[2] - r[1]) // r[3] for r in rows) <= best_fit_decreasing(counts)
+
+
 def test_fullest_is_the_fullest():
     r = random.Random(4)
     for _ in range(60):
