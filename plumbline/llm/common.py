@@ -144,10 +144,11 @@ class Sieve:
         return at[(self.bitmap[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) & 1) == 1]
 
 
-def sieve(hashes: DataFrame, n: int, each: int = 256, most: int = 28) -> Sieve:
+def sieve(hashes: DataFrame, n: int, each: int = 256, most: int = 28, at_once: bool = False) -> Sieve:
     """The sieve of hashes(hash long), about n rows: `each` bits for a hash up to 2**most bits in all (32 MB), which bounds
     what a task, the driver and a broadcast of it hold; with more hashes it lets more through. Bits are dealt out by where
-    they lie, so each task fills parts of its own and no part is sent twice."""
+    they lie, so each task fills parts of its own and no part is sent twice. at_once: the driver gets all parts in one job
+    (the bound holds twice then), else a task's at a time."""
     bits = int(np.clip(np.ceil(np.log2(each * max(1, n))), 16, most))
     part = 1 << 16  # bits
     signed = F.col("hash")
@@ -163,7 +164,8 @@ def sieve(hashes: DataFrame, n: int, each: int = 256, most: int = 28) -> Sieve:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([rows[k].tobytes()], pa.binary())], names=["part", "bitmap"])
 
     bitmap = np.zeros(1 << bits - 3, np.uint8)
-    for r in mapped(places.repartition(F.shiftright("bit", 16)), run, "part long, bitmap binary").toLocalIterator():
+    parts = mapped(places.repartition(F.shiftright("bit", 16)), run, "part long, bitmap binary")
+    for r in parts.collect() if at_once else parts.toLocalIterator():
         bitmap[r["part"] * (part >> 3) :][: part >> 3] = np.frombuffer(bytes(r["bitmap"]), np.uint8)
     return Sieve(bitmap, bits)
 

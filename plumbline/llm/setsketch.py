@@ -215,52 +215,54 @@ def _members(groups: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return groups.select("group", "node").join(sets.select("node", *columns), "node").groupBy("group").agg(F.collect_list(F.struct("node", *columns)).alias("members")).where(F.size("members") > 1)
 
 
-def candidates(sets: DataFrame, similarity: float, limit: int = 1024) -> tuple[DataFrame, DataFrame]:
-    """(edges, groups): candidate edges(a, b) whose classes hold all that is likely to be linked, and the buckets they come
-    from as groups(group, node, n), each distinct group once.
-
-    Buckets of up to `limit` sets are compared in a task. In a larger one each set is compared with the bucket's smallest
-    node: what is closer than 0.1 to it (in Jaccard distance, a metric) can link only to what is closer than 0.3, and all
-    that is likely to be closer than 0.35 gets an edge to it; so only what is not that close is left, and is compared in
-    pairs of blocks.
+def _compared(pairs: DataFrame, sets: DataFrame, close: float, absorbed: float) -> DataFrame:
+    """(hub, node, close, absorbed) of pairs(hub, node) of sets, by their registers."""
+    end = lambda k, c: sets.select(F.col("node").alias(k), F.col("n").alias(f"{c}_size"), F.col("registers").alias(f"{c}_registers"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2048):
+                part = batch.slice(k, 2048)
+                a, b = (np.frombuffer(b"".join(part.column(f"{c}_registers").to_pylist()), np.uint16).reshape(-1, M) for c in "ab")
+                n_a, n_b = (part.column(f"{c}_size").to_numpy() for c in "ab")
+                hit = [pa.array(at_least(t, a, b, n_a, n_b)) for t in (close, absorbed)]
+                yield pa.RecordBatch.from_arrays([part.column("hub"), part.column("node"), *hit], names=["hub", "node", "close", "absorbed"])
+
+    return mapped(pairs.join(end("hub", "a"), "hub").join(end("node", "b"), "node"), run, "hub long, node long, close boolean, absorbed boolean")
+
+
+def candidates(sets: DataFrame, similarity: float, limit: int = 1024, rounds: int = 1, close: float = 0.55, absorbed: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(edges, buckets): candidate edges(a, b) whose classes hold all that is likely to be linked, and the buckets they come from
+    as (group, node, n).
+
+    In each round the sets of a bucket are compared with its smallest node alone, its hub; as buckets of near copies have few
+    hubs between them, a pair is compared once for all its buckets. What is `close` to the hub gets an edge to it. A set that
+    is `absorbed` (so similar that its Jaccard distance, a metric, is under 0.16 for all but chance) can link only to sets
+    that are under 0.36 from the hub, which have their edge, so nothing in this bucket needs to see it again. What is left
+    after the rounds is compared with each other: groups of up to `limit` in a task, larger ones in pairs of blocks.
     """
     spark = sets.sparkSession
     shared = stored(buckets(sets).groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "sketch-shared")
-    passed = sieve(shared.select(F.col("bucket").alias("hash")), max(1, shared.count()), each=64)
+    passed = sieve(shared.select(F.col("bucket").alias("hash")), max(1, shared.count()), each=64, at_once=True)
     sent = spark.sparkContext.broadcast(passed)
     rows = stored(buckets(sets, sent).join(shared, "bucket"), "sketch-buckets")
     discard(shared)
-    small = rows.where(F.col("n") <= limit).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
-    numbered = small.withColumn("group", F.monotonically_increasing_id())  # before the explode: one number for each group
-    groups = stored(numbered.select("group", F.size("nodes").alias("n"), F.explode("nodes").alias("node")), "sketch-groups")
-    edges = [_likely(_members(groups, sets, "n", "registers"), similarity)]
-    large = rows.where(F.col("n") > limit)
+    edges, left = [], rows
+    for k in range(rounds):
+        seen = stored(_compared(left.where("node <> hub").select("hub", "node").distinct(), sets, close, absorbed), f"sketch-hubs-{k}")
+        edges.append(seen.where("close").select(F.col("hub").alias("a"), F.col("node").alias("b")))
+        rest = left.join(seen.where("not absorbed").select("hub", "node"), ["hub", "node"]).select("bucket", "node")
+        left = stored(rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("hub")).where("n > 1"), "bucket"), f"sketch-rest-{k}")
+    alike = left.where(F.col("n") <= limit).groupBy("bucket").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
+    groups = alike.select(F.xxhash64("nodes").alias("group"), F.explode("nodes").alias("node"))
+    edges.append(_likely(_members(groups, sets, "n", "registers"), similarity))
+    large = left.where(F.col("n") > limit)
     if not large.isEmpty():
-        near = stored(_to_hub(large.join(sets.select("node", F.col("n").alias("size"), "registers"), "node"), sets), "sketch-hubs")
-        edges.append(near.where("close").select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        rest = near.where("not absorbed")
-        rest = rest.join(rest.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "bucket")
-        edges.append(_likely(_members(_blocks(rest, ["bucket"], "n", limit), sets, "n", "registers"), similarity))
-        groups = groups.unionByName(large.select(F.col("bucket").alias("group"), "n", "node"))
+        edges.append(_likely(_members(_blocks(large, ["bucket"], "n", limit), sets, "n", "registers"), similarity))
     out = edges[0]
     for e in edges[1:]:
         out = out.unionByName(e)
-    return stored(out.distinct(), "sketch-edges"), groups
-
-
-def _to_hub(large: DataFrame, sets: DataFrame, close: float = 0.65, absorbed: float = 0.9) -> DataFrame:
-    """(bucket, node, hub, close, absorbed) of the rows of large buckets, compared with their hub."""
-    hubs = large.select("bucket", "hub").distinct().join(sets.select(F.col("node").alias("hub"), F.col("n").alias("hub_size"), F.col("registers").alias("hub_registers")), "hub")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, M) for c in ("registers", "hub_registers"))
-            n_a, n_b = (batch.column(c).to_numpy() for c in ("size", "hub_size"))
-            hit = [pa.array(at_least(t, a, b, n_a, n_b)) for t in (close, absorbed)]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("bucket", "node", "hub")] + hit, names=["bucket", "node", "hub", "close", "absorbed"])
-
-    joined = large.drop("hub").join(hubs, "bucket").select("bucket", "node", "hub", "size", "registers", "hub_size", "hub_registers")
-    return mapped(joined, run, "bucket long, node long, hub long, close boolean, absorbed boolean")
+    return out, rows.select(F.col("bucket").alias("group"), "node", "n")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
@@ -268,7 +270,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
     these where they lie; the digest decides."""
     spark = docs.sparkSession
     number = lambda c: F.xxhash64(F.col(c), F.lit("doc")).alias("hash")
-    sent = spark.sparkContext.broadcast(sieve(nodes.select(number("first")), max(1, total)))
+    sent = spark.sparkContext.broadcast(sieve(nodes.select(number("first")), max(1, total), at_once=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
@@ -289,46 +291,51 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
 
 
 def _confirmed(groups: DataFrame, percent: int) -> DataFrame:
-    """Confirmed edges in groups(members array of node, elements), a forest for each."""
+    """(a, b) in groups(members array of node, elements): each node b that is linked to a smaller one, with the smallest node a
+    that it reaches over confirmed links in its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for row in batch.column(0):
                 members = row.values
-                nodes = members.field("node").to_pylist()
-                sets = [np.frombuffer(x, np.uint64) for x in members.field("elements").to_pylist()]
+                nodes = members.field("node").to_numpy()
+                order = np.argsort(nodes)  # smallest first, so a tree's first member is its least
+                elements = members.field("elements")
+                sets = [np.frombuffer(elements[int(k)].as_py(), np.uint64) for k in order]
+                least: dict[int, int] = {}
                 for i, j in set_links(sets, percent):
-                    a.append(nodes[i])
-                    b.append(nodes[j])
+                    least[j] = least.get(i, i)
+                    a.append(nodes[order[least[j]]])
+                    b.append(nodes[order[j]])
             yield _pairs(a, b)
 
     return mapped(groups.select("members"), run, "a long, b long")
 
 
-def links(docs: DataFrame, sets: DataFrame, percent: int = 80, limit: int = 1024, elements: int = 1 << 22) -> DataFrame:
-    """Confirmed edges(a, b) between the distinct sets(node, digest, first, n, registers) of docs that connect all that is linked.
+def roots(docs: DataFrame, sets: DataFrame, percent: int = 80, limit: int = 1024, elements: int = 1 << 22) -> DataFrame:
+    """(node, root) for the distinct sets(node, digest, first, n, registers) of docs that are linked to a smaller node: root is
+    the smallest node that confirmed links reach.
 
     Candidates are taken down to 0.12 below the threshold (over four standard deviations of the estimate). Their classes are
-    confirmed in one task each where they have up to `limit` sets and `elements` shingles; in larger ones each bucket is
-    confirmed by itself, in pairs of blocks where it is over `limit`.
+    confirmed in one task each where they have up to 4 * `limit` sets and `elements` shingles; in larger ones each bucket is
+    confirmed by itself, in pairs of blocks where it is over `limit`, and the links are put together.
     """
     likely, groups = candidates(sets, percent / 100 - 0.12, limit)
-    classes = stored(components(likely, "sketch-likely"), "sketch-classes")
-    discard(likely)
-    known = stored(classes.join(sets.select("node", "digest", "first", "n"), "node"), "sketch-members")
+    known = stored(components(likely, "sketch-likely").join(sets.select("node", "digest", "first", "n"), "node"), "sketch-classes")
     full = stored(_full_sets(docs, known, known.count()), "sketch-sets")
     sizes = known.groupBy("root").agg(F.count("*").alias("members"), F.sum("n").alias("total"))
-    large = stored(sizes.where((F.col("members") > limit) | (F.col("total") > elements)).select("root"), "sketch-large")
+    large = stored(sizes.where((F.col("members") > 4 * limit) | (F.col("total") > elements)).select("root"), "sketch-large")
     whole = known.join(large, "root", "left_anti").select(F.col("root").alias("group"), "node")
-    edges = _confirmed(_members(whole, full, "elements"), percent)
+    found = _confirmed(_members(whole, full, "elements"), percent).select(F.col("b").alias("node"), F.col("a").alias("root"))
     if not large.isEmpty():
         nodes = known.join(large, "root", "left_semi").select("node")
         own = groups.join(nodes, "node", "left_semi")
         small = own.where(F.col("n") <= limit).select("group", "node")
         blocks = _blocks(own.where(F.col("n") > limit), ["group"], "n", limit)
-        edges = edges.unionByName(_confirmed(_members(small, full, "elements"), percent)).unionByName(_confirmed(_members(blocks, full, "elements"), percent))
-    return stored(edges.distinct(), "sketch-links")
+        edges = _confirmed(_members(small, full, "elements"), percent).unionByName(_confirmed(_members(blocks, full, "elements"), percent))
+        found = found.unionByName(components(edges, "sketch-links"))
+    return stored(found, "sketch-roots")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, limit: int = 1024) -> DataFrame:
@@ -342,9 +349,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, limit: int = 1024) -> Da
     prints = stored(sketched(docs), "sketch-prints")
     values = prints.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"), F.max("n_shingles").alias("n"), F.max("registers").alias("registers"))
     sets = stored(values.withColumn("node", F.monotonically_increasing_id()), "sketch-values")
-    confirmed = links(docs, sets, percent, limit)
-    roots = components(confirmed, "sketch-components")
-    classed = sets.select("node", "digest", "first", "rows").join(roots.withColumnRenamed("root", "_root"), "node", "left").select("digest", "first", "rows", F.coalesce("_root", "node").alias("root"))
+    linked = roots(docs, sets, percent, limit).withColumnRenamed("root", "_root")
+    classed = sets.select("node", "digest", "first", "rows").join(linked, "node", "left").select("digest", "first", "rows", F.coalesce("_root", "node").alias("root"))
     smallest = classed.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = stored(classed.join(smallest, "root").select("digest", "component_id", "rows"), "sketch-result")
     often = classes.where(F.col("rows") > max(1.0, prints.count() / FREQUENT)).drop("rows")
