@@ -75,7 +75,9 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of pages: page_id, payload_bytes, payload_digest, record_type, refers_to. Null html is the empty payload."""
     index = warc.write_archives(_table(spark, sf_dir, "pages"))
-    return warc.resolved(warc.read_records(index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = warc.resolved(warc.read_records(index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    warc.delete_archives(index)  # all that rows need has been read and written
+    return rows
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:

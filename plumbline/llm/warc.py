@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.common import FREQUENT, discard, fresh_dir, mapped, sieve, spread_join, stored
@@ -58,10 +58,37 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block.partition(b"\r\n\r\n")[2]
 
 
-def _filesystem(path: str):
+#: Names of stores that Arrow knows by another one.
+_SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfs", "wasb": "abfs"}
+
+
+def _filesystem(uri: str):
+    """The file system of a URI with a scheme, and the path there; an error where Arrow has none for it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if ":" in path else (fs.LocalFileSystem(), path)
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def shared_folder(spark: SparkSession, folder: str) -> str:
+    """The folder as tasks must name it: made, and resolved, by the file system that Spark has for it (without a scheme the
+    default one, mounts followed), so that archives lie where Spark's own tables do. A store that Arrow cannot open is an error
+    before anything is written."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(at)
+    uri = store.resolvePath(at).toString()
+    _filesystem(uri)
+    return uri
+
+
+def delete_archives(index: DataFrame) -> None:
+    """Deletes the folder of the archives that write_archives() made for this index; the index is of no use any more."""
+    spark = index.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(index.archives_at)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def _hash(key) -> Column:
@@ -81,11 +108,12 @@ def write_archives(pages: DataFrame, folder: str | None = None, revisit_bytes: i
     than 1 row in 4096 has gets its response from a broadcast (there are at most 4096 of them).
 
     Each task streams its records into an archive of its own whose name is new for each attempt; the index names only
-    archives of attempts that Spark committed, so a lost executor leaves at most files that nothing refers to. The URL
-    keeps its printable ASCII in the record, the rest is percent-encoded; the index has it as it is.
+    archives of attempts that Spark committed, so a lost executor leaves at most files that nothing refers to; they go with
+    the rest by delete_archives(). The URL keeps its printable ASCII in the record, the rest is percent-encoded; the index
+    has it as it is.
     """
     spark = pages.sparkSession
-    folder = folder or fresh_dir(spark, "warc")
+    folder = shared_folder(spark, folder or fresh_dir(spark, "warc"))
     key = F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256)
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", key.alias("key"))
     groups = keyed.groupBy("key").agg(F.max("page_id").alias("newest"), F.count("*").alias("rows")).where("rows > 1")
@@ -160,6 +188,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, revisit_bytes: i
     single = index.where("archive is not null").select(*_COLUMNS)
     if not n:
         discard(repeated)
+        single.archives_at = folder
         return single
     open_ = index.where("archive is null").select("page_id", "url", "key", "sha1", "n", "member")
     newest = repeated.select("key", "newest")
@@ -168,7 +197,9 @@ def write_archives(pages: DataFrame, folder: str | None = None, revisit_bytes: i
     decided = spread_join(open_, newest, "key", often).select("page_id", "url", "sha1", "member", refers.alias("refers_to"))
     more = stored(mapped(decided, second, INDEX), "warc-second")
     discard(repeated)
-    return single.unionByName(more)
+    both = single.unionByName(more)
+    both.archives_at = folder
+    return both
 
 
 def ranges(rows: list[tuple[int, int]], gap: int, most: int) -> Iterator[tuple[int, int, list[int]]]:

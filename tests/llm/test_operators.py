@@ -630,6 +630,27 @@ def test_ranges_coalesce():
     assert [r[2] for r in warc.ranges([(0, 40), (40, 40)], 5, 50)] == [[0], [1]]
 
 
+def test_archives_lie_in_the_default_file_system(spark, tmp_path):
+    """A folder without a scheme is Spark's to resolve, whatever its default file system is, and goes with delete_archives()."""
+    conf = spark._jsc.hadoopConfiguration()
+    was = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.shop.link./shelf", f"file://{tmp_path}/there")
+    conf.set("fs.viewfs.mounttable.shop.link./tmp", "file:///tmp")
+    conf.set("fs.defaultFS", "viewfs://shop/")
+    try:
+        pages = spark.createDataFrame([(k, f"u{k}", "same" if k % 3 else f"own {k}") for k in range(20)], "page_id long, url string, html string")
+        index = warc.write_archives(pages, "/shelf/archives")
+        assert {r["archive"].rsplit("/", 1)[0] for r in index.collect()} == {f"file:{tmp_path}/there/archives"}
+        assert len(list((tmp_path / "there/archives").iterdir())) >= 1
+        assert warc.read_records(index).count() == 20
+        warc.delete_archives(index)
+        assert not (tmp_path / "there/archives").exists()
+        with pytest.raises(Exception, match="[Ss]cheme|FileSystem"):
+            warc.write_archives(pages, "nowhere://x/archives")
+    finally:
+        conf.set("fs.defaultFS", was or "file:///")
+
+
 @pytest.mark.parametrize("n", [1, 64, 4096, 10_000])
 def test_media_round_trip(n):
     payload = bytes(i % 251 for i in range(n))
