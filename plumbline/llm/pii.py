@@ -354,9 +354,9 @@ def field_spans_of(texts: list[str], bases: list[list[Span]], w: np.ndarray) ->
     """For each text the spans that the random field adds: over the whole text, the jointly best boundaries and kinds of
     entities that do not touch a base span.
 
-    Every candidate of the field counts. Those that cannot score above 0 (see _excess) are not looked at, and as tokens
-    outside entities score 0, groups of candidates that overlap no others are cut each by itself: the result is that of one
-    dynamic program over all tokens and candidates.
+    Every candidate of the field counts. Those that cannot score above 0 (see _excess) are not looked at. As tokens outside
+    entities score 0, a candidate that does not score above 0 is in no best cut, and groups of others that overlap are cut
+    each by itself: the result is that of one dynamic program over all tokens and candidates.
     """
     out: list[list[Span]] = [[] for _ in texts]
     t = Tokens(texts)
@@ -372,13 +372,18 @@ def field_spans_of(texts: list[str], bases: list[list[Span]], w: np.ndarray) ->
     heads = np.flatnonzero(t.number & ~joins)
     tails = np.flatnonzero(t.number & ~np.concatenate([joins[1:], [False]])) + 1
     some = total[tails] - total[heads] >= 4
-    for r, s in zip(heads[some].tolist(), tails[some].tolist(), strict=True):
-        if s - r == 1:
-            if total[s] - total[r] >= 7:
-                ranges.add((r, s))
-            continue
-        for a in range(r, s):
-            ranges.update((a, b) for b in range(a + 1, min(s, a + LONGEST) + 1) if total[b] - total[a] >= 7 or b - a == 7 and _is_quad(t, a))
+    heads, tails = heads[some], tails[some]
+    size = tails - heads
+    member = np.repeat(heads - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(int(size.sum()))  # all their tokens
+    end = np.repeat(tails, size)
+    codes = []  # a candidate as one number: a * 64 + length
+    for length in range(1, LONGEST + 1):
+        x = member[member + length <= end]
+        enough = total[x + length] - total[x] >= 7
+        if length == 7:
+            four = np.flatnonzero(~enough & (total[x + length] - total[x] >= 4))
+            enough[four] = [_is_quad(t, k) for k in x[four].tolist()]
+        codes.append(x[enough] * 64 + length)
     if few:
         for k in np.flatnonzero(t.sign).tolist():
             if _FROM_SIGN.match(t.joined, t.start[k], int(t.begin[t.text[k] + 1]) - 1):
@@ -394,18 +399,25 @@ def field_spans_of(texts: list[str], bases: list[list[Span]], w: np.ndarray) ->
             if length == 7:
                 found |= np.array([four and _is_quad(t, x) for x, four in enumerate((total[b] - total[a] >= 4).tolist())], bool)
             ranges.update((x, x + length) for x in np.flatnonzero(found & (t.text[a] == t.text[b - 1])).tolist())
+    codes.append(np.array([x * 64 + y - x for x, y in ranges], np.int64))
+    found = np.unique(np.concatenate(codes).astype(np.int64))
+    a, b = found >> 6, (found >> 6) + (found & 63)
     cover = {i: sorted((s, e) for _, s, e in base) for i, base in enumerate(bases) if base}
-    free = []
-    for a, b in sorted(ranges):
-        at = int(t.begin[t.text[a]])
-        if not any(s < t.end[b - 1] - at and e > t.start[a] - at for s, e in cover.get(int(t.text[a]), ())):
-            free.append((a, b))
-    group: list[tuple[int, int]] = []
-    for a, b in [*free, (n + 1, n + 1)]:
-        if group and a >= max(y for _, y in group[-LONGEST * LONGEST :]):
-            _cut(t, texts, group, w, out)
-            group = []
-        group.append((a, b))
+    if cover:
+        held = np.isin(t.text[a], list(cover))
+        for i in np.flatnonzero(held).tolist():
+            at = int(t.begin[t.text[a[i]]])
+            held[i] = any(s < t.end[b[i] - 1] - at and e > t.start[a[i]] - at for s, e in cover[int(t.text[a[i]])])
+        a, b = a[~held], b[~held]
+    kept = _worth(t, texts, a, b, w)
+    group: list[tuple[int, int, int, float]] = []
+    reach = 0
+    for a, b, kind, score in [*kept, (n + 1, n + 1, 0, 0.0)]:
+        if group and a >= reach:
+            _cut(t, group, out)
+            group, reach = [], 0
+        group.append((a, b, kind, score))
+        reach = max(reach, b)
     return [sorted(set(x), key=lambda s: (KINDS.index(s[0]), s[1], s[2])) for x in out]
 
 
@@ -413,20 +425,152 @@ def _is_quad(t: Tokens, a: int) -> bool:
     return t.joined[t.start[a + 1]] == "." and bool(re.fullmatch(_QUAD, t.joined[t.start[a] : t.end[a + 6]]))
 
 
-def _cut(t: Tokens, texts: list[str], group: list[tuple[int, int]], w: np.ndarray, out: list[list[Span]]) -> None:
-    """Adds the entities of the best cut of the tokens of a group of candidates, which are in order."""
-    first, last = group[0][0], max(b for _, b in group)
+_ZEROS = str.maketrans("123456789", "000000000")
+_CONTEXT = (26, 27, 28, 29, 30, 33, 34)  # what lies around a candidate: glued, the cues of each kind, a number before or behind
+
+
+@functools.lru_cache(1 << 14)
+def _own_features(shape: str, checked: bool, small: bool, start: str) -> tuple[int, ...]:
+    """The features of a written number that its form decides, its digits being zeros in shape; whether its check digit is right
+    and all its groups are under 256 is told, and how it starts: like a year (20), with two zeros (00) or else (10). Those of
+    its surroundings are 0."""
+    digits = _written(shape, checked, small, start)
+    tokens = tokenize(digits)
+    features = segment_features(digits, tokens, 0, len(tokens))
+    return tuple(int(x) for x in features)
+
+
+def _written(shape: str, checked: bool, small: bool, start: str) -> str:
+    """A number of this shape whose check digit, groups and start are as told, where they matter."""
+    n = shape.count("0")
+    out = list(shape)
+    at = [i for i, c in enumerate(shape) if c == "0"]
+    out[at[0]] = start[0]
+    if not small:
+        for m in [*re.finditer("0{3}", shape)][-1:]:
+            out[m.start()] = "9"
+    if n in _LUHN_LENGTHS and luhn(_digits("".join(out))) != checked:
+        for i in reversed(at):
+            held = out[i]
+            if i in at[:2] or (not small and held == "9"):
+                continue
+            out[i] = next((c for c in "0123456789" if luhn(_digits("".join([*out[:i], c, *out[i + 1 :]]))) == checked), held)
+            break
+    return "".join(out)
+
+
+def _worth(t: Tokens, texts: list[str], a: np.ndarray, b: np.ndarray, w: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(a, b, kind, score) of the candidates tokens[a:b] whose best kind scores above 0, in their order.
+
+    Written numbers go through arrays: what a number's own form contributes is looked up by its shape (its digits as zeros),
+    the check digit comes from running sums, and its surroundings are told for all tokens at once. Other candidates are few
+    and are looked at one by one.
+    """
+    if not len(a):
+        return []
+    written, linked = (np.concatenate([[0], np.cumsum(x)]) for x in (t.number, t.linked))
+    plain = (written[b] - written[a] == b - a) & (linked[b] - linked[a + 1] == b - a - 1)
+    best = np.full(len(a), -np.inf)
+    kind = np.zeros(len(a), int)
+    for i in np.flatnonzero(~plain).tolist():
+        k, at, low, high = _around(t, int(a[i]), int(b[i]))
+        tokens = [Token(t.joined[s:e], s - at, e - at) for s, e in zip(t.start[low:high].tolist(), t.end[low:high].tolist(), strict=True)]
+        scores = np.array(segment_features(texts[k], tokens, int(a[i]) - low, int(b[i]) - low), float) @ w.T
+        kind[i], best[i] = int(np.argmax(scores)), scores.max()
+    some = np.flatnonzero(plain)
+    if len(some):
+        scores = _number_scores(t, a[some], b[some], w)
+        kind[some], best[some] = scores.argmax(1), scores.max(1)
+    return [(int(a[i]), int(b[i]), int(kind[i]), float(best[i])) for i in np.flatnonzero(best > 0)]
+
+
+def _around(t: Tokens, first: int, last: int) -> tuple[int, int, int, int]:
+    """The text of tokens[first:last], where it begins, and the range of tokens that their features can depend on."""
     k = int(t.text[first])
-    at = int(t.begin[k])
     low, high = max(0, first - 2), min(len(t.start), last + 1)
     while t.text[low] < k:
         low += 1
     while t.text[high - 1] > k:
         high -= 1
-    tokens = [Token(t.joined[s:e], s - at, e - at) for s, e in zip(t.start[low:high].tolist(), t.end[low:high].tolist(), strict=True)]
-    scores = np.array([segment_features(texts[k], tokens, a - low, b - low) for a, b in group], float) @ w.T
-    for a, b, kind in viterbi(last - first, [(a - first, b - first) for a, b in group], scores):
-        out[k].append((KINDS[kind], tokens[a + first - low].start, tokens[b + first - low - 1].end))
+    return k, int(t.begin[k]), low, high
+
+
+def _number_scores(t: Tokens, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The scores (by kind) of written numbers tokens[a:b]."""
+    points = np.frombuffer(t.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    where = np.flatnonzero((points >= 48) & (points <= 57))
+    value = (points[where] - 48).astype(np.int64)
+    twice = 2 * value - 9 * (value > 4)
+    odd = np.arange(len(value)) % 2
+    sums = [np.concatenate([[0], np.cumsum(np.where(odd == p, twice, value))]) for p in (0, 1)]  # p: the parity that is doubled
+    i, j = np.searchsorted(where, t.start[a]), np.searchsorted(where, t.end[b - 1])
+    total = np.where(j % 2 == 0, sums[0][j] - sums[0][i], sums[1][j] - sums[1][i])  # the last digit is not doubled
+    n = j - i
+    checked = (n >= _LUHN_LENGTHS.start) & (n < _LUHN_LENGTHS.stop) & (total % 10 == 0)
+    large = np.zeros(len(t.start), np.int64)
+    for k in np.flatnonzero(t.number & (t.digits == 3)).tolist():  # longer groups are none of an address anyway
+        large[k] = int(t.joined[t.start[k] : t.end[k]]) > 255
+    large = np.concatenate([[0], np.cumsum(large)])
+    small = large[b] == large[a]
+    zeros = t.joined.translate(_ZEROS)
+    groups = np.concatenate([[0], np.cumsum(t.digits > 0)])
+    found: dict[tuple, int] = {}
+    forms: list[tuple[str, bool, bool, str]] = []
+    own = np.empty(len(a), np.int64)
+    columns = (t.start[a], t.end[b - 1], checked, small, n, np.minimum(groups[b] - groups[a], 6))
+    for x, (s, e, c, q, digits, g) in enumerate(zip(*(v.tolist() for v in columns), strict=True)):
+        shape = zeros[s:e]
+        if digits > 19:  # longer than any form: all that counts is the number of groups and what stands between and around them
+            key = (g, frozenset(shape), shape.count("(") == shape.count(")"), shape[0], shape[-1])
+            form = (shape, False, True, "10")
+        else:
+            # a year matters where the form is that of a date, small groups where it has four
+            head = t.joined[s : s + 2]
+            start = "00" if head == "00" else "20" if head in ("19", "20") and len(shape) <= 10 else "10"
+            key = form = (shape, c, q or shape.count(".") != 3, start)
+        own[x] = found.setdefault(key, len(forms))
+        if own[x] == len(forms):
+            forms.append(form)
+    static = np.array([_own_features(*form) for form in forms], float) @ w.T
+    return static[own] + _context(t, a, b) @ w[:, _CONTEXT].T
+
+
+def _context(t: Tokens, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The features _CONTEXT of written numbers tokens[a:b]; each depends on a few tokens before a or behind b."""
+    word = lambda k: t.joined[t.start[k] : t.end[k]].lower()
+    heads, ha = np.unique(a, return_inverse=True)
+    tails, hb = np.unique(b, return_inverse=True)
+    before = np.zeros((len(heads), 6), bool)  # glued, cues of phone, card, email, ip, number
+    for i, k in enumerate(heads.tolist()):
+        if not k or t.text[k - 1] != t.text[k]:
+            continue
+        one = word(k - 1)
+        two = word(k - 2) if k > 1 and t.text[k - 2] == t.text[k] else ""
+        before[i] = (
+            t.end[k - 1] == t.start[k], one in _CUES["phone"] or one in (":", ".") and two in _CUES["phone"], one in _CUES["card"] or one == ":" and two in _CUES["card"],
+            one in _CUES["email"] or one == ":" and two in _CUES["email"], one in _CUES["ip"] or one == ":" and two in _CUES["ip"],
+            t.joined[t.end[k - 1] - 1].isdigit() and t.start[k] - t.end[k - 1] <= 1,
+        )
+    behind = np.zeros((len(tails), 2), bool)  # glued, number
+    for i, k in enumerate(tails.tolist()):
+        if k < len(t.start) and t.text[k] == t.text[k - 1]:
+            one = t.joined[t.start[k] : t.end[k]]
+            behind[i] = t.end[k - 1] == t.start[k] and one not in ".,;:!?)", one[0].isdigit() and t.start[k] - t.end[k - 1] <= 1
+    left, right = before[ha], behind[hb]
+    return np.column_stack([left[:, 0] | right[:, 0], left[:, 1:5], left[:, 5], right[:, 1]]).astype(float)
+
+
+def _cut(t: Tokens, group: list[tuple[int, int, int, float]], out: list[list[Span]]) -> None:
+    """Adds the entities of the best cut of the tokens of a group of candidates, which are in order."""
+    first = group[0][0]
+    k = int(t.text[first])
+    at = int(t.begin[k])
+    segments = [(a - first, b - first) for a, b, _, _ in group]
+    scores = np.full((len(group), len(KINDS)), -np.inf)
+    for i, (_, _, kind, score) in enumerate(group):
+        scores[i, kind] = score
+    for a, b, kind in viterbi(max(y for _, y in segments), segments, scores):
+        out[k].append((KINDS[kind], int(t.start[a + first]) - at, int(t.end[b + first - 1]) - at))
 
 
 def field_spans(text: str, base: list[Span], w: np.ndarray) -> list[Span]:

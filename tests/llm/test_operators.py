@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import types
 import zlib
 
@@ -630,6 +631,33 @@ def test_ranges_coalesce():
     assert [r[2] for r in warc.ranges([(0, 40), (40, 40)], 5, 50)] == [[0], [1]]
 
 
+def test_scores_of_written_numbers_equal_their_features():
+    """What arrays give for each written number is what its features give."""
+    w, r = pii.train(60, 10), random.Random(4)
+    parts = lambda: r.choice(("00" + str(r.randint(0, 10 ** r.randint(1, 12))), str(r.randint(0, 10 ** r.randint(1, 20))), *"()+-./–x", "2001-02-03", "19.5.6", "tel:", "card", "ip", "1.2.3.4", str(r.randint(0, 300)), "\n"))
+    seen = 0
+    for _ in range(150):
+        text = " ".join(parts() for _ in range(r.randint(3, 25)))
+        t, tokens = pii.Tokens([text]), pii.tokenize(text)
+        written, linked, digits = (np.concatenate([[0], np.cumsum(x)]) for x in (t.number, t.linked, t.digits))
+        pairs = [(a, b) for a in range(len(tokens)) for b in range(a + 1, min(len(tokens), a + 20) + 1) if written[b] - written[a] == b - a and linked[b] - linked[a + 1] == b - a - 1 and digits[b] > digits[a]]
+        if pairs:
+            got = pii._number_scores(t, *np.array(pairs).T, w)
+            want = np.array([pii.segment_features(text, tokens, a, b) for a, b in pairs], float) @ w.T
+            assert np.allclose(got, want), text
+            seen += len(pairs)
+    assert seen > 5000
+
+
+def test_texts_of_numbers_take_no_long(spark):
+    r = random.Random(1)
+    w = pii.train()
+    for text in ("1234567 " * 3000, " ".join(str(r.randint(0, 10 ** r.randint(1, 9))) for _ in range(18_000))):
+        start = time.perf_counter()
+        pii.field_spans_of([text], [pii.base_spans(text)], w)
+        assert time.perf_counter() - start < 20  # some seconds on a busy machine; minutes before
+
+
 def test_archives_lie_in_the_default_file_system(spark, tmp_path):
     """A folder without a scheme is Spark's to resolve, whatever its default file system is, and goes with delete_archives()."""
     conf = spark._jsc.hadoopConfiguration()
