@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.operators import inventory, threads
+from plumbline.operators import inventory, reviews, threads
 from plumbline.plans import proxies as P
 from plumbline.plans.catalogue import _folder, query
 from plumbline.sources import readers, sinks
@@ -152,3 +152,22 @@ def old_inventory(spark, sf):
     got = readers.inventory(spark, path)
     assert inventory.header_issues(got.columns) == []
     return got.select("row_idx", "模块", "一级功能", "二级功能", "六级功能", "验证状态", "证据文件", "备注")
+
+
+@query("select c_custkey::varchar as id, c_name || ' x y' as name from customer")
+def cleaned_csv(spark, sf):
+    """A CSV whose cells are cleaned of white space as they are read."""
+    path = f"{_folder(spark)}/customer.csv"
+    c = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("id"), F.concat(F.lit("  "), F.col("c_name"), F.lit(" 　x\n\ty ")).alias("name"))
+    sinks.csv_file(c, path, ["id"])
+    return readers.csv_table(spark, path, cleaned=True).select("id", "name")
+
+
+@query("with r as (" + P.REVIEWS + ") select '匿名用户' as user, rating, count(*) as n, max(id) as last from r where year(d) = 1997 and month(d) = 6 group by 2")
+def anonymous_reviewers(spark, sf):
+    """A month's rows name nobody: whoever wrote them, the label is one."""
+    r = P.view(spark, sf, P.REVIEWS)
+    shown = F.concat(F.date_format("d", "yyyy/M/d"), F.lit(" | "), F.col("region"), F.lit(" | phone"))
+    fields = r.select(F.col("id").alias("idx"), F.concat(F.lit("someone "), F.col("id")).alias("Username"), F.col("rating").cast("string").alias("Stars"), F.lit("").alias("StarMessage"), F.lit("t").alias("Text"), shown.alias("PostInfo"))
+    rows = reviews.assemble(fields, F.lit("2001-12-31").cast("date"), (1997, 6))
+    return rows.groupBy("user", "rating").agg(F.count("*").alias("n"), F.max("list_pos").alias("last"))
