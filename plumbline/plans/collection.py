@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions import text as X
 from plumbline.operators import inventory, reviews, threads
 from plumbline.plans import proxies as P
 from plumbline.plans.catalogue import _folder, query
@@ -171,3 +172,48 @@ def anonymous_reviewers(spark, sf):
     fields = r.select(F.col("id").alias("idx"), F.concat(F.lit("someone "), F.col("id")).alias("Username"), F.col("rating").cast("string").alias("Stars"), F.lit("").alias("StarMessage"), F.lit("t").alias("Text"), shown.alias("PostInfo"))
     rows = reviews.assemble(fields, F.lit("2001-12-31").cast("date"), (1997, 6))
     return rows.groupBy("user", "rating").agg(F.count("*").alias("n"), F.max("list_pos").alias("last"))
+
+
+# Rules over data in which each of their branches occurs ------------------------------------------------------------------------
+
+_WIDE = "".join(chr(0xFF41 + i) for i in range(26))
+
+
+@query("select p_partkey, p_name || ' 1 %' as name from part")
+def nfkc_forms(spark, sf):
+    """Names in full-width letters with a circled figure and a small percent sign, in their plain form again."""
+    wide = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz", _WIDE)
+    return spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", X.nfkc(F.concat(F.lit("　"), wide, F.lit(" ① ﹪ "))).alias("name"))
+
+
+_STATES = "select p_type as module, case p_size % 6 when 0 then '未检查' when 1 then '受阻' when 2 then '未收录' when 3 then '明确缺失' when 4 then '已验证存在' else '部分可用' end as status from part"
+
+
+@query(f"select module, count(*) as rows, count(*) filter (status = '未检查') as unchecked, count(*) filter (status = '受阻') as blocked, count(*) filter (status = '未收录') as unlisted, count(*) filter (status = '明确缺失') as absent from ({_STATES}) group by 1")
+def coverage_counts(spark, sf):
+    return inventory.coverage_note(P.view(spark, sf, _STATES))
+
+
+_ROWS = "select p_partkey as row_idx, p_type as `模块`, case when p_partkey % 2 = 0 then p_brand else p_brand || p_type end as `一级功能`, case when p_partkey % 2 = 0 then p_type else '' end as `二级功能`, case p_size % 4 when 0 then '已验证存在' when 1 then '部分可用' when 2 then '明确缺失' else '何' end as `验证状态`, case when p_partkey % 3 = 0 then '' else 'e' end as `证据ID` from part"
+
+
+@query(
+    "with r as ("
+    + _ROWS.replace("`", '"')
+    + "), k as (select *, regexp_replace(lower(\"一级功能\" || \"二级功能\"), '[^a-z0-9]', '', 'g') as key, \"一级功能\" || case when \"二级功能\" <> '' then ' > ' || \"二级功能\" else '' end as path from r), g as (select min(row_idx) + 2 as row_no, count(distinct \"验证状态\") as s, count(distinct path) as p from k group by key having count(*) > 1) "
+    "select row_idx + 2 as row_no, 'error' as severity, 'status' as code from k where \"验证状态\" = '何' union all select row_idx + 2, 'warning', 'no_evidence' from k where \"验证状态\" in ('已验证存在', '部分可用') and \"证据ID\" = '' union all select row_no, 'warning', case when s > 1 then 'conflict' else 'duplicate' end from g union all select row_no, 'warning', 'key_collision' from g where p > 1"
+)
+def inventory_findings(spark, sf):
+    """Findings of an inventory in which paths meet under one key, with all their kinds."""
+    return inventory.validate_table(P.view(spark, sf, _ROWS)).select("row_no", "severity", "code")
+
+
+@query(
+    "with e as (select *, row_number() over (partition by event_type order by event_id desc) as back from events) select event_type, arg_max(cast(ts as date), event_id) < date '2024-01-30' or count(distinct case when back <= 4 then user_id % 2 end) = 1 and count(*) >= 4 as stop from e group by 1"
+)
+def stop_by_type(spark, sf):
+    """Whether a collection of each type's events may end: the newest is old enough, or the last four look alike."""
+    e = spark.read.parquet(f"{sf}/events.parquet").select("event_type", F.col("event_id").alias("screen"), F.col("ts").cast("date").alias("newest_date"), (F.col("user_id") % 2).cast("string").alias("signature"))
+    kinds = [r["event_type"] for r in e.select("event_type").distinct().collect()]  # five
+    told = [(k, incremental.should_stop(e.where(F.col("event_type") == k), F.lit("2024-01-30").cast("date"), 10**9)) for k in kinds]
+    return spark.createDataFrame(told, "event_type string, stop boolean")
