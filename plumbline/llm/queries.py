@@ -171,4 +171,46 @@ with d as (select doc_id, hex(encode(coalesce(text, ''))) x, octet_length(encode
  t as (select *, list_transform(range(0, 64), lambda i: ('0x' || substr(x, (2 * (n - 64 + i) + 1)::int, 2))::bigint) tail from m)
 select doc_id, b as n_bytes, n as payload_bytes, sha256(unhex(x)) as payload_sha256, xor(list_reduce([4294967295::bigint] || tail, lambda a, y: list_reduce([xor(a, y)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, (u & 1) * 3988292384))), 4294967295) as tail_crc32,
  (length(media) // 2)::bigint as media_bytes, sha256(unhex(media)) as media_sha256, 'raw;' || n || '/8000;' || n || ';' || first || '+' || n as feature from t""",
+    # Pairs of sets by a join on shingle hashes, classes by reachability.
+    "op11_setsketch": r"""
+with recursive d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+ s as (select doc_id, hash(unnest(list_distinct(case when len(w) > 1 then list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) else w end))) as h from d),
+ n as (select doc_id, count(*) as n from s group by 1),
+ p as (select a.doc_id as a, b.doc_id as b, count(*) as k from (select * from s join n using (doc_id)) a join (select * from s join n using (doc_id)) b on a.h = b.h and a.doc_id < b.doc_id and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) group by 1, 2),
+ e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+ l as (select a, b from e union select b, a from e),
+ z as (select doc_id, doc_id as r from documents union select z.doc_id, l.b from z join l on l.a = z.r)
+select doc_id, coalesce(any_value(n), 0) as n_shingles, min(r) as component_id, doc_id = min(r) as kept from z left join n using (doc_id) group by doc_id""",
+    # The checksum bit by bit; the cheapest way to each state, turn by turn.
+    "op12_conversations": r"""
+with recursive b as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations),
+ h as (select *, xor(list_reduce([4294967295::bigint] || list_transform(range(0, length(k)), lambda i: ord(substr(k, (i + 1)::int, 1))::bigint), lambda a, y: list_reduce([xor(a, y)] || [0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, (u & 1) * 3988292384))), 4294967295) % 20 as d from b),
+ m as (select conv_id, turn, case when d = 4 then 'user' else role end as role, case when d = 1 then '' when d = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text, unnest(range(0, case d when 0 then 0 when 3 then 2 else 1 end)) as copy from h),
+ f as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text, copy) as i, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 'b' when row_number() over (partition by conv_id, role, text order by turn nulls first, copy) > 1 then 'd' when not regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') then 't' else '' end as f from m),
+ g as (select *, substr(role, 1, 1) as r, lag(substr(role, 1, 1)) over (partition by conv_id order by i) as p, f not in ('b', 'd') as ok, case when f = 't' then 3 else 0 end as x, chr(10) || role || ':' || text as l, chr(10) || 'user:' || text as lu, chr(10) || 'assistant:' || text as la from f),
+ k as (select conv_id, count(*) as n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (f = 'b') as blank, count(*) filter (f = 'd') as duplicate, count(*) filter (f = 't') as truncated, count(*) filter (p is not null and p || r not in ('su', 'ua', 'au')) as illegal from g group by conv_id),
+ z as (select distinct conv_id, 0::bigint as i, {'c': 0::bigint, 'a': '', 't': ''} as s0, null::struct(c bigint, a varchar, t varchar) as s1, {'c': 3::bigint, 'a': 'I', 't': chr(10) || 'user:'} as s2, {'c': 6::bigint, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} as s3 from conversations
+  union all select conv_id, i, n0, n1, m2, list_min([n3, case when m2 is not null then {'c': m2.c + 3, 'a': m2.a || 'I', 't': m2.t || chr(10) || 'assistant:'} end])
+  from (select *, list_min([n2, case when n0 is not null then {'c': n0.c + 3, 'a': n0.a || 'I', 't': n0.t || chr(10) || 'user:'} end, case when n1 is not null then {'c': n1.c + 3, 'a': n1.a || 'I', 't': n1.t || chr(10) || 'user:'} end, case when n3 is not null then {'c': n3.c + 3, 'a': n3.a || 'I', 't': n3.t || chr(10) || 'user:'} end]) as m2
+   from (select z.conv_id, g.i,
+     list_min([case when s0 is not null then {'c': s0.c + 4, 'a': s0.a || 'D', 't': s0.t} end]) as n0,
+     list_min([case when s1 is not null then {'c': s1.c + 4, 'a': s1.a || 'D', 't': s1.t} end, case when s0 is not null and ok and r = 's' then {'c': s0.c + x, 'a': s0.a || 'K', 't': s0.t || l} end]) as n1,
+     list_min([case when s2 is not null then {'c': s2.c + 4, 'a': s2.a || 'D', 't': s2.t} end] || list_transform([s0, s1, s3], lambda s: case when s is not null and ok and r = 'u' then {'c': s.c + x, 'a': s.a || 'K', 't': s.t || l} end) || list_transform([s0, s1, s3], lambda s: case when s is not null and ok then {'c': s.c + 3 + x, 'a': s.a || 'R', 't': s.t || lu} end)) as n2,
+     list_min([case when s3 is not null then {'c': s3.c + 4, 'a': s3.a || 'D', 't': s3.t} end, case when s2 is not null and ok and r = 'a' then {'c': s2.c + x, 'a': s2.a || 'K', 't': s2.t || l} end, case when s2 is not null and ok then {'c': s2.c + 3 + x, 'a': s2.a || 'R', 't': s2.t || la} end]) as n3
+    from z join g on g.conv_id is not distinct from z.conv_id and g.i = z.i + 1)))
+select conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, e.c as cost, e.a as audit, sha256(substr(e.t, 2)) as repaired_sha256
+ from (select z.conv_id, list_min([s0, s3]) as e, gaps, blank, duplicate, truncated, illegal from z left join k on k.conv_id is not distinct from z.conv_id where z.i = coalesce(k.n, 0))""",
+    # The checksum by a table that SQL makes; neighbours by what a deletion leaves.
+    "op13_spelling": r"""
+with recursive t as (select list_transform(range(0, 256), lambda n: list_reduce([n::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda u, v: xor(u >> 1, (u & 1) * 3988292384))) as tab),
+ r as (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{7,}')) as run from documents),
+ w as (select coalesce(doc_id::varchar, '') as doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as w, count(*) as n from r group by 1, 2),
+ c as (select w, n, xor(list_reduce([4294967295::bigint] || list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::int, 2))::bigint), lambda a, y: xor(a >> 8, tab[(xor(a, y) & 255) + 1])), 4294967295) as h from (select w, n, hex(encode(doc || ':' || w)) as x from w), t),
+ v as (select case when h % 31 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, sum(n)::bigint as n from c group by 1 having length(word) >= 7 and sum(n) >= 2),
+ d as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as less from (select word, n, unnest(range(1, length(word) + 1))::int as i from v)),
+ p as (select a.word, b.word as other, b.n as m from d a join d b on a.i = b.i and a.less = b.less where a.word <> b.word union select d.word, v.word, v.n from d join v on d.less = v.word union select v.word, d.word, d.n from d join v on d.less = v.word),
+ b as (select word, count(*) as n_near, min((-m, other)) as best from p group by 1),
+ f as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when -best[1] >= 10 * v.n then best[2] end as form, case when -best[1] >= 10 * v.n then -best[1] end as form_n from v left join b using (word)),
+ z as (select word, word as at, form as nxt from f union all select z.word, f.word, f.form from z join f on f.word = z.nxt)
+select f.word, f.form, z.at as root, f.n, f.n_near, f.form_n from f join z using (word) where z.nxt is null""",
 }
