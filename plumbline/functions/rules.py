@@ -255,10 +255,11 @@ def _first_of(rules: list[tuple[Column | None, Column]]) -> Column:
     return out
 
 
-def direct_classify(text: Column, rules: RuleSet = DEFAULT, wide: Column | None = None) -> Column:
+def direct_classify(text: Column, rules: RuleSet = DEFAULT, wide: Column | None = None, cleaned: bool = False) -> Column:
     """struct(sentiment, intent, confidence, reason) of a comment by itself; the first rule that holds decides. wide:
-    wide_only(text) as a column, which spares most texts without wide characters the search."""
-    t = cleaned_reply(text)
+    wide_only(text) as a column, which spares most texts without wide characters the search. cleaned: text is
+    cleaned_reply() of the comment as a column of its own, which each pattern reads again."""
+    t = text if cleaned else cleaned_reply(text)
     w = None if wide is None else cleaned_reply(wide)
     positive, word = has(t, rules.positive, w), has(t, rules.feature_word, w)
     negative = has(t, rules.negative, w) | (has(t, rules.absence, w) & word & ~has(t, rules.ad_free, w))
@@ -280,9 +281,10 @@ def direct_classify(text: Column, rules: RuleSet = DEFAULT, wide: Column | None
     )
 
 
-def contextualize(text: Column, direct: Column, root: Column, stance: Column, is_root: Column, rules: RuleSet = DEFAULT) -> Column:
-    """What the post's stance or the root comment's sentiment adds where a comment by itself decides nothing."""
-    t = cleaned_reply(text)
+def contextualize(text: Column, direct: Column, root: Column, stance: Column, is_root: Column, rules: RuleSet = DEFAULT, cleaned: bool = False) -> Column:
+    """What the post's stance or the root comment's sentiment adds where a comment by itself decides nothing. cleaned: as in
+    direct_classify."""
+    t = text if cleaned else cleaned_reply(text)
     agrees = has(t, AGREE) | has(t, AGREE_PREFIX)
     signs, against = has(t, EMOJI_OR_PUNCT), has(t, DISAGREE)
     stance, root = blank(stance), blank(root)

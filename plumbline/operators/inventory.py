@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.rules import ALLOWED_STATUSES, PARTIAL, PRESENT, STATUS_ALIASES, STATUS_RANK, diff_type, lookup
 from plumbline.functions.text import blank, casefold, nfkc
 from plumbline.operators.issues import issue, passed, report
+from plumbline.sources.steps import once
 
 LEVELS = [f"{n}级功能" for n in "一二三四五六"]
 
@@ -38,16 +39,20 @@ def status_of(df: DataFrame) -> Column:
 
 def hierarchy(df: DataFrame) -> Column:
     """Of normalized() rows the filled level columns, or the parts of 功能路径 between >, / and →."""
-    levels = F.filter(F.array(*(_column(df, c) for c in LEVELS)), lambda x: x != "")
     path = F.filter(F.transform(F.split(_column(df, "功能路径"), r"\s*(?:>|/|→)\s*"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(F.size(levels) > 0, levels).otherwise(path)
+    held = [_column(df, c) for c in LEVELS if c in df.columns]
+    if not held:
+        return path
+    filled = F.concat(*held) != ""
+    return F.when(filled, F.filter(F.array(*held), lambda x: x != "")).otherwise(path)
 
 
 def keyed(df: DataFrame) -> DataFrame:
     """(row_idx, key, feature_id, module, path, status, evidence, notes) of inventory rows. The key is the feature id in
     lower case, else the hierarchy (the module where there is none) without anything but letters and digits."""
     df = normalized(df)
-    levels = hierarchy(df)
+    df = df.withColumn("_levels", hierarchy(df))  # a step of its own: it is used four times
+    levels = F.col("_levels")
     explicit = _column(df, "标准功能ID")
     parts = F.when(F.size(levels) > 0, levels).otherwise(F.array(_column(df, "模块")))
     fallback = F.regexp_replace(casefold(F.array_join(parts, "|")), r"(?U)[\s\W_]+", "")
@@ -56,6 +61,11 @@ def keyed(df: DataFrame) -> DataFrame:
     return df.select("row_idx", key.alias("key"), explicit.alias("feature_id"), _column(df, "模块").alias("module"), F.array_join(levels, " > ").alias("path"), status_of(df).alias("status"), evidence.alias("evidence"), _column(df, "备注").alias("notes"))
 
 
+def keyed_once(df: DataFrame) -> DataFrame:
+    """keyed(df) as a stored table: findings, merges and comparisons all read it more than once."""
+    return once(keyed(df), "inventory")
+
+
 def header_issues(columns: list[str]) -> list[str]:
     """What a header lacks."""
     out = [] if "模块" in columns else ["模块"]
@@ -118,16 +128,18 @@ def validate_table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     header = [(1, "error", "header", name) for name in header_issues(df.columns)]
     found = spark.createDataFrame(header, "row_no long, severity string, code string, field string")
-    return found.unionByName(validate(keyed(df)))
+    return found.unionByName(validate(keyed_once(df)))
 
 
 def compare_tables(left: DataFrame, right: DataFrame, left_label: str = "左", right_label: str = "右") -> DataFrame:
     """The parity matrix of two inventory tables. A side with findings that are errors is refused before anything is
     compared."""
+    rows = []
     for label, side in ((left_label, left), (right_label, right)):
-        if not passed(validate_table(side)):
+        rows.append(keyed_once(side))
+        if header_issues(side.columns) or not passed(validate(rows[-1])):
             raise ValueError(f"the inventory {label} has errors")
-    return compare(merge(keyed(left)), merge(keyed(right)), left_label, right_label)
+    return compare(merge(rows[0]), merge(rows[1]), left_label, right_label)
 
 
 def gap_status(matrix: DataFrame, own: str = "left") -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.rules import ASSISTED_LABELS, DEFAULT, FINAL_LABELS, RuleSet, contextualize, direct_classify, effective_label, thread_label, topics_for
-from plumbline.functions.text import blank, clean, parse_count, pick, pseudonym, stable_id
+from plumbline.functions.text import blank, clean, cleaned_reply, parse_count, pick, pseudonym, stable_id
 from plumbline.operators.issues import issue, passed, report
 from plumbline.operators.ordered import last_before
+from plumbline.sources.steps import once
 
 # Fixed values.
 PLACEHOLDER = "[图片评论]"
@@ -75,6 +76,13 @@ def flatten(posts: DataFrame, depth: int = 50) -> DataFrame:
     )
 
 
+def classify(df: DataFrame, text: str, rules: RuleSet = DEFAULT) -> DataFrame:
+    """df with direct, what direct_classify says of the text, and _said, the text without a leading reply to someone: a step of
+    its own, so that it is made once and not for each pattern."""
+    said = df.withColumn("_said", cleaned_reply(F.col(text)))
+    return said.withColumn("direct", direct_classify(F.col("_said"), rules, cleaned=True))
+
+
 def prepare(posts: DataFrame, salt: str = "", rules: RuleSet = DEFAULT) -> DataFrame:
     """The context-review table of posts(row_idx, post variant): one row per kept comment with post fields, thread, root
     text, sentiment by rule and by context, topics, the reason, and whether a person should look: row_idx, ord and COLUMNS.
@@ -102,14 +110,14 @@ def prepare(posts: DataFrame, salt: str = "", rules: RuleSet = DEFAULT) -> DataF
     first = F.row_number().over(Window.partitionBy("post_id", "comment_id").orderBy("row_idx", "ord"))
     text = F.when((clean(F.col("raw_text")) == "") & (F.col("n_images") > 0), PLACEHOLDER).otherwise(clean(F.col("raw_text")))
     kept = rows.withColumn("_nth", first).where("_nth = 1").withColumn("text", text).where("text <> ''")
-    kept = kept.withColumn("direct", direct_classify(F.col("text"), rules)).withColumn("is_root", F.col("level") == 0)
+    kept = classify(kept, "text", rules).withColumn("is_root", F.col("level") == 0)
     nothing = F.lit(None).cast("string")
-    as_root = contextualize(F.col("text"), F.col("direct"), nothing, F.col("post_stance"), F.lit(True), rules)
+    as_root = contextualize(F.col("_said"), F.col("direct"), nothing, F.col("post_stance"), F.lit(True), rules, cleaned=True)
     seen = Window.partitionBy("row_idx", "thread_id").orderBy("ord")
     kept = kept.withColumn("_as_root", as_root)
     root = lambda c: F.last(F.when(F.col("is_root"), c), ignorenulls=True).over(seen.rowsBetween(Window.unboundedPreceding, 0))
     kept = kept.withColumn("root_text", F.coalesce(root(F.col("text")), F.lit(""))).withColumn("_root", root(F.col("_as_root.sentiment")))
-    result = F.when(F.col("is_root"), F.col("_as_root")).otherwise(contextualize(F.col("text"), F.col("direct"), F.col("_root"), F.col("post_stance"), F.lit(False), rules))
+    result = F.when(F.col("is_root"), F.col("_as_root")).otherwise(contextualize(F.col("_said"), F.col("direct"), F.col("_root"), F.col("post_stance"), F.lit(False), rules, cleaned=True))
     kept = kept.withColumn("r", result).withColumn("final_sentiment", F.when(F.col("r.sentiment") == "待语境", "").otherwise(F.col("r.sentiment")))
     review = (F.col("final_sentiment") == "") | (F.col("r.confidence") == "低") | (F.col("root_text") == "")
     level = F.when(F.col("level") == 0, "一级评论").otherwise(F.concat(F.lit("回复"), F.col("level").cast("string"), F.lit("级")))
@@ -193,7 +201,9 @@ def summary(df: DataFrame) -> DataFrame:
 
 def summarize(df: DataFrame) -> dict[str, DataFrame]:
     """The summaries of a context-review table (row_idx and the columns of prepare(), as text): totals, topics, threads
-    (how many have which label) and posts (all, most comments first). A table with findings that are errors is refused."""
+    (how many have which label) and posts (all, most comments first). A table with findings that are errors is refused.
+    The table is computed once, as all of these read it."""
+    df = once(df, "threads")
     issues = validate(df)
     if not passed(issues):
         raise ValueError("the table has errors: " + ", ".join(sorted({f"{r['code']} {r['field']}".strip() for r in issues.where("severity = 'error'").select("code", "field").distinct().collect()})))

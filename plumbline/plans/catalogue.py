@@ -13,6 +13,8 @@ from plumbline.functions import text as X
 from plumbline.operators import inventory, issues, metrics, releases, reviews, tagging, threads
 from plumbline.plans import proxies as P
 from plumbline.sources import readers, sinks
+from plumbline.sources.steps import evenly
+from plumbline.sources.steps import shared_folder as _folder
 from plumbline.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,7 +233,7 @@ def keyed_upsert_longest(spark, sf):
 
 @query("select doc_id, case when row_number() over (partition by text order by doc_id) > 1 then first_value(doc_id) over (partition by text order by doc_id) end as duplicate_of from documents")
 def duplicate_of(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("row_idx"), "doc_id", "text")
+    d = evenly(spark.read.parquet(f"{sf}/documents.parquet")).select(F.col("doc_id").alias("row_idx"), "doc_id", "text")
     return reviews.duplicate_of(d, ["text"], "doc_id").select("doc_id", "duplicate_of")
 
 
@@ -280,22 +282,22 @@ _MERGED = f"select {_KEY} as key, arg_max(module, ({_RANK}, -row_idx)) as module
 WITH_I = f"with i as ({P.INVENTORY}) "
 
 
-def _inventory(spark, sf, side=None):
-    rows = P.view(spark, sf, P.INVENTORY)
+def _inventory(spark, sf, side=None, keyed=inventory.keyed):
+    rows = P.view(spark, sf, P.INVENTORY, spread=("lineitem",))
     rows = rows if side is None else rows.where(F.col("side") == side)
-    return inventory.keyed(rows.select("row_idx", F.col("module").alias("模块"), F.replace("feature", F.lit("|"), F.lit(" > ")).alias("功能路径"), F.col("status").alias("验证状态"), F.col("evidence").alias("证据文件")))
+    return keyed(rows.select("row_idx", F.col("module").alias("模块"), F.replace("feature", F.lit("|"), F.lit(" > ")).alias("功能路径"), F.col("status").alias("验证状态"), F.col("evidence").alias("证据文件")))
 
 
 @query(WITH_I + ", " + "m as (" + _MERGED.format(side="F") + "), e as (select key, string_agg(evidence, '；' order by f) as evidence from (select " + _KEY + " as key, evidence, min((row_idx, evidence)) f from i where side = 'F' and evidence <> '' group by 1, 2) group by 1) select m.*, coalesce(e.evidence, '') as evidence from m left join e using (key)")
 def inventory_merge(spark, sf):
-    return inventory.merge(_inventory(spark, sf, "F")).select("key", "module", "status", "evidence")
+    return inventory.merge(_inventory(spark, sf, "F", inventory.keyed_once)).select("key", "module", "status", "evidence")
 
 
 _PARITY = WITH_I + ", l as (" + _MERGED.format(side="F") + "), r as (" + _MERGED.format(side="O") + "), j as (select coalesce(l.key, r.key) as key, coalesce(l.status, '未收录') as left_status, coalesce(r.status, '未收录') as right_status from l full join r on l.key = r.key), p as (select *, case when left_status in ('未收录', '状态冲突') or right_status in ('未收录', '状态冲突') then '待核验' when left_status = '明确缺失' and right_status = '明确缺失' then '双方均明确缺失' when left_status = '明确缺失' then 'A明确缺失' when right_status = '明确缺失' then 'B明确缺失' when left_status = '已验证存在' and right_status = '已验证存在' then '能力对齐' else '完整度差异' end as diff from j) "
 
 
 def _matrix(spark, sf):
-    return inventory.compare(inventory.merge(_inventory(spark, sf, "F")), inventory.merge(_inventory(spark, sf, "O")), "A", "B")
+    return inventory.compare(inventory.merge(_inventory(spark, sf, "F", inventory.keyed_once)), inventory.merge(_inventory(spark, sf, "O", inventory.keyed_once)), "A", "B")
 
 
 @query(_PARITY + "select * from p")
@@ -310,12 +312,12 @@ def parity_counts(spark, sf):
 
 @query(WITH_I + f", k as (select *, {_KEY} as key from i), g as (select key, count(*) n, count(distinct status) s, min(row_idx) f from k group by 1 having count(*) > 1) select row_idx + 2 as row_no, 'warning' as severity, 'no_evidence' as code from k where status in ('已验证存在', '部分可用') and evidence = '' union all select f + 2, 'warning', case when s > 1 then 'conflict' else 'duplicate' end from g")
 def inventory_issues(spark, sf):
-    return inventory.validate(_inventory(spark, sf)).where("code <> 'key_collision'").select("row_no", "severity", "code")
+    return inventory.validate(_inventory(spark, sf, keyed=inventory.keyed_once)).where("code <> 'key_collision'").select("row_no", "severity", "code")
 
 
 @query(WITH_I + ", l as (" + _MERGED.format(side="F") + "), c as (select 'PROMO' as module) select key, module, status, module = 'PROMO' as module_changed from l where status in ('部分可用', '明确缺失') or module = 'PROMO'")
 def retest_list(spark, sf):
-    return inventory.retest(inventory.merge(_inventory(spark, sf, "F")), spark.sql("select 'PROMO' as module"))
+    return inventory.retest(inventory.merge(_inventory(spark, sf, "F", inventory.keyed_once)), spark.sql("select 'PROMO' as module"))
 
 
 @query(WITH_I + "select module, count(*) as rows, 0::bigint as unchecked, 0::bigint as blocked, 0::bigint as unlisted, count(*) filter (status = '明确缺失') as absent from i group by module")
@@ -390,9 +392,8 @@ _WORDS = R.RuleSet(name="words", positive="thea|enat|eron", negative="idiot|scum
 
 @query("with t as (select doc_id, regexp_matches(text, '(?i)thea|enat|eron') p, regexp_matches(text, '(?i)tion|ing') w, regexp_matches(text, '(?i)idiot|scum|ndst') or (regexp_matches(text, '(?i)none|ored') and regexp_matches(text, '(?i)tion|ing') and not regexp_matches(text, '(?i)free')) n, regexp_matches(text, '(?i)when|wish') g, regexp_matches(text, '(?i)where|which') q, regexp_matches(text, '(?i)reset|shansh') s from documents) select doc_id, case when p and n then '混合' when p then '正向' when n then '负向' when g and w then '负向' when q or s then '中性' else '待语境' end as sentiment, case when p or n then '高' when g and w then '中' when q or s then '高' else '低' end as confidence from t")
 def rule_classify(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet")
-    c = R.direct_classify(F.col("text"), _WORDS)
-    return d.select("doc_id", c["sentiment"].alias("sentiment"), c["confidence"].alias("confidence"))
+    d = evenly(spark.read.parquet(f"{sf}/documents.parquet"))
+    return threads.classify(d.select("doc_id", "text"), "text", _WORDS).select("doc_id", "direct.sentiment", "direct.confidence")
 
 
 @query("select conv_id as post_id, string_agg(distinct role, '；' order by role) as queries, min(turn) as row_idx, arg_min(text, turn) as post_title from conversations group by 1")
@@ -417,7 +418,7 @@ def nested_flatten(spark, sf):
 
 @query("select doc_id, md5(trim(regexp_replace(text, '\\s+', ' ', 'g'))) as cleaned from documents")
 def text_clean(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(X.clean(F.col("text"))).alias("cleaned"))
+    return evenly(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", F.md5(X.clean(F.col("text"))).alias("cleaned"))
 
 
 @query("select event_id, case event_id % 4 when 0 then floor(value)::bigint when 1 then trunc(value * 10000)::bigint when 2 then trunc(value * 1000)::bigint else 0 end as n from events")
@@ -468,7 +469,7 @@ _TAG = "select d.doc_id as row_idx, source as channel, 'app' as app_id, lang as
 
 @query(f"with r as ({_TAG}), n as (select *, row_number() over (partition by channel, province, rating, text order by row_idx) nth, first_value(row_idx) over (partition by channel, province, rating, text order by row_idx) f from r) select row_idx, rating is not null and nth = 1 as is_valid, case when rating is null then '缺少评分' when nth > 1 then '重复评论' end as invalid_reason, case when nth > 1 then f end as first_row from n")
 def tag_validity(spark, sf):
-    r = P.view(spark, sf, _TAG).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
+    r = P.view(spark, sf, _TAG, spread=("documents",)).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
     t = tagging.tag(r)
     first = t.where("duplicate_of is null").select(F.col("source_record_id").alias("duplicate_of"), F.col("row_idx").alias("first_row"))
     return t.join(first, "duplicate_of", "left").select("row_idx", "is_valid", "invalid_reason", "first_row")
@@ -476,14 +477,14 @@ def tag_validity(spark, sf):
 
 @query(f"with r as ({_TAG}), n as (select *, row_number() over (partition by channel, province, rating, text order by row_idx) nth from r) select channel, count(*) as raw, count(*) filter (nth > 1) as duplicates, count(*) filter (nth = 1 and rating is null) as invalid, count(*) filter (nth = 1 and rating is not null) as valid from n group by 1")
 def funnel_counts(spark, sf):
-    r = P.view(spark, sf, _TAG).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
+    r = P.view(spark, sf, _TAG, spread=("documents",)).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
     return metrics.funnel(tagging.tag(r), ["channel"])
 
 
 @query("select doc_id, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\\.[A-Za-z]') as email, regexp_matches(text, '/home/|/Users/|[A-Z]:\\\\Users\\\\') as path, regexp_matches(text, '(?i)(?:password|passwd|secret|token|api[_-]?key)\\s*[:=]') as secret from documents")
 def pii_flags(spark, sf):
     f = tagging.pii_flags(F.col("text"))
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", f["email"].alias("email"), f["path"].alias("path"), f["secret"].alias("secret"))
+    return evenly(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", f["email"].alias("email"), f["path"].alias("path"), f["secret"].alias("secret"))
 
 
 @query("select page_id, unnest(range(len(a)))::int as nth, unnest(list_transform(a, lambda x: regexp_extract(x, 'href=\"([^\"]*)\"', 1))) as href, unnest(list_transform(a, lambda x: regexp_extract(x, '>([^<]*)<', 1))) as label from (select page_id, regexp_extract_all(html, '<a href=\"[^\"]*\">[^<]*</a>') a from pages)")
@@ -526,7 +527,7 @@ def evidence_matrix(spark, sf):
 
 @query("with t as (select doc_id, text, lang from documents) select 'text present' as \"check\", count(*) filter (text = '') = 0 as passed, (count(*) filter (text = ''))::varchar as detail from t union all select 'language known', count(*) filter (lang not in ('en', 'de')) = 0, (count(*) filter (lang not in ('en', 'de')))::varchar from t union all select 'quotes have ids', count(*) filter (doc_id is null) = 0, (count(*) filter (doc_id is null))::varchar from t")
 def quality_gates(spark, sf):
-    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    d = evenly(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", "text", "lang")
     return issues.quality_checks(spark, {"text present": d.where("text = ''"), "language known": d.where("lang not in ('en', 'de')"), "quotes have ids": d.where("doc_id is null")})
 
 
@@ -571,7 +572,7 @@ def qa_result(spark, sf):
 
 @query("select doc_id, md5(trim(nfc_normalize(text), e' \\t\\n\\r')) as k from documents")
 def nfkc_keys(spark, sf):
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.md5(X.nfkc(F.col("text"))).alias("k"))
+    return evenly(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", F.md5(X.nfkc(F.col("text"))).alias("k"))
 
 
 @query("select doc_id, md5(trim(replace(text, chr(13) || chr(10), chr(10)), e' \\t\\n\\r')) as k from documents")
@@ -588,7 +589,7 @@ def mojibake(spark, sf):
 
         return texts.map(one)
 
-    d = spark.read.parquet(f"{sf}/documents.parquet")
+    d = evenly(spark.read.parquet(f"{sf}/documents.parquet"))
     return d.select("doc_id", F.md5(X.repair_mojibake(spoil("text"))).alias("k"))
 
 
@@ -617,7 +618,7 @@ _LABELS = (
 
 @query(_LABELS)
 def tag_labels(spark, sf):
-    r = P.view(spark, sf, _TAG_ZH).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
+    r = P.view(spark, sf, _TAG_ZH, spread=("documents",)).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
     return tagging.tag(r).select("row_idx", "issue_type", "urgency", "emotion", "expression", F.array_join("modules", ",").alias("modules"), "competitor", "taxonomy_version")
 
 
@@ -734,18 +735,6 @@ def thread_issues(spark, sf):
 # Files written and read back --------------------------------------------------------------------------------------------
 
 
-def _folder(spark) -> str:
-    """A new folder in the shared one (spark.checkpoint.dir); a temporary one where that is unset and all tasks run in this
-    process, else an error."""
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None and spark.sparkContext.master.split("[")[0] != "local":
-        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-    return f"{base.rstrip('/')}/files-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="plumbline-")
-
-
 @query("select (row_number() over (order by n_nationkey) - 1)::bigint as row_idx, n_nationkey::varchar as n_nationkey, n_name || ', \"x\"' || chr(10) || 'y' as n_name from nation")
 def csv_round_trip(spark, sf):
     folder = _folder(spark)
@@ -923,7 +912,7 @@ _FIELDS = "select l_orderkey * 10 + l_linenumber as row_idx, case when p_size %
 
 @query("with f as (" + _FIELDS.format(s="varchar").replace("`", '"') + ") select row_idx, case when \"标准功能ID\" <> '' then lower(trim(\"标准功能ID\")) else regexp_replace(lower(case when \"一级功能\" <> '' then \"一级功能\" || '|x' || substr(\"二级功能\", 2) when \"功能路径\" <> '' then replace(\"功能路径\", ' / ', '|') else \"模块\" end), '[^a-z0-9]', '', 'g') end as key, case when \"一级功能\" <> '' then \"一级功能\" || ' > X' || substr(\"二级功能\", 2) when \"功能路径\" <> '' then replace(\"功能路径\", ' / ', ' > ') else '' end as path, case coalesce(nullif(\"验证状态\", ''), \"状态\") when '存在' then '已验证存在' when '入口已验证' then '仅入口存在' else '明确缺失' end as status, \"证据ID\" as evidence from f")
 def inventory_fields(spark, sf):
-    return inventory.keyed(P.view(spark, sf, _FIELDS.format(s="string"))).select("row_idx", "key", "path", "status", "evidence")
+    return inventory.keyed(P.view(spark, sf, _FIELDS.format(s="string"), spread=("lineitem",))).select("row_idx", "key", "path", "status", "evidence")
 
 
 @query("with c as (select conv_id, turn, conv_id::varchar || '-' || turn::varchar as id, case when turn % 3 = 0 then '' else '文字' end as said, turn % 2 as images from conversations) select conv_id::varchar as post_id, id as comment_id, case when said = '' then '[图片评论]' else said end as text, case when said = '' then '账号与社交' else '其他/未归类' end as topics from c where said <> '' or images > 0")
@@ -958,7 +947,7 @@ def own_topics(spark, sf):
     sinks.write_files(spark, folder, {"topics.json": '{"a": "tion", "b": "heit"}'})
     config = readers.topic_config(spark.read.text(f"{folder}/topics.json", wholetext=True).first()[0])
     rules = R.DEFAULT.with_topics(config)
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.array_join(R.topics_for(F.col("text"), rules), ",").alias("topics"))
+    return evenly(spark.read.parquet(f"{sf}/documents.parquet")).select("doc_id", F.array_join(R.topics_for(F.col("text"), rules), ",").alias("topics"))
 
 
 @query("select n_nationkey, coalesce(nullif(case when n_regionkey = 0 then '' else n_name end, ''), 'none') as picked, replace(replace(n_name || '|x' || chr(10) || 'y', '|', '\\|'), chr(10), '<br>') as cell, strlen(n_name) > 6 as long_name from nation")
@@ -983,7 +972,7 @@ def analysis_gates(spark, sf):
 
 @query(f"with r as ({_TAG}), n as (select *, row_number() over (partition by channel, province, rating, text order by row_idx) nth from r) select unnest(['tag_rating_1_to_5', 'tag_invalid_has_reason', 'tag_one_first', 'tag_duplicate_known', 'tag_scales', 'tag_issue_type', 'tag_modules']) as \"check\", unnest([count(*) filter (nth = 1 and rating not between 1 and 5) = 0, true, true, true, true, true, true]) as passed, '0' as detail from n")
 def tagging_gates(spark, sf):
-    r = P.view(spark, sf, _TAG).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
+    r = P.view(spark, sf, _TAG, spread=("documents",)).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
     shown = ["tag_rating_1_to_5", "tag_invalid_has_reason", "tag_one_first", "tag_duplicate_known", "tag_scales", "tag_issue_type", "tag_modules"]
     return issues.tagging_gates(tagging.tag(r), R.DEFAULT).where(F.col("check").isin(shown))
 

@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.sources.steps import evenly
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations", "labels")
 
 #: Reviews: an order is a review, its priority the rating.
@@ -35,9 +37,11 @@ INVENTORY = """select l_orderkey * 10 + l_linenumber as row_idx, l_linestatus as
  from lineitem join part on l_partkey = p_partkey"""
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """The SQL over the tables that it names; no other table's schema is looked up."""
+def view(spark: SparkSession, sf_dir: str, sql: str, spread: tuple[str, ...] = ()) -> DataFrame:
+    """The SQL over the tables that it names; no other table's schema is looked up. spread: tables whose rows take much work
+    each and so are dealt out to all cores."""
     for t in TABLES:
         if re.search(rf"\b(?:from|join)\s+{t}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            table = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            (evenly(table) if t in spread else table).createOrReplaceTempView(t)
     return spark.sql(sql.replace("varchar(10)", "string"))

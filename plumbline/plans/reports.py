@@ -132,7 +132,7 @@ _TAGGED = f"with r as ({_TAG}), n as (select *, row_number() over (partition by
 )
 def tagging_gate_counts(spark, sf):
     """All gates of a tagged table with faults put in by row number."""
-    r = P.view(spark, sf, _TAG).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
+    r = P.view(spark, sf, _TAG, spread=("documents",)).withColumns({"date": F.lit(""), "device": F.lit(""), "rating_text": F.lit(""), "source_record_id": F.lit("")})
     n = F.col("row_idx")
     t = tagging.tag(r)
     valid = F.when(n % 19 == 0, None).otherwise(n % 5 != 0)
