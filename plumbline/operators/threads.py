@@ -30,7 +30,7 @@ def flatten(posts: DataFrame, depth: int = 50) -> DataFrame:
     (reading order). Lists of replies are the first of replies, sub_comments and children that is one.
 
     Each level of nesting is one step of a recursive query, so all posts go down together; `depth` bounds the levels and
-    deeper input is an error, never cut. Missing ids come from a hash of author, text and time; a top-level comment that
+    deeper input is an error, never cut; of comments there may be any number (limit all). Missing ids come from a hash of author, text and time; a top-level comment that
     is a reply belongs to its stated root, else to the last root before it, else to its parent.
     """
     spark = posts.sparkSession
@@ -50,7 +50,7 @@ def flatten(posts: DataFrame, depth: int = 50) -> DataFrame:
           {text("text", "content")} raw_text, {text("time_location", "date", "time")} time_location, {text("likes", "like_count")} likes,
           coalesce(try_variant_get(c, '$.is_reply', 'boolean'), false) is_reply, try_variant_get(c, '$.level', 'int') given_level,
           coalesce(size(try_variant_get(c, '$.image_urls', 'array<string>')), 0) n_images
-        from tree where schema_of_variant(c) like 'OBJECT%'""")
+        from tree where schema_of_variant(c) like 'OBJECT%' limit all""")
     rows = tree.withColumn("comment_id", F.when(clean(F.col("given_id")) != "", clean(F.col("given_id"))).otherwise(stable_id(F.col("who"), F.col("raw_text"), F.col("time_location"))))
     top = rows.where("depth = 0")
     reply = F.col("is_reply") | (F.col("given_parent") != "")

@@ -142,7 +142,8 @@ def topic_config(text: str) -> dict[str, str]:
 
 def ui_nodes(trees: DataFrame, depth: int = 60) -> DataFrame:
     """All nodes of trees(screen, tree variant) with their attributes and reading order: (screen, path, key, text,
-    bounds, type, clickable, selected). All trees go down together, a level a step; deeper trees are an error."""
+    bounds, type, clickable, selected). All trees go down together, a level a step; deeper trees are an error. Of nodes
+    there may be any number (limit all lifts the session's limit of rows, a million, from this query)."""
     spark = trees.sparkSession
     trees.createOrReplaceTempView("_plumbline_trees")
     a = lambda n: f"coalesce(try_variant_get(c, '$.attributes.{n}', 'string'), '')"
@@ -152,7 +153,7 @@ def ui_nodes(trees: DataFrame, depth: int = 60) -> DataFrame:
           union all
           select n.screen, e.value, array_append(n.path, cast(e.pos as int)) from nodes n, lateral variant_explode(try_variant_get(n.c, '$.children', 'variant')) e
         )
-        select screen, path, {a("key")} key, coalesce(nullif({a("text")}, ''), {a("originalText")}) text, {a("bounds")} bounds, {a("type")} type, {a("clickable")} clickable, {a("selected")} selected from nodes""")
+        select screen, path, {a("key")} key, coalesce(nullif({a("text")}, ''), {a("originalText")}) text, {a("bounds")} bounds, {a("type")} type, {a("clickable")} clickable, {a("selected")} selected from nodes limit all""")
 
 
 def review_fields(nodes: DataFrame) -> DataFrame:
