@@ -26,3 +26,8 @@ def test_ui_tree_fields_of_any_number_of_nodes(spark, few_nodes):
 
 def test_nested_flatten_of_any_number_of_comments(spark, few_nodes):
     assert __spark_entry__.queries()["nested_flatten"](spark, SF).count() > 50
+
+
+def test_visible_text_of_any_number_of_nodes(spark, few_nodes):
+    shown = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_type", "props").distinct().count()
+    assert __spark_entry__.queries()["visible_text"](spark, SF).count() == shown
