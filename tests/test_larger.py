@@ -31,3 +31,7 @@ def test_nested_flatten_of_any_number_of_comments(spark, few_nodes):
 def test_visible_text_of_any_number_of_nodes(spark, few_nodes):
     shown = spark.read.parquet(f"{SF}/events.parquet").select("user_id", "event_type", "props").distinct().count()
     assert __spark_entry__.queries()["visible_text"](spark, SF).count() == shown
+
+
+def test_stream_replayed_of_any_number_of_nodes(spark, few_nodes):
+    assert __spark_entry__.queries()["stream_replayed"](spark, SF).count() > 50
