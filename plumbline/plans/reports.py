@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import rules as R
 from plumbline.operators import issues, metrics, releases, tagging, threads
 from plumbline.plans import proxies as P
-from plumbline.plans.catalogue import _FACTS, _RELEASE, _TAG, _THEME, WITH_D, WITH_P, WITH_R, WITH_T, WITH_V, _folder, _prepared, _releases, priority_v1, query, reviews_of, themed, with_device
+from plumbline.plans.catalogue import _FACTS, _RELEASE, _TAG, _THEME, WITH_D, WITH_P, WITH_R, WITH_T, WITH_V, _folder, _prepared, _releases, priority_v1, query, reviews_of, themed, themes_by_id, with_device
 from plumbline.sources import readers, sinks
 
 _SERIES4 = ("colour", "drive", "age", "fastener")
@@ -21,7 +21,7 @@ _SERIES4 = ("colour", "drive", "age", "fastener")
 )
 def heat_map(spark, sf):
     d = with_device(spark, sf).select("id", F.col("series").alias("device"), "rating")
-    return metrics.heat_map(d.join(P.view(spark, sf, P.THEMES), "id", "left"), list(_SERIES4), k=3)
+    return metrics.heat_map(d.join(themes_by_id(spark, sf), "id", "left"), list(_SERIES4), k=3)
 
 
 # Releases as files ----------------------------------------------------------------------------------------------------------
@@ -175,7 +175,7 @@ def analysis_files(spark, sf):
     themes = metrics.themes(t)
     tables = {"rating_distribution": metrics.distribution(r), "weekly": metrics.weekly(r), "before_after": metrics.around_releases(r, P.view(spark, sf, P.RELEASES), 28), "themes": themes, "devices": metrics.by_key(r, "platform"), "regions": metrics.regions(r), "priorities": priority_v1(spark, sf)}
     d = with_device(spark, sf).select("id", F.col("series").alias("device"), "rating")
-    tables["device_themes"] = metrics.device_themes(d.join(P.view(spark, sf, P.THEMES), "id", "left"))
+    tables["device_themes"] = metrics.device_themes(d.join(themes_by_id(spark, sf), "id", "left"))
     tables["personas"] = metrics.personas(r.select(F.col("region").alias("segment"), "id", "rating", F.lit("t").alias("text")))
     checks = issues.quality_checks(spark, issues.analysis_gates(tables, r, metrics.quotes(t.withColumn("text", F.lit("q")), "theme")))
     folder = _folder(spark)

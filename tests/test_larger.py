@@ -3,6 +3,8 @@
 import pytest
 
 import __spark_entry__
+from plumbline.plans import catalogue
+from plumbline.sources import steps
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,3 +37,16 @@ def test_visible_text_of_any_number_of_nodes(spark, few_nodes):
 
 def test_stream_replayed_of_any_number_of_nodes(spark, few_nodes):
     assert __spark_entry__.queries()["stream_replayed"](spark, SF).count() > 50
+
+
+def test_dealt_grows_with_the_files(spark):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    assert steps.dealt(lines, "l_orderkey").rdd.getNumPartitions() == 4
+    many = steps.dealt(lines.where("l_quantity > 3").select("l_orderkey"), "l_orderkey", share=1000)
+    assert many.rdd.getNumPartitions() > 20
+    assert _rows(many.distinct()) == _rows(lines.where("l_quantity > 3").select("l_orderkey").distinct())
+
+
+def test_themes_are_dealt_out_by_number(spark):
+    plan = catalogue.themed(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2
