@@ -177,7 +177,8 @@ def index_offset(saved: DataFrame, current: DataFrame, by: list[str] | None = No
     compatible pairs agree on, its votes and the pairs in all; no row where no pair is compatible. Sightings without a
     post_info match nothing. Ties go to the offset whose first pair comes first in (current, saved) order.
 
-    No pair becomes a row: sightings go to buckets that only compatible ones share, a bucket's numbers are held in blocks of
+    Two blocks of a few numbers (at most 64 pairs) give a row for a pair, all rows of a batch at once. Of others no pair becomes a
+    row: sightings go to buckets that only compatible ones share, a bucket's numbers are held in blocks of
     `block`, and two blocks give one row for each offset between them, at most twice `block`.
     """
     by, pages = by or [], pages or []
@@ -197,11 +198,26 @@ def index_offset(saved: DataFrame, current: DataFrame, by: list[str] | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [[(v.values.field(0).to_numpy(), v.values.field(1).to_numpy()) for v in batch.column(groups + k)] for k in (0, 1)]
-            for i, both in enumerate(zip(*lists, strict=True)):
-                offset, votes, first = correlated(*both)
-                at = pa.array(np.full(len(offset), i, np.int32))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(groups)), pa.array(offset), pa.array(votes), pa.array(first)], names=[*by, *pages, "offset", "votes", "first"])
+            sides = [batch.column(groups + k) for k in (0, 1)]
+            sizes = [side.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64) for side in sides]
+            starts = [side.offsets.to_numpy()[:-1].astype(np.int64) for side in sides]
+            number, often = ([side.values.field(f).to_numpy() for side in sides] for f in (0, 1))
+
+            def found(at: np.ndarray, offset: np.ndarray, votes: np.ndarray, first: np.ndarray, batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                rows = batch.select(range(groups)).take(pa.array(at))
+                return pa.RecordBatch.from_arrays([*rows.columns, pa.array(offset), pa.array(votes), pa.array(first)], names=[*by, *pages, "offset", "votes", "first"])
+
+            many = sizes[0] * sizes[1]
+            few = np.flatnonzero((many > 0) & (many <= 64))  # pairs of all these rows at once, at most 64 for each
+            for rows in np.array_split(few, -(-len(few) // 10_000)) if len(few) else []:
+                at = np.repeat(rows, many[rows])
+                k = np.arange(len(at)) - np.repeat(np.cumsum(many[rows]) - many[rows], many[rows])
+                y, x = starts[0][at] + k // sizes[1][at], starts[1][at] + k % sizes[1][at]
+                yield found(at, number[0][y] - number[1][x], often[0][y] * often[1][x], number[1][x])
+            for i in np.flatnonzero(many > 64).tolist():
+                held = [tuple(v[side][starts[side][i] : starts[side][i] + sizes[side][i]] for v in (number, often)) for side in (0, 1)]
+                offset, votes, first = correlated(*held)
+                yield found(np.full(len(offset), i), offset, votes, first)
 
     schema = T.StructType([*(pairs.schema[c] for c in (*by, *pages)), *T.StructType.fromDDL("offset long, votes long, first long")])
     votes = pairs.mapInArrow(run, schema).groupBy(*by, *pages, "offset").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"))
