@@ -15,14 +15,16 @@ from pyspark.sql import types as T
 
 from plumbline.functions.text import blank, displayed_date, post_info, star
 from plumbline.operators.ordered import numbered
+from plumbline.sources.steps import dealt
 
 IDENTITY = ("published_at", "rating", "text", "region", "device")
 
 
 def first_wins(df: DataFrame, identity: list[str] | tuple[str, ...], *order: Column) -> DataFrame:
     """The first row of each identity in the given order (row_idx last); null and empty are one value."""
-    by = Window.partitionBy(*(blank(F.col(c)) for c in identity)).orderBy(*order, F.col("row_idx"))
-    return df.withColumn("_nth", F.row_number().over(by)).where("_nth = 1").drop("_nth")
+    keys = {f"_key{i}": blank(F.col(c)) for i, c in enumerate(identity)}
+    by = Window.partitionBy(*keys).orderBy(*order, F.col("row_idx"))
+    return dealt(df.withColumns(keys), *keys).withColumn("_nth", F.row_number().over(by)).where("_nth = 1").drop("_nth", *keys)
 
 
 def combine(*frames: DataFrame, identity: tuple[str, ...] = IDENTITY) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__
+from plumbline.operators import reviews
 from plumbline.plans import catalogue
 from plumbline.sources import steps
 
@@ -50,3 +51,10 @@ def test_dealt_grows_with_the_files(spark):
 def test_themes_are_dealt_out_by_number(spark):
     plan = catalogue.themed(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 2
+
+
+def test_first_wins_is_dealt_out_by_number(spark):
+    rows = spark.createDataFrame([(0, "a", None), (1, "a", ""), (2, "b", "")], "row_idx long, x string, y string")
+    first = reviews.first_wins(rows, ["x", "y"])
+    assert "REPARTITION_BY_NUM" in first._jdf.queryExecution().executedPlan().toString()
+    assert first.columns == rows.columns and sorted(r["row_idx"] for r in first.collect()) == [0, 2]
