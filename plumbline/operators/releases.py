@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.rules import lookup
 from plumbline.functions.text import blank, casefold, clean, iso_date
 from plumbline.operators.issues import issue, report
+from plumbline.sources.steps import once
 
 # Fixed values.
 FIELDS = ["app_name", "package_name", "platform", "release_channel", "version", "version_code", "published_at", "test_start", "test_end", "update_text", "source_type", "source", "collected_at", "evidence_file", "verification_status", "notes"]
@@ -125,12 +126,13 @@ def validate(df: DataFrame) -> DataFrame:
 def normalize(df: DataFrame, **defaults: str) -> tuple[DataFrame, DataFrame]:
     """The unique releases of a table with any aliased columns, newest first over all apps (row_no, from 2 as in the file that
     lists them), and the findings of these rows: errors stop nothing here. Rows are numbered by date, dates by how many rows
-    come before them, so no task orders all."""
+    come before them, so no task orders all. Written once, as files and findings read them many times."""
     rows = timeline(canonical(df, **defaults))
     before = F.sum("_rows").over(Window.orderBy(F.desc("sort_date")).rowsBetween(Window.unboundedPreceding, -1))  # a row for each date
     days = rows.groupBy("sort_date").agg(F.count("*").alias("_rows")).select("sort_date", F.coalesce(before, F.lit(0)).alias("_before"))
     own = F.row_number().over(Window.partitionBy("sort_date").orderBy(F.desc("version"), F.desc("release_channel"), "row_idx"))
     placed = rows.withColumn("_own", own).join(days, "sort_date").withColumn("row_no", (F.col("_before") + F.col("_own") + 1).cast("long")).drop("_own", "_before")
+    placed = once(placed, "releases")
     return placed, validate(placed.withColumn("row_idx", F.col("row_no") - 2))
 
 

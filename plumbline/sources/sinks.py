@@ -15,6 +15,7 @@ from plumbline.functions.rules import colour
 from plumbline.functions.text import markdown_cell
 from plumbline.operators.issues import passed, quality_checks
 from plumbline.operators.releases import CHANNELS, FIELDS
+from plumbline.sources.steps import once
 
 
 def _bounded(df: DataFrame, most: int) -> list:
@@ -132,6 +133,7 @@ def release_files(df: DataFrame, findings: DataFrame, prefix: str) -> int:
     """Writes normalize()'s releases as prefix.csv, .json and .md, and its findings as prefix-findings.csv, whatever they are;
     returns 1 if one is an error, else 0."""
     fields = [*FIELDS]
+    findings = once(findings, "findings")  # sorting looks at them twice, the exit code once more
     shown = df.select("row_no", *fields)
     csv_file(shown, f"{prefix}.csv", ["row_no"], fields)
     json_file(shown, f"{prefix}.json", "updates", ["row_no"])

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__
-from plumbline.operators import reviews
+from plumbline.operators import releases, reviews
 from plumbline.plans import catalogue
 from plumbline.sources import steps
 
@@ -58,3 +58,9 @@ def test_first_wins_is_dealt_out_by_number(spark):
     first = reviews.first_wins(rows, ["x", "y"])
     assert "REPARTITION_BY_NUM" in first._jdf.queryExecution().executedPlan().toString()
     assert first.columns == rows.columns and sorted(r["row_idx"] for r in first.collect()) == [0, 2]
+
+
+def test_normalized_releases_are_stored_once(spark):
+    source = spark.createDataFrame([(0, "app", "1")], "row_idx long, app_name string, version string")
+    rows, _ = releases.normalize(source)
+    assert rows.inputFiles() and rows.count() == 1
