@@ -1,7 +1,8 @@
 """Sources. Each numbers its rows (row_idx, from 0, in file order), as all first-wins rules depend on it.
 
-Report-sized files by position (an inventory) or of JSON (an export) are read as one record each and parsed in place, so
-the numbers follow the file; large inputs come as Parquet with a row_idx of their own.
+Report-sized files of JSON (an export) are read as one record each and parsed in place, so the numbers follow the file; an
+inventory by position is read line by line, in as many splits as it has; large inputs come as Parquet with a row_idx of
+their own.
 """
 
 from __future__ import annotations
@@ -9,10 +10,13 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +24,7 @@ from pyspark.sql import types as T
 from plumbline.functions.rules import ALLOWED_STATUSES, STATUS_ALIASES
 from plumbline.functions.text import clean
 from plumbline.operators.ordered import file_rows
+from plumbline.sources.steps import small_batches
 
 LEVELS = [f"{n}级功能" for n in "一二三四五六"]
 
@@ -30,16 +35,113 @@ def _whole(spark: SparkSession, path: str) -> DataFrame:
     return files.select("path", F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("content"))
 
 
-def _rows(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row, cells) of CSV files by position, cells in NFKC and trimmed; quoted cells may hold line breaks."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, content in zip(frame["path"], frame["content"], strict=True):
-                rows = [[unicodedata.normalize("NFKC", c).strip() for c in row] for row in csv.reader(io.StringIO(content, newline=""))]
-                yield pd.DataFrame({"file": file, "row": range(len(rows)), "cells": rows})
-
-    return _whole(spark, path).mapInPandas(run, "file string, row long, cells array<string>")
+#: A separator outside quotes: of cells, or (a carriage return alone) of rows.
+_SEPARATOR = re.compile("[,\r]")
+
+
+def _through(line: str, inside: bool) -> tuple[bool, int]:
+    """Of a line, without its line feed, that starts inside a quoted cell or not: whether its end lies in one, and how many
+    rows end in it. As Python's csv reader has it: only a quote at a cell's start opens, two in a quoted cell are one, and
+    behind the closing quote a cell goes on to the next separator."""
+    if '"' not in line and "\r" not in line[:-1]:
+        return inside, 0 if inside else 1
+    at = rows = 0
+    while True:
+        if not inside and line.startswith('"', at):
+            inside, at = True, at + 1
+        if inside:
+            end = line.find('"', at)
+            while end >= 0 and line.startswith('"', end + 1):
+                end = line.find('"', end + 2)
+            if end < 0:
+                return True, rows
+            inside, at = False, end + 1
+        sep = _SEPARATOR.search(line, at)
+        if sep is None or (sep.group() == "\r" and sep.end() == len(line)):
+            return False, rows + 1
+        rows += sep.group() == "\r"
+        at = sep.end()
+
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, row, lines) of CSV files: blocks of lines that end outside quotes, most of them one line, numbered in
+    the file's order, with the number of their first row.
+
+    A file has any number of splits. A split's lines stand one after the other in one task, which notes the state and counts
+    behind each for a start outside and inside quotes, as it does not know its own; a row for each split then tells which
+    it is. So no task holds a file, and a line is the most that is held at once.
+    """
+    scan = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, at, told = None, 0, []
+        for batch in batches:
+            if split == [c[0].as_py() for c in batch.columns[1:]] and all(pc.count_distinct(c).as_py() == 1 for c in batch.columns[1:]) and not pc.any(pc.match_substring_regex(batch.column(0), '"|\r(?s:.)')).as_py():
+                n = np.arange(len(batch))  # plain lines of one split, all at once
+                numbers = [at + n]
+                for k, (inside, blocks, rows) in enumerate(told):
+                    more = n * 0 if inside else n
+                    numbers += [blocks + more, rows + more, np.full(len(n), inside), blocks + more + (not inside), rows + more + (not inside)]
+                    told[k] = (inside, int(numbers[-2][-1]), int(numbers[-1][-1]))
+                at += len(n)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, numbers)], names=_NOTED)
+                continue
+            values, noted = [], []
+            for line, *this in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if this != split:
+                    split, at, told = this, 0, [(False, 0, 0), (True, 0, 0)]
+                    line = line.removeprefix("\ufeff") if this[1] == 0 else line
+                values.append(line)
+                row = [at]
+                for k, (inside, blocks, rows) in enumerate(told):
+                    after, ended = _through(line, inside)
+                    told[k] = (after, blocks + (not after), rows + ended)
+                    row += [blocks, rows, *told[k]]
+                noted.append(row)
+                at += 1
+            numbers = [pa.array(c) for c in zip(*noted, strict=True)] if noted else [pa.array([], t) for t in _KINDS]
+            yield pa.RecordBatch.from_arrays([pa.array(values, pa.string()), *batch.columns[1:], *numbers], names=_NOTED)
+
+    side = lambda k: f"block{k} long, row{k} long, after{k} boolean, blocks{k} long, rows{k} long"
+    lines = scan.mapInArrow(run, f"value string, file string, start long, at long, {side(0)}, {side(1)}")
+    last = F.max_by(F.struct(*(F.struct(F.col(f"after{k}").alias("after"), F.col(f"blocks{k}").alias("blocks"), F.col(f"rows{k}").alias("rows")).alias(f"s{k}") for k in (0, 1))), "at")
+    splits = F.array_sort(F.collect_list(F.struct("start", "s")))  # a row for each split of a file
+    zero = F.array(F.struct(F.lit(-1).cast("long").alias("start"), F.lit(False).alias("inside"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("row")))
+
+    def step(done, x):
+        before = F.element_at(done, -1)
+        s = F.when(before["inside"], x["s"]["s1"]).otherwise(x["s"]["s0"])
+        own = F.slice(done, 1, F.size(done) - 1)
+        here = F.struct(x["start"].alias("start"), before["inside"].alias("inside"), before["block"].alias("block"), before["row"].alias("row"))
+        behind = F.struct(x["start"].alias("start"), s["after"].alias("inside"), (before["block"] + s["blocks"]).alias("block"), (before["row"] + s["rows"]).alias("row"))
+        return F.concat(own, F.array(here, behind))
+
+    starts = lines.groupBy("file", "start").agg(last.alias("s")).groupBy("file").agg(F.aggregate(splits, zero, step).alias("x"))
+    starts = starts.select("file", F.explode(F.slice("x", 1, F.size("x") - 1)).alias("x")).select("file", "x.*")
+    known = lines.join(F.broadcast(starts.withColumnsRenamed({"block": "_block", "row": "_row"})), ["file", "start"])
+    here = lambda c: F.when(F.col("inside"), F.col(f"{c}1")).otherwise(F.col(f"{c}0")) + F.col(f"_{c}")
+    placed = known.select("file", here("block").alias("block"), here("row").alias("row"), F.struct("start", "at", "value").alias("line"))
+    return placed.groupBy("file", "block").agg(F.min("row").alias("row"), F.array_sort(F.collect_list("line"))["value"].alias("lines"))
+
+
+_NOTED = ["value", "file", "start", "at", *(f"{c}{k}" for k in (0, 1) for c in ("block", "row", "after", "blocks", "rows"))]
+_KINDS = [pa.int64(), *[pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()] * 2]
+
+
+def _cells(blocks: DataFrame) -> DataFrame:
+    """(file, row, cells) of blocks, cells in NFKC and trimmed; quoted cells may hold line breaks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for file, first, lines in zip(*(batch.column(c).to_pylist() for c in ("file", "row", "lines")), strict=True):
+                for k, row in enumerate(csv.reader(io.StringIO("\n".join(lines) + "\n", newline=""))):
+                    out.append((file, first + k, [unicodedata.normalize("NFKC", c).strip() for c in row]))
+            columns = zip(*out, strict=True) if out else ([], [], [])
+            types = (pa.string(), pa.int64(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["file", "row", "cells"])
+
+    return blocks.mapInArrow(run, "file string, row long, cells array<string>")
 
 
 def csv_table(spark: SparkSession, path: str, cleaned: bool = False, across: bool = False) -> DataFrame:
@@ -95,13 +197,14 @@ def repaired(df: DataFrame, header: list[str]) -> DataFrame:
 def inventory(spark: SparkSession, path: str) -> DataFrame:
     """An inventory CSV by position: header and cells in NFKC, short rows padded, long ones cut, blank lines kept (as rows
     without a key). A header with status and first level but neither platform nor depth is old: its rows are repaired."""
-    rows = _rows(spark, path)
-    first = rows.where("row = 0").first()
+    small_batches(spark)
+    blocks = _blocks(spark, path)
+    first = _cells(blocks.where("block = 0")).where("row = 0").first()
     header = list(first["cells"]) if first else []
     if not header:
         return spark.createDataFrame([], "row_idx long")
     old = {"验证状态", "一级功能"} <= set(header) and not {"平台", "验证深度"} & set(header)
-    body = rows.where("row > 0").select((F.col("row") - 1).alias("row_idx"), "cells")
+    body = _cells(blocks).where("row > 0").select((F.col("row") - 1).alias("row_idx"), "cells")
     body = repaired(body, header) if old else body
     return body.select("row_idx", *(F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(h) for i, h in enumerate(header)))
 

@@ -1,11 +1,15 @@
 """Queries under limits that larger tables meet: rows of a recursion, rows of a task, what a task of Python holds."""
 
+import csv
+import random
+import unicodedata
+
 import pytest
 
 import __spark_entry__
 from plumbline.operators import releases, reviews
 from plumbline.plans import catalogue
-from plumbline.sources import steps
+from plumbline.sources import readers, steps
 
 SF = "/root/testdata/sf0.001"
 
@@ -64,3 +68,34 @@ def test_normalized_releases_are_stored_once(spark):
     source = spark.createDataFrame([(0, "app", "1")], "row_idx long, app_name string, version string")
     rows, _ = releases.normalize(source)
     assert rows.inputFiles() and rows.count() == 1
+
+
+def _csv_rows(path):
+    with open(path, encoding="utf-8-sig", newline="") as f:
+        return [[unicodedata.normalize("NFKC", c).strip() for c in row] for row in csv.reader(f)]
+
+
+def test_inventory_is_read_in_splits(spark, tmp_path):
+    """Quoted cells with commas, quotes and breaks of all kinds, also over the ends of splits, are as Python's reader has them."""
+    draw = random.Random(7)
+    parts = ["a", "Ｂ", '"', '""', ",", "\n", "\r\n", "\r", '"x\ny"', '"p,""q"', "\n\n", "长长的字", " "]
+    path = tmp_path / "odd.csv"
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for k in range(4):
+            text = "﻿" * (k % 2) + "".join(draw.choices(parts, k=150)) + "\n" * (k % 3)
+            path.write_text(text, encoding="utf-8", newline="")
+            rows = sorted(readers._cells(readers._blocks(spark, str(path))).select("row", "cells").collect())
+            assert [r["cells"] for r in rows] == _csv_rows(path), (k, text)
+            assert [r["row"] for r in rows] == list(range(len(rows)))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+        path.write_text('一级功能,x\n"a\nb",c\n' + "a,b\n" * 300 + '"a\n' + "b,c\n" * 50 + '"\n' + "c,d\n" * 50, encoding="utf-8")
+        rows = sorted(readers._cells(readers._blocks(spark, str(path))).select("row", "cells").collect())
+        assert [r["cells"] for r in rows] == _csv_rows(path) and [r["row"] for r in rows] == list(range(len(rows)))
+        got = readers.inventory(spark, str(path))
+        assert "BinaryFile" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == len(rows) - 1
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
