@@ -6,10 +6,12 @@ import contextlib
 import functools
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.sources.steps import small_batches
+
 
 def blank(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -163,11 +165,13 @@ def _repaired(t: str) -> str:
 
 def repair_mojibake(c: Column) -> Column:
     """UTF-8 that was once read as GBK: each longest run of GBK characters is turned back where that gives valid UTF-8.
-    Plain ASCII is not looked at; in other texts only runs with a two-byte character are decoded."""
+    Plain ASCII is not looked at; in other texts only runs with a two-byte character are decoded. A text at a time, in batches
+    of about 4 MB where the session sets no bound (steps.small_batches)."""
+    small_batches(SparkSession.active())
 
-    @F.pandas_udf("string")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: t if not t else _repaired(t).replace("\r\n", "\n").strip())
+    @F.arrow_udf("string")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array((t and _repaired(t).replace("\r\n", "\n").strip() for t in (x.as_py() for x in texts)), pa.string())
 
     c = blank(c)
     plain = F.octet_length(c) == F.char_length(c)

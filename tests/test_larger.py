@@ -5,8 +5,10 @@ import random
 import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from plumbline.functions import text
 from plumbline.operators import releases, reviews
 from plumbline.plans import catalogue
 from plumbline.sources import readers, steps
@@ -84,10 +86,10 @@ def test_inventory_is_read_in_splits(spark, tmp_path):
     spark.conf.set("spark.sql.files.openCostInBytes", "1")
     try:
         for k in range(4):
-            text = "﻿" * (k % 2) + "".join(draw.choices(parts, k=150)) + "\n" * (k % 3)
-            path.write_text(text, encoding="utf-8", newline="")
+            content = "﻿" * (k % 2) + "".join(draw.choices(parts, k=150)) + "\n" * (k % 3)
+            path.write_text(content, encoding="utf-8", newline="")
             rows = sorted(readers._cells(readers._blocks(spark, str(path))).select("row", "cells").collect())
-            assert [r["cells"] for r in rows] == _csv_rows(path), (k, text)
+            assert [r["cells"] for r in rows] == _csv_rows(path), (k, content)
             assert [r["row"] for r in rows] == list(range(len(rows)))
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
         path.write_text('一级功能,x\n"a\nb",c\n' + "a,b\n" * 300 + '"a\n' + "b,c\n" * 50 + '"\n' + "c,d\n" * 50, encoding="utf-8")
@@ -99,3 +101,10 @@ def test_inventory_is_read_in_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_mojibake_goes_to_python_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.createDataFrame([(None,), ("",), ("plain ",), ("你好吗呢".encode().decode("gbk"),)], "text string")
+    assert [r[0] for r in docs.select(text.repair_mojibake(F.col("text"))).collect()] == ["", "", "plain", "你好吗呢"]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
