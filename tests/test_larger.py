@@ -108,3 +108,14 @@ def test_mojibake_goes_to_python_in_small_batches(spark):
     docs = spark.createDataFrame([(None,), ("",), ("plain ",), ("你好吗呢".encode().decode("gbk"),)], "text string")
     assert [r[0] for r in docs.select(text.repair_mojibake(F.col("text"))).collect()] == ["", "", "plain", "你好吗呢"]
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == 4 << 20
+
+
+def test_audit_moves_each_row_once(spark):
+    rows = [("a", 1, "x", 1, "2001-01-01"), ("a", 1, "x", 1, "2001-01-02"), ("a", 1, "y", 1, None), ("a", 70_000, "", None, "2001-01-03"), ("a", None, "z", 2, None), ("a", None, "z", 2, None), ("b", None, None, None, None), (None, 5, "", 0, None), (None, 7, None, 0, None), (None, 7, "", 0, None)]
+    df = spark.createDataFrame(rows, "g string, p long, t string, r int, d string")
+    got = reviews.audit(df, ["g"], ["p", "t", "r"], "d", "p", "t", "r")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan and plan.count("REPARTITION_BY_NUM") == 1
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 6, "2001-01-01", "2001-01-03", 2, 69_998, 1, 1), ("b", 1, None, None, 0, 0, 1, 1), (None, 3, None, None, 1, 1, 3, 0)], key=str)
+    assert got.schema["gap_count"].dataType.simpleString() == "bigint" == got.schema["duplicate_rows"].dataType.simpleString()
+    assert reviews.audit(df.where("false"), ["g"], ["p", "t", "r"], "d", "p", "t", "r").count() == 0
