@@ -11,7 +11,7 @@ import __spark_entry__
 from plumbline.functions import text
 from plumbline.operators import releases, reviews
 from plumbline.plans import catalogue
-from plumbline.sources import readers, steps
+from plumbline.sources import readers, sinks, steps
 
 SF = "/root/testdata/sf0.001"
 
@@ -119,3 +119,13 @@ def test_audit_moves_each_row_once(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted([("a", 6, "2001-01-01", "2001-01-03", 2, 69_998, 1, 1), ("b", 1, None, None, 0, 0, 1, 1), (None, 3, None, None, 1, 1, 3, 0)], key=str)
     assert got.schema["gap_count"].dataType.simpleString() == "bigint" == got.schema["duplicate_rows"].dataType.simpleString()
     assert reviews.audit(df.where("false"), ["g"], ["p", "t", "r"], "d", "p", "t", "r").count() == 0
+
+
+def test_analysis_files_computes_each_table_once(spark, monkeypatch):
+    given = {}
+    monkeypatch.setattr(sinks, "analysis_folder", lambda spark, folder, tables, *rest: given.update(tables, checks=rest[-1]))
+    monkeypatch.setattr(readers, "csv_table", lambda spark, path: spark.createDataFrame([], "rank string, theme string, mentions string"))
+    __spark_entry__.queries()["analysis_files"](spark, SF)
+    assert set(sinks.TABLES) < set(given)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert [name for name, table in given.items() if not all(shared in f for f in table.inputFiles())] == []
