@@ -129,3 +129,16 @@ def test_analysis_files_computes_each_table_once(spark, monkeypatch):
     assert set(sinks.TABLES) < set(given)
     shared = spark.conf.get("spark.checkpoint.dir")
     assert [name for name, table in given.items() if not all(shared in f for f in table.inputFiles())] == []
+
+
+def test_joins_of_large_sides_are_dealt_out_by_number(spark):
+    few = _rows(catalogue.themed(spark, SF))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = catalogue.themed(spark, SF)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        devices = catalogue.with_device(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("REPARTITION_BY_NUM") == devices.count("REPARTITION_BY_NUM") == 4
+        assert _rows(found) == few
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
