@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from plumbline.functions import text
-from plumbline.operators import releases, reviews
+from plumbline.operators import metrics, releases, reviews
 from plumbline.plans import catalogue
 from plumbline.sources import readers, sinks, steps
 
@@ -142,3 +142,17 @@ def test_joins_of_large_sides_are_dealt_out_by_number(spark):
         assert _rows(found) == few
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def _theme_tables(spark, monkeypatch, name):
+    """How often a query has its themes ranked, and whether what its gates or texts read of them is stored."""
+    made, read, ranked, scored = [], [], metrics.themes, metrics.priority
+    monkeypatch.setattr(metrics, "themes", lambda df, *rest: made.append(df) or ranked(df, *rest))
+    monkeypatch.setattr(metrics, "priority", lambda df, *rest: read.append(df) or scored(df, *rest))
+    assert __spark_entry__.queries()[name](spark, SF).count() > 0
+    shared = spark.conf.get("spark.checkpoint.dir")
+    return len(made), [any(shared in f for f in df.inputFiles()) for df in read]
+
+
+def test_report_gates_ranks_themes_once(spark, monkeypatch):
+    assert _theme_tables(spark, monkeypatch, "report_gates") == (1, [True])
