@@ -199,8 +199,9 @@ def satisfaction_text(spark, sf):
     roadmap = P.view(spark, sf, "select case r_regionkey when 0 then 'immediate' when 1 then 'this quarter' when 2 then 'next quarter' else 'long term' end as stage, r_name as goal, 'do' as action, 'better' as expected from region")
     roadmap = roadmap.select(*(F.col(c).cast("string").alias(c) for c in roadmap.columns))
     text = lambda df: df.select(*(F.col(c).cast("string").alias(c) for c in df.columns))
-    tables = {1: text(metrics.weekly(reviews_of(spark, sf))), 3: text(metrics.themes(themed(spark, sf)))}
-    report = sinks.satisfaction_report(sinks.evidence_matrix(claims, aggregates), priority_v1(spark, sf), roadmap, tables=tables)
+    themes = once(metrics.themes(themed(spark, sf)))  # a few rows of a pass over all lines, read by two tables and a check
+    tables = {1: text(metrics.weekly(reviews_of(spark, sf))), 3: text(themes.orderBy("rank"))}
+    report = sinks.satisfaction_report(sinks.evidence_matrix(claims, aggregates), priorities_of(spark, sf, themes), roadmap, tables=tables)
     lines = spark.createDataFrame([(x,) for x in report.split("\n")], "line string")  # a report's few lines
     numbered = F.regexp_extract("line", r"^((?:Figure|Table) \d+):", 1)
     kept = lines.where((numbered != "") | F.col("line").startswith("## ") | F.col("line").endswith("(customers)"))

@@ -156,3 +156,7 @@ def _theme_tables(spark, monkeypatch, name):
 
 def test_report_gates_ranks_themes_once(spark, monkeypatch):
     assert _theme_tables(spark, monkeypatch, "report_gates") == (1, [True])
+
+
+def test_satisfaction_text_ranks_themes_once(spark, monkeypatch):
+    assert _theme_tables(spark, monkeypatch, "satisfaction_text") == (1, [True])
